@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_output
+from . import exact_dedup, language_id, mixing, simhash_dedup, token_output, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.query,
     "op6_mix_sources": mixing.query,
+    "op7_language_id": language_id.query,
+    "op8_simhash_dedup": simhash_dedup.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_token_output": token_output.query,
 }
