@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, simhash_dedup, token_output, toxicity
+from . import decontaminate, exact_dedup, language_id, mixing, simhash_dedup, token_output, toxicity
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.query,
     "op5_toxicity": toxicity.query,
     "op6_mix_sources": mixing.query,
     "op7_language_id": language_id.query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_decontaminate": decontaminate.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
