@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, mixing, simhash_dedup, token_output, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, mixing, simhash_dedup, token_output, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
+    "op4_html_text": html_extract.query,
     "op5_toxicity": toxicity.query,
     "op6_mix_sources": mixing.query,
     "op7_language_id": language_id.query,
