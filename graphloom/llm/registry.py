@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, language_id, mixing, simhash_dedup, token_output, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, mixing, simhash_dedup, suffix_dedup, token_output, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_decontaminate": decontaminate.query,
     "op4_html_text": html_extract.query,
     "op5_toxicity": toxicity.query,
