@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, language_id, mixing, simhash_dedup, suffix_dedup, token_output, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, mixing, passage_dedup, simhash_dedup, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_passage_dedup": passage_dedup.query,
     "op4_html_text": html_extract.query,
     "op5_toxicity": toxicity.query,
     "op6_mix_sources": mixing.query,
