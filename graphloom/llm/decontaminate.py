@@ -50,10 +50,14 @@ def _small(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def row_key(id_col: Column, text: Column) -> Column:
+    """Equal for rows that are equal in id and text."""
+    return F.md5(F.concat_ws("\x01", id_col.cast("string"), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, text); equal keys are equal in id and text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.md5(F.concat_ws("\x01", F.col(id_col).cast("string"), text).cast("binary")).alias("key"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def rarest_terms(rows: DataFrame, phrases: DataFrame, few: bool) -> DataFrame:
@@ -127,6 +131,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, **cols: str
     return out.select("id", "key", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def contaminated_keys(docs: DataFrame, items: DataFrame, size: int = 10, **cols: str) -> DataFrame:
+    """row_key of each document that holds a window."""
+    _, hits, _ = matches(docs, items, size, **cols)
+    return hits.select("key").distinct()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     joined = F.array_join("items", ",")
