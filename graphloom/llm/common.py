@@ -45,8 +45,16 @@ def settle(df: DataFrame, what: str = "settled") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what settle() wrote, once nothing will read it again."""
+    drop_path(df.sparkSession, df.settled_at)
+    release(df.sparkSession)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settle
+from .common import discard, release, settle
 
 _GRAM = 16
 _SEGMENT = 1 << 20
@@ -282,8 +282,10 @@ def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 14, id_col
     keys = (F.coalesce("doc_id", F.lit(0)).alias("id"), F.hash("doc_id", "text").alias("mark"))
     every = settle(rows.select(*keys, "text").mapInArrow(_scan(length), "gram long, body long, id long, mark int, first int, n int"), "runs")
     again = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    kept = settle(every.join(again, "gram", "left_semi"), "runs")
+    again = settle(again, "again")
     release(spark)
+    kept = settle(every.join(again, "gram", "left_semi"), "runs")
+    discard(every)
     one = F.min(F.struct("id", "mark", "first")).alias("one")
     bodies = settle(kept.groupBy("gram", "body", "n").agg(F.count(F.lit(1)).alias("times"), one), "bodies")
     kinds = bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
