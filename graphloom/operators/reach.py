@@ -119,10 +119,10 @@ def grouped_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | Non
     return rows.groupBy("group").applyInPandas(search, f"group {kinds['group']}, seed {kinds['seed']}, node {kinds['node']}")
 
 
-def paths(edges: DataFrame, starts: DataFrame, ends: Column, max_length: int = 50, grow: Column | None = None) -> DataFrame:
-    """(path, ord_path) of all simple paths from starts (node) to nodes where `ends` holds; a path ends at its first such node.
+def paths(edges: DataFrame, starts: DataFrame, ends: Column, max_length: int = 50, least: int = 2) -> DataFrame:
+    """(path, ord_path) of all simple paths from starts (node) to nodes where `ends` holds; a path ends at its first such node and has `least` nodes or more.
 
-    edges (src, dst, ord). ends and grow are conditions on `node`. Order by ord_path for depth-first order.
+    edges (src, dst, ord). ends is a condition on `node`. Order by ord_path for depth-first order.
     The edges should hold only what lies between starts and ends: see `between`.
     """
     spark = edges.sparkSession
@@ -132,11 +132,10 @@ def paths(edges: DataFrame, starts: DataFrame, ends: Column, max_length: int = 5
     done = None
     for n in range(1, max_length + 1):
         live = settle(live)
-        hit = live.where(ends & (F.size("path") > 1)).select("path", "ord_path")
-        done = hit if done is None else done.union(hit)
-        live = live.where(~ends | (F.size("path") == 1)) if n == 1 else live.where(~ends)
-        if grow is not None:
-            live = live.where(grow)
+        if n >= least:
+            hit = live.where(ends).select("path", "ord_path")
+            done = hit if done is None else done.union(hit)
+            live = live.where(~ends)
         if n == max_length or live.isEmpty():
             break
         live = live.join(steps, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))

@@ -233,8 +233,8 @@ def chain_nodes_edges(f):
 
 
 @query("""WITH RECURSIVE p(node, path, n) AS (SELECT sig, [sig], 1 FROM root UNION ALL SELECT e.dst, list_append(p.path, e.dst), p.n + 1 FROM p JOIN call_edge e ON e.src = p.node
-        WHERE p.n < 5 AND NOT list_contains(p.path, e.dst) AND (p.n = 1 OR NOT starts_with(p.node, '<com.economy.')))
-    SELECT array_to_string(path, ' ') AS path FROM p WHERE n > 1 AND starts_with(node, '<com.economy.')""")
+        WHERE p.n < 5 AND NOT list_contains(p.path, e.dst) AND NOT starts_with(p.node, '<com.economy.'))
+    SELECT array_to_string(path, ' ') AS path FROM p WHERE starts_with(node, '<com.economy.')""")
 def layer_chains(f):
     found = calltree.layer_chains(f.call_edge, f.root.select(F.col("sig").alias("node")), "^com\\.economy\\.", 5)
     return found.select(F.array_join("path", " ").alias("path"))
