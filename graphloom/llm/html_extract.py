@@ -198,7 +198,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     done = rows.where("marked").select("page_id", "url", "lines")
     rest = rows.where("not marked").withColumn("row", F.monotonically_increasing_id())
     # Who stands next to whom: light rows, by host and a leading part of the path, so that no task holds a large host.
-    light = rest.select("row", "host", "path", F.regexp_extract("path", r"^(.*/)[^/]*$", 1).alias("folder"), F.pmod(F.floor(F.regexp_extract("path", r"(\d{1,15})[^/\d]*$", 1).cast("long") / 1000), F.lit(1 << 40)).alias("block"))
+    light = rest.select("row", "host", "path", F.regexp_extract("path", r"^(.*/)[^/]*$", 1).alias("folder"), F.pmod(F.floor(F.regexp_extract("path", r"(\d{1,15})[^/\d]*$", 1).try_cast("long") / 1000), F.lit(1 << 40)).alias("block"))
     by = Window.partitionBy("host", "folder", "block").orderBy("path", "row")
     near = light.select("row", F.coalesce(F.lead("row").over(by), F.lag("row").over(by)).alias("other"))
     paired = rest.join(near, "row").join(rest.select(F.col("row").alias("other"), F.col("lines").alias("others")), "other", "left")
