@@ -2,8 +2,9 @@
 
 Texts are folded (lower case, homoglyphs and accents to Latin letters, digit and
 symbol substitutions to letters) and scanned once by an Aho-Corasick automaton over
-the lexicon and the exception phrases; hits count at word bounds only, and a hit
-inside an exception phrase doesn't count. The summed weights, plain and normalised
+the lexicon and the exception phrases. Entries are words or, with a star, stems; hits
+count at word bounds only, a stem's at its beginning, and a hit inside an exception
+phrase doesn't count. The summed weights, plain and normalised
 by length, go through a logistic calibration.
 
 The lexicon, the exceptions and the calibration are learned from at most
@@ -53,6 +54,8 @@ def _table() -> dict[int, str]:
 _FOLD = _table()
 _LEET = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"[0-9a-z@$!|]*[0-9@$!|][0-9a-z@$!|]*")
+_STEM = (4, 8)
+_COUNTED_AT_ONCE = 300_000
 _TERM = re.compile(r"[a-z]{3,24}")
 
 
@@ -72,6 +75,33 @@ def fold(text: str) -> str:
     return _MIXED.sub(leet, text)
 
 
+def _tally(by: tuple[Counter, Counter]) -> pa.RecordBatch:
+    """(term, pos, neg) of two counters, which are emptied."""
+    words = list(by[0].keys() | by[1].keys())
+    out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (by[1], by[0])]], ["term", "pos", "neg"])
+    by[0].clear()
+    by[1].clear()
+    return out
+
+
+def _entries(words: set[str]) -> set[str]:
+    """The words, and the stems of those that go on."""
+    return words | {f"{w[:n]}*" for w in words for n in range(_STEM[0], min(_STEM[1], len(w) - 1) + 1)}
+
+
+def _chosen(candidates: list[tuple[str, float]], max_terms: int) -> dict[str, float]:
+    """Of entries by falling evidence, those that neither hold nor are held by one before them."""
+    out: dict[str, float] = {}
+    shut: set[str] = set()
+    for term, weight in candidates:
+        text = term.removesuffix("*")
+        ups = {f"{text[:n]}*" for n in range(_STEM[0], len(text) + 1)}
+        if len(out) < max_terms and not ups & out.keys() and not (term[-1] == "*" and term in shut):
+            out[term] = weight
+            shut |= ups
+    return out
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
@@ -90,9 +120,11 @@ class Matcher:
         self.lexicon = lexicon
         self.automaton = ahocorasick.Automaton()
         for phrase in lexicon.exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None, phrase))
+            self.automaton.add_word(phrase, [(len(phrase), None, phrase)])
         for term, weight in lexicon.weights.items():
-            self.automaton.add_word(term, (len(term), weight, term))
+            text = term.removesuffix("*")
+            both = self.automaton.get(text, [])
+            self.automaton.add_word(text, [*both, (len(text), weight, term)])
         self.any = bool(len(self.automaton))
         if self.any:
             self.automaton.make_automaton()
@@ -102,11 +134,12 @@ class Matcher:
         if not self.any:
             return []
         found, spared = [], []
-        for last, (n, weight, term) in self.automaton.iter(folded):
-            a, z = last + 1 - n, last + 1
-            if (a and folded[a - 1].isalnum()) or (z < len(folded) and folded[z].isalnum()):
-                continue
-            (spared if weight is None else found).append((a, z, term, weight))
+        for last, entries in self.automaton.iter(folded):
+            for n, weight, term in entries:
+                a, z = last + 1 - n, last + 1
+                if (a and folded[a - 1].isalnum()) or (z < len(folded) and folded[z].isalnum() and term[-1] != "*"):
+                    continue
+                (spared if weight is None else found).append((a, z, term, weight))
         return [h for h in found if not any(a <= h[0] and h[1] <= z for a, z, _, _ in spared)] if spared else found
 
     def features(self, text: str) -> tuple[float, float]:
@@ -130,8 +163,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, eligible, max_rows: int, i
     return rows.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
-def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_z: float = 4.0, min_weight: float = 2.0) -> Lexicon:
-    """rows: (text, label)."""
+def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidence: float = 15.0, min_weight: float = 2.0, min_spread: float = 0.15) -> Lexicon:
+    """rows: (text, label). A term needs min_evidence nats against the chance that its toxic share is the common one."""
     rows = settle(rows, "labelled")
     counts = dict(rows.groupBy("label").count().collect())
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -142,15 +175,35 @@ def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_z: floa
         by: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by[label].update(set(_TERM.findall(fold(text))))
-        words = list(by[0] | by[1])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([by[1][w] for w in words], pa.int64()), pa.array([by[0][w] for w in words], pa.int64())], ["term", "pos", "neg"])
+                by[label].update(_entries(set(_TERM.findall(fold(text)))))
+                if len(by[0]) + len(by[1]) > _COUNTED_AT_ONCE:
+                    yield _tally(by)
+        yield _tally(by)
 
     found = rows.mapInArrow(terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     logit = lambda k, n: F.log((F.col(k) + 0.5) / (n - F.col(k) + 0.5))
     found = found.where(F.col("pos") >= min_docs).withColumn("weight", logit("pos", n1) - logit("neg", n0))
-    found = found.withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))).where((F.col("z") >= min_z) & (F.col("weight") >= min_weight))
-    lexicon = Lexicon({r["term"]: float(r["weight"]) for r in found.orderBy(F.desc("z"), "term").limit(max_terms).collect()})
+    found = found.where(F.col("pos") >= min_docs).withColumn("weight", logit("pos", n1) - logit("neg", n0))
+    share, common = F.col("pos") / (F.col("pos") + F.col("neg")), n1 / (n1 + n0)
+    against = F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - common))).otherwise(0.0)
+    found = found.withColumn("evidence", F.col("pos") * F.log(share / common) + against).where((share > common) & (F.col("evidence") >= min_evidence) & (F.col("weight") >= min_weight))
+    best = found.orderBy(F.desc("evidence"), F.desc(F.length(F.regexp_replace("term", "[*]", ""))), "term").limit(20 * max_terms).collect()
+    lexicon = Lexicon(_chosen([(r["term"], float(r["weight"])) for r in best], 2 * max_terms))
+
+    def contexts(batches):
+        matcher, seen = lexicon.matcher(), set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                folded, first = fold(text), {}
+                for a, z, term, _ in matcher.hits(folded):
+                    first.setdefault(term, (folded[max(0, a - 12) : a], folded[z : z + 12]))
+                seen |= {(term, *place) for term, place in first.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], ["term", "before", "after"])
+
+    # Where an entry first stands in a text: words of near copies have few such places, those of their own accord many.
+    places = rows.where("label = 1").mapInArrow(contexts, "term string, before string, after string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("places"))
+    spread = found.join(places, "term").where((F.col("places") >= min_spread * F.col("pos")) & (F.col("evidence") * F.col("places") / F.col("pos") >= min_evidence))
+    lexicon = Lexicon({r["term"]: float(r["weight"]) for r in spread.orderBy(F.desc("evidence"), "term").limit(max_terms).collect()})
 
     def phrases(batches):
         matcher, by = lexicon.matcher(), (Counter(), Counter())
@@ -162,8 +215,7 @@ def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_z: floa
                     seen |= {f"{before[1]} {term}"} if before else set()
                     seen |= {f"{term} {after[1]}"} if after else set()
                 by[label].update(seen)
-        words = list(by[0] | by[1])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([by[1][w] for w in words], pa.int64()), pa.array([by[0][w] for w in words], pa.int64())], ["term", "pos", "neg"])
+        yield _tally(by)
 
     spared = rows.mapInArrow(phrases, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     spared = spared.where((F.col("neg") >= min_docs) & (F.col("neg") * n1 >= 2 * F.col("pos") * n0)).orderBy(F.desc("neg"), "term").limit(max_terms)
@@ -218,7 +270,7 @@ def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", limit: flo
     return docs.where(~F.pandas_udf(run, "boolean")(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> Lexicon:
     return learn(training_rows(docs, labels, crc_mod("doc_id", 5) != 0, max_rows))
 
 
