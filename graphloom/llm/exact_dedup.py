@@ -138,11 +138,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     over all normalised bytes of the routed texts.
     """
     rows = settle(digests(docs, id_col, text_col), "digests")
-    routed = repeated_fingerprints(rows, rows.count())
+    routed = settle(repeated_fingerprints(rows, rows.count()), "routed")
     fingerprint = F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long")
     candidates = rows.withColumn("print", fingerprint).join(routed, "print", "left_semi")
     best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("neg"))).alias("best")
-    groups = candidates.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # Settled, so that both sides of the join come straight from a shuffle, whose large partitions Spark can split.
+    groups = settle(candidates.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     joined = rows.join(groups, "sha", "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(-F.col("best.neg"))
     return joined.select(
