@@ -117,3 +117,51 @@ def line_trace(edges: DataFrame, lines: DataFrame, from_line: int, to_line: int)
         return pd.DataFrame({"sig": key[0], "line": counts.index.astype("int64"), "n": counts.to_numpy()})
 
     return rows.groupBy("sig").applyInPandas(trace, f"sig {edges.schema['sig'].dataType.simpleString()}, line long, n long")
+
+
+# From statements of an intermediate form to blocks: ir (sig, block, ord, line, text, lhs, rhs, call_target,
+# returns_boolean, arg_count, condition, is_switch); call_target is `package.Class.method`.
+
+
+def statement_details(ir: DataFrame) -> DataFrame:
+    """(sig, block, ord, line, text, call_target, arg_count, branch)"""
+    branch = F.coalesce("condition", F.when(F.col("is_switch"), "switch"))
+    return ir.select("sig", "block", "ord", F.coalesce("line", F.lit(-1)).alias("line"), "text", "call_target", "arg_count", branch.alias("branch"))
+
+
+def project_statements(ir: DataFrame) -> DataFrame:
+    """(sig, block, ord, line, call, branch, assign): a call wins over an assignment; assignments of temporaries and fields go."""
+    plain = ~F.col("rhs").contains("$stack") & ~F.col("rhs").contains(".<") & ~F.col("lhs").startswith("$stack")
+    assign = F.when(F.col("call_target").isNull() & F.col("lhs").isNotNull() & plain, F.concat("lhs", F.lit(" = "), "rhs"))
+    return statement_details(ir).join(ir.select("sig", "block", "ord", assign.alias("assign")), ["sig", "block", "ord"]).select("sig", "block", "ord", "line", F.col("call_target").alias("call"), "branch", "assign")
+
+
+def branch_conditions(ir: DataFrame) -> DataFrame:
+    """(sig, block, condition) of blocks that end in a branch, temporaries replaced by what the block puts into them.
+
+    A temporary becomes Class.method() or its right side; comparisons of a boolean call with 0 become true or false.
+    """
+    short = F.concat(F.substring_index("call_target", ".", -2), F.lit("()"))
+    step = F.struct("ord", "lhs", F.when(F.col("call_target").isNotNull(), short).otherwise(F.col("rhs")).alias("value"), (F.col("call_target").isNotNull() & F.coalesce("returns_boolean", F.lit(False))).alias("boolean"))
+    temps = F.array_sort(F.collect_list(F.when(F.col("lhs").startswith("$stack"), step)))
+    tail = F.max_by(F.struct("condition", "is_switch"), "ord")
+    got = ir.groupBy("sig", "block").agg(temps.alias("temps"), tail.alias("tail"))
+
+    def put(text, x):
+        out = F.replace(text, x["lhs"], x["value"])
+        truth = F.replace(F.replace(out, F.concat(x["value"], F.lit(" == 0")), F.concat(x["value"], F.lit(" == false"))), F.concat(x["value"], F.lit(" != 0")), F.concat(x["value"], F.lit(" == true")))
+        return F.when(~text.contains(x["lhs"]), text).when(x["boolean"], truth).otherwise(out)
+
+    condition = F.when(F.col("tail.condition").isNotNull(), F.aggregate("temps", F.col("tail.condition"), put)).when(F.col("tail.is_switch"), "switch")
+    return got.select("sig", "block", condition.alias("condition")).where("condition is not null")
+
+
+def labelled_edges(successors: DataFrame, ir: DataFrame) -> DataFrame:
+    """(sig, src, dst, label) of successors (sig, block, pos, succ): T and F where a block ends in an if with two successors."""
+    from pyspark.sql import Window
+
+    ends = ir.groupBy("sig", "block").agg(F.max_by("condition", "ord").isNotNull().alias("is_if"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("sig", "block"))
+    rows = successors.withColumn("n", n).join(ends, ["sig", "block"], "left")
+    label = F.when(F.col("is_if") & (F.col("n") == 2), F.when(F.col("pos") == 0, "T").otherwise("F"))
+    return rows.select("sig", F.col("block").alias("src"), F.col("succ").alias("dst"), label.alias("label"))
