@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), budget_share: float = 1.5, max_repea
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    rows = settle(rows.withColumn("turn", F.xxhash64("doc_id", F.lit(seed))), "sizes")
+    rows = settle(rows.withColumn("turn", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))).cast("binary"))), "sizes")
     # One row per source: a bounded list, checked.
     found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("c")).limit(_MAX_SOURCES + 1).collect()
     if len(found) > _MAX_SOURCES:
@@ -70,7 +70,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), budget_share: float = 1.5, max_repea
     plan = [(r["source"], int(r["n"]), float(t), max(1, math.ceil(r["c"] / _BUCKET_ROWS))) for r, t in zip(found, target, strict=True)]
     plan = spark.createDataFrame(plan, "source string, source_size long, target double, buckets long")
     same = lambda x, y: x["source"].eqNullSafe(y["source"])
-    sized = rows.join(F.broadcast(plan), same(rows, plan)).drop(plan["source"]).withColumn("bucket", F.pmod("turn", "buckets"))
+    sized = rows.join(F.broadcast(plan), same(rows, plan)).drop(plan["source"])
+    # Buckets are stretches of the turn, so the order is that of the turn alone.
+    sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * F.col("buckets") / (1 << 32)))
     # Cumulative words in two levels, so that no task holds a whole source.
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,3 +94,27 @@ def query(spark, sf_dir: str) -> DataFrame:
     schedule, sized = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = schedule.groupBy("row").agg(F.sum("taken").alias("taken"))
     return sized.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+SQL = r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(concat_ws(':', CAST(doc_id AS VARCHAR), '7')) AS turn
+  FROM documents),
+q AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM s GROUP BY source),
+w AS (SELECT source, n, 2 * n AS cap, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM q),
+o AS (
+  SELECT *, sum(cap) OVER r - cap AS caps_before, sum(w) OVER () - sum(w) OVER r + w AS open_w, least(1.5 * sum(n) OVER (), sum(cap) OVER ()) AS budget
+  FROM w WINDOW r AS (ORDER BY CAST(cap AS DOUBLE) / w, source IS NULL, source ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT source, n, w, cap, budget, cap * open_w <= w * (budget - caps_before) AS capped FROM o),
+t AS (
+  SELECT source, n, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
+    (CAST(budget AS DOUBLE) - coalesce(CAST(sum(CASE WHEN capped THEN cap END) OVER () AS DOUBLE), 0)) * w / CAST(sum(CASE WHEN NOT capped THEN w END) OVER () AS DOUBLE) END AS target
+  FROM f),
+c AS (
+  SELECT s.doc_id, s.size, t.n, t.target, CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.turn, s.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS ahead
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n AS source_size, target,
+       greatest(0, least(size, CAST(round(target) AS BIGINT) - ahead)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - ahead - n)) AS taken
+FROM c
+"""

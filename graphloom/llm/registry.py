@@ -19,5 +19,6 @@ QUERIES = {
 
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
+    "op6_mix_sources": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
