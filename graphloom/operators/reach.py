@@ -122,13 +122,12 @@ def grouped_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | Non
 def paths(edges: DataFrame, starts: DataFrame, ends: Column, max_length: int = 50, least: int = 2) -> DataFrame:
     """(path, ord_path) of all simple paths from starts (node) to nodes where `ends` holds; a path ends at its first such node and has `least` nodes or more.
 
-    edges (src, dst, ord). ends is a condition on `node`. Order by ord_path for depth-first order.
+    edges (src, dst, ord). ends is a condition on `node`. Order by path[0] and ord_path for depth-first order.
     The edges should hold only what lies between starts and ends: see `between`.
     """
     spark = edges.sparkSession
     steps = settle(edges.select("src", "dst", F.col("ord").cast("long").alias("ord")))
-    rank = F.row_number().over(_by("node")).cast("long")
-    live = starts.select("node").distinct().select("node", F.array("node").alias("path"), F.array(rank).alias("ord_path"))
+    live = starts.select("node").distinct().select("node", F.array("node").alias("path"), F.array().cast("array<long>").alias("ord_path"))
     done = None
     for n in range(1, max_length + 1):
         live = settle(live)
@@ -143,12 +142,6 @@ def paths(edges: DataFrame, starts: DataFrame, ends: Column, max_length: int = 5
     return done if done is not None else spark.createDataFrame([], "path array<string>, ord_path array<long>")
 
 
-def _by(col: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(col)
-
-
 def between(edges: DataFrame, forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Edges whose ends both lie in forward and backward (node)."""
     both = forward.select("node").intersect(backward.select("node"))

@@ -648,4 +648,4 @@ def ascii_call_tree(f):
 
     edges = f.flat_call.where(F.col("caller").startswith("<com.economy.") & F.col("callee").startswith("<com.economy.")).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("ord"), "call_line", F.lit(False).alias("cycle"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("label", S.short_method(F.col("node")))
-    return ascii_tree(nodes, edges).select(F.array_join(F.transform("ord_path", lambda x: x.cast("string")), ".").alias("at"), "text")
+    return ascii_tree(nodes, edges).select("top", F.array_join(F.transform("ord_path", lambda x: x.cast("string")), ".").alias("at"), "text")

@@ -194,18 +194,18 @@ def test_ascii_tree(spark):
     nodes = spark.createDataFrame([(x, x.upper()) for x in "abc"], "node string, label string")
     calls = spark.createDataFrame([("a", "b", 1, 5, False), ("a", "c", 2, None, False), ("b", "a", 1, 7, True)], "src string, dst string, ord long, call_line long, cycle boolean")
     top = calls.where("dst <> 'a' or cycle")
-    got = [r["text"] for r in render.ascii_tree(nodes, top.where("not cycle")).orderBy("ord_path").collect()]
+    got = [r["text"] for r in render.ascii_tree(nodes, top.where("not cycle")).orderBy("top", "ord_path").collect()]
     assert got == ["A", "├── B:5", "└── C"]
     nodes2 = nodes.union(spark.createDataFrame([("r", "R")], nodes.schema))
     calls2 = calls.union(spark.createDataFrame([("r", "a", 1, 1, False)], calls.schema))
-    got = [r["text"] for r in render.ascii_tree(nodes2, calls2).orderBy("ord_path").collect()]
+    got = [r["text"] for r in render.ascii_tree(nodes2, calls2).orderBy("top", "ord_path").collect()]
     assert got == ["R", "└── A:1", "    ├── B:5", "    │   └── A:7 [↻]", "    └── C"]
     assert "a -> b;" in render.call_tree_dot(nodes, calls) and "b -> a [style=dashed, color=gray];" in render.call_tree_dot(nodes, calls)
     chains = spark.createDataFrame([(1, ["a", "b"])], "chain long, path array<string>")
     assert [r["text"] for r in render.chain_lines(chains, nodes, calls).orderBy("pos").collect()] == ["A @L5", "  B"]
     stmts = spark.createDataFrame([("d", "s", "x = 1", "ASSIGN"), ("u", "s", "return x", "RETURN")], "id string, sig string, text string, kind string")
     deps = spark.createDataFrame([("d", "u", "LOCAL")], "src string, dst string, kind string")
-    assert [r["text"] for r in render.ddg_tree(stmts, deps).orderBy("ord_path").collect()] == ["return x", "└── [LOCAL] x = 1"]
+    assert [r["text"] for r in render.ddg_tree(stmts, deps).orderBy("top", "ord_path").collect()] == ["return x", "└── [LOCAL] x = 1"]
     assert "d -> u [color=black" in render.ddg_dot(stmts, deps)
 
 
