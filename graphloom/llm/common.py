@@ -78,8 +78,23 @@ def _clean() -> None:
             return
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """How many rows the next steps hand to Python at once."""
+    spark.conf.set(_BATCH, str(rows))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most `rows` rows at once: a batch stands in memory several times, and texts are long."""
+    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= rows:
+        batch_rows(spark, rows)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), under fixed names; other columns can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

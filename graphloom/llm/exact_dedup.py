@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small_batches
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _BLOCK_FINGERPRINTS = 1 << 16
@@ -103,6 +103,7 @@ def _scan(batches):
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_cp, sha): code points of the text, SHA-256 of all bytes of the normalised text."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.length(text).cast("long").alias("n_cp"))
     return cut.mapInArrow(_scan, "doc_id long, n_cp long, sha binary")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, small_batches, table
 
 # HTML elements by what they do to the text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -192,6 +192,7 @@ def _difference(batches):
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, lines (of the main text, in page order)."""
+    small_batches(pages.sparkSession)
     cut = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     schema = "page_id long, url string, host string, path string, marked boolean, lines array<string>"
     rows = settle(cut.mapInArrow(_scan, schema), "lines")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, settle, table
+from .common import crc_mod, settle, small_batches, table
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _SLICES = 16
@@ -149,6 +149,7 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, eligible, max_rows: int = 4000, grams: Grams | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """eligible: which rows may be learned from."""
     grams = grams or Grams()
+    small_batches(docs.sparkSession)
     rows = docs.where(eligible & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     n, df = document_frequencies(rows, grams)
     idf = np.log((1 + n) / (1 + df)) + 1
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, eligible, max_rows: int = 4000, grams: Grams | None = N
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row. The model's size is fixed by its languages and feature bits."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

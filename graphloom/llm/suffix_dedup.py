@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, settle
+from .common import discard, release, settle, small_batches
 
 _GRAM = 16
 _SEGMENT = 1 << 20
@@ -276,6 +276,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 14, id_col
     if length < 2 * _GRAM:
         raise ValueError(f"length must be {2 * _GRAM} or more")
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     # A row is told by its id and its text; a null id is no number of its own.

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, settle, table
+from .common import crc_mod, id_text, settle, small_batches, table
 
 # What stands in for a letter.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
@@ -262,6 +262,8 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """docs, with all their columns, without those that score `limit` or more."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = lexicon.matcher()
         for texts in batches:
