@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_text, settle
+from .common import batch_rows, components, id_text, settle
 
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _BITS = 23
@@ -194,8 +194,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary")).mapInArrow(scan, "doc_id long, print long")
 
 
-def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
-    """Edges (a, b) that connect all distinct prints which differ in at most threshold bits."""
+def _tail(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Majorities of the six triples of the last 18 bits, and what it takes to turn each: 2 flips if all its bits agree, else 1."""
+    bits = (prints[:, None] >> np.arange(2 * _BITS, 64, dtype=np.uint64)) & np.uint64(1)
+    ones = bits.reshape(len(prints), 6, 3).sum(2).astype(np.int64)
+    return (ones >= 2) @ (1 << np.arange(6)), np.where((ones == 0) | (ones == 3), 2, 1)
+
+
+def _split(threshold: int):
+    """Deal a heavy anchor's prints once more, by a third code: triples of the remaining bits, covered with radius 1."""
+    subsets = np.array([sum(1 << i for i in c) for w in range(threshold + 1) for c in combinations(range(6), w)])
+    inside = (subsets[:, None] >> np.arange(6)) & 1
+
+    def run(batches):
+        for b in batches:
+            anchor, prints, own = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
+            heavy = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            code, price = _tail(prints)
+            take = (price @ inside.T <= threshold) & heavy[:, None]
+            take[:, 0] = True
+            i, k = np.nonzero(take)
+            sub = np.where(heavy[i], code[i] ^ subsets[k], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[i] | sub), pa.array(prints[i].view(np.int64)), pa.array(own[i] & (k == 0))], ["anchor", "print", "own"])
+
+    return run
+
+
+def links(prints: DataFrame, threshold: int = 2, heavy: int = 1 << 14) -> DataFrame:
+    """Edges (a, b) that connect all distinct prints which differ in at most threshold bits.
+
+    An anchor that holds more than `heavy` prints is dealt again by the remaining bits.
+    """
 
     def replicate(batches):
         for b in batches:
@@ -203,15 +232,29 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
             for at in range(0, len(every), 4096):
                 cut = every[at : at + 4096]
                 i, anchor, own = anchors(cut, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(cut[i].view(np.int64)), pa.array(own)], ["anchor", "print", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor << 6), pa.array(cut[i].view(np.int64)), pa.array(own)], ["anchor", "print", "own"])
 
-    rows = prints.select("print").distinct().mapInArrow(replicate, "anchor long, print long, own boolean")
+    def held(batches):
+        for b in batches:
+            x = b.column(0).to_numpy().view(np.uint64)
+            mask = np.uint64((1 << _BITS) - 1)
+            low, high = (x & mask).astype(np.int64), (x >> np.uint64(_BITS) & mask).astype(np.int64)
+            deltas, _ = golay_tables(0)
+            yield pa.RecordBatch.from_arrays([pa.array(((low ^ deltas[_syndrome(low), 0]) << _BITS | (high ^ deltas[_syndrome(high), 0])) << 6)], ["anchor"])
+
+    distinct = settle(prints.select("print").distinct(), "distinct")
+    rows = distinct.repartition(max(1, distinct.count() // 20_000), "print").mapInArrow(replicate, "anchor long, print long, own boolean")
+    full = settle(distinct.mapInArrow(held, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("anchor"), "heavy")
+    if not full.isEmpty():
+        marked = rows.join(full.withColumn("heavy", F.lit(True)), "anchor", "left").select("anchor", "print", "own", F.coalesce("heavy", F.lit(False)))
+        rows = marked.mapInArrow(_split(threshold), "anchor long, print long, own boolean")
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = settle(fingerprints(docs, id_col, text_col, shingle), "prints")
+    batch_rows(docs.sparkSession, 20_000)
     roots = components(links(prints, threshold)).withColumnRenamed("node", "print")
     labels = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id")).join(roots, "print", "left")
     labels = labels.select("print", "doc_id", F.coalesce("root", "print").alias("root"))

@@ -117,18 +117,26 @@ def test_simhash_components(spark, docs, corpus, empty):
     assert simhash_dedup.simhash_dedup(empty).collect() == []
 
 
-def test_simhash_links_dense_prints(spark):
+@pytest.mark.parametrize("heavy", [1 << 14, 3])
+def test_simhash_links_dense_prints(spark, heavy):
     """Many prints around few centres: every pair within two bits is connected, without all pairs being made."""
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**64, 4, dtype=np.uint64)
     prints = np.unique(np.concatenate([c ^ sum((np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64) for _ in range(2)), np.zeros(300, np.uint64)) for c in centres]))
     df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "print long")
-    root = {r["node"]: r["root"] for r in components(simhash_dedup.links(df)).collect()}
+    root = {r["node"]: r["root"] for r in components(simhash_dedup.links(df, heavy=heavy)).collect()}
     signed = prints.view(np.int64).tolist()
     near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2
     for i, j in np.argwhere(near):
         assert root.get(signed[i], signed[i]) == root.get(signed[j], signed[j])
-    assert len({root.get(x, x) for x in signed}) >= 1
+    label = {x: i for i, x in enumerate(signed)}
+    names = np.arange(len(prints))
+    while True:
+        new = np.where(near, names[None, :], len(prints)).min(1)
+        if (new == names).all():
+            break
+        names = new
+    assert len({root.get(x, x) for x in signed}) == len({int(names[label[x]]) for x in signed})
 
 
 def test_fingerprint_is_by_the_definition():
