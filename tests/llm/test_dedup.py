@@ -187,6 +187,30 @@ def test_passage_dedup(spark, docs, corpus, empty):
     assert passage_dedup.passage_dedup(empty).collect() == []
 
 
+def test_equal_passages_meet_among_edited_variants(spark):
+    """Brute force: variants with two words changed are first under many keys and fail there."""
+    rng, texts = random.Random(11), []
+    for g in range(10):
+        passage = words(1000 + g, 60).split()
+        for k in range(32):
+            p = list(passage)
+            for at in rng.sample(range(60), 2) if k > 1 else ():
+                p[at] = f"changed{g}x{k}x{at}"
+            texts.append(" ".join([words(5000 + 100 * g + k, 30), *p, words(9000 + 100 * g + k, 30)]))
+    got = {r["doc_id"]: r for r in passage_dedup.passage_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen = defaultdict(set)
+    split = [t.split() for t in texts]
+    for i, w in enumerate(split):
+        for s in range(len(w) - 49):
+            seen[tuple(w[s : s + 50])].add(i)
+    for i, w in enumerate(split):
+        found = {p for a, z in zip(got[i]["starts"], got[i]["stops"], strict=True) for p in range(a, z)}
+        for s in range(len(w) - 49):
+            same = seen[tuple(w[s : s + 50])]
+            assert len(same) == 1 or set(range(s, s + 50)) <= found
+            assert len({got[j]["class_id"] for j in same}) == 1
+
+
 def test_similar_passages_are_verified():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**60, 200).astype(np.uint64)
