@@ -220,6 +220,34 @@ def test_similar_passages_are_verified():
     assert passage_dedup.similar_passages(a, b, 46, 0.8) == []
 
 
+def test_similar_passages_where_tokens_repeat():
+    rng = np.random.default_rng(4)
+    other = lambda n: rng.integers(0, 2**60, n).astype(np.uint64)
+    covers = lambda got, side, a, z: any(g[side] <= a and g[side + 1] >= z for g in got)
+    p = other(56)
+    x = np.r_[other(20), p, other(20)]
+    y = np.r_[other(9), p[:26], other(70), p, other(9)]  # its opening stands earlier, too
+    assert covers(passage_dedup.similar_passages(x, y, 46, 0.8), 0, 20, 75)
+    assert covers(passage_dedup.similar_passages(y, x, 46, 0.8), 0, 105, 160)
+    long = other(120)
+    near = long.copy()
+    near[40:45] = other(5)  # one word changed behind the repeated opening
+    got = passage_dedup.similar_passages(long, np.r_[near[:30], other(50), near], 46, 0.8)
+    assert covers(got, 0, 0, 119) and covers(got, 2, 80, 199)
+    got = passage_dedup.similar_passages(x, np.r_[p, other(30), p], 46, 0.8)  # a second copy
+    assert covers(got, 2, 0, 55) and covers(got, 2, 86, 141)
+    same = np.full(3000, 7, np.uint64)  # one word over and over
+    got = passage_dedup.similar_passages(same[:2000], same, 46, 0.8)
+    assert covers(got, 0, 0, 1999) and {k for g in got for k in range(g[2], g[3] + 1)} == set(range(3000))
+    for _ in range(200):  # brute force over few tokens
+        x, y = (rng.integers(0, 2, rng.integers(5, 30)).astype(np.uint64) for _ in range(2))
+        got = passage_dedup.similar_passages(x, y, 5, 0.8)
+        for i in range(len(x) - 4):
+            for j in range(len(y) - 4):
+                if (x[i : i + 5] == y[j : j + 5]).all():
+                    assert covers(got, 0, i, i + 4) and covers(got, 2, j, j + 4)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
