@@ -190,6 +190,26 @@ def _difference(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "lines"])
 
 
+def _neighbours(light: DataFrame) -> DataFrame:
+    """(row, other): the page next in URL order on the same host, or else the one before, of (row, host, path).
+
+    The rows are range-sorted over the cluster, so that no task holds a large host; the
+    first and the last row of each range meet those of the ranges beside it.
+    """
+    key = ("host", "path", "row")
+    ranged = settle(light.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "ranged")
+    by = Window.partitionBy("part").orderBy(*key)
+    sites = F.struct("host", "row")
+    inside = ranged.select("part", "row", "host", F.lead(sites).over(by).alias("next"), F.lag(sites).over(by).alias("before"))
+    # One row a range.
+    parts = Window.orderBy("part")
+    ends = ranged.groupBy("part").agg(F.min(F.struct(*key)).alias("first"), F.max(F.struct(*key)).alias("last"))
+    ends = ends.select("part", F.lead("first").over(parts).alias("after"), F.lag("last").over(parts).alias("ahead"))
+    met = inside.join(F.broadcast(ends), "part")
+    same = lambda inner, outer: F.coalesce(F.when(F.col(f"{inner}.host") == F.col("host"), F.col(f"{inner}.row")), F.when(F.col(inner).isNull() & (F.col(f"{outer}.host") == F.col("host")), F.col(f"{outer}.row")))
+    return met.select("row", F.coalesce(same("next", "after"), same("before", "ahead")).alias("other"))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, lines (of the main text, in page order)."""
     small_batches(pages.sparkSession)
@@ -198,10 +218,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = settle(cut.mapInArrow(_scan, schema), "lines")
     done = rows.where("marked").select("page_id", "url", "lines")
     rest = rows.where("not marked").withColumn("row", F.monotonically_increasing_id())
-    # Who stands next to whom: light rows, by host and a leading part of the path, so that no task holds a large host.
-    light = rest.select("row", "host", "path", F.regexp_extract("path", r"^(.*/)[^/]*$", 1).alias("folder"), F.pmod(F.floor(F.regexp_extract("path", r"(\d{1,15})[^/\d]*$", 1).try_cast("long") / 1000), F.lit(1 << 40)).alias("block"))
-    by = Window.partitionBy("host", "folder", "block").orderBy("path", "row")
-    near = light.select("row", F.coalesce(F.lead("row").over(by), F.lag("row").over(by)).alias("other"))
+    near = _neighbours(rest.select("row", "host", "path"))
     paired = rest.join(near, "row").join(rest.select(F.col("row").alias("other"), F.col("lines").alias("others")), "other", "left")
     return done.union(paired.select("page_id", "url", "lines", "others").mapInArrow(_difference, "page_id long, url string, lines array<string>"))
 

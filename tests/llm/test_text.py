@@ -83,6 +83,21 @@ def test_differencing_on_unmarked_pages(spark):
     assert html_extract.extract_text(pages.limit(0)).collect() == []
 
 
+def test_unmarked_pages_alone_in_their_folders(spark):
+    page = "<html><body><p>Site name</p><p>%s</p><p>All rights</p></body></html>"
+    urls = [f"http://h.example/post/{i * 5000}/title-{i}" for i in range(40)] + [f"http://k{i}.example/{d}/" for i in range(20) for d in ("a/b", "2024/05/17/slug")]
+    pages = spark.createDataFrame([(i, u, page % f"Story {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["lines"] for r in html_extract.extract_text(pages).collect()}
+    assert got == {i: [f"Story {i}"] for i in range(len(urls))}
+    light = spark.createDataFrame([(i, f"h{i // 5}", f"/{i:03}") for i in range(203)], "row long, host string, path string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        near = {r["row"]: r["other"] for r in html_extract._neighbours(light.where("row < 201")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert near == {i: i + 1 if i % 5 < 4 and i < 200 else None if i == 200 else i - 1 for i in range(201)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(200):
