@@ -60,7 +60,7 @@ def referenced(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def expand_refs(nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, max_depth: int = 100) -> DataFrame:
-    """nodes with each ref replaced by its method's body, unless that is missing or its signature stands above it already.
+    """nodes with each ref replaced by its method's body, unless that is missing or its signature stands above it already; what is still closed after max_depth levels stays a ref.
 
     body_children (sig, pos, child, leaf_kind, call_line): the children of each method's body; bodies (sig).
     """
@@ -81,6 +81,8 @@ def expand_refs(nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, m
         grown = settle(grown.select("trace", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.col("child").alias("sig"), F.col("kind").alias("leaf_kind"), F.col("line").alias("call_line"), F.concat("above", F.array("sig")).alias("above")))
         kept = kept.union(grown.where("leaf_kind is null or leaf_kind <> 'ref'").select(*spark_cols))
         todo = grown.where("leaf_kind = 'ref'")
+    else:
+        kept = kept.union(todo.select(*spark_cols))
     return kept
 
 

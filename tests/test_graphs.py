@@ -264,3 +264,10 @@ def test_icfg(spark):
 
     assert "color=blue, style=dashed" in icfg_dot(got_nodes, got)
     assert icfg.icfg(nodes, edges, calls, "f", 1, S.Stop.exact("g")(F.col("callee")))[1].count() == 2
+
+
+def test_expand_refs_keeps_what_is_left_at_the_depth(spark):
+    kids = spark.createDataFrame([(f"s{i}", 0, f"s{i + 1}", "ref", i) for i in range(6)], "sig string, pos int, child string, leaf_kind string, call_line long")
+    top = spark.createDataFrame([("t", [], "s0", "ref", None)], "trace string, path array<int>, sig string, leaf_kind string, call_line long")
+    got = sorted((r["sig"], r["leaf_kind"]) for r in trace.expand_refs(top, kids, kids.select("sig"), max_depth=2).collect())
+    assert got == [("s0", None), ("s1", None), ("s2", "ref")]
