@@ -3,9 +3,10 @@
 Every source is a queue of its documents in a fixed shuffled order, served again
 from the start when it runs dry, up to `max_repeats` times. A document's virtual
 finish time is the cumulative words of its source up to its end divided by the
-source's target. The schedule is range-sorted by that time over all sources and
-truncated where the words served reach the budget; the document in service at the
-cut is taken in part, so that each source gets its target to within a word.
+source's target. The words served reach the budget at virtual time 1, so each
+source is cut where its own words reach its target, which stands in for truncating the
+schedule; what is taken is range-sorted by finish time over all sources. The document
+in service at the cut is taken in part, so that each source gets its target to within a word.
 
 Defined results: null text has size 0; documents of size 0 take 0; null is a
 source of its own and comes last; repeated rows queue separately; an empty table
