@@ -12,6 +12,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    The cluster names it in spark.checkpoint.dir; only a local session without
+    that setting gets a temporary folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -21,20 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+def fresh_path(spark: SparkSession, what: str) -> str:
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def settle(df: DataFrame, what: str = "graph", compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back, so that later steps survive lost executors and don't recompute it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(spark, what)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what settle() wrote, once nothing will read it again."""
+    for df in frames:
+        drop_path(df.sparkSession, df.settled_at)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            drop_path(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             return
