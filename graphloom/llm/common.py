@@ -2,53 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from ..plans.storage import drop_path, fresh_path
+from ..plans.storage import settle as _settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only a local session without
-    that setting gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
 def settle(df: DataFrame, what: str = "settled") -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     Later stages then survive lost executors without recomputing what came before.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_at = path
-    return out
+    return _settle(df, what, compression="zstd")
 
 
 def discard(df: DataFrame) -> None:
@@ -57,27 +29,12 @@ def discard(df: DataFrame) -> None:
     release(df.sparkSession)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of settled steps, which it does when the driver's JVM collects their plans."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
-
-
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -103,18 +60,24 @@ def crc_mod(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def held_out(id_col: str, n: int, rest: int):
+    """Whether crc_mod is `rest`; false for a null id."""
+    return F.coalesce(crc_mod(id_col, n) == rest, F.lit(False)).alias("held_out")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (node, root), root the smallest node of the component.
 
     Alternating large-star and small-star steps; each round only sends a node's
     neighbours past their minimum, and the edges are settled in the shared folder.
-    A node that many edges meet is pre-aggregated by min() before each shuffle.
+    A node that many edges meet is pre-aggregated by min() before each shuffle. Rounds
+    go on until one changes nothing; their number grows with the logarithm of the nodes.
     """
     spark = edges.sparkSession
     cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     cur = settle(cur, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.union(cur.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u links to u's minimum.
@@ -127,6 +90,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))

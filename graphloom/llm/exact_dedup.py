@@ -7,7 +7,7 @@ with a count above one are routed to the byte check, all others are unique.
 
 Defined results: null text counts as empty; empty texts are equal to each other;
 a null doc_id loses ties against any other; repeated rows are members of one
-group; other columns are ignored; an empty table gives an empty result.
+group, of which one row stays; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,15 +98,18 @@ def _scan(batches):
     for b in batches:
         texts = b.column(1).to_pylist()
         shas = [hashlib.sha256(normalised(t)).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shas, pa.binary())], ["doc_id", "n_cp", "sha"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shas, pa.binary()), b.column(3)], ["doc_id", "n_cp", "sha", "row"])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_cp, sha): code points of the text, SHA-256 of all bytes of the normalised text."""
+    """(doc_id, n_cp, sha, row): code points of the text, SHA-256 of all bytes of the normalised text, a number of the row.
+
+    The numbers hold once the rows are settled.
+    """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.length(text).cast("long").alias("n_cp"))
-    return cut.mapInArrow(_scan, "doc_id long, n_cp long, sha binary")
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.length(text).cast("long").alias("n_cp"), F.monotonically_increasing_id().alias("row"))
+    return cut.mapInArrow(_scan, "doc_id long, n_cp long, sha binary, row long")
 
 
 def repeated_fingerprints(rows: DataFrame, n_rows: int) -> DataFrame:
@@ -135,14 +138,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points in the original text stays,
-    then the one with the smallest doc_id. The byte check compares SHA-256 digests
+    then the one with the smallest doc_id, then any one of equal rows. The byte check compares SHA-256 digests
     over all normalised bytes of the routed texts.
     """
     rows = settle(digests(docs, id_col, text_col), "digests")
     routed = settle(repeated_fingerprints(rows, rows.count()), "routed")
     fingerprint = F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long")
     candidates = rows.withColumn("print", fingerprint).join(routed, "print", "left_semi")
-    best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("neg"))).alias("best")
+    best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("neg"), (-F.col("row")).alias("neg_row"))).alias("best")
     # Settled, so that both sides of the join come straight from a shuffle, whose large partitions Spark can split.
     groups = settle(candidates.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     joined = rows.join(groups, "sha", "left")
@@ -151,7 +154,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id",
         keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
+        (F.col("group_size").isNull() | (F.col("row") == -F.col("best.neg_row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -168,7 +171,7 @@ WITH d AS (
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
+       row_number() OVER w = 1 AS kept,
        text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id)
 """
