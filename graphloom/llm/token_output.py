@@ -11,13 +11,13 @@ Spark's committer: a lost executor leaves no half-written file, and any store th
 Spark reaches will do. Beside an image stand its documents' ids and lengths.
 
 Defined results: null and empty texts give the end id alone; repeated doc_ids
-stand next to each other; null doc_ids come first; an empty table gives an empty
+stand next to each other, by a hash of their texts; null doc_ids come first; an empty table gives an empty
 file set; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from functools import cache
 
@@ -31,7 +31,6 @@ from .common import fresh_path, id_text
 _MAGIC = b"GLBP"
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 20
-_CACHED_WORDS = 600_000
 _FILE_SCHEMA = "part long, file long, first long, n_ids long, doc_ids array<long>, lengths array<long>, image binary"
 
 
@@ -88,119 +87,22 @@ class PackedFile:
         return got[start - first * self.block_ids : stop - first * self.block_ids]
 
 
-class WordEncoder:
-    """encode(text) of a tokenizer, with a bounded cache of words where that gives the same ids.
+@cache
+def encoder(path: str):
+    """The tokenizer of a file; one for each worker process, whose next tasks use it again."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
 
-    A tokenizer that marks word ends, folds case and drops white space never joins
-    across white space: the ids of a text are those of its words in order. New words
-    are encoded together, as one text, and its ids are cut at the word-end tokens;
-    words whose pieces can't be counted from their characters are encoded alone.
-    Other tokenizers get whole texts.
-    """
+    return Tokenizer.from_file(path)
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>"
-        self.known: dict[bytes, bytes] = {}
-        if self.by_word:
-            vocab = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-            # Lower-case ASCII words need neither the normalizer nor the pattern: only white space to split at.
-            self.bare = Tokenizer.from_file(path)
-            self.bare.normalizer = None
-            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            if self._raw([_PROBE], self.bare) != self._raw([_PROBE]):
-                self.bare = self.tokenizer
-
-    def _raw(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _keep(self, words: list[bytes], pieces: list[int], tokenizer) -> bool:
-        """Encode words as one text and keep each one's ids; False if the pieces don't add up."""
-        if not words:
-            return True
-        raw = self._raw([b" ".join(words).decode("utf-8")], tokenizer)[0]
-        ends = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
-        last = np.cumsum(pieces) - 1
-        if len(ends) != last[-1] + 1:
-            return False
-        cut = [0, *(4 * ends[last]).tolist()]
-        self.known.update(zip(words, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
-        return True
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if w.isalpha() and w.islower()]  # ASCII letters: one piece each
-        other, pieces, alone = [], [], []
-        for w in (w for w in new if not (w.isalpha() and w.islower())):
-            if n := _pieces(w.decode("utf-8")):
-                other.append(w)
-                pieces.append(n)
-            else:
-                alone.append(w)
-        alone += [] if self._keep(plain, [1] * len(plain), self.bare) else plain
-        alone += [] if self._keep(other, pieces, self.tokenizer) else other
-        self.known.update(zip(alone, self._raw([w.decode("utf-8") for w in alone]), strict=True))
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if not self.by_word:
-            return [np.frombuffer(x, "<u4") for x in self._raw([t.decode("utf-8") for t in texts])]
-        # Case is folded in any case, but special tokens are matched before that.
-        split = [t.split() if b"<|" in t else _apart(t.lower()).split() for t in texts]
-        if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
-        got = [list(map(self.known.get, words)) for words in split]
-        if new := {w for words, found in zip(split, got, strict=True) if None in found for w, x in zip(words, found, strict=True) if x is None}:
-            self._learn(list(new))
-            for words, found in zip(split, got, strict=True):
-                at = -1
-                for _ in range(found.count(None)):
-                    at = found.index(None, at + 1)
-                    found[at] = self.known[words[at]]
-        return [np.frombuffer(b"".join(found), "<u4") for found in got]
-
-
-_PROBE = " ".join(("abcdefghijklmnopqrstuvwxyz" * 3)[i : i + n] for i in range(26) for n in (1, 2, 5, 9)) + " s t re ve m ll d don the of"
-
-
-# A comma or full stop at a word's end that follows neither a digit nor a plain Latin letter.
-_JOINED = re.compile(rb"[.,](?=[ \n])(?<![a-z0-9][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])")
-
-
-def _apart(text: bytes) -> bytes:
-    """text with spaces before such marks, which are pieces of their own, so that fewer words differ; unchanged if some aren't."""
-    if _JOINED.search(text):
-        return text
-    return text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n")
-
-
-_LATIN = r"a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-_MARKS = r"!-&(-/:;=-@\[-`{-~"  # ASCII marks without ' and <
-_COMMON = re.compile(rf"([{_LATIN}]+)?([{_MARKS}]+)?")
-_OTHER = re.compile(rf"[{_LATIN}{_MARKS}0-9]+")
-_PIECE = re.compile(rf"[{_LATIN}]+|[0-9]|[{_MARKS}]+")
-
-
-def _pieces(word: str) -> int:
-    """How many pieces the tokenizer cuts a word into before it encodes them; 0 if that is not plain from the characters."""
-    if m := _COMMON.fullmatch(word):
-        return len(m.groups("")) - m.groups("").count("")
-    return len(_PIECE.findall(word)) if _OTHER.fullmatch(word) else 0
 
-
-@cache
-def encoder(path: str) -> WordEncoder:
-    """One for each worker process, whose next tasks use it again."""
-    return WordEncoder(path)
+def encode(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    """The ids of each whole text."""
+    return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def vocabulary_bits(path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return max(1, (Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1).bit_length())
+    return max(1, (encoder(path).get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> None:
@@ -214,7 +116,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | N
     def run(batches):
         from pyspark import TaskContext
 
-        part, words = TaskContext.get().partitionId(), encoder(tokenizer_path)
+        part, tokenizer = TaskContext.get().partitionId(), encoder(tokenizer_path)
         file = first = held = 0
         ids: list[np.ndarray] = []
         names: list = []
@@ -230,9 +132,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | N
             return out
 
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                cut = b.slice(at, 200)
-                for name, got in zip(cut.column(0).to_pylist(), words.ids(cut.column(1).to_pylist()), strict=True):
+            for at in range(0, b.num_rows, 100):
+                cut = b.slice(at, 100)
+                for name, got in zip(cut.column(0).to_pylist(), encode(tokenizer, cut.column(1).to_pylist()), strict=True):
                     whole = np.concatenate([got, tail])
                     if held and held + len(whole) > file_ids:
                         yield flush()
@@ -242,9 +144,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | N
         if names:
             yield flush()
 
-    rows = id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, _FILE_SCHEMA).write.parquet(out)
+    # The hash spreads the rows of one id, or without one, over several parts.
+    rows = id_text(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    rows.select("doc_id", "text").mapInArrow(run, _FILE_SCHEMA).write.parquet(out)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
