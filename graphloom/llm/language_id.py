@@ -3,11 +3,13 @@
 Features are TF-IDF weighted, hashed character n-grams (n = 1 to 3 by default, of
 the lower-cased text). The document frequencies are counted over every row that
 may be learned from. The weights are trained by follow-the-regularised-leader with
-elastic-net penalties on at most `max_rows` of those rows, taken by the hash of
-their id; a fifth of them is kept from training and sets the temperature.
+elastic-net penalties on at most `max_rows` different rows of those, the same number
+of each language where it has so many, taken by the hashes of id and text; a fifth of
+them is kept from training and sets the temperature.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is
-every text if no language can be learned; repeated rows are predicted alike; other
+every text if no language can be learned; rows without an id are never learned from
+and not held out; repeated rows are predicted alike; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -18,10 +20,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, settle, small_batches, table
+from .common import crc_mod, held_out, settle, small_batches, table
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _SLICES = 16
@@ -146,6 +148,21 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def sample(keys: DataFrame, max_rows: int) -> DataFrame:
+    """At most max_rows different rows (doc_id, mark, lang) of keys, of each language an equal number at most.
+
+    A language's share is first cut down to about twice its number by hash, so that no
+    task ranks all rows of a frequent language.
+    """
+    rank = F.xxhash64("doc_id", "mark", F.lit(11))
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    quota = max(1, max_rows // max(1, counts.count()))
+    place = (rank.cast("double") + 2.0**63) / 2.0**64
+    near = keys.join(F.broadcast(counts), "lang").where(place * F.col("n") < 2 * quota + 20).select(*keys.columns).distinct()
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id", "mark"))).where(F.col("k") <= quota)
+    return first.drop("k").orderBy(rank, "doc_id", "mark", "lang").limit(max_rows)
+
+
 def fit(docs: DataFrame, eligible, max_rows: int = 4000, grams: Grams | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """eligible: which rows may be learned from."""
     grams = grams or Grams()
@@ -161,10 +178,12 @@ def fit(docs: DataFrame, eligible, max_rows: int = 4000, grams: Grams | None = N
                     at, x = grams.vector(t, idf)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([lang]), pa.array([at.astype(np.int32)]), pa.array([x])], ["doc_id", "lang", "at", "x"])
 
-    few = rows.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    taken = settle(rows.join(F.broadcast(few.distinct()), "doc_id"), "sample")
-    got = taken.mapInArrow(vectors, "doc_id long, lang string, at array<int>, x array<float>").toPandas()
-    got = got.sort_values(["doc_id", "lang"]).reset_index(drop=True)
+    key = ["doc_id", "mark", "lang"]
+    marked = rows.where("text is not null").select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text")
+    taken = settle(marked.join(F.broadcast(sample(marked.select(*key), max_rows)), key).dropDuplicates(key), "sample")
+    # At most max_rows rows.
+    got = taken.select("doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, lang string, at array<int>, x array<float>").toPandas()
+    got = got.sort_values(["doc_id", "lang"], kind="stable").reset_index(drop=True)
     langs = sorted(set(got["lang"]))
     if not langs:
         return Model()
@@ -195,4 +214,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, crc_mod("doc_id", 4) != 2)
     rows = identify(docs, model)
-    return rows.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", held_out("doc_id", 4, 2), "lang_pred", "score")

@@ -8,21 +8,24 @@ phrase doesn't count. The summed weights, plain and normalised
 by length, go through a logistic calibration.
 
 The lexicon, the exceptions and the calibration are learned from at most
-`max_rows` labelled rows, taken by the hash of their id; scoring covers all rows
-and whole texts.
+`max_rows` labelled texts, taken by the hashes of their id and text; scoring covers
+all rows and whole texts.
 
 Defined results: null and empty texts get the score of a text without hits; if no
-rows are labelled the score is 0; documents with conflicting labels count as toxic
-in training; repeated rows are scored alike; other columns are ignored; an empty
+rows are labelled every score is below 1e-20; documents with conflicting labels count
+as toxic in training; rows without an id are never learned from and not held out;
+repeated rows are scored alike; other columns are ignored; an empty
 table gives an empty result.
 """
 
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, id_text, settle, small_batches, table
+from .common import crc_mod, held_out, id_text, settle, small_batches, table
 
 # What stands in for a letter.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
@@ -56,7 +59,7 @@ _LEET = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"[0-9a-z@$!|]*[0-9@$!|][0-9a-z@$!|]*")
 _STEM = (4, 8)
 _COUNTED_AT_ONCE = 300_000
-_TERM = re.compile(r"[a-z]{3,24}")
+_TERM = re.compile(r"[^\W\d_]{3,24}")
 
 
 def fold(text: str) -> str:
@@ -120,11 +123,13 @@ class Matcher:
         self.lexicon = lexicon
         self.automaton = ahocorasick.Automaton()
         for phrase in lexicon.exceptions:
-            self.automaton.add_word(phrase, [(len(phrase), None, phrase)])
+            # After a star, which stands for the rest of a word, only the end of the phrase is left to compare.
+            head, star, tail = phrase.partition("*")
+            rest = re.compile(rf"\w*{re.escape(tail)}") if star else None
+            self.automaton.add_word(head, [*self.automaton.get(head, []), (len(head), None, rest)])
         for term, weight in lexicon.weights.items():
             text = term.removesuffix("*")
-            both = self.automaton.get(text, [])
-            self.automaton.add_word(text, [*both, (len(text), weight, term)])
+            self.automaton.add_word(text, [*self.automaton.get(text, []), (len(text), weight, term)])
         self.any = bool(len(self.automaton))
         if self.any:
             self.automaton.make_automaton()
@@ -137,10 +142,20 @@ class Matcher:
         for last, entries in self.automaton.iter(folded):
             for n, weight, term in entries:
                 a, z = last + 1 - n, last + 1
-                if (a and folded[a - 1].isalnum()) or (z < len(folded) and folded[z].isalnum() and term[-1] != "*"):
+                stem = weight is not None and term[-1] == "*"
+                if weight is None and term is not None:
+                    if not (rest := term.match(folded, z)):
+                        continue
+                    z = rest.end()
+                if (a and folded[a - 1].isalnum()) or (z < len(folded) and folded[z].isalnum() and not stem):
                     continue
                 (spared if weight is None else found).append((a, z, term, weight))
-        return [h for h in found if not any(a <= h[0] and h[1] <= z for a, z, _, _ in spared)] if spared else found
+        if not spared:
+            return found
+        # Exceptions by start, with the furthest end of those that start no later.
+        spared.sort(key=lambda s: s[0])
+        starts, reach = [s[0] for s in spared], list(accumulate((s[1] for s in spared), max))
+        return [h for h in found if not (k := bisect_right(starts, h[0])) or reach[k - 1] < h[1]]
 
     def features(self, text: str) -> tuple[float, float]:
         """log of the summed weights, and of the weights per hundred words."""
@@ -156,11 +171,16 @@ class Matcher:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, eligible, max_rows: int, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
-    """At most max_rows distinct labelled texts (text, label), taken by the hash of the id."""
+    """At most max_rows distinct labelled texts (text, label), taken by the hashes of id and text.
+
+    Only labels of documents that are there count; a repeated id adds no rows beyond the bound.
+    """
     known = labels.where(F.col(label_col).isNotNull() & eligible).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so it can be broadcast
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    rows = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    light = rows.select("doc_id", "mark").join(known, "doc_id").groupBy("doc_id", "mark").agg(F.max("label").alias("label"))
+    chosen = light.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(max_rows)  # bounded, so it can be broadcast
+    taken = rows.join(F.broadcast(chosen), ["doc_id", "mark"])
+    return taken.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidence: float = 15.0, min_weight: float = 2.0, min_spread: float = 0.15) -> Lexicon:
@@ -183,7 +203,6 @@ def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidenc
     found = rows.mapInArrow(terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     logit = lambda k, n: F.log((F.col(k) + 0.5) / (n - F.col(k) + 0.5))
     found = found.where(F.col("pos") >= min_docs).withColumn("weight", logit("pos", n1) - logit("neg", n0))
-    found = found.where(F.col("pos") >= min_docs).withColumn("weight", logit("pos", n1) - logit("neg", n0))
     share, common = F.col("pos") / (F.col("pos") + F.col("neg")), n1 / (n1 + n0)
     against = F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - common))).otherwise(0.0)
     found = found.withColumn("evidence", F.col("pos") * F.log(share / common) + against).where((share > common) & (F.col("evidence") >= min_evidence) & (F.col("weight") >= min_weight))
@@ -210,10 +229,12 @@ def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidenc
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 folded, seen = fold(text), set()
-                for a, z, term, _ in matcher.hits(folded):
-                    before, after = re.search(r"([a-z]+) $", folded[max(0, a - 26) : a]), re.match(r" ([a-z]+)", folded[z : z + 26])
-                    seen |= {f"{before[1]} {term}"} if before else set()
-                    seen |= {f"{term} {after[1]}"} if after else set()
+                for a, z, _, _ in matcher.hits(folded):
+                    word = folded[a:z] + re.match(r"\w*", folded[z : z + 26])[0]  # the whole word that a stem begins
+                    end = a + len(word)
+                    before, after = re.search(r"([^\W\d_]+) $", folded[max(0, a - 26) : a]), re.match(r" ([^\W\d_]+)", folded[end : end + 26])
+                    seen |= {f"{before[1]} {word}"} if before else set()
+                    seen |= {f"{word} {after[1]}"} if after else set()
                 by[label].update(seen)
         yield _tally(by)
 
@@ -280,4 +301,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = fit(docs, table(spark, sf_dir, "labels"))
     rows = score(docs, lexicon)
-    return rows.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
