@@ -1,25 +1,26 @@
-"""Main text of web pages, by structure and by nearest-URL page differencing.
+"""Main text of web pages by nearest-URL page differencing.
 
-A page is cut into lines, one for each block of markup. Lines in menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-dropped by their markup. If the page marks its article, the lines of the article are
-the main text. On pages that mark none, the remaining lines are compared with those
-of the page whose URL path comes next to theirs on the same host: the two lists are
-aligned by their longest common subsequence and shared lines are deleted.
-
-Differencing alone would delete sentences that articles share and keep menus and
-adverts that differ from page to page, so marked articles are not differenced.
+A page is cut into lines, one for each block of markup. Every page is paired with the
+page whose URL path comes next to its own on the same host, the two pages' lines are
+aligned by their longest common subsequence, and the lines that they share are deleted.
+Markup helps where differencing alone is wrong, as pages vary their menus and adverts and
+articles share sentences: lines inside a marked article are not deleted for being
+shared, and lines in menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and reader comments are dropped in any case. If a page marks an article and it has
+at least half of the characters that are left, the rest is not main text.
 
 Defined results: null and empty html give an empty text; markup left open ends with
-the page; a page without a neighbour on its host, or whose lines the neighbour all
-has, keeps its lines; repeated rows are treated alike; other columns are ignored; an
-empty table gives an empty result.
+the page; a page without another on its host, or whose lines the neighbour all has,
+keeps the lines that markup doesn't drop; repeated rows are neighbours of each other;
+null ids are ids like any other; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -31,38 +32,54 @@ from .common import settle, small_batches, table
 # HTML elements by what they do to the text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "title", "noembed", "noframes", "xmp"}
-CHROME = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "head", "fieldset", "label", "datalist"}
+CHROME = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "head", "datalist"}
 BLOCK = {
-    "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 } | CHROME
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "outbrain", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "widget",
 }
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+# Inside an article only a container whose whole class or id is one of these goes.
+INNER_MARKS = {"ad", "ads", "advert", "advertisement", "comment-list", "comment-section", "comments", "disqus_thread", "promo", "reader-comments", "respond", "share-buttons", "sponsored"}
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table"}
+
+# An attribute's value is quoted, or goes on to white space or the end of the tag whatever marks it holds.
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+_NAME = r"""[^\s/>=][^\s/>=]*+"""
+_ATTRS = rf"""(?:[\s/]++|=|{_NAME}(?:\s*+=\s*+{_VALUE}?+)?+)*+"""
+_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
+_SPLIT = re.compile(r"[^a-z0-9]+")
 # End tags that a start tag implies: an open element of the value ends when one of the key's starts.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _chrome(tag: str, attrs: str) -> bool:
+def _chrome(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in CHROME:
         return True
     if not attrs or tag in ("html", "body", "main", "article"):
         return False
-    found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
+    found: dict[str, str] = {}
+    for k, v in _ATTR.findall(attrs):
+        found.setdefault(k.lower(), html.unescape(v[1:].removesuffix(v[0]) if v[:1] in ("'", '"') else v))
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
-    return any(w in MARKS for k in ("class", "id") for w in _SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", found.get(k, "")).lower()))
+    names = [found.get(k, "") for k in ("class", "id")]
+    if in_article:
+        return tag in CONTAINERS and any(w in INNER_MARKS for n in names for w in n.lower().split())
+    return any(w in MARKS for n in names for w in _SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", n).lower()))
+
+
+IN_ARTICLE, DROPPED = 1, 2
 
 
-def page_lines(page: str) -> tuple[list[str], bool]:
-    """(lines, marked): one line for each block that isn't dropped; marked: they are those of a marked article."""
-    out: list[tuple[str, bool]] = []
+def page_lines(page: str) -> list[tuple[str, int]]:
+    """(line, kind) for each block with text; kind adds up IN_ARTICLE and DROPPED (by markup)."""
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, whether it is dropped, whether it is an article
     dropped = articles = 0
@@ -71,7 +88,7 @@ def page_lines(page: str) -> tuple[list[str], bool]:
         if parts:
             line = " ".join(html.unescape("".join(parts)).split())
             if line:
-                out.append((line, articles > 0))
+                out.append((line, IN_ARTICLE * (articles > 0) + DROPPED * (dropped > 0)))
             parts.clear()
 
     def close(n: int) -> None:
@@ -79,16 +96,13 @@ def page_lines(page: str) -> tuple[list[str], bool]:
         while len(stack) > n:
             tag, drop, article = stack.pop()
             if tag in BLOCK or drop:
-                if not dropped:
-                    end_line()
-                else:
-                    parts.clear()
+                end_line()
             dropped -= drop
             articles -= article
 
     at = 0
     for m in iter(lambda: _TAG.search(page, at), None):
-        if not dropped and m.start() > at:
+        if m.start() > at:
             parts.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
@@ -107,12 +121,10 @@ def page_lines(page: str) -> tuple[list[str], bool]:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-            if not dropped:
-                parts.append(" ")
+            parts.append(" ")
             continue
         if tag in BLOCK:
-            if not dropped:
-                end_line()
+            end_line()
             if stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
             for i in range(len(stack) - 1, -1, -1):
@@ -123,46 +135,73 @@ def page_lines(page: str) -> tuple[list[str], bool]:
                     break
         if tag in VOID or m[3].endswith("/"):
             continue
-        drop = _chrome(tag, m[3]) or (tag == "header" and not articles)
-        if drop and not dropped:
+        drop = _chrome(tag, m[3], articles > 0) or (tag == "header" and not articles)
+        if drop:
             end_line()
         article = tag in ("article", "main") and not dropped and not drop
         stack.append((tag, drop, article))
         dropped += drop
         articles += article
-    if not dropped and at < len(page):
+    if at < len(page):
         parts.append(page[at:])
     close(0)
-    if not dropped:
-        end_line()
-    if any(inside for _, inside in out):
-        return [line for line, inside in out if inside], True
-    return [line for line, _ in out], False
+    end_line()
+    return out
 
 
-def without_shared(lines: list[str], other: list[str]) -> list[str]:
-    """lines without a longest common subsequence with other; Hunt-Szymanski over equal lines."""
-    where: dict[str, list[int]] = {}
+def _reach(lines: list[str], other: list[str]) -> list[int]:
+    """Length of the longest common subsequence of lines and other[:j], for each j; bit-parallel, a bit for each line of other."""
+    n, bits = len(other), {}
     for j, line in enumerate(other):
-        where.setdefault(line, []).append(j)
-    from bisect import bisect_left
-
-    ends: list[int] = []
-    last: list[tuple] = []
-    for i, line in enumerate(lines):
-        for j in reversed(where.get(line, ())):
-            k = bisect_left(ends, j)
-            node = (i, last[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                last.append(node)
-            else:
-                ends[k], last[k] = j, node
-    shared, node = set(), last[-1] if last else None
-    while node:
-        shared.add(node[0])
-        node = node[1]
-    return [line for i, line in enumerate(lines) if i not in shared]
+        bits[line] = bits.get(line, 0) | 1 << j
+    full = row = (1 << n) - 1
+    for line in lines:
+        match = row & bits.get(line, 0)
+        row = ((row + match) | (row - match)) & full
+    return [0, *accumulate(0 if c == "1" else 1 for c in reversed(f"{row:0{n}b}"))] if n else [0]
+
+
+def shared(lines: list[str], other: list[str]) -> set[int]:
+    """Places in lines of a longest common subsequence with other.
+
+    Halves of lines are matched with the best cut of other, so memory stays linear.
+    """
+    found, todo = set(), []
+    in_other, in_lines = set(other), set(lines)
+    at = [i for i, line in enumerate(lines) if line in in_other]
+    todo.append((at, [line for line in other if line in in_lines]))
+    while todo:
+        at, y = todo.pop()
+        while at and y and lines[at[0]] == y[0]:
+            found.add(at[0])
+            at, y = at[1:], y[1:]
+        while at and y and lines[at[-1]] == y[-1]:
+            found.add(at[-1])
+            at, y = at[:-1], y[:-1]
+        if not at or not y:
+            continue
+        if len(at) == 1:
+            if lines[at[0]] in y:
+                found.add(at[0])
+            continue
+        half = len(at) // 2
+        ahead = _reach([lines[i] for i in at[:half]], y)
+        back = _reach([lines[i] for i in reversed(at[half:])], y[::-1])[::-1]
+        cut = max(range(len(y) + 1), key=lambda j: ahead[j] + back[j])
+        todo += [(at[:half], y[:cut]), (at[half:], y[cut:])]
+    return found
+
+
+def main_lines(lines: list[str], kinds: list[int], other: list[str] | None) -> list[str]:
+    """The lines of a page's main text; other: the lines outside articles of the page next to it."""
+    outer = [i for i, k in enumerate(kinds) if not k & IN_ARTICLE]
+    common = {outer[i] for i in shared([lines[i] for i in outer], other)} if other else ()
+    left = [i for i, k in enumerate(kinds) if not k & DROPPED and i not in common]
+    if not left:
+        left = [i for i, k in enumerate(kinds) if not k & DROPPED]
+    inside = [i for i in left if kinds[i] & IN_ARTICLE]
+    size = lambda at: sum(len(lines[i]) for i in at)
+    return [lines[i] for i in (inside if 2 * size(inside) >= size(left) else left)]
 
 
 def _host_path(url: str | None) -> tuple[str, str]:
@@ -175,18 +214,18 @@ def _host_path(url: str | None) -> tuple[str, str]:
 
 def _scan(batches):
     for b in batches:
-        rows = b.num_rows
         got = [page_lines(h or "") for h in b.column(2).to_pylist()]
         sites = [_host_path(u) for u in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([s[0] for s in sites], pa.string()), pa.array([s[1] for s in sites], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[0] for g in got], pa.list_(pa.string()))],
-            ["page_id", "url", "host", "path", "marked", "lines"],
-        ) if rows else b
+        lines, kinds = [[x for x, _ in g] for g in got], [[k for _, k in g] for g in got]
+        # What alignment can delete, which is little where the article is marked.
+        outer = [[x for x, k in g if not k & IN_ARTICLE] for g in got]
+        columns = [pa.array([s[i] for s in sites], pa.string()) for i in (0, 1)] + [pa.array(x, pa.list_(pa.string())) for x in (lines, outer)] + [pa.array(kinds, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *columns], ["page_id", "url", "row", "host", "path", "lines", "outer", "kinds"])
 
 
 def _difference(batches):
     for b in batches:
-        out = [x if y is None else (without_shared(x, y) or x) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        out = [main_lines(x, k, y) for x, k, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "lines"])
 
 
@@ -213,14 +252,14 @@ def _neighbours(light: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, lines (of the main text, in page order)."""
     small_batches(pages.sparkSession)
-    cut = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    schema = "page_id long, url string, host string, path string, marked boolean, lines array<string>"
-    rows = settle(cut.mapInArrow(_scan, schema), "lines")
-    done = rows.where("marked").select("page_id", "url", "lines")
-    rest = rows.where("not marked").withColumn("row", F.monotonically_increasing_id())
-    near = _neighbours(rest.select("row", "host", "path"))
-    paired = rest.join(near, "row").join(rest.select(F.col("row").alias("other"), F.col("lines").alias("others")), "other", "left")
-    return done.union(paired.select("page_id", "url", "lines", "others").mapInArrow(_difference, "page_id long, url string, lines array<string>"))
+    cut = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.monotonically_increasing_id().alias("row"))
+    schema = "page_id long, url string, row long, host string, path string, lines array<string>, outer array<string>, kinds array<int>"
+    rows = settle(cut.mapInArrow(_scan, schema), "lines")  # the numbers of rows hold from here on
+    near = _neighbours(rows.select("row", "host", "path"))
+    # Lines of the page itself go on only once; those of its neighbour are the ones that may be template.
+    beside = near.join(rows.select(F.col("row").alias("other"), F.col("outer").alias("others")), "other").select("row", "others")
+    paired = rows.select("row", "page_id", "url", "lines", "kinds").join(beside, "row", "left")
+    return paired.select("page_id", "url", "lines", "kinds", "others").mapInArrow(_difference, "page_id long, url string, lines array<string>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
