@@ -1,16 +1,21 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Two passes over the training words. The first counts the occurrences of the test
-items' terms, which gives every test window its rarest term. The second stores the
-index: a posting for each occurrence of such a term, with its position and the words
-around it. A window's candidates are the postings of its rarest term, shifted by the
-term's offset; they are intersected with the window's other terms at their adjusted
-positions (phrases), or anywhere within a slop (proximity). Only DataFrame functions
-are used; nothing but the test windows is ever broadcast, and only if they are few.
+A first pass over the training words counts the occurrences of the test items' terms,
+which puts the terms of every test window in order from the rarest. The index is the
+posting lists (term, document, position). Windows are looked up list by list: the postings
+of a window's rarest term, less the term's offset, are its candidate starts; those are
+intersected with the offset-adjusted postings of the second rarest, and what is left with
+the postings of all other terms. Lists of terms that no window has first or second are
+only stored for documents that still have a candidate then. A proximity search asks for
+all terms within a slop of the rarest one instead of at adjusted positions.
+
+Only DataFrame functions are used. Test terms and candidate documents are broadcast up to
+a stated number, which is counted first, and joined by shuffle beyond; then a word crosses
+the network as its term, document key and position.
 
 Defined results: null and empty texts have no words; items without words have no
-windows; rows that share both id and text share their result; other columns are
-ignored; an empty table on either side gives no hits.
+windows; rows that share both id and text share their result; null ids are ids like any
+other; other columns are ignored; an empty table on either side gives no hits.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from .common import settle, table
 
 # Runs of ASCII digits, ASCII letters and everything beyond ASCII; named classes match several times faster than ranges.
 WORD = r"[\p{Alnum}\P{ASCII}]+"
-_BROADCAST_WINDOWS = 200_000
+#: At most so many terms, windows or document keys (16 bytes) are broadcast.
+_BROADCAST = 200_000
 
 
 def _lower(c: Column) -> Column:
@@ -51,8 +57,9 @@ def _small(df: DataFrame, few: bool) -> DataFrame:
 
 
 def row_key(id_col: Column, text: Column) -> Column:
-    """Equal for rows that are equal in id and text."""
-    return F.md5(F.concat_ws("\x01", id_col.cast("string"), F.coalesce(text, F.lit(""))).cast("binary"))
+    """16 bytes, equal for rows that are equal in id and text."""
+    name = F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\x01", name, F.coalesce(text, F.lit(""))).cast("binary")))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,75 +67,106 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def rarest_terms(rows: DataFrame, phrases: DataFrame, few: bool) -> DataFrame:
-    """(term, phrase, n, offset): each phrase that may occur, by its rarest term."""
+def ranked_windows(rows: DataFrame, phrases: DataFrame, limit: int = _BROADCAST) -> DataFrame:
+    """(phrase, n, ranked): the phrases that may occur, with ranked (seen, term, offset) from the rarest term."""
     at = phrases.select("phrase", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
-    terms = at.select("term").distinct()
+    terms = settle(at.select("term").distinct(), "terms")
     seen = rows.select(F.explode(_words("text")).alias("word")).select(_lower(F.col("word")).alias("term"))
-    counts = seen.join(_small(terms, few), "term").groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    best = F.min(F.struct("seen", "term", "offset")).alias("best")
+    counts = seen.join(_small(terms, terms.count() <= limit), "term").groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
     # A window with a term that no document has can't occur.
-    whole = at.join(counts, "term", "left").groupBy("phrase", "n").agg(best, F.count("seen").alias("known")).where("known = n")
-    return whole.select("best.term", "phrase", "n", "best.offset")
-
-
-def positional_index(rows: DataFrame, terms: DataFrame, radius: int, few: bool) -> DataFrame:
-    """Postings (term, id, key, pos, left, around): around joins the words up to `radius` on either side, `left` of them before pos."""
-    seen = rows.select("id", "key", _words("text").alias("words")).select("id", "key", "words", F.posexplode("words").alias("pos", "word"))
-    seen = seen.withColumn("term", _lower(F.col("word"))).join(_small(terms.distinct(), few), "term")
-    left = F.least(F.col("pos"), F.lit(radius))
-    around = F.array_join(F.slice("words", F.col("pos") - left + 1, left + radius + 1), " ")
-    return seen.select("term", "id", "key", "pos", left.alias("left"), F.translate(around, string.ascii_uppercase, string.ascii_lowercase).alias("around"))
-
-
-def phrase_matches(index: DataFrame, anchored: DataFrame, few: bool) -> DataFrame:
-    """(id, key, phrase, n, start) of exact occurrences."""
-    near = index.join(_small(anchored, few), "term").where("pos >= offset")
-    there = F.array_join(F.slice(F.split("around", " "), F.col("left") - F.col("offset") + 1, F.col("n")), " ")
-    return near.where(there == F.col("phrase")).select("id", "key", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start"))
-
-
-def proximity_matches(index: DataFrame, anchored: DataFrame, few: bool, slop: int) -> DataFrame:
-    """(id, key, phrase, pos) where all terms of a phrase stand within slop words of its rarest term, in any order."""
-    near = index.join(_small(anchored, few), "term")
-    first = F.greatest(F.col("left") - slop, F.lit(0))
-    there = F.slice(F.split("around", " "), first + 1, F.col("left") - first + slop + 1)
-    return near.where(F.size(F.array_except(F.split("phrase", " "), there)) == 0).select("id", "key", "phrase", "pos")
-
-
-def _prepare(docs: DataFrame, items: DataFrame, size: int, radius: int, cols: dict[str, str]):
+    ranked = F.array_sort(F.collect_list(F.struct("seen", "term", "offset"))).alias("ranked")
+    return at.join(counts, "term", "left").groupBy("phrase", "n").agg(ranked, F.count("seen").alias("known")).where("known = n").drop("known")
+
+
+def postings(rows: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
+    """The index of these terms over rows (key, text): (term, key, pos)."""
+    seen = rows.select("key", F.posexplode(_words("text")).alias("pos", "word")).select(_lower(F.col("word")).alias("term"), "key", "pos")
+    return seen.join(_small(terms, few), "term")
+
+
+def _index(rows: DataFrame, ranked: DataFrame, depth: int, limit: int) -> DataFrame:
+    """Postings of the `depth` rarest terms of each window."""
+    terms = settle(ranked.select(F.explode(F.slice("ranked", 1, depth)).alias("r")).select("r.term").distinct(), "terms")
+    return settle(postings(rows, terms, terms.count() <= limit), "postings")
+
+
+def _others(rows: DataFrame, ranked: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """Postings of all windows' terms in the documents of found (key)."""
+    keys = settle(found.select("key").distinct(), "keys")
+    terms = settle(ranked.select(F.explode("ranked").alias("r")).select("r.term").distinct(), "terms")
+    # One of the rows that share a key: their postings are the same.
+    kept = rows.select("key", "text").join(_small(keys, keys.count() <= limit), "key")
+    return postings(kept, terms, terms.count() <= limit).distinct()
+
+
+def phrase_matches(rows: DataFrame, ranked: DataFrame, limit: int = _BROADCAST) -> DataFrame:
+    """(key, phrase, n, start) of exact occurrences, by intersecting offset-adjusted postings from the rarest term on."""
+    ranked = settle(ranked, "ranked")
+    few = ranked.count() <= limit
+    index = _index(rows, ranked, 2, limit)
+    anchors = ranked.select("phrase", "n", F.col("ranked")[0]["term"].alias("term"), F.col("ranked")[0]["offset"].alias("offset"), F.when(F.col("n") > 1, F.col("ranked")[1]).alias("second"))
+    starts = index.join(_small(anchors, few), "term").where("pos >= offset").select("key", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start"), "second")
+    single = starts.where("n = 1").select("key", "phrase", "n", "start").distinct()
+    asked = starts.where("n > 1").select("key", "phrase", "n", "start", F.col("second.term").alias("term"), (F.col("start") + F.col("second.offset")).alias("pos"))
+    both = settle(asked.join(index, ["key", "term", "pos"], "left_semi").select("key", "phrase", "n", "start").distinct(), "candidates")
+    left = both.where("n > 2").join(_small(ranked.select("phrase", F.slice("ranked", 3, 1 << 30).alias("rest")), few), "phrase")
+    left = left.select("key", "phrase", "n", "start", F.explode("rest").alias("r")).select("key", "phrase", "n", "start", F.col("r.term").alias("term"), (F.col("start") + F.col("r.offset")).alias("pos"))
+    there = left.join(_others(rows, ranked, both.where("n > 2"), limit), ["key", "term", "pos"], "left_semi")
+    full = there.groupBy("key", "phrase", "n", "start").agg(F.count(F.lit(1)).alias("agree")).where("agree = n - 2").drop("agree")
+    return single.union(both.where("n = 2")).union(full)
+
+
+def proximity_matches(rows: DataFrame, ranked: DataFrame, slop: int, limit: int = _BROADCAST) -> DataFrame:
+    """(key, phrase, pos) where all terms of a phrase stand within slop words of its rarest term, in any order.
+
+    Positions meet by stretches of slop words, so a term's list in a document is never paired as a whole.
+    """
+    ranked = settle(ranked, "ranked")
+    few = ranked.count() <= limit
+    index = _index(rows, ranked, 1, limit)
+    anchors = ranked.select("phrase", F.col("ranked")[0]["term"].alias("term"), F.array_distinct(F.transform(F.slice("ranked", 2, 1 << 30), lambda r: r["term"])).alias("rest"))
+    near = settle(index.join(_small(anchors, few), "term").select("key", "phrase", "pos", F.array_except("rest", F.array("term")).alias("rest")).distinct(), "candidates")
+    width = max(1, slop)
+    asked = near.select("key", "phrase", "pos", F.size("rest").alias("want"), F.explode("rest").alias("term"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.floor((F.col("pos") - slop) / width), F.floor((F.col("pos") + slop) / width))))
+    lists = _others(rows, ranked, near, limit).select("key", "term", F.col("pos").alias("at"), F.floor(F.col("pos") / width).alias("part"))
+    hits = asked.join(lists, ["key", "term", "part"]).where(F.abs(F.col("at") - F.col("pos")) <= slop).select("key", "phrase", "pos", "want", "term").distinct()
+    full = hits.groupBy("key", "phrase", "pos", "want").agg(F.count(F.lit(1)).alias("agree")).where("agree = want")
+    return near.where("size(rest) = 0").select("key", "phrase", "pos").union(full.select("key", "phrase", "pos"))
+
+
+def _prepare(docs: DataFrame, items: DataFrame, size: int, limit: int, cols: dict[str, str]):
     rows = keyed(docs, cols.get("id_col", "doc_id"), cols.get("text_col", "text"))
     tests = settle(windows(items, size), "windows")
-    few = tests.count() <= _BROADCAST_WINDOWS
-    anchored = settle(rarest_terms(rows, tests.select("phrase", "n").distinct(), few), "anchored")
-    index = settle(positional_index(rows, anchored.select("term"), radius, few), "postings")
-    return rows, tests, few, anchored, index
+    return rows, tests, ranked_windows(rows, tests.select("phrase", "n").distinct(), limit)
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = 10, **cols: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, hits, tests); hits: (id, key, phrase, n, start), tests: (item, phrase, n)."""
-    rows, tests, few, anchored, index = _prepare(docs, items, size, size - 1, cols)
-    return rows, phrase_matches(index, anchored, few), tests
+def matches(docs: DataFrame, items: DataFrame, size: int = 10, limit: int = _BROADCAST, **cols: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, tests); hits: (key, phrase, n, start), tests: (item, phrase, n)."""
+    rows, tests, ranked = _prepare(docs, items, size, limit, cols)
+    return rows, phrase_matches(rows, ranked, limit), tests
 
 
-def near_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 20, **cols: str) -> DataFrame:
+def near_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 20, limit: int = _BROADCAST, **cols: str) -> DataFrame:
     """(id, item, phrase, pos): windows of items whose terms all stand within slop words of the rarest one."""
-    _, tests, few, anchored, index = _prepare(docs, items, size, slop, cols)
-    return proximity_matches(index, anchored, few, slop).join(tests, "phrase").select("id", "item", "phrase", "pos")
+    rows, tests, ranked = _prepare(docs, items, size, limit, cols)
+    found = proximity_matches(rows, ranked, slop, limit).join(tests.select("item", "phrase"), "phrase")
+    return rows.select("id", "key").distinct().join(found, "key").select("id", "item", "phrase", "pos")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, **cols: str) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, limit: int = _BROADCAST, **cols: str) -> DataFrame:
     """One row per document: id, key, n_words, n_hit, n_items, items (sorted), contaminated."""
-    rows, hits, tests = matches(docs, items, size, **cols)
+    rows, hits, tests = matches(docs, items, size, limit, **cols)
     hits = settle(hits, "hits")
     words = hits.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
     words = words.groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
-    found = hits.select("key", "phrase").distinct().join(tests, "phrase").select("key", "item").distinct()
+    found = hits.select("key", "phrase").distinct().join(tests.select("item", "phrase"), "phrase").select("key", "item").distinct()
     found = found.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
     base = rows.select("id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     out = base.join(words.join(found, "key"), "key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("id", "key", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+    none = F.array().cast("array<string>")
+    return out.select("id", "key", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def contaminated_keys(docs: DataFrame, items: DataFrame, size: int = 10, **cols: str) -> DataFrame:
