@@ -141,7 +141,7 @@ def el_key(path: Column, expr: Column) -> Column:
     return F.concat(F.lit("el:/"), path, F.lit("#"), expr)
 
 
-def layer(name: Column, patterns: dict[str, str], otherwise: str = "unknown") -> Column:
+def layer(name: Column, patterns: dict[str, str], otherwise: str = "") -> Column:
     """The first pattern that matches, in the dict's order."""
     out = F.lit(otherwise)
     for label, pattern in reversed(patterns.items()):
@@ -186,6 +186,10 @@ class Stop:
     def exact(cls, symbol: str) -> Stop:
         return cls(lambda sig: sig == symbol)
 
+    @classmethod
+    def of_class(cls, name: str) -> Stop:
+        return cls(lambda sig: sig.startswith(f"<{name}:"))
+
     @classmethod
     def prefix(cls, prefix: str) -> Stop:
         return cls(lambda sig: sig.startswith(prefix))

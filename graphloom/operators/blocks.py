@@ -6,9 +6,13 @@ type), cover (sig, trap_idx, block, ord), handler_block (sig, trap_idx, block),
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter, defaultdict
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.storage import settle
 from . import reach
 
 
@@ -30,17 +34,34 @@ def handler_regions(edges: DataFrame, traps: DataFrame, normal: DataFrame) -> Da
 
 
 def fill_gaps(edges: DataFrame, cover: DataFrame, traps: DataFrame) -> DataFrame:
-    """(sig, trap_idx, block): the covered blocks, those between them off the handlers, and entry blocks that flow into these."""
-    handlers = traps.select(F.col("sig").alias("group"), F.col("handler").alias("node")).distinct()
-    seeds = cover.select(F.col("sig").alias("group"), F.col("trap_idx").alias("seed"), F.col("block").alias("node"))
-    ahead = reach.grouped_closure(_edges(edges), seeds, handlers)
-    back = reach.grouped_closure(_edges(edges).select("group", F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, handlers)
-    inner = ahead.intersect(back).join(handlers, ["group", "node"], "left_anti")
-    full = seeds.select("group", "seed", "node").union(inner.select("group", "seed", "node")).distinct()
-    first = _edges(edges).select("group", F.col("src").alias("node")).distinct()
-    first = first.join(_edges(edges).select("group", F.col("dst").alias("node")), ["group", "node"], "left_anti").join(handlers, ["group", "node"], "left_anti")
-    into = first.join(_edges(edges).withColumnRenamed("src", "node"), ["group", "node"]).join(full.withColumnRenamed("node", "dst"), ["group", "dst"]).select("group", "seed", "node")
-    return full.union(into).distinct().select(F.col("group").alias("sig"), F.col("seed").alias("trap_idx"), F.col("node").alias("block"))
+    """(sig, trap_idx, block): the covered blocks, those between them off the handlers, and entry blocks that flow into these.
+
+    One pass over each method's edges, covered blocks and handlers.
+    """
+    sig, node, trap = edges.schema["sig"].dataType, edges.schema["src"].dataType, cover.schema["trap_idx"].dataType
+    rows = edges.select("sig", F.lit(0).alias("kind"), "src", "dst", F.lit(None).cast(trap).alias("trap"))
+    rows = rows.union(cover.select("sig", F.lit(1), "block", F.lit(None).cast(node), "trap_idx")).union(traps.select("sig", F.lit(2), "handler", F.lit(None).cast(node), F.lit(None).cast(trap)))
+
+    def fill(_, kinds, a, b, of):
+        ahead, back, entered, shut, seeds = defaultdict(list), defaultdict(list), set(), set(), defaultdict(set)
+        for k, x, y, t in zip(kinds, a, b, of, strict=True):
+            if k == 0:
+                ahead[x].append(y)
+                back[y].append(x)
+                entered.add(y)
+            elif k == 1:
+                seeds[t].add(x)
+            else:
+                shut.add(x)
+        first = [x for x in ahead if x not in entered and x not in shut]
+        out = []
+        for t, covered in seeds.items():
+            full = covered | (reach.reached(ahead, covered, shut) & reach.reached(back, covered, shut)) - shut
+            full |= {x for x in first if not full.isdisjoint(ahead[x])}
+            out += [(t, x) for x in full]
+        return out
+
+    return reach.solve_groups(rows, "sig", T.StructType([T.StructField(n, t) for n, t in (("sig", sig), ("trap_idx", trap), ("block", node))]), fill)
 
 
 def inlined_handlers(traps: DataFrame, lines: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -86,21 +107,26 @@ def slice_traps(cover: DataFrame, handler_blocks: DataFrame, kept: DataFrame) ->
     return both.join(kept, ["sig", "block"], "left_semi").select("sig", "trap_idx").distinct()
 
 
+def kept_lines(lines: DataFrame, kept: DataFrame) -> DataFrame:
+    """(sig, line): the lines of kept blocks (sig, block), by which entries and callsites of a slice stay."""
+    return lines.join(kept, ["sig", "block"], "left_semi").select("sig", "line").distinct()
+
+
 def line_trace(edges: DataFrame, lines: DataFrame, from_line: int, to_line: int) -> DataFrame:
     """(sig, line, n): lines, with their statements' number, on the shortest ways from statements at from_line to those at to_line.
 
     Nodes are statements: edges (sig, src, dst), lines (sig, block, line). In each method the ways follow the
     parents of a breadth-first search from to_line against the edges.
     """
-    rows = edges.select("sig", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).union(lines.select("sig", F.lit(1), F.col("block"), F.col("line").cast(edges.schema["src"].dataType)))
-
-    def trace(key, pdf):
-        import pandas as pd
-
-        line = dict(pdf.loc[pdf["kind"] == 1, ["a", "b"]].itertuples(index=False))
-        back: dict = {}
-        for a, b in pdf.loc[pdf["kind"] == 0, ["a", "b"]].sort_values(["a", "b"]).itertuples(index=False):
-            back.setdefault(b, []).append(a)
+    kind = edges.schema["src"].dataType
+    rows = edges.select("sig", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    rows = rows.union(lines.select("sig", F.lit(1), F.col("block"), F.col("line").cast(kind)))
+
+    def trace(_, kinds, a, b):
+        line = {x: y for k, x, y in zip(kinds, a, b, strict=True) if k == 1}
+        back = defaultdict(list)
+        for x, y in sorted((x, y) for k, x, y in zip(kinds, a, b, strict=True) if k == 0):
+            back[y].append(x)
         goal = sorted(s for s, n in line.items() if n == to_line)
         parent, todo = dict.fromkeys(goal), list(goal)
         for s in todo:
@@ -113,10 +139,9 @@ def line_trace(edges: DataFrame, lines: DataFrame, from_line: int, to_line: int)
             while s is not None and s not in kept:
                 kept.add(s)
                 s = parent[s]
-        counts = pd.Series([line[s] for s in kept if s in line], dtype="int64").value_counts()
-        return pd.DataFrame({"sig": key[0], "line": counts.index.astype("int64"), "n": counts.to_numpy()})
+        return list(Counter(line[s] for s in kept if s in line).items())
 
-    return rows.groupBy("sig").applyInPandas(trace, f"sig {edges.schema['sig'].dataType.simpleString()}, line long, n long")
+    return reach.solve_groups(rows, "sig", f"sig {edges.schema['sig'].dataType.simpleString()}, line long, n long", trace)
 
 
 # From statements of an intermediate form to blocks: ir (sig, block, ord, line, text, lhs, rhs, call_target,
@@ -158,10 +183,48 @@ def branch_conditions(ir: DataFrame) -> DataFrame:
 
 def labelled_edges(successors: DataFrame, ir: DataFrame) -> DataFrame:
     """(sig, src, dst, label) of successors (sig, block, pos, succ): T and F where a block ends in an if with two successors."""
-    from pyspark.sql import Window
-
     ends = ir.groupBy("sig", "block").agg(F.max_by("condition", "ord").isNotNull().alias("is_if"))
     n = F.count(F.lit(1)).over(Window.partitionBy("sig", "block"))
     rows = successors.withColumn("n", n).join(ends, ["sig", "block"], "left")
     label = F.when(F.col("is_if") & (F.col("n") == 2), F.when(F.col("pos") == 0, "T").otherwise("F"))
     return rows.select("sig", F.col("block").alias("src"), F.col("succ").alias("dst"), label.alias("label"))
+
+
+def number_blocks(ir: DataFrame) -> DataFrame:
+    """(sig, block, id, block_ord): blocks as B0, B1, ... in order of their first statement."""
+    first = ir.groupBy("sig", "block").agg(F.min("ord").alias("first"))
+    n = F.row_number().over(Window.partitionBy("sig").orderBy("first", "block")) - 1
+    return first.select("sig", "block", F.concat(F.lit("B"), n.cast("string")).alias("id"), n.cast("long").alias("block_ord"))
+
+
+def block_trace(ir: DataFrame, successors: DataFrame, throws: DataFrame) -> dict[str, DataFrame]:
+    """block, stmt, block_edge, trap, cover and handler_block of methods, blocks by their numbers.
+
+    ir as above; successors (sig, block, pos, succ): normal flow; throws (sig, block, handler, type): what a block may
+    throw to. Traps stand in the order in which their first covered block comes.
+    """
+    names = settle(number_blocks(ir))
+    as_id = lambda df, c: df.join(names.select("sig", F.col("block").alias(c), F.col("id").alias(f"{c}_id")), ["sig", c]).drop(c).withColumnRenamed(f"{c}_id", c)
+    rows = settle(as_id(ir, "block").join(names.select("sig", F.col("id").alias("block"), "block_ord"), ["sig", "block"]))
+    edges = settle(labelled_edges(as_id(as_id(successors, "block"), "succ"), rows))
+    order = names.select("sig", F.col("id").alias("block"), "block_ord")
+    thrown = settle(as_id(as_id(throws, "block"), "handler").join(order, ["sig", "block"]).select("sig", "block", F.col("block_ord").alias("ord"), "handler", "type"))
+    first = thrown.groupBy("sig", "handler", "type").agg(F.min("ord").alias("first"))
+    number = F.row_number().over(Window.partitionBy("sig").orderBy("first", "handler", "type")) - 1
+    traps = settle(first.select("sig", number.cast("long").alias("trap_idx"), "handler", "type"))
+    listed = trap_table(thrown).join(traps, ["sig", "handler", "type"])
+    normal = normal_flow(edges, order.where("block_ord = 0").select("sig", "block"))
+    regions = handler_regions(edges, traps, normal)
+    covered = fill_gaps(edges, listed.select("sig", "trap_idx", F.explode("covered").alias("block")), traps)
+    covered = settle(covered.join(order, ["sig", "block"]).select("sig", "trap_idx", "block", F.col("block_ord").alias("ord")))
+    stmts = project_statements(rows).join(order, ["sig", "block"])
+    inlined = inlined_handlers(traps, stmts.select("sig", "block", "line"), covered.select("sig", "block").union(regions.select("sig", "block")))
+    conditions = branch_conditions(rows)
+    return {
+        "block": order.join(conditions, ["sig", "block"], "left"),
+        "stmt": stmts,
+        "block_edge": edges,
+        "trap": traps,
+        "cover": covered,
+        "handler_block": regions.unionByName(inlined.select("sig", "trap_idx", "block")),
+    }

@@ -136,11 +136,10 @@ def resolve_callees(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return calls.join(exact, ["class", "sub_sig"], "left").join(loose, ["class", "name", "arity"], "left").select(*calls.columns, F.coalesce("s1", "s2").alias("sig"))
 
 
-def entry_of(edges: DataFrame, cls: str, method: str) -> DataFrame:
-    """(sig): the first caller, by name, of that class and method. A method that calls nothing is no entry."""
-    head = F.concat(F.lit(f"<{cls}: "), F.lit(""))
-    hit = edges.where(F.col("caller").startswith(head) & F.col("caller").contains(f" {method}(")).select(F.col("caller").alias("sig"))
-    return hit.distinct().orderBy("sig").limit(1)
+def entries_of(edges: DataFrame, cls: str, method: str) -> DataFrame:
+    """(sig): the callers of that class and method, by name. A method that calls nothing is no entry."""
+    hit = edges.where(F.col("caller").startswith(f"<{cls}: ") & F.col("caller").contains(f" {method}(")).select(F.col("caller").alias("sig"))
+    return hit.distinct().orderBy("sig")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column | str], last: bool = False) -> DataFrame:

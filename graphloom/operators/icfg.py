@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.signatures import source_symbol
 from ..plans.storage import settle
 
 
@@ -49,3 +50,10 @@ def icfg(nodes: DataFrame, edges: DataFrame, invokes: DataFrame, root: str, dept
 
 def node_id(sig: str = "sig", depth: str = "depth", node: str = "node") -> Column:
     return F.concat_ws("_", F.col(depth).cast("string"), F.lower(F.hex(F.xxhash64(sig))), F.col(node).cast("string"))
+
+
+def defined_calls(invokes: DataFrame, definitions: DataFrame) -> DataFrame:
+    """invokes whose callee the index defines, by package/Class#method as an equi-join key, with file and lines."""
+    keyed = invokes.withColumn("key", source_symbol(F.col("callee")))
+    first = definitions.where("key <> ''").groupBy("key").agg(F.min_by(F.struct("file", "line_start", "line_end"), "symbol").alias("d"))
+    return keyed.join(first, "key").select(*invokes.columns, "d.file", "d.line_start", "d.line_end")

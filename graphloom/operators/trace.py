@@ -7,6 +7,8 @@ expanded methods, else ref, cycle or filtered.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,31 +61,36 @@ def referenced(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     return bodies.join(nodes.where("leaf_kind = 'ref'").select("sig"), "sig", "left_semi")
 
 
-def expand_refs(nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, max_depth: int = 100) -> DataFrame:
-    """nodes with each ref replaced by its method's body, unless that is missing or its signature stands above it already; what is still closed after max_depth levels stays a ref.
+def expand_refs(nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """nodes with each ref replaced by its method's body, unless that is missing or its signature stands above it already.
+
+    As no signature is opened below itself, this ends; with a max_depth, what is closed after so many levels stays a ref.
 
-    body_children (sig, pos, child, leaf_kind, call_line): the children of each method's body; bodies (sig).
+    body_children (sig, pos, child, leaf_kind, call_line): the children of each method's body; bodies (sig). Where a
+    body holds a whole subtree, rel (array<int>) and inner (signatures above, its own first) place its rows instead of pos.
     """
     spark_cols = ["trace", "path", "sig", "leaf_kind", "call_line"]
     rows = nodes.select(*spark_cols)
+    if "rel" not in body_children.columns:
+        body_children = body_children.withColumn("rel", F.array(F.col("pos").cast("int"))).withColumn("inner", F.array("sig"))
     kept = rows.where("leaf_kind is null or leaf_kind <> 'ref'")
     # The signatures above a leaf; its own is not one of them.
     todo = rows.where("leaf_kind = 'ref'").join(_above(rows), ["trace", "path"], "left").withColumn("above", F.coalesce("above", F.array().cast("array<string>")))
     known = bodies.select("sig", F.lit(True).alias("known")).distinct()
-    for _ in range(max_depth):
+    for level in count():
         todo = settle(todo)
         if todo.isEmpty():
-            break
+            return kept
+        if level == max_depth:
+            return kept.union(todo.select(*spark_cols))
         todo = todo.join(known, "sig", "left")
         opens = F.coalesce("known", F.lit(False)) & ~F.array_contains("above", F.col("sig"))
         kept = kept.union(todo.where(~opens).select(*spark_cols)).union(todo.where(opens).select("trace", "path", "sig", F.lit(None).cast("string").alias("leaf_kind"), "call_line"))
-        grown = todo.where(opens).join(body_children.select("sig", "pos", "child", F.col("leaf_kind").alias("kind"), F.col("call_line").alias("line")), "sig")
-        grown = settle(grown.select("trace", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.col("child").alias("sig"), F.col("kind").alias("leaf_kind"), F.col("line").alias("call_line"), F.concat("above", F.array("sig")).alias("above")))
+        grown = todo.where(opens).join(body_children.select("sig", "rel", "inner", "child", F.col("leaf_kind").alias("kind"), F.col("call_line").alias("line")), "sig")
+        place, above = F.concat("path", "rel").alias("path"), F.concat("above", "inner").alias("above")
+        grown = settle(grown.select("trace", place, F.col("child").alias("sig"), F.col("kind").alias("leaf_kind"), F.col("line").alias("call_line"), above))
         kept = kept.union(grown.where("leaf_kind is null or leaf_kind <> 'ref'").select(*spark_cols))
         todo = grown.where("leaf_kind = 'ref'")
-    else:
-        kept = kept.union(todo.select(*spark_cols))
-    return kept
 
 
 def _above(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +13,14 @@ from ..functions.el import page_actions
 from ..functions.signatures import class_of, el_bean, el_key, el_member, in_scope, jsp_key
 from . import calltree, reach
 
-# The four ways to include a page.
-INCLUDES = (
-    r"""<jsp:include\s[^>]*?page\s*=\s*["']([^"']+)["']""",
-    r"""<c:import\s[^>]*?url\s*=\s*["']([^"']+)["']""",
-    r"""<ui:include\s[^>]*?src\s*=\s*["']([^"']+)["']""",
-    r"""<%@\s*include\s[^>]*?file\s*=\s*["']([^"']+)["']""",
-)
+#: What includes a page, by the JSP syntax: how the tag opens, and the attribute that names the page.
+INCLUDES = {"jsp:include": "page", "c:import": "url", "ui:include": "src", "%@ include": "file"}
+
+
+def include_pattern(tag: str, attribute: str) -> str:
+    """The attribute's value, in either kind of quotes, in an opening tag; case doesn't matter."""
+    opening = r"\s*".join(re.escape(part) for part in tag.split(" "))
+    return rf"""(?i)<{opening}\b(?:[^>]*\s)?{attribute}\s*=\s*(?:"([^">]+)"|'([^'>]+)')"""
 
 
 def el_actions(pages: DataFrame) -> DataFrame:
@@ -36,33 +36,26 @@ def el_actions(pages: DataFrame) -> DataFrame:
     return rows.withColumn("bean_name", el_bean(F.col("el"))).withColumn("member", el_member(F.col("el"))).where("bean_name <> ''")
 
 
-def include_paths(pages: DataFrame, patterns: tuple[str, ...] = INCLUDES) -> DataFrame:
+def include_paths(pages: DataFrame, includes: dict[str, str] = INCLUDES) -> DataFrame:
     """(jsp, path) as written; paths with expressions go."""
-    parts = [pages.select("jsp", F.explode(F.regexp_extract_all("html", F.lit(p), F.lit(1))).alias("path")) for p in patterns]
-    return reduce(DataFrame.unionByName, parts).where(~F.col("path").contains("${") & ~F.col("path").contains("#{"))
+    found = lambda p: F.concat(*(F.filter(F.regexp_extract_all("html", F.lit(p), F.lit(g)), lambda x: x != "") for g in (1, 2)))
+    every = F.concat(*(found(include_pattern(tag, attribute)) for tag, attribute in includes.items()))
+    return pages.select("jsp", F.explode(every).alias("path")).where(~F.col("path").contains("${") & ~F.col("path").contains("#{"))
 
 
 def resolve_includes(includes: DataFrame, pages: DataFrame) -> DataFrame:
     """(src, dst): includes of pages that exist; absolute paths from the root, others from the page's folder, none outside or elsewhere."""
+    here = F.split("jsp", "/")
+    folder = F.when(F.col("path").startswith("/"), F.array().cast("array<string>")).otherwise(F.slice(here, 1, F.size(here) - 1))
+    start = F.struct(folder.alias("parts"), F.lit(True).alias("inside"))
+
+    def step(at, x):
+        up = F.struct(F.slice(at["parts"], 1, F.greatest(F.size(at["parts"]) - 1, F.lit(0))).alias("parts"), (at["inside"] & (F.size(at["parts"]) > 0)).alias("inside"))
+        down = F.struct(F.concat(at["parts"], F.array(x)).alias("parts"), at["inside"].alias("inside"))
+        return F.when(x == "..", up).when(x.isin("", "."), at).otherwise(down)
 
-    @F.pandas_udf("string")
-    def resolve(jsp: pd.Series, path: pd.Series) -> pd.Series:
-        def one(j: str, p: str) -> str | None:
-            if p.startswith(("http://", "https://")):
-                return None
-            parts = [] if p.startswith("/") else j.split("/")[:-1]
-            for x in p.split("/"):
-                if x == "..":
-                    if not parts:
-                        return None
-                    parts.pop()
-                elif x not in ("", "."):
-                    parts.append(x)
-            return "/".join(parts)
-
-        return pd.Series([one(j, p) for j, p in zip(jsp, path, strict=True)], dtype=object)
-
-    out = includes.select(F.col("jsp").alias("src"), resolve("jsp", "path").alias("dst")).where("dst is not null").distinct()
+    placed = includes.where(~F.col("path").rlike("^https?://")).select(F.col("jsp").alias("src"), F.aggregate(F.split("path", "/"), start, step).alias("at"))
+    out = placed.where("at.inside").select("src", F.array_join("at.parts", "/").alias("dst")).distinct()
     return out.join(pages.select(F.col("jsp").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import signatures as S
@@ -146,9 +146,9 @@ def reverse_edges(f):
     return reach.reversed_edges(f.call_edge)
 
 
-@query("""SELECT m.sig AS node FROM method m WHERE m.sig IN (SELECT src FROM call_edge) AND m.sig NOT IN (SELECT dst FROM call_edge)""")
+@query("""SELECT m.sig AS node FROM method m WHERE m.sig IN (SELECT caller FROM flat_call) AND m.sig NOT IN (SELECT callee FROM flat_call)""")
 def roots(f):
-    return reach.roots(f.call_edge.select(F.col("src").alias("node")).distinct(), f.call_edge)
+    return reach.roots(f.flat_call.select(F.col("caller").alias("node")).distinct(), f.flat_call.select(F.col("callee").alias("dst")))
 
 
 # Call trees and chains
@@ -172,10 +172,12 @@ def full_closure(f):
     return reach.closure(f.call_edge, _root(f)).select("node")
 
 
-@query("""WITH RECURSIVE walk(root, node) AS (SELECT sig, sig FROM method UNION SELECT w.root, e.dst FROM walk w JOIN flat_call c ON c.caller = w.node JOIN call_edge e ON e.src = c.caller AND e.dst = c.callee) SELECT root, node FROM walk""")
+@query("""WITH RECURSIVE walk(root, node, depth) AS (SELECT sig, sig, 0 FROM method
+    UNION SELECT w.root, c.callee, w.depth + 1 FROM walk w JOIN flat_call c ON c.caller = w.node WHERE w.depth < 2)
+    SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY root, node""")
 def many_roots(f):
     seeds = f.method.select(F.col("sig").alias("root"), F.col("sig").alias("node"))
-    return reach.closure(f.flat_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), seeds).select("root", "node")
+    return reach.closure(f.flat_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), seeds, 2)
 
 
 @query()
@@ -185,13 +187,11 @@ def fw_calltree_flags(f):
     return calls.select("src", "dst", "call_line", "filtered", "cycle")
 
 
-_SMALL = "SELECT src, dst FROM call_edge WHERE regexp_matches(regexp_extract(src, '^<([^:]+):', 1), '^com\\.economy') AND regexp_matches(regexp_extract(dst, '^<([^:]+):', 1), '^com\\.economy')"
-
-
-@query(f"""WITH RECURSIVE s AS ({_SMALL}), w(a, b) AS (SELECT src, dst FROM s UNION SELECT w.a, s.dst FROM w JOIN s ON s.src = w.b) SELECT s.src, s.dst, EXISTS (SELECT 1 FROM w WHERE w.a = s.dst AND w.b = s.src) AS in_scc FROM s""")
+@query("""WITH RECURSIVE p AS (SELECT pid, sig FROM method), s AS (SELECT src, dst FROM part_call),
+    w(a, b) AS (SELECT src, dst FROM s UNION SELECT w.a, s.dst FROM w JOIN s ON s.src = w.b)
+    SELECT x.sig AS src, y.sig AS dst, EXISTS (SELECT 1 FROM w WHERE w.a = s.dst AND w.b = s.src) AS in_scc FROM s JOIN p x ON x.pid = s.src JOIN p y ON y.pid = s.dst""")
 def scc_edges(f):
-    inside = lambda c: S.class_of(F.col(c)).rlike("^com\\.economy")
-    return reach.in_component(f.call_edge.where(inside("src") & inside("dst")))
+    return reach.in_component(f.call_edge)
 
 
 @query("""WITH RECURSIVE walk(node) AS (SELECT sig FROM root UNION SELECT e.dst FROM walk w JOIN call_edge e ON e.src = w.node WHERE NOT starts_with(e.dst, '<com.economy.') AND e.dst NOT IN (SELECT sig FROM bridge))
@@ -208,35 +208,36 @@ def rev_reach_depth(f):
 
 
 _CHAINS = """WITH RECURSIVE t AS (SELECT max(callee) AS sig FROM flat_call),
-    up(node) AS (SELECT sig FROM t UNION SELECT c.caller FROM up JOIN flat_call c ON c.callee = up.node),
-    tops AS (SELECT node FROM up WHERE node NOT IN (SELECT callee FROM flat_call)),
-    p(node, path, n) AS (SELECT node, node, 1 FROM tops UNION ALL SELECT c.callee, p.path || ' ' || c.callee, p.n + 1 FROM p JOIN flat_call c ON c.caller = p.node JOIN up ON up.node = c.callee WHERE p.n < 21)"""
+    up(node, d) AS (SELECT sig, 0 FROM t UNION SELECT c.caller, up.d + 1 FROM up JOIN flat_call c ON c.callee = up.node WHERE up.d < 3),
+    near AS (SELECT DISTINCT node FROM up),
+    tops AS (SELECT node FROM near WHERE node NOT IN (SELECT c.callee FROM flat_call c JOIN near ON near.node = c.caller)),
+    p(node, path, n) AS (SELECT node, [node], 1 FROM tops UNION ALL SELECT c.callee, list_append(p.path, c.callee), p.n + 1 FROM p JOIN flat_call c ON c.caller = p.node JOIN near ON near.node = c.callee WHERE p.n < 4)"""
 
 
 def _chains(f):
-    edges = f.flat_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("ord"))
+    """All chains of up to three calls into the method that comes last by name."""
+    by = Window.partitionBy("caller").orderBy("callee")
+    edges = f.flat_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.row_number().over(by).alias("ord"))
     target = edges.agg(F.max("dst").alias("t")).first()["t"]
     seeds = edges.sparkSession.createDataFrame([(target, target)], "root string, node string")
-    return edges, target, calltree.backward_nodes(edges, seeds, 1000)
+    return calltree.chains(edges, target, calltree.backward_nodes(edges, seeds, 3), None, 4)
 
 
-@query(f"{_CHAINS} SELECT path FROM p JOIN t ON p.node = t.sig WHERE n > 1")
+@query(f"{_CHAINS} SELECT array_to_string(path, ' ') AS path, row_number() OVER (ORDER BY path) AS chain FROM p JOIN t ON p.node = t.sig WHERE n > 1")
 def rev_chains(f):
-    edges, target, reachable = _chains(f)
-    return calltree.chains(edges, target, reachable, 1_000_000).select(F.array_join("path", " ").alias("path"))
+    return _chains(f).select("chain", F.array_join("path", " ").alias("path"))
 
 
-@query(f"{_CHAINS} SELECT DISTINCT c.caller AS src, c.callee AS dst FROM flat_call c WHERE c.caller IN (SELECT node FROM up) AND c.callee IN (SELECT node FROM up)")
+@query(f"{_CHAINS}, c AS (SELECT path FROM p JOIN t ON p.node = t.sig WHERE n > 1) SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM c)")
 def chain_nodes_edges(f):
-    edges, target, reachable = _chains(f)
-    return calltree.chain_edges(calltree.chains(edges, target, reachable, 1_000_000))
+    return calltree.chain_edges(_chains(f))
 
 
 @query("""WITH RECURSIVE p(node, path, n) AS (SELECT sig, [sig], 1 FROM root UNION ALL SELECT e.dst, list_append(p.path, e.dst), p.n + 1 FROM p JOIN call_edge e ON e.src = p.node
-        WHERE p.n < 5 AND NOT list_contains(p.path, e.dst) AND NOT starts_with(p.node, '<com.economy.'))
+        WHERE p.n < 4 AND NOT list_contains(p.path, e.dst) AND NOT starts_with(p.node, '<com.economy.'))
     SELECT array_to_string(path, ' ') AS path FROM p WHERE starts_with(node, '<com.economy.')""")
 def layer_chains(f):
-    found = calltree.layer_chains(f.call_edge, f.root.select(F.col("sig").alias("node")), "^com\\.economy\\.", 5)
+    found = calltree.layer_chains(f.call_edge, f.root.select(F.col("sig").alias("node")), "^com\\.economy\\.", 4)
     return found.select(F.array_join("path", " ").alias("path"))
 
 
@@ -319,12 +320,6 @@ def trap_cluster_assign(f):
     return blocks.assign_clusters(f.cover, _handlers(f))
 
 
-@query()
-def line_trace(f):
-    """Ways by a breadth-first search's parents, which SQL can't express."""
-    return blocks.line_trace(f.flow_edge.select("sig", "src", "dst"), _lines(f), 5, 30)
-
-
 # Trace trees
 
 
@@ -352,20 +347,22 @@ def prune_to_target(f):
     return trace.prune_to_target(_tree(f), F.col("priority") == "1-URGENT").select(*_big("trace"), _path())
 
 
-@query("""SELECT m.sig, m.class FROM method m WHERE EXISTS (SELECT 1 FROM tree_node t WHERE t.leaf = 'ref' AND lower(t.sig) < m.name AND FALSE) OR m.name IN (SELECT 'm' || CAST(o AS STRING) FROM tree_node WHERE leaf = 'ref')""")
+@query("""SELECT m.sig, m.class FROM method m WHERE m.name IN (SELECT 'm' || CAST(o AS STRING) FROM tree_node WHERE leaf = 'ref')""")
 def ref_semi(f):
     leaves = f.tree_node.select((F.concat(F.lit("m"), F.col("o").cast("string"))).alias("sig"), F.col("leaf").alias("leaf_kind"))
     return trace.referenced(leaves, f.method.select(F.col("name").alias("sig"), F.col("sig").alias("s"), "class")).select(F.col("s").alias("sig"), "class")
 
 
-@query("""WITH RECURSIVE k AS (SELECT caller, callee, CAST(row_number() OVER (PARTITION BY caller ORDER BY callee) - 1 AS BIGINT) AS pos FROM flat_call WHERE starts_with(caller, '<com.large.')),
-    w(trace, path, sig, open, n) AS (SELECT sig, '', sig, sig IN (SELECT caller FROM k), 0 FROM method
-        UNION ALL SELECT w.trace, w.path || '.' || CAST(k.pos AS VARCHAR), k.callee, k.callee IN (SELECT caller FROM k), w.n + 1 FROM w JOIN k ON k.caller = w.sig WHERE w.n < 100)
+@query("""WITH RECURSIVE k AS (SELECT caller, callee, CAST(row_number() OVER (PARTITION BY caller ORDER BY ord) - 1 AS BIGINT) AS pos FROM body_call),
+    w(trace, path, sig, above, open) AS (SELECT caller, '', caller, [caller], true FROM k WHERE starts_with(caller, 'r')
+        UNION SELECT w.trace, w.path || '.' || CAST(k.pos AS VARCHAR), k.callee, list_append(w.above, k.callee), NOT list_contains(w.above, k.callee) FROM w JOIN k ON k.caller = w.sig WHERE w.open)
     SELECT trace, path, sig, NOT open AS is_ref FROM w""")
 def expand_refs(f):
-    kids = f.sql("SELECT caller AS sig, CAST(row_number() OVER (PARTITION BY caller ORDER BY callee) - 1 AS INT) AS pos, callee AS child, 'ref' AS leaf_kind, call_line FROM flat_call WHERE caller LIKE '<com.large.%'")
-    top = f.method.select(F.col("sig").alias("trace"), F.array().cast("array<int>").alias("path"), "sig", F.lit("ref").alias("leaf_kind"), F.lit(None).cast("long").alias("call_line"))
-    out = trace.expand_refs(top, kids, kids.select("sig"))
+    """Regions down to orders, each a ref; an order's call back to its customer stays one."""
+    by = Window.partitionBy("caller").orderBy("ord")
+    kids = f.body_call.select(F.col("caller").alias("sig"), (F.row_number().over(by) - 1).alias("pos"), F.col("callee").alias("child"), F.lit("ref").alias("leaf_kind"), F.col("ord").alias("call_line"))
+    tops = f.body_call.where("caller like 'r%'").select(F.col("caller").alias("trace"), F.array().cast("array<int>").alias("path"), F.col("caller").alias("sig"), F.lit("ref").alias("leaf_kind"), F.lit(None).cast("long").alias("call_line")).distinct()
+    out = trace.expand_refs(tops, kids, kids.select("sig"))
     path = F.aggregate("path", F.lit(""), lambda a, x: F.concat(a, F.lit("."), x.cast("string")))
     return out.select("trace", path.alias("path"), "sig", F.coalesce(F.col("leaf_kind") == "ref", F.lit(False)).alias("is_ref"))
 
@@ -380,16 +377,21 @@ def reaching_defs(f):
     return dataflow.reaching_definitions(f.flow_edge, f.stmt.select("sig", F.col("o").alias("stmt"), "local"), f.stmt_use)
 
 
-_SUB = "regexp_extract({}, '([^ ]+\\(.*\\))', 1)"
-_SITES = f"SELECT c.caller, c.callee, n.id AS site, n.text FROM flat_call c JOIN ddg_node n ON n.sig = c.caller AND n.call_target IS NOT NULL AND {_SUB.format('n.call_target')} = {_SUB.format('c.callee')}"
+_SITES = """n0 AS (SELECT id, sig, text, call_target, kind FROM ddg_node),
+    sites AS (SELECT c.caller, c.callee, n.id AS site, trim(split_part(regexp_extract(n.text, '\\(([^(]*)\\)[^)]*$', 1), ',', 1)) AS arg
+        FROM (SELECT caller, callee, regexp_extract(callee, '([^ ]+\\(.*\\))', 1) AS sub FROM flat_call) c
+        JOIN (SELECT id, sig, text, regexp_extract(call_target, '([^ ]+\\(.*\\))', 1) AS sub FROM n0 WHERE call_target IS NOT NULL) n ON n.sig = c.caller AND n.sub = c.sub),
+    params AS (SELECT l.src, p.id AS dst FROM sites s JOIN (SELECT id, sig FROM n0 WHERE text = 'p := @parameter0: int') p ON p.sig = s.callee
+        JOIN local_edge l ON l.dst = s.site JOIN (SELECT id, regexp_extract(text, '^(.*?) :?= ', 1) AS made FROM n0) d ON d.id = l.src AND d.made = s.arg),
+    returns AS (SELECT r.id AS src, s.site AS dst FROM sites s JOIN (SELECT id, sig FROM n0 WHERE kind = 'RETURN') r ON r.sig = s.callee)"""
 
 
-@query(f"""SELECT l.src, p.id AS dst FROM ({_SITES}) s JOIN ddg_node p ON p.sig = s.callee AND p.text = 'p := @parameter0: int' JOIN local_edge l ON l.dst = s.site JOIN ddg_node d ON d.id = l.src AND starts_with(d.text, trim(split_part(regexp_extract(s.text, '\\(([^(]*)\\)[^)]*$', 1), ',', 1)) || ' = ')""")
+@query(f"WITH {_SITES} SELECT src, dst FROM params")
 def param_edges(f):
     return dataflow.param_edges(f.ddg_node, f.local_edge, f.flat_call).select("src", "dst")
 
 
-@query(f"SELECT r.id AS src, s.site AS dst FROM ({_SITES}) s JOIN ddg_node r ON r.sig = s.callee AND r.kind = 'RETURN'")
+@query(f"WITH {_SITES} SELECT src, dst FROM returns")
 def return_edges(f):
     return dataflow.return_edges(f.ddg_node, f.flat_call).select("src", "dst")
 
@@ -400,8 +402,8 @@ def heap_edges(f):
     return dataflow.heap_edges(f.ddg_node, f.method.where("not is_bridge")).select("src", "dst", "field")
 
 
-_SLICE = f"""WITH RECURSIVE e AS (SELECT src, dst, 'LOCAL' AS kind FROM local_edge UNION ALL SELECT r.id, s.site, 'RETURN' FROM ({_SITES}) s JOIN ddg_node r ON r.sig = s.callee AND r.kind = 'RETURN'
-    UNION ALL SELECT l.src, p.id, 'PARAM' FROM ({_SITES}) s JOIN ddg_node p ON p.sig = s.callee AND p.text = 'p := @parameter0: int' JOIN local_edge l ON l.dst = s.site JOIN ddg_node d ON d.id = l.src AND starts_with(d.text, trim(split_part(regexp_extract(s.text, '\\(([^(]*)\\)[^)]*$', 1), ',', 1)) || ' = ')),
+_SLICE = f"""WITH RECURSIVE {_SITES},
+    e AS (SELECT src, dst, 'LOCAL' AS kind FROM local_edge UNION ALL SELECT src, dst, 'RETURN' FROM returns UNION ALL SELECT src, dst, 'PARAM' FROM params),
     w(id) AS (SELECT id FROM ddg_node WHERE starts_with(text, 'x1 = ') UNION SELECT e.src FROM w JOIN e ON e.dst = w.id)"""
 
 
@@ -528,7 +530,7 @@ def drilldown_edges(f):
     zero = F.lit(0).cast("long").alias("trace")
     parents = f.stmt.select(zero, F.array("sig").alias("path"), name.alias("id"), F.col("o").alias("seq"), F.floor(F.col("o") / 2).alias("line"))
     kids = f.orders.select(zero, F.array("o_orderkey").alias("path"), F.array("o_custkey").alias("parent_path"), (F.col("o_orderkey") % 40).alias("call_line"), F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("entry"))
-    return semantic.drilldown(parents, kids)
+    return semantic.drilldown(parents, kids).select("trace", "src", "dst")
 
 
 # Validation
@@ -575,15 +577,6 @@ def el_classify(f):
     return f.el.select("jsp", "el", S.el_bean(F.col("el")).alias("bean"), S.el_member(F.col("el")).alias("member"))
 
 
-@query()
-def el_tokenize(f):
-    """Nested braces and quotes have no SQL form."""
-    from ..functions.el import el_expressions
-
-    texts = f.el.select("jsp", F.concat(F.lit("a "), "el", F.lit(" b #{x['}'].y} #{open"), F.lit(" {")).alias("text"))
-    return el_expressions(texts).select("jsp", "pos", "el")
-
-
 _ACT = "(SELECT jsp, el, regexp_extract(el, '^[#$]\\{\\s*([a-zA-Z_]\\w*)', 1) AS bean_name, regexp_extract(el, '^[#$]\\{\\s*([a-zA-Z_]\\w*)(?:\\.([a-zA-Z_]\\w*))?', 2) AS member FROM el)"
 
 
@@ -604,16 +597,36 @@ def page_map_nodes(f):
     return web.page_map(_actions(f), f.bean, f.call_edge, NARROW)[0]
 
 
-@query("""SELECT page_id AS jsp, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS path FROM pages""")
+_INCLUDED = """SELECT jsp, regexp_extract(html, '<(?:jsp:include[^>]*[[:space:]]page|c:import[^>]*[[:space:]]url|ui:include[^>]*[[:space:]]src|%@ *include[^>]*[[:space:]]file)[[:space:]]*=[[:space:]]*"([^"]*)"', 1, 'i') AS path FROM web_page"""
+_LINKED = f"""inc AS ({_INCLUDED}),
+    link AS (SELECT jsp AS src, CASE WHEN starts_with(path, '/') THEN substr(path, 2) WHEN starts_with(path, '../') THEN substr(path, 4) ELSE split_part(jsp, '/', 1) || '/' || path END AS dst FROM inc WHERE path <> '' AND NOT starts_with(path, 'http')),
+    edge AS (SELECT DISTINCT src, dst FROM link WHERE dst IN (SELECT jsp FROM web_page))"""
+
+
+@query(f"SELECT jsp, path FROM ({_INCLUDED}) WHERE path <> ''")
 def include_paths(f):
-    pages = f.pages.select(F.col("page_id").alias("jsp"), "html")
-    return web.include_paths(pages, (r'href="(/[^"]*)"',))
+    return web.include_paths(f.web_page)
+
 
+@query(f"WITH {_LINKED} SELECT src, dst FROM edge")
+def include_links(f):
+    return web.resolve_includes(web.include_paths(f.web_page), f.web_page)
 
-@query("""WITH RECURSIVE w(node) AS (SELECT sig FROM root UNION SELECT e.dst FROM w JOIN flat_call c ON c.caller = w.node JOIN call_edge e ON e.src = c.caller AND e.dst = c.callee) SELECT node AS jsp FROM w""")
+
+@query(f"WITH RECURSIVE {_LINKED}, w(root, jsp) AS (SELECT jsp, jsp FROM web_page UNION SELECT w.root, e.dst FROM w JOIN edge e ON e.src = w.jsp) SELECT jsp, count(*) AS n FROM w GROUP BY jsp")
 def include_closure(f):
-    edges = f.flat_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    return web.include_closure(edges, f.root.select(F.col("sig").alias("jsp")))
+    """How many pages include a page, over any number of steps."""
+    pages = f.web_page
+    edges = web.resolve_includes(web.include_paths(pages), pages)
+    got = reach.closure(edges, pages.select(F.col("jsp").alias("root"), F.col("jsp").alias("node")))
+    return got.groupBy(F.col("node").alias("jsp")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH RECURSIVE {_LINKED}, w(jsp) AS (SELECT min(jsp) FROM web_page UNION SELECT e.dst FROM w JOIN edge e ON e.src = w.jsp) SELECT jsp FROM w")
+def included_pages(f):
+    pages = f.web_page
+    start = pages.agg(F.min("jsp").alias("jsp"))
+    return web.include_closure(web.resolve_includes(web.include_paths(pages), pages), start)
 
 
 # Inter-procedural control flow
@@ -622,7 +635,7 @@ def include_closure(f):
 _CN = "(SELECT DISTINCT src AS sig, unnest([1, 2, 3]) AS node FROM call_edge)"
 
 
-@query(f"""WITH RECURSIVE n AS {_CN}, i AS (SELECT src AS sig, 2 AS node, dst AS callee FROM call_edge WHERE ord <= 2 AND dst IN (SELECT sig FROM n) AND NOT starts_with(dst, '<com.economy.')),
+@query(f"""WITH RECURSIVE n AS {_CN}, i AS (SELECT src AS sig, 2 AS node, dst AS callee FROM call_edge WHERE dst IN (SELECT sig FROM n) AND NOT starts_with(dst, '<com.economy.')),
     inst(sig, depth) AS (SELECT sig, CAST(0 AS BIGINT) FROM root UNION SELECT i.callee, inst.depth + 1 FROM inst JOIN i ON i.sig = inst.sig WHERE inst.depth < 3),
     c AS (SELECT DISTINCT inst.sig, inst.depth, i.callee FROM inst JOIN i ON i.sig = inst.sig WHERE inst.depth < 3)
     SELECT sig AS src_sig, depth AS src_depth, CAST(e AS BIGINT) AS src, sig AS dst_sig, depth AS dst_depth, CAST(e + 1 AS BIGINT) AS dst, 'INTRA' AS kind FROM inst, (SELECT 1 AS e UNION ALL SELECT 2) WHERE NOT (e = 2 AND EXISTS (SELECT 1 FROM c WHERE c.sig = inst.sig AND c.depth = inst.depth))
@@ -631,7 +644,7 @@ def icfg_edges(f):
     own = f.call_edge.select(F.col("src").alias("sig")).distinct()
     nodes = own.select("sig", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])).alias("node")).withColumn("ord", F.col("node"))
     edges = nodes.where("node < 3").select("sig", F.col("node").alias("src"), (F.col("node") + 1).alias("dst"))
-    calls = f.call_edge.where("ord <= 2").select(F.col("src").alias("sig"), F.lit(2).cast("long").alias("node"), "ord", F.col("dst").alias("callee"))
+    calls = f.call_edge.select(F.col("src").alias("sig"), F.lit(2).cast("long").alias("node"), "ord", F.col("dst").alias("callee"))
     root = f.root.first()["sig"]
     return icfg.icfg(nodes, edges, calls, root, 3, S.Stop.prefix("<com.economy.")(F.col("callee")))[1]
 
@@ -641,11 +654,18 @@ def edge_totals(f):
     return f.call_edge.agg(F.countDistinct("src").alias("n_callers"), F.count(F.lit(1)).alias("n_edges"))
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT caller, callee, ord, row_number() OVER (PARTITION BY caller ORDER BY ord) AS pos, lead(ord) OVER (PARTITION BY caller ORDER BY ord) IS NULL AS last FROM body_call),
+    w(top, place, sig, above, indent, text, open) AS (SELECT DISTINCT caller, '', caller, [caller], '', caller, true FROM k WHERE starts_with(caller, 'r')
+        UNION ALL SELECT w.top, w.place || CASE WHEN w.place = '' THEN '' ELSE '.' END || CAST(k.pos AS VARCHAR), k.callee, list_append(w.above, k.callee), w.indent || CASE WHEN k.last THEN '    ' ELSE '│   ' END,
+            w.indent || CASE WHEN k.last THEN '└── ' ELSE '├── ' END || k.callee || CASE WHEN k.ord > 0 THEN ':' || CAST(k.ord AS VARCHAR) ELSE '' END, NOT list_contains(w.above, k.callee) FROM w JOIN k ON k.caller = w.sig WHERE w.open)
+    SELECT top, place, text FROM w""")
 def ascii_call_tree(f):
-    """Indented lines of the trees below the callers of economy classes; SQL has no such text."""
+    """Indented lines of the trees below regions."""
     from ..operators.render import ascii_tree
 
-    edges = f.flat_call.where(F.col("caller").startswith("<com.economy.") & F.col("callee").startswith("<com.economy.")).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit(1).alias("ord"), "call_line", F.lit(False).alias("cycle"))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("label", S.short_method(F.col("node")))
-    return ascii_tree(nodes, edges).select("top", F.array_join(F.transform("ord_path", lambda x: x.cast("string")), ".").alias("at"), "text")
+    edges = f.body_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "ord", F.col("ord").alias("call_line"), F.lit(False).alias("cycle"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("label", F.col("node"))
+    return ascii_tree(nodes, edges).select("top", F.array_join(F.transform("ord_path", lambda x: x.cast("string")), ".").alias("place"), "text")
+
+
+from . import detail  # noqa: E402, F401  registers its queries
