@@ -11,7 +11,7 @@ at least half of the characters that are left, the rest is not main text.
 
 Defined results: null and empty html give an empty text; markup left open ends with
 the page; a page without another on its host, or whose lines the neighbour all has,
-keeps the lines that markup doesn't drop; repeated rows are neighbours of each other;
+keeps the lines that markup doesn't drop; repeated rows are one page;
 null ids are ids like any other; other columns are ignored; an empty table gives an
 empty result.
 """
@@ -75,6 +75,7 @@ def _chrome(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 IN_ARTICLE, DROPPED = 1, 2
+_BROADCAST_PAGES = 50_000
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
@@ -192,11 +193,16 @@ def shared(lines: list[str], other: list[str]) -> set[int]:
     return found
 
 
-def main_lines(lines: list[str], kinds: list[int], other: list[str] | None) -> list[str]:
-    """The lines of a page's main text; other: the lines outside articles of the page next to it."""
-    outer = [i for i, k in enumerate(kinds) if not k & IN_ARTICLE]
-    common = {outer[i] for i in shared([lines[i] for i in outer], other)} if other else ()
-    left = [i for i, k in enumerate(kinds) if not k & DROPPED and i not in common]
+def outer_places(kinds: list[int]) -> list[int]:
+    """Places of the lines outside marked articles, which alignment may delete."""
+    return [i for i, k in enumerate(kinds) if not k & IN_ARTICLE]
+
+
+def main_lines(lines: list[str], kinds: list[int], common: list[int] | set[int] = ()) -> list[str]:
+    """The lines of a page's main text; common: which of outer_places the page shares with its neighbour."""
+    outer = outer_places(kinds)
+    gone = {outer[i] for i in common}
+    left = [i for i, k in enumerate(kinds) if not k & DROPPED and i not in gone]
     if not left:
         left = [i for i, k in enumerate(kinds) if not k & DROPPED]
     inside = [i for i in left if kinds[i] & IN_ARTICLE]
@@ -216,16 +222,23 @@ def _scan(batches):
     for b in batches:
         got = [page_lines(h or "") for h in b.column(2).to_pylist()]
         sites = [_host_path(u) for u in b.column(1).to_pylist()]
-        lines, kinds = [[x for x, _ in g] for g in got], [[k for _, k in g] for g in got]
-        # What alignment can delete, which is little where the article is marked.
         outer = [[x for x, k in g if not k & IN_ARTICLE] for g in got]
-        columns = [pa.array([s[i] for s in sites], pa.string()) for i in (0, 1)] + [pa.array(x, pa.list_(pa.string())) for x in (lines, outer)] + [pa.array(kinds, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *columns], ["page_id", "url", "row", "host", "path", "lines", "outer", "kinds"])
+        columns = [pa.array([s[i] for s in sites], pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(outer, pa.list_(pa.string()))], ["row", "host", "path", "outer"])
+
+
+def _align(batches):
+    for b in batches:
+        common = [sorted(shared(x, y)) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(common, pa.list_(pa.int32()))], ["row", "common"])
 
 
-def _difference(batches):
+def _extract(batches):
     for b in batches:
-        out = [main_lines(x, k, y) for x, k, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+        out = []
+        for page, common in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            got = page_lines(page or "")
+            out.append(main_lines([x for x, _ in got], [k for _, k in got], common or ()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "lines"])
 
 
@@ -252,14 +265,18 @@ def _neighbours(light: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, lines (of the main text, in page order)."""
     small_batches(pages.sparkSession)
-    cut = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.monotonically_increasing_id().alias("row"))
-    schema = "page_id long, url string, row long, host string, path string, lines array<string>, outer array<string>, kinds array<int>"
-    rows = settle(cut.mapInArrow(_scan, schema), "lines")  # the numbers of rows hold from here on
-    near = _neighbours(rows.select("row", "host", "path"))
-    # Lines of the page itself go on only once; those of its neighbour are the ones that may be template.
-    beside = near.join(rows.select(F.col("row").alias("other"), F.col("outer").alias("others")), "other").select("row", "others")
-    paired = rows.select("row", "page_id", "url", "lines", "kinds").join(beside, "row", "left")
-    return paired.select("page_id", "url", "lines", "kinds", "others").mapInArrow(_difference, "page_id long, url string, lines array<string>")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    key = F.unhex(F.md5(F.concat_ws("\x01", name(id_col), name(url_col), name(html_col)).cast("binary")))
+    cut = pages.select(key.alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    # What alignment can delete, which is little where the article is marked; repeated rows once.
+    light = cut.select("row", "url", "html").mapInArrow(_scan, "row binary, host string, path string, outer array<string>")
+    light = settle(light.dropDuplicates(["row"]), "outer")
+    near = _neighbours(light.select("row", "host", "path")).where("other is not null")
+    both = near.join(light.select("row", "outer"), "row").join(light.select(F.col("row").alias("other"), F.col("outer").alias("others")), "other")
+    common = settle(both.select("row", "outer", "others").mapInArrow(_align, "row binary, common array<int>").where("size(common) > 0"), "common")
+    # Pages that share lines outside their article are sent to all tasks up to a number that is counted, so that pages needn't move.
+    common = F.broadcast(common) if common.count() <= _BROADCAST_PAGES else common
+    return cut.join(common, "row", "left").select("page_id", "url", "html", "common").mapInArrow(_extract, "page_id long, url string, lines array<string>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

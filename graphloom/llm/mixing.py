@@ -24,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import running_sum
 from .common import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,17 +73,6 @@ def _queue(docs: DataFrame, seed: int, cols: tuple[str, str, str]) -> DataFrame:
     return rows.groupBy("key", "doc_id", "source", "size", "turn").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _running(units: DataFrame, order: list[str], value: str, n_ranges: int) -> DataFrame:
-    """units with `before`: the sum of value over all units that come earlier in order; range-sorted over the cluster."""
-    ranged = settle(units.repartitionByRange(n_ranges, *order).withColumn("part", F.spark_partition_id()), "ranged")
-    # One row a range.
-    sums = ranged.groupBy("part").agg(F.sum(value).alias("s"))
-    sums = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cut = ranged.withColumn("ahead", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return cut.join(F.broadcast(sums), "part").withColumn("before", F.col("base") + F.col("ahead")).drop("part", "base", "ahead")
-
-
 def mix(
     docs: DataFrame, weights=(5, 2, 1), budget_share: float = 1.5, max_repeats: int = 2, seed: int = 7, packet: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +112,7 @@ def mix(
     units = units.withColumn("n", F.least(F.col("step"), F.col("size") - F.col("off"))).withColumn("end", F.col("at") + F.col("off") + F.col("n"))
     units = units.select("key", "member", "doc_id", "source", "k", "copy", F.col("at").alias("from"), ((F.col("at") + F.col("off")) / F.col("target")).alias("start"), (F.col("end") / F.col("target")).alias("finish"), "end", "n")
     n_ranges = max(1, queue.count() * max_repeats // _RANGE_ROWS)
-    served = _running(units, ["finish", "k", "end"], "n", n_ranges)
+    served = running_sum(units, ["finish", "k", "end"], "n", ranges=n_ranges)
     taken = F.least("n", F.lit(math.floor(whole or 0)).cast("long") - F.col("before"))
     schedule = served.withColumn("taken", taken).where("taken > 0").select("key", "member", "doc_id", "source", "copy", "start", "finish", "before", "taken")
     return schedule, sized.select("key", "doc_id", "source", "size", "c", "source_size", "target")

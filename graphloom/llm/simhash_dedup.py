@@ -12,7 +12,8 @@ Equal fingerprints are collapsed before the replication, and each anchor hands o
 a spanning forest of its links, never all pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
-any other; repeated rows share a component; other columns are ignored; an empty
+any other; rows without an id are linked too, and a component without any id has a
+null component_id; repeated rows share a component; other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, components, id_text, settle
+from .common import batch_rows, components, id_text, settle, small_batches
 
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _BITS = 23
@@ -185,13 +186,30 @@ def _chain(batches):
     yield None
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def _prints(rows: DataFrame, shingle: int, *more: str) -> DataFrame:
+    """rows (doc_id, text, more) with the fingerprint (print) in place of the text."""
+    small_batches(rows.sparkSession)
+    names = ["doc_id", *more, "print"]
+
     def scan(batches):
         for b in batches:
-            prints = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+            prints = np.array([fingerprint(t, shingle) for t in b.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints.view(np.int64))], names)
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names[:-1]) + ", print long"
+    return rows.select("text", *names[:-1]).mapInArrow(scan, schema)
 
-    return id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary")).mapInArrow(scan, "doc_id long, print long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    return _prints(id_text(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary")), shingle)
+
+
+def _labelled(prints: DataFrame, threshold: int, best) -> DataFrame:
+    """(print, root, best): each distinct print with its component and the best of its documents."""
+    batch_rows(prints.sparkSession, 20_000)
+    roots = components(links(prints, threshold)).withColumnRenamed("node", "print")
+    labels = prints.groupBy("print").agg(best).join(roots, "print", "left")
+    return labels.withColumn("root", F.coalesce("root", "print"))
 
 
 def _tail(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,13 +269,18 @@ def links(prints: DataFrame, threshold: int = 2, heavy: int = 1 << 14) -> DataFr
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "a long, b long")
 
 
+def survivors(docs: DataFrame, key: str, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key): of each component the key of the document with the smallest id, null last, then the smallest key."""
+    rows = docs.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    prints = settle(_prints(rows, shingle, "key"), "prints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best")
+    return _labelled(prints, threshold, best).groupBy("root").agg(F.min("best").alias("best")).select("best.key")
+
+
 def simhash_dedup(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = settle(fingerprints(docs, id_col, text_col, shingle), "prints")
-    batch_rows(docs.sparkSession, 20_000)
-    roots = components(links(prints, threshold)).withColumnRenamed("node", "print")
-    labels = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id")).join(roots, "print", "left")
-    labels = labels.select("print", "doc_id", F.coalesce("root", "print").alias("root"))
+    labels = _labelled(prints, threshold, F.min("doc_id").alias("doc_id"))
     least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(least, "root").select("print", "component_id")
     shown = F.lower(F.lpad(F.hex("print"), 16, "0"))

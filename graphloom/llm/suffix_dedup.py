@@ -17,8 +17,9 @@ Buckets with more than `wide` different runs are not sorted in one task; their
 windows are counted by gram and 128-bit hash instead.
 
 Defined results: texts shorter than `length`, null and empty texts lose nothing;
-repeated rows are repeats of each other; rows that share both id and text share
-their result; other columns are ignored; an empty table gives an empty result.
+repeated rows are repeats of each other; a row is told by two 64-bit hashes of its id
+and text, so null and repeated ids do no harm; rows that share both id and text share
+their result; equal runs are told by 128 bits of hashes and their length; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -188,17 +189,17 @@ def _scan(length: int):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 cols: list[list] = [[], [], [], [], [], []]
-                for name, mark, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                for k1, k2, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if len(text) < length:
                         continue
                     h, first, n = runs(text, length)
                     cut = zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)
                     body = np.array([xxh64_intdigest(text[a:z]) for a, z in cut], np.uint64)
-                    for col, x in zip(cols, (h.view(np.int64), body.view(np.int64), np.full(len(h), 0 if name is None else name), np.full(len(h), mark), first, n), strict=True):
+                    for col, x in zip(cols, (h.view(np.int64), body.view(np.int64), np.full(len(h), k1), np.full(len(h), k2), first, n), strict=True):
                         col.append(x)
                 if cols[0]:
-                    h, body, name, mark, first, n = (np.concatenate(c) for c in cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(body), pa.array(name), pa.array(mark.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["gram", "body", "id", "mark", "first", "n"])
+                    h, body, k1, k2, first, n = (np.concatenate(c) for c in cols)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, body, k1, k2, first.astype(np.int32), n.astype(np.int32))], ["gram", "body", "k1", "k2", "first", "n"])
 
     return run
 
@@ -279,20 +280,21 @@ def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 14, id_col
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    # A row is told by its id and its text; a null id is no number of its own.
-    keys = (F.coalesce("doc_id", F.lit(0)).alias("id"), F.hash("doc_id", "text").alias("mark"))
-    every = settle(rows.select(*keys, "text").mapInArrow(_scan(length), "gram long, body long, id long, mark int, first int, n int"), "runs")
+    # A row is told by its id and its text; the first column is the seed of the next one's hash.
+    same = ["k1", "k2"]
+    keys = tuple(F.xxhash64(F.lit(i), F.col("doc_id").isNull(), "doc_id", "text").alias(k) for i, k in enumerate(same))
+    every = settle(rows.select(*keys, "text").mapInArrow(_scan(length), "gram long, body long, k1 long, k2 long, first int, n int"), "runs")
     again = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     again = settle(again, "again")
     release(spark)
     kept = settle(every.join(again, "gram", "left_semi"), "runs")
     discard(every)
-    one = F.min(F.struct("id", "mark", "first")).alias("one")
+    one = F.min(F.struct(*same, "first")).alias("one")
     bodies = settle(kept.groupBy("gram", "body", "n").agg(F.count(F.lit(1)).alias("times"), one), "bodies")
     kinds = bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     differ = bodies.join(kinds, "gram").select("gram", "body", "n", (F.col("kinds") > wide).alias("wide"), "one.*")
-    asked = differ.groupBy("id", "mark").agg(F.collect_list(F.struct("gram", "body", "n", "wide", "first")).alias("reps"))
-    found = rows.select(*keys, "text").join(asked, ["id", "mark"]).select("text", "reps").mapInArrow(_cut_out(length), "gram long, body long, n long, wide boolean, bytes binary")
+    asked = differ.groupBy(*same).agg(F.collect_list(F.struct("gram", "body", "n", "wide", "first")).alias("reps"))
+    found = rows.select(*keys, "text").join(asked, same).select("text", "reps").mapInArrow(_cut_out(length), "gram long, body long, n long, wide boolean, bytes binary")
     # Rows that share id and text give the same run more than once.
     cut = settle(found, "cut").dropDuplicates(["gram", "body", "n"])
     release(spark)
@@ -307,9 +309,9 @@ def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 14, id_col
     release(spark)
     hits = kept.join(repeats, ["gram", "body"]).where("z <= n")
     span = F.shiftleft((F.col("first") + F.col("a")).cast("long"), 32).bitwiseOR(F.col("first") + F.col("z") + F.lit(length - 1))
-    spans = settle(hits.select("id", "mark", span.alias("span")).groupBy("id", "mark").agg(F.collect_set("span").alias("spans")), "spans")
+    spans = settle(hits.select(*same, span.alias("span")).groupBy(*same).agg(F.collect_set("span").alias("spans")), "spans")
     release(spark)
-    joined = rows.select("doc_id", *keys, "text").join(spans, ["id", "mark"], "left").select("doc_id", "text", "spans")
+    joined = rows.select("doc_id", *keys, "text").join(spans, same, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_finish, "doc_id long, n_bytes long, starts array<long>, stops array<long>, kept_sha256 string")
 
 

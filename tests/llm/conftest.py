@@ -19,7 +19,7 @@ def corpus():
     texts = [None, "", "", " \n\t", "one", "two words", base, base, " ".join(near), f"{words(3, 40)} {shared} {words(4, 40)}", f"{words(5, 60)}\n{shared}\n{words(6, 10)}", shared, "ab " * 400, words(7, 5000), base + " ", "Ünïcode  tëxt\x1fwith\x0bodd spaces", "x" * 900]
     texts += [words(100 + i, 60) for i in range(20)]
     rows = [(i * 3, t) for i, t in enumerate(texts)]
-    return [*rows, rows[6], (None, shared), (None, None)]
+    return [*rows, rows[6], (None, shared), (None, None), (18, words(50, 70)), (None, shared), (None, words(51, 230))]
 
 
 @pytest.fixture(scope="session")

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import registry
 
@@ -32,6 +33,28 @@ def test_decisions_take_effect(spark):
     assert kept == {r["component_id"] for r in groups}
 
 
+def test_rows_without_or_with_repeated_ids_stay(spark):
+    """And columns that operators use inside, and empty tables."""
+    from tests.llm.conftest import words
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = [(None, words(1, 80)), (None, words(2, 80)), (0, words(3, 80)), (0, words(3, 80)), (None, words(1, 80))]
+    new = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in more], "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    extra = ["key", "row", "times", "member", "print", "label", "taken", "turn", "c", "size"]
+    every = docs.union(new).withColumns({c: F.lit(c) for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, every, SMALL)
+        assert got.columns == every.columns
+        kept = {r["text"] for r in got.select("text").collect()}
+        assert {t for _, t in more} <= kept, name
+    got = corpus_pipeline.drop_near_duplicates(spark, every, SMALL).where(F.col("text") == more[2][1]).count()
+    assert got == 1
+    mixed = corpus_pipeline.mix_sources(spark, every, SMALL)
+    assert mixed.columns == every.columns and mixed.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 4
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, every.limit(0), SMALL).collect() == []
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -44,32 +46,154 @@ def test_decontaminate(spark, docs, corpus, empty):
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "c x b y a"), (2, "a " + "z " * 30 + "b c"), (3, "a b")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    assert {r["id"] for r in decontaminate.near_matches(docs, items, slop=5).collect()} == {1}
+def test_decontaminate_by_shuffle(spark, docs, corpus):
+    """With nothing broadcast the result is the same."""
+    bench = spark.createDataFrame([(1, corpus[6][1]), (2, "two words"), (3, "ab ab ab"), (4, "words")], "item_id long, text string")
+    rows = lambda limit: Counter((r["key"], r["n_hit"], *r["items"]) for r in decontaminate.decontaminate(docs, bench, limit=limit).collect())
+    assert rows(0) == rows(1000) and any(k[1] for k in rows(0))
+    near = lambda limit: Counter(tuple(r) for r in decontaminate.near_matches(docs, bench, slop=3, limit=limit).collect())
+    assert near(0) == near(1000)
+
+
+@pytest.mark.parametrize("slop", [0, 1, 5])
+def test_proximity(spark, slop):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdz") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["c x b y a", "a " + "z " * 30 + "b c", "a b", None]
+    items = [(1, "a b c"), (2, "d"), (3, "b b a"), (4, "q a")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["id"], r["item"], r["pos"]) for r in decontaminate.near_matches(docs, spark.createDataFrame(items, "item_id long, text string"), slop=slop).collect()}
+    seen = Counter(w for t in texts for w in (t or "").split())
+    want = set()
+    for item, phrase in items:
+        terms = phrase.split()
+        rarest = min(range(len(terms)), key=lambda k: (seen[terms[k]], terms[k], k))
+        for i, t in enumerate(texts):
+            w = (t or "").split()
+            want |= {(i, str(item), p) for p, x in enumerate(w) if x == terms[rarest] and set(terms) <= set(w[max(0, p - slop) : p + slop + 1])}
+    assert got == want and (slop == 0 or want)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
 <!-- ad --><div class="ad">Buy</div>%s<aside>Side</aside><div id="cookie-notice">We use cookies</div><footer>&copy; x &middot; y</footer></body></html>"""
 
 
+def lines_of(page):
+    got = html_extract.page_lines(page)
+    return html_extract.main_lines([x for x, _ in got], [k for _, k in got])
+
+
 @pytest.mark.parametrize(
     ("body", "want"),
     [
         ("<article><h1>A &amp; B</h1><p><b>One<br>two   three<p>Four&nbsp;five</p></article>", "A & B One two three Four five"),
-        ("<article><p>Open", "Open Side We use cookies © x · y"),
         ("<main><p>Main <i>te</i>xt</p><div class='comments'><p>Nice!</p></div></main>", "Main text"),
-        ("<article><header><h1>H</h1></header><p>B</p><form><input><label>L</label></form><div class='share-buttons'>S</div></article>", "H B"),
-        ("<article><p>a<script>1 < 2</script>b</p></article>", "a b"),
-        ("<article><p title='x > y'>q</p><table><tr><td>1<td>2</table></article>", "q 1 2"),
+        ("<article><header><h1>H</h1></header><p>Body</p><form><input><label>L</label></form><div class='share-buttons'>S</div></article>", "H Body"),
+        ("<article><p>a<script>1 < 2</script>b</p><p>and more</p></article>", "a b and more"),
+        ("<article><p title='x > y'>question</p><table><tr><td>1<td>2</table></article>", "question 1 2"),
+        ("<article><p data=it's>Hello</p><p>don't</p><p>y</p></article>", "Hello don't y"),
+        ("<article><p data=it's>Hello there</p></article>", "Hello there"),
+        ("<article><section id='related-work'><p>Related work</p></section><p class='share-price'>Price</p><label>Name</label></article>", "Related work Price Name"),
+        ("<article><p>short</p></article><p>The text itself stands beside the teaser</p>", "short The text itself stands beside the teaser"),
+        ("<p a=1 =b c = 'd' e= f/ g>text</p><p x='y>lost</p>", "text"),
+        ("<!--><p>one</p><!-- --!><p>two</p></ x><?php y?><p>three</p>", "one two three"),
     ],
-)
+)
 def test_page_lines(body, want):
-    lines, marked = html_extract.page_lines(PAGE % body)
-    if body != "<article><p>Open":
-        assert marked and " ".join(lines) == want
-    assert html_extract.page_lines("") == ([], False)
+    page = PAGE % body
+    assert " ".join(lines_of(page)) == want
+    assert html_extract.page_lines("") == []
+
+
+def test_neighbours_and_differences_by_brute_force(spark):
+    rng = random.Random(7)
+    menu = ["Home", "News", "About us", "Terms", "Contact"]
+    rows = []
+    for i in range(400):
+        site = rng.choice(["a.example", "b.example", "c.example"])
+        path = rng.choice([f"/{i}", f"/one/{rng.randrange(9000)}/x", f"/y/{rng.choice('abc')}"])
+        words_ = [rng.choice(menu) for _ in range(rng.randint(0, 6))] + [f"Story {i} {k}" for k in range(rng.randint(0, 3))]
+        rng.shuffle(words_)
+        marked = i % 7 == 0
+        rows.append((i if i % 50 else None, f"http://{site}{path}", "".join(f"<p>{w}</p>" for w in words_) + (f"<article><p>{'Article text ' * 9}{i}</p></article>" if marked else "")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    parsed = []
+    for i, url, page in rows:
+        got = html_extract.page_lines(page)
+        parsed.append((*html_extract._host_path(url), i, [x for x, _ in got], [k for _, k in got]))
+    # Pages of one path are in no set order: any order's results count.
+    by = {}
+    for r in parsed:
+        by.setdefault(r[0], []).append(r)
+    allowed = {}
+    for host, of in by.items():
+        paths = sorted({r[1] for r in of})
+        for r in of:
+            same = [q for q in of if q[1] == r[1] and q is not r]
+            k = paths.index(r[1])
+            near = same + [q for q in of if q[1] in paths[k + 1 : k + 2]] + [q for q in of if q[1] in paths[max(0, k - 1) : k]]
+            outer = lambda q: [q[3][i] for i in html_extract.outer_places(q[4])]
+            allowed.setdefault(r[2], []).append({tuple(html_extract.main_lines(r[3], r[4], html_extract.shared(outer(r), outer(q)))) for q in near} | ({()} if not near else set()))
+    for r in html_extract.extract_text(pages).collect():
+        assert any(tuple(r["lines"]) in options for options in allowed[r["page_id"]])
+
+
+def test_longest_common_subsequence():
+    rng = random.Random(0)
+    for n in [12] * 300 + [70] * 30:
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, n))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        got = sorted(html_extract.shared(a, b))
+        assert len(got) == table[-1][-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in got)  # in order
+    many = ["x", "y"] * 10_000
+    assert len(html_extract.shared(many, many[1:])) == len(many) - 1
+
+
+def test_hits_exceptions_and_bounds():
+    m = toxicity.Lexicon({"trash": 2.0}, ["trash can"]).matcher()
+    assert [h[2] for h in m.hits("trash, trashy trash can. trash")] == ["trash", "trash"]
+    m = toxicity.Lexicon({"idio*": 2.0}, ["not idiotic", "idio* can", "no idio*"]).matcher()
+    assert [h[0] for h in m.hits("idiot, not idiotic, idiots can, not idiots, no idiocy")] == [0, 36]
+    assert toxicity.Lexicon().matcher().score("anything") < 1e-20
+
+
+def test_toxicity_exceptions_of_stems_are_learned(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1500):
+        text = words(i, 30).split()
+        toxic = i % 3 == 0
+        if toxic:
+            text.insert(rng.randrange(30), rng.choice(["rottenly", "rottening", "rottened", "rottens"]))
+        elif i % 3 == 1 and i % 2:
+            text[9:9] = ["never", "rottenness"]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    matcher = lexicon.matcher()
+    assert matcher.score("x rottenly y") > 0.5 > matcher.score("x never rottenness y")
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """One id 3,000 times, with texts of its own or one text, and labels of documents that aren't there."""
+    rows = [(1, f"text number {i}", "aa") for i in range(3000)] + [(i, "one text", "bb") for i in range(2, 60)] + [(None, "no id", "cc")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5000)], "doc_id long, toxic int")
+    took = toxicity.training_rows(docs, labels, F.lit(True), 100).collect()
+    assert 1 < len(took) <= 100
+    keys = docs.select("doc_id", F.xxhash64("text").alias("mark"), "lang")
+    got = Counter(r["lang"] for r in language_id.sample(keys, 100).collect())
+    assert got == {"aa": 33, "bb": 33, "cc": 1}
+    model = language_id.fit(docs, crc_mod("doc_id", 4) != 2, 100)
+    assert model.langs == ["aa", "bb"]
+    for module, n in ((toxicity, 5), (language_id, 4)):
+        held = docs.select(module.held_out("doc_id", n, 0)).collect()
+        assert all(r[0] is not None for r in held)
 
 
 def test_differencing_on_unmarked_pages(spark):
@@ -98,29 +222,12 @@ def test_unmarked_pages_alone_in_their_folders(spark):
     assert near == {i: i + 1 if i % 5 < 4 and i < 200 else None if i == 200 else i - 1 for i in range(201)}
 
 
-def test_longest_common_subsequence():
-    rng = random.Random(0)
-    for _ in range(200):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert len(a) - len(html_extract.without_shared(a, b)) == table[-1][-1]
-
-
 def test_folding():
     assert toxicity.fold("1D10T") == "idiot" and toxicity.fold("mor0n!") == "moron!"
     assert toxicity.fold("Idіоt") == "idiot" and toxicity.fold("stÚpìd") == "stupid"
     assert toxicity.fold("in 1990, 50$") == "in 1990, 50$"
 
 
-def test_hits_exceptions_and_bounds():
-    m = toxicity.Lexicon({"trash": 2.0}, ["trash can"]).matcher()
-    assert [h[2] for h in m.hits("trash, trashy trash can. trash")] == ["trash", "trash"]
-    assert toxicity.Lexicon().matcher().score("anything") < 0.01
-
-
 def test_toxicity_learns(spark):
     rng = random.Random(2)
     bad = ["vile", "scumm", "rotten"]
@@ -182,29 +289,74 @@ def test_fair_targets():
     assert mixing.fair_targets([0, 4], [5, 2], 6, 2) == [0.0, 6.0]
 
 
-def test_mix(docs, corpus, empty):
-    schedule, sized = mixing.mix(docs)
-    sized, taken = sized.collect(), Counter()
+def queued(corpus, packet):
+    """Brute force: (source targets, units in the order of service, rows) of the mix."""
+    rows = [(i, f"s{(i or 0) % 3}" if i != 9 else None, t or "") for i, t in corpus]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sized = [(src, md5(":".join([*([] if i is None else [str(i)]), "7", md5(t)])), i, len(re.findall(r"[^\x20\x09-\x0D]+", t))) for i, src, t in rows]
+    names = sorted({r[0] for r in sized}, key=lambda x: (x is None, x or ""))
+    n = {s: sum(r[3] for r in sized if r[0] == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_, budget = {}, set(names), 1.5 * sum(n.values())
+    while open_:
+        left, whole = budget - sum(target.values()), sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / whole >= 2 * n[s]]
+        if not over:
+            target |= {s: left * weight[s] / whole for s in open_}
+            break
+        target |= {s: 2 * n[s] for s in over}
+        open_ -= set(over)
+    units = []
+    for k, s in enumerate(names):
+        at = 0
+        for _ in range(2):
+            for _, turn, i, size in sorted((r for r in sized if r[0] == s), key=lambda r: r[1]):
+                step = size if (at + size) / target[s] <= 1 else packet
+                units += [((at + min(o + step, size)) / target[s], k, at + min(o + step, size), (i, turn), min(step, size - o)) for o in range(0, size, step or 1)]
+                at += size
+    return target, n, sorted(units), math.floor(budget)
+
+
+@pytest.mark.parametrize("packet", [1, 16])
+def test_mix_is_the_truncated_schedule(docs, corpus, empty, packet):
+    target, n, units, budget = queued(corpus, packet)
+    want, left = Counter(), budget
+    for _, _, _, (i, _), u in units:
+        want[i] += min(u, left)
+        left -= min(u, left)
+    schedule, sized = mixing.mix(docs, packet=packet)
     rows = schedule.collect()
+    got = Counter()
     for r in rows:
-        taken[r["row"]] += r["taken"]
-    size = Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in corpus)
-    assert Counter((r["doc_id"], r["size"]) for r in sized) == size
-    by = {}
-    for r in sized:
-        s = by.setdefault(r["source"], [0, 0, r["target"], r["source_size"]])
-        s[0] += r["size"]
-        s[1] += taken[r["row"]]
-        assert taken[r["row"]] <= 2 * r["size"]
-    assert all(s[0] == s[3] and abs(s[1] - s[2]) <= 1 and s[2] <= 2 * s[3] for s in by.values())
-    assert sum(s[2] for s in by.values()) == pytest.approx(1.5 * sum(s[0] for s in by.values()))
-    assert None in by
-    again, _ = mixing.mix(docs)
-    assert Counter((r["doc_id"], r["copy"], r["taken"]) for r in again.collect()) == Counter((r["doc_id"], r["copy"], r["taken"]) for r in rows)
+        got[r["doc_id"]] += r["taken"]
+    assert +got == +want and sum(got.values()) == budget
+    by = {r["source"]: (r["source_size"], r["target"]) for r in sized.collect()}
+    assert by.keys() == target.keys() and None in by
+    assert all(by[s] == (n[s], pytest.approx(target[s])) for s in by)
+    taken = Counter()
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 2 * packet for s in by)
+    order = sorted(rows, key=lambda r: r["before"])
+    assert [r["finish"] for r in order] == sorted(r["finish"] for r in rows)
+    again, _ = mixing.mix(docs, packet=packet)
+    assert Counter((r["doc_id"], r["copy"], r["before"], r["taken"]) for r in again.collect()) == Counter((r["doc_id"], r["copy"], r["before"], r["taken"]) for r in rows)
     schedule, sized = mixing.mix(empty)
     assert schedule.collect() == sized.collect() == []
 
 
+def test_mix_by_given_weights_and_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_CHUNK", 50)
+    rows = [(None, "a b c", "x")] * 300 + [(i, "d e", "y") for i in range(300)]
+    schedule, sized = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"y": 3}, 0.5)
+    taken = Counter()
+    for r in schedule.collect():
+        taken[(r["source"], r["member"])] += r["taken"]
+    assert sum(taken.values()) == 750 and sized.count() == 301
+    assert abs(sum(v for (s, _), v in taken.items() if s == "x") - 187.5) <= 16
+    assert all(v <= 3 for v in taken.values() if v) or max(taken.values()) <= 2 * 600
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(0)
     for width in (1, 3, 8, 13, 16, 17, 24, 32):
@@ -216,16 +368,11 @@ def test_pack_round_trip():
         token_output.pack(np.array([8], np.uint32), 3)
 
 
-def test_word_encoder_equals_the_tokenizer():
-    from tokenizers import Tokenizer
-
+def test_whole_texts_go_to_the_tokenizer():
     path = token_output.default_tokenizer()
-    plain, fast = Tokenizer.from_file(path), token_output.WordEncoder(path)
-    rng = random.Random(1)
-    letters = "aé'İs.,<|ΣdDtT 1½…́\n\xa0日K क़"
-    texts = ["", "Don't, 'send we'LL. ", "<|endoftext|>x <|ENDOFTEXT|>", "a\x1cb\x85c", "été, …, x. y"] + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500)]
-    for t, got in zip(texts, fast.ids([t.encode() for t in texts]), strict=True):
-        assert got.tolist() == plain.encode(t, add_special_tokens=False).ids
+    plain = token_output.encoder(path)
+    texts = ["", "Don't, 'send we'LL. ", "<|endoftext|>x <|ENDOFTEXT|>", "a\x1cb\x85c", "été, …, x. y", words(3, 9000)]
+    assert [x.tolist() for x in token_output.encode(plain, texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
