@@ -57,7 +57,8 @@ def short_method(sig: Column) -> Column:
 
 
 def line_count(start: Column, end: Column) -> Column:
-    return F.greatest(F.lit(0), end - start + 1)
+    """At least 0; null without lines."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.greatest(F.lit(0), end - start + 1))
 
 
 def line_or_unknown(line: Column) -> Column:

@@ -166,7 +166,7 @@ def call_graph_fan_out(f):
 @query("""
     WITH RECURSIVE walk(node) AS (SELECT sig FROM root
         UNION SELECT e.dst FROM walk w JOIN call_edge e ON e.src = w.node WHERE NOT starts_with(e.dst, '<com.economy.') AND e.dst NOT IN (SELECT sig FROM bridge))
-    SELECT e.src, e.dst, nullif(greatest(e.call_line - 1, 0), 0) AS call_line, NOT (starts_with(e.dst, '<com.economy.') OR e.dst IN (SELECT sig FROM bridge)) AS inside
+    SELECT e.src, e.dst, nullif(greatest(e.call_line - 1, 0), 0) AS call_line, NOT (starts_with(e.dst, '<com.economy.') OR e.dst IN (SELECT sig FROM bridge)) OR e.dst IN (SELECT sig FROM root) AS inside
     FROM walk w JOIN call_edge e ON e.src = w.node""")
 def leaf_markers(f):
     """Exactly one of ref, cycle and filtered; lines that aren't positive go."""

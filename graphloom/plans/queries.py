@@ -195,7 +195,7 @@ def scc_edges(f):
 
 
 @query("""WITH RECURSIVE walk(node) AS (SELECT sig FROM root UNION SELECT e.dst FROM walk w JOIN call_edge e ON e.src = w.node WHERE NOT starts_with(e.dst, '<com.economy.') AND e.dst NOT IN (SELECT sig FROM bridge))
-    SELECT e.src, e.dst, starts_with(e.dst, '<com.economy.') OR e.dst IN (SELECT sig FROM bridge) AS filtered FROM walk w JOIN call_edge e ON e.src = w.node""")
+    SELECT e.src, e.dst, (starts_with(e.dst, '<com.economy.') OR e.dst IN (SELECT sig FROM bridge)) AND e.dst NOT IN (SELECT sig FROM root) AS filtered FROM walk w JOIN call_edge e ON e.src = w.node""")
 def xtrace_classify(f):
     known = f.method.where("not is_bridge").select("sig")
     _, calls = calltree.discover(f.call_edge, _root(f), known, S.may_recurse(S.class_of(F.col("dst")), [], ["com.economy."]))

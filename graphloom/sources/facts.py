@@ -29,7 +29,8 @@ SQL = {
     "call_edge": """
         SELECT m.sig AS src, n.sig AS dst, c.call_line, CAST(row_number() OVER (PARTITION BY c.src ORDER BY c.dst) AS BIGINT) AS ord
         FROM part_call c JOIN method m ON m.pid = c.src JOIN method n ON n.pid = c.dst""",
-    "root": "SELECT src AS sig FROM (SELECT src, count(*) AS n FROM call_edge GROUP BY src ORDER BY n DESC, src LIMIT 1)",
+    # The method of small and standard classes with the most callees.
+    "root": "SELECT src AS sig FROM (SELECT src, count(*) AS n FROM call_edge WHERE src LIKE '<com.small.%' OR src LIKE '<com.standard.%' GROUP BY src ORDER BY n DESC, src LIMIT 1)",
     "bridge": "SELECT sig FROM method WHERE is_bridge",
     # Nations are classes that implement regions; customers call methods of regions.
     "class_rel": """

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def test_signatures(spark):
     assert col(spark, ["p#1 := @parameter12: int", "$p := @parameter0: int", "x"], S.parameter_index) == [12, None, None]
     assert col(spark, ["v = 1", "v := @this", "vv = 1", "x = v"], lambda c: S.defines(c, F.lit("v"))) == [True, True, False, False]
     assert col(spark, ["a.B-c"], S.sanitized) == ["a_B_c"] and col(spark, ['q"\\\n'], S.dot_escaped) == ['q\\"\\\\\\n']
-    assert col(spark, ["a.ServiceX", "a.Dao", "z"], lambda c: S.layer(c, {"service": "Service", "dao": "Dao"})) == ["service", "dao", "unknown"]
+    assert col(spark, ["a.ServiceX", "a.Dao", "z"], lambda c: S.layer(c, {"service": "Service", "dao": "Dao"})) == ["service", "dao", ""]
     assert col(spark, [0, 1, 2, 3], S.is_definition, "int") == [False, True, False, True]
     stop = S.Stop.exact("a") | S.Stop.prefix("b.") | S.Stop.never()
     assert col(spark, ["a", "b.c", "c"], stop) == [True, True, False]
@@ -47,7 +49,7 @@ def test_page_actions():
 
 
 def test_web(spark):
-    pages = spark.createDataFrame([("a/x.jsp", '<jsp:include page="y.jsp"/><c:import url="/z.jsp"/><ui:include src="../../out.jsp"/><%@ include file="${v}" %><i v="#{bean.go}">#{}</i>'), ("a/y.jsp", '<jsp:include page="http://h/q.jsp"/>'), ("z.jsp", '<jsp:include page="a/x.jsp"/>')], "jsp string, html string")
+    pages = spark.createDataFrame([("a/x.jsp", '<jsp:include page="y.jsp"/><C:Import var="v" url="/z.jsp"/><ui:include src="../../out.jsp"/><%@ include file="${v}" %><i v="#{bean.go}">#{}</i>'), ("a/y.jsp", '<jsp:include page="http://h/q.jsp"/>'), ("z.jsp", '<jsp:include page="a/x.jsp"/>')], "jsp string, html string")
     links = web.resolve_includes(web.include_paths(pages), pages)
     assert {tuple(r) for r in links.collect()} == {("a/x.jsp", "a/y.jsp"), ("a/x.jsp", "z.jsp"), ("z.jsp", "a/x.jsp")}
     assert {r["jsp"] for r in web.include_closure(links, spark.createDataFrame([("z.jsp",)], "jsp string")).collect()} == {"z.jsp", "a/x.jsp", "a/y.jsp"}
@@ -62,44 +64,134 @@ def test_web(spark):
         web.resolver("none")
 
 
-GAPS = [
-    ("A>B B>C", "A B C", "", "A B C"), ("A>B B>C", "A C", "", "A B C"), ("A>H H>C", "A C", "H", "A C"), ("X>B B>C", "C", "", "C"), ("A>B B>X", "A", "", "A"),
-    ("A>B B>C C>D", "A D", "", "A B C D"), ("E>A A>B", "A B", "", "A B E"), ("E>A", "A", "E", "A"),
-]
+def random_flow(seed, n=9):
+    """Blocks 0 to n - 1, edges, traps (handler, covered) of one method."""
+    rng = random.Random(seed)
+    edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(4, 14))})
+    traps = [(rng.randrange(1, n), sorted(rng.sample(range(n), rng.randint(1, 4)))) for _ in range(rng.randint(0, 3))]
+    return edges, traps
 
 
-def test_fill_gaps(spark):
-    e, cover, traps = [], [], []
-    for i, (links, covered, handlers, _) in enumerate(GAPS):
-        e += [(i, *x.split(">"), None) for x in links.split()]
-        cover += [(i, 0, b) for b in covered.split()]
-        traps += [(i, 0, h) for h in handlers.split()] or [(i, 0, "none")]
-    got = blocks.fill_gaps(spark.createDataFrame(e, "sig int, src string, dst string, label string"), spark.createDataFrame(cover, "sig int, trap_idx int, block string"), spark.createDataFrame(traps, "sig int, trap_idx int, handler string")).collect()
-    for i, (*_, want) in enumerate(GAPS):
-        assert {r["block"] for r in got if r["sig"] == i} == set(want.split()), GAPS[i]
+def reach_from(near, starts, shut=frozenset()):
+    seen, todo = set(starts), list(starts)
+    while todo:
+        todo += (new := {d for d in near.get(todo.pop(), ()) if d not in shut} - seen)
+        seen |= new
+    return seen
 
 
-def test_handler_regions_stay_out_of_normal_flow(spark):
-    e = spark.createDataFrame([(1, "B0", "B1"), (1, "H", "X"), (1, "X", "B1"), (1, "B1", "B2")], "sig int, src string, dst string")
-    normal = blocks.normal_flow(e, spark.createDataFrame([(1, "B0")], "sig int, block string"))
-    assert {r["block"] for r in normal.collect()} == {"B0", "B1", "B2"}
-    traps = spark.createDataFrame([(1, 0, "H"), (1, 1, "B1")], "sig int, trap_idx int, handler string")
-    got = {(r["trap_idx"], r["block"]) for r in blocks.handler_regions(e, traps, normal).collect()}
-    assert got == {(0, "H"), (0, "X"), (1, "B1")}
+def both_ways(edges):
+    ahead, back = {}, {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+        back.setdefault(b, set()).add(a)
+    return ahead, back
 
 
-@pytest.mark.parametrize(
-    ("cover", "handle", "want"),
-    [
-        ([(0, "B0"), (0, "B1"), (0, "B3")], [(0, "B3"), (0, "B4")], {("B0", "try", 0), ("B1", "try", 0), ("B3", "handler", 0), ("B4", "handler", 0)}),
-        ([(0, "B0"), (1, "B0"), (1, "B5")], [(0, "B5"), (1, "B7")], {("B0", "try", 0), ("B5", "handler", 0), ("B7", "handler", 1)}),
-        ([(0, "B0"), (1, "B0")], [(0, "B5"), (1, "B6")], {("B0", "try", 0), ("B5", "handler", 0), ("B6", "handler", 1)}),
-    ],
-)
-def test_assign_clusters(spark, cover, handle, want):
+def filled(edges, covered, handlers):
+    """Covered, what lies between covered blocks off the handlers, and entries that flow into that."""
+    ahead, back = both_ways(edges)
+    full = set(covered) | (reach_from(ahead, covered, handlers) & reach_from(back, covered, handlers)) - handlers
+    return full | {b for b in ahead if b not in back and b not in handlers and ahead[b] & full}
+
+
+def region(edges, handler, normal):
+    return reach_from(both_ways(edges)[0], [handler], normal)
+
+
+METHODS = [random_flow(seed) for seed in range(40)]
+
+
+@pytest.fixture(scope="module")
+def flows(spark):
+    e = [(m, a, b) for m, (edges, _) in enumerate(METHODS) for a, b in edges]
+    traps = [(m, i, h) for m, (_, traps) in enumerate(METHODS) for i, (h, _) in enumerate(traps)]
+    cover = [(m, i, b) for m, (_, traps) in enumerate(METHODS) for i, (_, c) in enumerate(traps) for b in c]
+    return (
+        spark.createDataFrame(e, "sig int, src int, dst int"),
+        spark.createDataFrame(traps, "sig int, trap_idx int, handler int"),
+        spark.createDataFrame(cover, "sig int, trap_idx int, block int"),
+    )
+
+
+def test_fill_gaps(flows):
+    edges, traps, cover = flows
+    want = {(m, i, b) for m, (e, traps_) in enumerate(METHODS) for i, (_, c) in enumerate(traps_) for b in filled(e, c, {h for h, _ in traps_})}
+    got = blocks.fill_gaps(edges, cover, traps).collect()
+    assert {(r["sig"], r["trap_idx"], r["block"]) for r in got} == want and len(got) == len(want)
+
+
+def test_handler_regions(spark, flows):
+    edges, traps, _ = flows
+    entries = spark.createDataFrame([(m, 0) for m in range(len(METHODS))], "sig int, block int")
+    normal = {m: reach_from(both_ways(e)[0], [0]) for m, (e, _) in enumerate(METHODS)}
+    got = blocks.normal_flow(edges, entries)
+    assert {(r["sig"], r["block"]) for r in got.collect()} == {(m, b) for m, bs in normal.items() for b in bs}
+    want = {(m, i, b) for m, (e, traps_) in enumerate(METHODS) for i, (h, _) in enumerate(traps_) for b in region(e, h, normal[m])}
+    assert {(r["sig"], r["trap_idx"], r["block"]) for r in blocks.handler_regions(edges, traps, got).collect()} == want
+
+
+def test_assign_clusters(spark):
+    """A block that any trap handles is a handler block, else it is tried; the first trap wins."""
+    rng = random.Random(12)
+    cover = sorted({(rng.randrange(30), rng.randrange(4), f"K{rng.randrange(7)}") for _ in range(200)})
+    handle = sorted({(rng.randrange(30), rng.randrange(4), f"K{rng.randrange(7)}") for _ in range(60)})
+    want = {}
+    for role, rows in (("handler", handle), ("try", cover)):
+        for m, i, b in rows:
+            if role == "handler" or (m, b, "handler") not in want:
+                want[(m, b, role)] = min(i, want.get((m, b, role), i))
     schema = "sig int, trap_idx int, block string"
-    got = blocks.assign_clusters(*(spark.createDataFrame([(1, *r) for r in rows], schema) for rows in (cover, handle)))
-    assert {(r["block"], r["role"], r["trap_idx"]) for r in got.collect()} == want
+    got = blocks.assign_clusters(spark.createDataFrame(cover, schema), spark.createDataFrame(handle, schema))
+    assert {(r["sig"], r["block"], r["role"]): r["trap_idx"] for r in got.collect()} == want
+
+
+def test_block_traces(spark):
+    """Numbers, labels, traps, gaps, regions and inlined handlers of whole methods."""
+    ir, succ, throws, want = [], [], [], {}
+    for m, (edges, traps) in enumerate(METHODS):
+        rng = random.Random(500 + m)
+        place = rng.sample(range(100, 200), 9)  # the blocks' names say nothing about their order
+        lines, tails = {}, {}
+        for b in range(9):
+            rows = [rng.choice([-1, 3 * b, 3 * b + 1, 70, 71]) for _ in range(rng.randint(1, 3))]
+            lines[b] = {n for n in rows if n > 0}
+            tails[b] = rng.random() < 0.5
+            for k, n in enumerate(rows):
+                last = k == len(rows) - 1
+                ir.append((f"m{m}", place[b], 10 * b + k, None if n < 0 else n, "t", None, None, "p.K.f" if not last else None, False, 0, "u > 1" if last and tails[b] else None, False))
+        ahead, _ = both_ways(edges)
+        for b, to in ahead.items():
+            succ += [(f"m{m}", place[b], k, place[d]) for k, d in enumerate(sorted(to))]
+        table = {}
+        for h, covered in traps:
+            for b in covered:
+                table.setdefault((h, f"E{h % 2}"), set()).add(b)
+        throws += [(f"m{m}", place[b], place[h], kind) for (h, kind), bs in table.items() for b in bs]
+        order = sorted(table, key=lambda t: (min(table[t]), f"B{t[0]}", t[1]))
+        normal, heads = reach_from(ahead, [0]), {h for h, _ in table}
+        full = [filled(edges, table[t], heads) for t in order]
+        regions = [set(region(edges, h, normal)) for h, _ in order]
+        taken = set().union(*full, *regions)
+        for i, (h, _) in enumerate(order):
+            for b in range(9):
+                if lines[h] and b not in taken and lines[b] and lines[b] <= lines[h]:
+                    regions[i].add(b)
+                    taken.add(b)
+        labels = {(a, d): ("TF"[k] if tails[a] and len(to) == 2 else None) for a, to in ahead.items() for k, d in enumerate(sorted(to))}
+        want[f"m{m}"] = ({(f"B{a}", f"B{d}"): x for (a, d), x in labels.items()}, [(f"B{h}", k, {f"B{b}" for b in full[i]}, {f"B{b}" for b in regions[i]}) for i, (h, k) in enumerate(order)])
+    schema = "sig string, block int, ord long, line long, text string, lhs string, rhs string, call_target string, returns_boolean boolean, arg_count int, condition string, is_switch boolean"
+    t = blocks.block_trace(spark.createDataFrame(ir, schema), spark.createDataFrame(succ, "sig string, block int, pos int, succ int"), spark.createDataFrame(throws, "sig string, block int, handler int, type string"))
+    rows = {k: df.collect() for k, df in t.items()}
+    for m, (labels, traps) in want.items():
+        own = {k: [r for r in v if r["sig"] == m] for k, v in rows.items()}
+        assert sorted(r["block"] for r in own["block"]) == [f"B{b}" for b in range(9)]
+        assert {(r["src"], r["dst"]): r["label"] for r in own["block_edge"]} == labels
+        got = []
+        for trap in sorted(own["trap"], key=lambda r: r["trap_idx"]):
+            part = lambda k, i=trap["trap_idx"], own=own: {r["block"] for r in own[k] if r["trap_idx"] == i}
+            got.append((trap["handler"], trap["type"], part("cover"), part("handler_block")))
+        assert got == traps
 
 
 def test_line_slices(spark):
@@ -181,13 +273,6 @@ def test_transform(graph):
     assert {(r["from"], r["to"], r["trap_type"]) for r in graph["exception_edges"].collect()} == {("n0", "n3", "Error"), ("n4", "n7", "Error")}
 
 
-def test_rendering(graph):
-    from graphloom.operators import render
-
-    dot = render.semantic_dot(graph["nodes"], graph["edges"], graph["drilldown"], graph["clusters"], graph["exception_edges"])
-    assert dot.startswith("digraph semantic {") and "n1 -> n2 [label=T, color=darkgreen];" in dot and "cluster_0_0" in dot and dot.count("subgraph cluster_") == 6
-
-
 def test_ascii_tree(spark):
     from graphloom.operators import render
 
@@ -200,13 +285,16 @@ def test_ascii_tree(spark):
     calls2 = calls.union(spark.createDataFrame([("r", "a", 1, 1, False)], calls.schema))
     got = [r["text"] for r in render.ascii_tree(nodes2, calls2).orderBy("top", "ord_path").collect()]
     assert got == ["R", "└── A:1", "    ├── B:5", "    │   └── A:7 [↻]", "    └── C"]
-    assert "a -> b;" in render.call_tree_dot(nodes, calls) and "b -> a [style=dashed, color=gray];" in render.call_tree_dot(nodes, calls)
+    assert "a -> b;" in render.call_tree_dot(nodes, calls) and "b -> a [style=dashed color=gray];" in render.call_tree_dot(nodes, calls)
     chains = spark.createDataFrame([(1, ["a", "b"])], "chain long, path array<string>")
     assert [r["text"] for r in render.chain_lines(chains, nodes, calls).orderBy("pos").collect()] == ["A @L5", "  B"]
-    stmts = spark.createDataFrame([("d", "s", "x = 1", "ASSIGN"), ("u", "s", "return x", "RETURN")], "id string, sig string, text string, kind string")
-    deps = spark.createDataFrame([("d", "u", "LOCAL")], "src string, dst string, kind string")
-    assert [r["text"] for r in render.ddg_tree(stmts, deps).orderBy("top", "ord_path").collect()] == ["return x", "└── [LOCAL] x = 1"]
-    assert "d -> u [color=black" in render.ddg_dot(stmts, deps)
+    sig = "<net.dock.Crane: int lift(long)>"
+    stmts = spark.createDataFrame([(f"{sig}#s1", sig, "x = 1", "ASSIGN", 4), (f"{sig}#s2", sig, "return x", "RETURN", 5)], "id string, sig string, text string, kind string, line long")
+    deps = spark.createDataFrame([(f"{sig}#s1", f"{sig}#s2", "LOCAL")], "src string, dst string, kind string")
+    assert [r["text"] for r in render.ddg_tree(stmts, deps).orderBy("top", "ord_path").collect()] == ["[Crane.lift L4] x = 1", "└── [LOCAL] [Crane.lift L5] return x"]
+    dot = render.ddg_dot(stmts, deps)
+    assert 'label="Crane.lift";' in dot and '[label="Crane.lift\\nL5: return x" shape=house];' in dot and '[label="LOCAL" color=black fontcolor=black];' in dot
+    assert dot.count("{") == dot.count("}")
 
 
 def test_validation(spark):
@@ -262,7 +350,10 @@ def test_icfg(spark):
     assert rows == {("f", 0, 1, "f", 0, 2, "INTRA"), ("f", 0, 2, "g", 1, 1, "CALL"), ("g", 1, 3, "f", 0, 3, "RETURN"), ("g", 1, 1, "g", 1, 2, "INTRA"), ("g", 1, 2, "g", 1, 3, "INTRA")}
     from graphloom.operators.render import icfg_dot
 
-    assert "color=blue, style=dashed" in icfg_dot(got_nodes, got)
+    shown = got_nodes.select(icfg.node_id().alias("id"), F.col("node").cast("string").alias("label"), F.col("sig").alias("method"), "depth")
+    links = got.select(icfg.node_id("src_sig", "src_depth", "src").alias("from"), icfg.node_id("dst_sig", "dst_depth", "dst").alias("to"), "kind")
+    dot = icfg_dot(shown, links)
+    assert 'style=dashed, color=blue, label="call"' in dot and dot.count("subgraph") == 2 and dot.count("{") == dot.count("}")
     assert icfg.icfg(nodes, edges, calls, "f", 1, S.Stop.exact("g")(F.col("callee")))[1].count() == 2
 
 
@@ -271,3 +362,49 @@ def test_expand_refs_keeps_what_is_left_at_the_depth(spark):
     top = spark.createDataFrame([("t", [], "s0", "ref", None)], "trace string, path array<int>, sig string, leaf_kind string, call_line long")
     got = sorted((r["sig"], r["leaf_kind"]) for r in trace.expand_refs(top, kids, kids.select("sig"), max_depth=2).collect())
     assert got == [("s0", None), ("s1", None), ("s2", "ref")]
+
+
+def test_expand_refs_at_any_depth(spark):
+    n = 130
+    kids = spark.createDataFrame([(f"s{i}", 0, f"s{i + 1}", "ref", i) for i in range(n)], "sig string, pos int, child string, leaf_kind string, call_line long")
+    top = spark.createDataFrame([("t", [], "s0", "ref", None)], "trace string, path array<int>, sig string, leaf_kind string, call_line long")
+    got = trace.expand_refs(top, kids.limit(12), kids.select("sig")).collect()
+    assert sorted((r["sig"], r["leaf_kind"]) for r in got) == sorted([(f"s{i}", None) for i in range(13)])
+
+
+def test_reaching_definitions_by_brute_force(spark):
+    rng = random.Random(21)
+    flow, defs, uses, want = [], [], [], set()
+    for m in range(25):
+        n = rng.randint(2, 9)
+        edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)})
+        made = sorted({(rng.randrange(n), rng.choice("abc")) for _ in range(n)})
+        used = sorted({(rng.randrange(n), rng.choice("abc")) for _ in range(n)})
+        ahead, _ = both_ways(edges)
+        for d, v in made:
+            stops = {x for x, w in made if w == v}
+            reached, todo = set(), set(ahead.get(d, ()))
+            while todo:
+                x = todo.pop()
+                reached.add(x)
+                todo |= set() if x in stops else ahead.get(x, set()) - reached
+            want |= {(f"m{m}", d, x) for x, w in used if w == v and x in reached}
+        flow += [(f"m{m}", *e) for e in edges]
+        defs += [(f"m{m}", *x) for x in made]
+        uses += [(f"m{m}", *x) for x in used]
+    got = dataflow.reaching_definitions(spark.createDataFrame(flow, "sig string, src long, dst long"), *(spark.createDataFrame(x, "sig string, stmt long, local string") for x in (defs, uses)))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_semantic_graphs_of_source_traces(spark):
+    entries = spark.createDataFrame([("", 0, 8, ["a.B.f"], None), ("", 1, 4, None, "c"), ("", 2, 8, ["a.B.f", "a.B.g"], None)], "sig string, ord long, line long, calls array<string>, branch string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    inst = spark.createDataFrame([("", [], "", None)], "trace string, path array<int>, sig string, call_line long")
+    parts = semantic.transform(
+        inst, empty("sig string, block string, block_ord long, ord long, line long, call string, branch string, assign string"), empty("sig string, block string, block_ord long, condition string"), empty("sig string, src string, dst string, label string"),
+        empty("sig string, trap_idx long, block string, ord long"), empty("sig string, trap_idx long, block string"), empty("sig string, trap_idx long, handler string, type string"), entries,
+    )
+    assert [(r["id"], r["line"], r["kind"], r["label"]) for r in parts["nodes"].orderBy("seq").collect()] == [("n0", 4, "branch", ["L4"]), ("n1", 8, "call", ["L8", "B.f", "B.g"])]
+    assert [(r["from"], r["to"]) for r in parts["edges"].collect()] == [("n0", "n1")]
+    runs = semantic.source_trace(spark.createDataFrame([("s", 0, 5, "x", None), ("s", 1, 5, "y", "b"), ("s", 2, 6, None, None), ("s", 3, 5, "x", None)], "sig string, ord long, line long, call string, branch string"))
+    assert [tuple(r) for r in runs.orderBy("ord").select("line", "calls", "branch").collect()] == [(5, ["x", "y"], "b"), (6, [], None), (5, ["x"], None)]
