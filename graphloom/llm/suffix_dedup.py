@@ -13,8 +13,10 @@ A string of `length` bytes that starts at two places is found in four steps.
    first bytes in order. Adjacent common prefixes of `length` bytes or more are repeats.
 4. The repeats are sent back to their documents and merged into maximal spans.
 
-Buckets with more than `wide` different runs are not sorted in one task; their
-windows are counted by gram and 128-bit hash instead.
+A bucket with more than `wide` different runs is dealt again before it is sorted: each of
+its windows goes to its least gram by another hash as well, and the runs of both grams
+form buckets of their own. What still shares all grams after `levels` such rounds, runs
+that differ in little, is counted window by window, by 128-bit hashes.
 
 Defined results: texts shorter than `length`, null and empty texts lose nothing;
 repeated rows are repeats of each other; a row is told by two 64-bit hashes of its id
@@ -65,12 +67,15 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, number of windows) of the runs of a text."""
+def runs(text: bytes, length: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first window, number of windows) of the runs of a text; each level orders the grams by another hash."""
     out = []
     for at in range(0, len(text) - length + 1, _SEGMENT):
         b = np.frombuffer(text, np.uint8)[at : at + _SEGMENT + length - 1]
         h = _gram_hashes(b)
+        if level:
+            h = (h ^ (h >> np.uint64(31)) ^ np.uint64(level)) * _M1
+            h = (h ^ (h >> np.uint64(32))) * _M2
         key = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
         least = (_least(key, length - _GRAM + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
@@ -208,9 +213,25 @@ def _cut_out(length: int):
     def run(batches):
         for b in batches:
             for text, reps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cols = [pa.array([r[k] for r in reps], pa.int64()) for k in ("gram", "body", "n")]
-                wide = pa.array([r["wide"] for r in reps], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*cols, wide, pa.array([text[r["first"] : r["first"] + r["n"] + length - 1] for r in reps], pa.binary())], ["gram", "body", "n", "wide", "bytes"])
+                cols = [pa.array([r[k] for r in reps], pa.int64()) for k in ("gram", "body", "n", "kinds")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([text[r["first"] : r["first"] + r["n"] + length - 1] for r in reps], pa.binary())], ["gram", "body", "n", "kinds", "bytes"])
+
+    return run
+
+
+def _deal_again(length: int, level: int):
+    """Runs of one more gram inside runs (gram, body, bytes), with their place there."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches):
+        for b in batches:
+            for gram, body, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                h, first, n = runs(data, length, level)
+                both = (h ^ np.uint64(gram & 0xFFFFFFFFFFFFFFFF)) * _M3
+                cut = [data[a:z] for a, z in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)]
+                bodies = np.array([xxh64_intdigest(x) for x in cut], np.uint64)
+                up = [pa.array(np.full(len(h), x)) for x in (gram, body)]
+                yield pa.RecordBatch.from_arrays([pa.array((both ^ (both >> np.uint64(29))).view(np.int64)), pa.array(bodies.view(np.int64)), pa.array(n), *up, pa.array(first), pa.array(cut, pa.binary())], ["gram", "body", "n", "up_gram", "up_body", "off", "bytes"])
 
     return run
 
@@ -272,7 +293,34 @@ def _finish(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "starts", "stops", "kept_sha256"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_SPANS = "gram long, body long, a long, z long"
+
+
+def _repeats(cut: DataFrame, length: int, wide: int, levels: int, level: int = 0) -> DataFrame:
+    """(gram, body, a, z): repeated windows of different runs (gram, body, n, kinds, bytes) that share a gram; kinds: how many of them."""
+    part = ["gram", "body", "n"]
+    # Rows that share id and text give the same run more than once.
+    once = lambda which: cut.where(which).select(*part, "bytes").dropDuplicates(part)
+    light = once(F.col("kinds").between(2, wide)).repartition("gram").sortWithinPartitions("gram", "body").mapInArrow(_sort(length), _SPANS)
+    heavy = settle(once((F.col("kinds") > wide) & (F.col("kinds") > 1)), "heavy")
+    if heavy.isEmpty():
+        return light
+    if level == levels:
+        hashes = heavy.mapInArrow(_window_hashes(length), "gram long, body long, a long, hash binary")
+        twice = hashes.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        return light.union(hashes.join(twice, ["gram", "hash"], "left_semi").select("gram", "body", "a", (F.col("a") + 1).alias("z")))
+    schema = "gram long, body long, n long, up_gram long, up_body long, off long, bytes binary"
+    dealt = settle(heavy.repartition("body").select("gram", "body", "bytes").mapInArrow(_deal_again(length, level + 1), schema), "dealt")
+    groups = settle(dealt.groupBy("gram", "body", "n").agg(F.count(F.lit(1)).alias("times"), F.first("bytes").alias("bytes")), "groups")
+    kinds = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    inner = _repeats(groups.join(kinds, "gram"), length, wide, levels, level + 1)
+    whole = groups.where("times > 1").select("gram", "body", F.lit(0).cast("long").alias("a"), F.col("n").alias("z"))
+    found = settle(inner.union(whole), "inner")
+    back = dealt.select("gram", "body", "n", "up_gram", "up_body", "off").join(found, ["gram", "body"]).where("z <= n")
+    return light.union(back.select(F.col("up_gram").alias("gram"), F.col("up_body").alias("body"), (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("z")).alias("z")))
+
+
+def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 11, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, starts and stops of the removed spans, kept_sha256."""
     if length < 2 * _GRAM:
         raise ValueError(f"length must be {2 * _GRAM} or more")
@@ -292,20 +340,13 @@ def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 14, id_col
     one = F.min(F.struct(*same, "first")).alias("one")
     bodies = settle(kept.groupBy("gram", "body", "n").agg(F.count(F.lit(1)).alias("times"), one), "bodies")
     kinds = bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    differ = bodies.join(kinds, "gram").select("gram", "body", "n", (F.col("kinds") > wide).alias("wide"), "one.*")
-    asked = differ.groupBy(*same).agg(F.collect_list(F.struct("gram", "body", "n", "wide", "first")).alias("reps"))
-    found = rows.select(*keys, "text").join(asked, same).select("text", "reps").mapInArrow(_cut_out(length), "gram long, body long, n long, wide boolean, bytes binary")
-    # Rows that share id and text give the same run more than once.
-    cut = settle(found, "cut").dropDuplicates(["gram", "body", "n"])
+    differ = bodies.join(kinds, "gram").select("gram", "body", "n", "kinds", "one.*")
+    asked = differ.groupBy(*same).agg(F.collect_list(F.struct("gram", "body", "n", "kinds", "first")).alias("reps"))
+    found = rows.select(*keys, "text").join(asked, same).select("text", "reps").mapInArrow(_cut_out(length), "gram long, body long, n long, kinds long, bytes binary")
+    cut = settle(found, "cut")
     release(spark)
-    schema = "gram long, body long, a long, z long"
-    part = ["gram", "body", "n", "bytes"]
-    narrow = cut.where("not wide").select(*part).repartition("gram").sortWithinPartitions("gram", "body").mapInArrow(_sort(length), schema)
-    hashes = cut.where("wide").select(*part).mapInArrow(_window_hashes(length), "gram long, body long, a long, hash binary")
-    twice = hashes.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    counted = hashes.join(twice, ["gram", "hash"], "left_semi").select("gram", "body", "a", (F.col("a") + 1).alias("z"))
     several = bodies.where("times > 1").select("gram", "body", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"))
-    repeats = settle(narrow.union(counted).union(several), "repeats")
+    repeats = settle(_repeats(cut, length, wide, levels).union(several), "repeats")
     release(spark)
     hits = kept.join(repeats, ["gram", "body"]).where("z <= n")
     span = F.shiftleft((F.col("first") + F.col("a")).cast("long"), 32).bitwiseOR(F.col("first") + F.col("z") + F.lit(length - 1))

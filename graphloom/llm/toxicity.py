@@ -23,12 +23,10 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +56,7 @@ _FOLD = _table()
 _LEET = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"[0-9a-z@$!|]*[0-9@$!|][0-9a-z@$!|]*")
 _STEM = (4, 8)
-_COUNTED_AT_ONCE = 300_000
+_COUNTED_AT_ONCE = 150_000
 _TERM = re.compile(r"[^\W\d_]{3,24}")
 
 
@@ -282,15 +280,15 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 def reject(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """docs, with all their columns, without those that score `limit` or more."""
-
     small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         matcher = lexicon.matcher()
-        for texts in batches:
-            yield pd.Series([matcher.score(t) >= limit for t in texts], dtype=bool)
+        for b in batches:
+            yield b.filter(pa.array([matcher.score(t or "") < limit for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.where(~F.pandas_udf(run, "boolean")(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> Lexicon:

@@ -61,9 +61,9 @@ def brute_suffix(corpus, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "wide"), [(200, 1 << 14), (40, 1 << 14), (40, 1)])
-def test_suffix_dedup(docs, corpus, length, wide):
-    got = suffix_dedup.suffix_dedup(docs, length, wide).collect()
+@pytest.mark.parametrize(("length", "wide", "levels"), [(200, 1 << 11, 4), (40, 1 << 11, 4), (40, 1, 0), (40, 1, 2)])
+def test_suffix_dedup(docs, corpus, length, wide, levels):
+    got = suffix_dedup.suffix_dedup(docs, length, wide, levels).collect()
     assert Counter((r[0], r[1], tuple(r[2]), tuple(r[3]), r[4]) for r in got) == brute_suffix(corpus, length)
 
 
