@@ -36,7 +36,9 @@ def expressions(text: str) -> list[str]:
 class _Page(HTMLParser):
     """(tag, attribute or empty for text, expression), tags in document order, attributes before direct text."""
 
-    _void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+    _void = {
+        "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+    }
 
     def __init__(self):
         super().__init__(convert_charrefs=True)

@@ -77,12 +77,20 @@ def statement_kind(text: Column, call: Column) -> Column:
 
 
 def node_kind(calls: Column, branches: Column, assigns: Column) -> Column:
-    return F.when(F.size(branches) > 0, "branch").when(F.size(calls) > 0, "call").when(F.size(assigns) > 0, "assign").otherwise("plain")
+    return (
+        F.when(F.size(branches) > 0, "branch")
+        .when(F.size(calls) > 0, "call")
+        .when(F.size(assigns) > 0, "assign")
+        .otherwise("plain")
+    )
 
 
 def node_label(line: Column, calls: Column, assigns: Column) -> Column:
     short = F.array_sort(F.transform(calls, short_call))
-    return F.concat(F.array(F.concat(F.lit("L"), line.cast("string"))), short, F.when(F.size(calls) == 0, assigns).otherwise(F.array().cast("array<string>")))
+    return F.concat(
+        F.array(F.concat(F.lit("L"), line.cast("string"))), short,
+        F.when(F.size(calls) == 0, assigns).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def argument(text: Column, index: Column) -> Column:
@@ -123,7 +131,9 @@ def sanitized(name: Column) -> Column:
 
 
 def dot_escaped(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.replace(
+        F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"),
+    )
 
 
 def el_bean(expr: Column) -> Column:

@@ -30,7 +30,9 @@ def handler_regions(edges: DataFrame, traps: DataFrame, normal: DataFrame) -> Da
     """(sig, trap_idx, block): what a handler reaches without entering the normal flow; the handler itself in any case."""
     seeds = traps.select(F.col("sig").alias("group"), F.col("trap_idx").alias("seed"), F.col("handler").alias("node"))
     blocked = normal.select(F.col("sig").alias("group"), F.col("block").alias("node"))
-    return reach.grouped_closure(_edges(edges), seeds, blocked).select(F.col("group").alias("sig"), F.col("seed").alias("trap_idx"), F.col("node").alias("block"))
+    return reach.grouped_closure(_edges(edges), seeds, blocked).select(
+        F.col("group").alias("sig"), F.col("seed").alias("trap_idx"), F.col("node").alias("block"),
+    )
 
 
 def fill_gaps(edges: DataFrame, cover: DataFrame, traps: DataFrame) -> DataFrame:
@@ -40,7 +42,9 @@ def fill_gaps(edges: DataFrame, cover: DataFrame, traps: DataFrame) -> DataFrame
     """
     sig, node, trap = edges.schema["sig"].dataType, edges.schema["src"].dataType, cover.schema["trap_idx"].dataType
     rows = edges.select("sig", F.lit(0).alias("kind"), "src", "dst", F.lit(None).cast(trap).alias("trap"))
-    rows = rows.union(cover.select("sig", F.lit(1), "block", F.lit(None).cast(node), "trap_idx")).union(traps.select("sig", F.lit(2), "handler", F.lit(None).cast(node), F.lit(None).cast(trap)))
+    rows = rows.union(cover.select("sig", F.lit(1), "block", F.lit(None).cast(node), "trap_idx")).union(
+        traps.select("sig", F.lit(2), "handler", F.lit(None).cast(node), F.lit(None).cast(trap))
+    )
 
     def fill(_, kinds, a, b, of):
         ahead, back, entered, shut, seeds = defaultdict(list), defaultdict(list), set(), set(), defaultdict(set)
@@ -61,14 +65,19 @@ def fill_gaps(edges: DataFrame, cover: DataFrame, traps: DataFrame) -> DataFrame
             out += [(t, x) for x in full]
         return out
 
-    return reach.solve_groups(rows, "sig", T.StructType([T.StructField(n, t) for n, t in (("sig", sig), ("trap_idx", trap), ("block", node))]), fill)
+    return reach.solve_groups(
+        rows, "sig",
+        T.StructType([T.StructField(n, t) for n, t in (("sig", sig), ("trap_idx", trap), ("block", node))]), fill,
+    )
 
 
 def inlined_handlers(traps: DataFrame, lines: DataFrame, assigned: DataFrame) -> DataFrame:
     """(sig, block, trap_idx): unassigned blocks whose lines, at least one, are all lines of a handler's first block; the first trap wins."""
     own = lines.where("line > 0").groupBy("sig", "block").agg(F.collect_set("line").alias("lines"))
     free = own.join(assigned.select("sig", "block").distinct(), ["sig", "block"], "left_anti")
-    heads = traps.join(own.select("sig", F.col("block").alias("handler"), F.col("lines").alias("head")), ["sig", "handler"])
+    heads = traps.join(
+        own.select("sig", F.col("block").alias("handler"), F.col("lines").alias("head")), ["sig", "handler"],
+    )
     hit = free.join(heads, "sig").where("size(array_except(lines, head)) = 0")
     return hit.groupBy("sig", "block").agg(F.min("trap_idx").alias("trap_idx"))
 
@@ -81,16 +90,24 @@ def trap_table(throws: DataFrame) -> DataFrame:
 
 def assign_clusters(cover: DataFrame, handler_blocks: DataFrame) -> DataFrame:
     """(sig, block, role, trap_idx): a block that any trap handles is a handler block, else it is tried; the first trap wins."""
-    tried = cover.select("sig", "block", "trap_idx").join(handler_blocks.select("sig", "block"), ["sig", "block"], "left_anti").withColumn("role", F.lit("try"))
+    tried = (
+        cover.select("sig", "block", "trap_idx")
+        .join(handler_blocks.select("sig", "block"), ["sig", "block"], "left_anti")
+        .withColumn("role", F.lit("try"))
+    )
     handled = handler_blocks.select("sig", "block", "trap_idx").withColumn("role", F.lit("handler"))
     return tried.union(handled).groupBy("sig", "block", "role").agg(F.min("trap_idx").alias("trap_idx"))
 
 
 def between_lines(edges: DataFrame, lines: DataFrame, from_line: int, to_line: int) -> DataFrame:
     """(sig, block): blocks on a way from a block with from_line to one with to_line, in methods that have both."""
-    seeds = lambda n: lines.where(F.col("line") == n).select(F.col("sig").alias("group"), F.lit(0).alias("seed"), F.col("block").alias("node"))
+    seeds = lambda n: lines.where(F.col("line") == n).select(
+        F.col("sig").alias("group"), F.lit(0).alias("seed"), F.col("block").alias("node"),
+    )
     ahead = reach.grouped_closure(_edges(edges), seeds(from_line))
-    back = reach.grouped_closure(_edges(edges).select("group", F.col("dst").alias("src"), F.col("src").alias("dst")), seeds(to_line))
+    back = reach.grouped_closure(
+        _edges(edges).select("group", F.col("dst").alias("src"), F.col("src").alias("dst")), seeds(to_line),
+    )
     return ahead.intersect(back).select(F.col("group").alias("sig"), F.col("node").alias("block"))
 
 
@@ -141,7 +158,9 @@ def line_trace(edges: DataFrame, lines: DataFrame, from_line: int, to_line: int)
                 s = parent[s]
         return list(Counter(line[s] for s in kept if s in line).items())
 
-    return reach.solve_groups(rows, "sig", f"sig {edges.schema['sig'].dataType.simpleString()}, line long, n long", trace)
+    return reach.solve_groups(
+        rows, "sig", f"sig {edges.schema['sig'].dataType.simpleString()}, line long, n long", trace,
+    )
 
 
 # From statements of an intermediate form to blocks: ir (sig, block, ord, line, text, lhs, rhs, call_target,
@@ -151,14 +170,23 @@ def line_trace(edges: DataFrame, lines: DataFrame, from_line: int, to_line: int)
 def statement_details(ir: DataFrame) -> DataFrame:
     """(sig, block, ord, line, text, call_target, arg_count, branch)"""
     branch = F.coalesce("condition", F.when(F.col("is_switch"), "switch"))
-    return ir.select("sig", "block", "ord", F.coalesce("line", F.lit(-1)).alias("line"), "text", "call_target", "arg_count", branch.alias("branch"))
+    return ir.select(
+        "sig", "block", "ord", F.coalesce("line", F.lit(-1)).alias("line"), "text", "call_target", "arg_count",
+        branch.alias("branch"),
+    )
 
 
 def project_statements(ir: DataFrame) -> DataFrame:
     """(sig, block, ord, line, call, branch, assign): a call wins over an assignment; assignments of temporaries and fields go."""
     plain = ~F.col("rhs").contains("$stack") & ~F.col("rhs").contains(".<") & ~F.col("lhs").startswith("$stack")
-    assign = F.when(F.col("call_target").isNull() & F.col("lhs").isNotNull() & plain, F.concat("lhs", F.lit(" = "), "rhs"))
-    return statement_details(ir).join(ir.select("sig", "block", "ord", assign.alias("assign")), ["sig", "block", "ord"]).select("sig", "block", "ord", "line", F.col("call_target").alias("call"), "branch", "assign")
+    assign = F.when(
+        F.col("call_target").isNull() & F.col("lhs").isNotNull() & plain, F.concat("lhs", F.lit(" = "), "rhs"),
+    )
+    return (
+        statement_details(ir)
+        .join(ir.select("sig", "block", "ord", assign.alias("assign")), ["sig", "block", "ord"])
+        .select("sig", "block", "ord", "line", F.col("call_target").alias("call"), "branch", "assign")
+    )
 
 
 def branch_conditions(ir: DataFrame) -> DataFrame:
@@ -167,17 +195,25 @@ def branch_conditions(ir: DataFrame) -> DataFrame:
     A temporary becomes Class.method() or its right side; comparisons of a boolean call with 0 become true or false.
     """
     short = F.concat(F.substring_index("call_target", ".", -2), F.lit("()"))
-    step = F.struct("ord", "lhs", F.when(F.col("call_target").isNotNull(), short).otherwise(F.col("rhs")).alias("value"), (F.col("call_target").isNotNull() & F.coalesce("returns_boolean", F.lit(False))).alias("boolean"))
+    step = F.struct(
+        "ord", "lhs", F.when(F.col("call_target").isNotNull(), short).otherwise(F.col("rhs")).alias("value"),
+        (F.col("call_target").isNotNull() & F.coalesce("returns_boolean", F.lit(False))).alias("boolean"),
+    )
     temps = F.array_sort(F.collect_list(F.when(F.col("lhs").startswith("$stack"), step)))
     tail = F.max_by(F.struct("condition", "is_switch"), "ord")
     got = ir.groupBy("sig", "block").agg(temps.alias("temps"), tail.alias("tail"))
 
     def put(text, x):
         out = F.replace(text, x["lhs"], x["value"])
-        truth = F.replace(F.replace(out, F.concat(x["value"], F.lit(" == 0")), F.concat(x["value"], F.lit(" == false"))), F.concat(x["value"], F.lit(" != 0")), F.concat(x["value"], F.lit(" == true")))
+        truth = F.replace(
+            F.replace(out, F.concat(x["value"], F.lit(" == 0")), F.concat(x["value"], F.lit(" == false"))),
+            F.concat(x["value"], F.lit(" != 0")), F.concat(x["value"], F.lit(" == true")),
+        )
         return F.when(~text.contains(x["lhs"]), text).when(x["boolean"], truth).otherwise(out)
 
-    condition = F.when(F.col("tail.condition").isNotNull(), F.aggregate("temps", F.col("tail.condition"), put)).when(F.col("tail.is_switch"), "switch")
+    condition = F.when(
+        F.col("tail.condition").isNotNull(), F.aggregate("temps", F.col("tail.condition"), put),
+    ).when(F.col("tail.is_switch"), "switch")
     return got.select("sig", "block", condition.alias("condition")).where("condition is not null")
 
 
@@ -194,7 +230,9 @@ def number_blocks(ir: DataFrame) -> DataFrame:
     """(sig, block, id, block_ord): blocks as B0, B1, ... in order of their first statement."""
     first = ir.groupBy("sig", "block").agg(F.min("ord").alias("first"))
     n = F.row_number().over(Window.partitionBy("sig").orderBy("first", "block")) - 1
-    return first.select("sig", "block", F.concat(F.lit("B"), n.cast("string")).alias("id"), n.cast("long").alias("block_ord"))
+    return first.select(
+        "sig", "block", F.concat(F.lit("B"), n.cast("string")).alias("id"), n.cast("long").alias("block_ord"),
+    )
 
 
 def block_trace(ir: DataFrame, successors: DataFrame, throws: DataFrame) -> dict[str, DataFrame]:
@@ -204,11 +242,19 @@ def block_trace(ir: DataFrame, successors: DataFrame, throws: DataFrame) -> dict
     throw to. Traps stand in the order in which their first covered block comes.
     """
     names = settle(number_blocks(ir))
-    as_id = lambda df, c: df.join(names.select("sig", F.col("block").alias(c), F.col("id").alias(f"{c}_id")), ["sig", c]).drop(c).withColumnRenamed(f"{c}_id", c)
-    rows = settle(as_id(ir, "block").join(names.select("sig", F.col("id").alias("block"), "block_ord"), ["sig", "block"]))
+    as_id = lambda df, c: df.join(
+        names.select("sig", F.col("block").alias(c), F.col("id").alias(f"{c}_id")), ["sig", c],
+    ).drop(c).withColumnRenamed(f"{c}_id", c)
+    rows = settle(
+        as_id(ir, "block").join(names.select("sig", F.col("id").alias("block"), "block_ord"), ["sig", "block"])
+    )
     edges = settle(labelled_edges(as_id(as_id(successors, "block"), "succ"), rows))
     order = names.select("sig", F.col("id").alias("block"), "block_ord")
-    thrown = settle(as_id(as_id(throws, "block"), "handler").join(order, ["sig", "block"]).select("sig", "block", F.col("block_ord").alias("ord"), "handler", "type"))
+    thrown = settle(
+        as_id(as_id(throws, "block"), "handler").join(order, ["sig", "block"]).select(
+            "sig", "block", F.col("block_ord").alias("ord"), "handler", "type",
+        )
+    )
     first = thrown.groupBy("sig", "handler", "type").agg(F.min("ord").alias("first"))
     number = F.row_number().over(Window.partitionBy("sig").orderBy("first", "handler", "type")) - 1
     traps = settle(first.select("sig", number.cast("long").alias("trap_idx"), "handler", "type"))
@@ -216,9 +262,14 @@ def block_trace(ir: DataFrame, successors: DataFrame, throws: DataFrame) -> dict
     normal = normal_flow(edges, order.where("block_ord = 0").select("sig", "block"))
     regions = handler_regions(edges, traps, normal)
     covered = fill_gaps(edges, listed.select("sig", "trap_idx", F.explode("covered").alias("block")), traps)
-    covered = settle(covered.join(order, ["sig", "block"]).select("sig", "trap_idx", "block", F.col("block_ord").alias("ord")))
+    covered = settle(
+        covered.join(order, ["sig", "block"]).select("sig", "trap_idx", "block", F.col("block_ord").alias("ord"))
+    )
     stmts = project_statements(rows).join(order, ["sig", "block"])
-    inlined = inlined_handlers(traps, stmts.select("sig", "block", "line"), covered.select("sig", "block").union(regions.select("sig", "block")))
+    inlined = inlined_handlers(
+        traps, stmts.select("sig", "block", "line"),
+        covered.select("sig", "block").union(regions.select("sig", "block")),
+    )
     conditions = branch_conditions(rows)
     return {
         "block": order.join(conditions, ["sig", "block"], "left"),

@@ -30,10 +30,15 @@ def call_edges(methods: DataFrame, invokes: DataFrame, class_rel: DataFrame) ->
     Special invocations make no edges. The line is the first positive one of a
     (caller, callee) pair; ord numbers a caller's callees by name.
     """
-    sites = invokes.where("not special").select("caller", "decl_class", "name", "arity", "line", F.col("ord").alias("site"))
+    sites = invokes.where("not special").select(
+        "caller", "decl_class", "name", "arity", "line", F.col("ord").alias("site"),
+    )
     own = sites.select(F.col("decl_class"), F.col("decl_class").alias("impl")).distinct()
     targets = own.union(dispatch_map(class_rel)).distinct()
-    found = sites.join(targets, "decl_class").join(methods.select(F.col("class").alias("impl"), "name", "arity", F.col("sig").alias("callee")), ["impl", "name", "arity"])
+    found = sites.join(targets, "decl_class").join(
+        methods.select(F.col("class").alias("impl"), "name", "arity", F.col("sig").alias("callee")),
+        ["impl", "name", "arity"],
+    )
     line = F.min_by("line", F.when(F.col("line") > 0, F.col("site")))
     edges = found.groupBy("caller", "callee").agg(line.alias("call_line"))
     return numbered(edges)
@@ -49,11 +54,19 @@ def collapse_bridges(edges: DataFrame, bridges: DataFrame) -> DataFrame:
 
     edges (caller, callee); bridges (sig). Callers that are bridges go.
     """
-    real = edges.join(bridges, edges["caller"] == bridges["sig"], "left_semi").where("caller <> callee").select(F.col("caller").alias("bridge"), F.col("callee").alias("real"))
+    real = (
+        edges.join(bridges, edges["caller"] == bridges["sig"], "left_semi")
+        .where("caller <> callee")
+        .select(F.col("caller").alias("bridge"), F.col("callee").alias("real"))
+    )
     kept = edges.join(bridges, edges["caller"] == bridges["sig"], "left_anti").select("caller", "callee")
     marked = kept.join(bridges.select(F.col("sig").alias("callee"), F.lit(True).alias("is_bridge")), "callee", "left")
     plain = marked.where("is_bridge is null").select("caller", "callee")
-    moved = marked.where("is_bridge").join(real, F.col("callee") == F.col("bridge")).select("caller", F.col("real").alias("callee"))
+    moved = (
+        marked.where("is_bridge")
+        .join(real, F.col("callee") == F.col("bridge"))
+        .select("caller", F.col("real").alias("callee"))
+    )
     return plain.union(moved).distinct()
 
 
@@ -62,17 +75,27 @@ def collapse_callsites(sites: DataFrame, bridges: DataFrame) -> DataFrame:
 
     sites (caller, callee, call_line, ord).
     """
-    real = sites.join(bridges, sites["caller"] == bridges["sig"], "left_semi").where("caller <> callee").select(F.col("caller").alias("bridge"), F.col("callee").alias("real"))
+    real = (
+        sites.join(bridges, sites["caller"] == bridges["sig"], "left_semi")
+        .where("caller <> callee")
+        .select(F.col("caller").alias("bridge"), F.col("callee").alias("real"))
+    )
     kept = sites.join(bridges, sites["caller"] == bridges["sig"], "left_anti")
     marked = kept.join(bridges.select(F.col("sig").alias("callee"), F.lit(True).alias("is_bridge")), "callee", "left")
     plain = marked.where("is_bridge is null").select("caller", "callee", "call_line", "ord")
-    moved = marked.where("is_bridge").join(real, F.col("callee") == F.col("bridge")).select("caller", F.col("real").alias("callee"), "call_line", "ord")
+    moved = (
+        marked.where("is_bridge")
+        .join(real, F.col("callee") == F.col("bridge"))
+        .select("caller", F.col("real").alias("callee"), "call_line", "ord")
+    )
     return plain.union(moved).groupBy("caller", "callee").agg(F.min_by("call_line", "ord").alias("call_line"))
 
 
 def line_ranges(stmts: DataFrame) -> DataFrame:
     """(sig, line_start, line_end): least positive and greatest line of methods that have both."""
-    out = stmts.groupBy("sig").agg(F.min(F.when(F.col("line") > 0, F.col("line"))).alias("line_start"), F.max("line").alias("line_end"))
+    out = stmts.groupBy("sig").agg(
+        F.min(F.when(F.col("line") > 0, F.col("line"))).alias("line_start"), F.max("line").alias("line_end"),
+    )
     return out.where("line_start > 0 and line_end > 0")
 
 
@@ -83,7 +106,14 @@ def line_histogram(stmts: DataFrame) -> DataFrame:
 
 def line_map(methods: DataFrame, stmts: DataFrame) -> DataFrame:
     """One row per method with a body: line range, statement count, and the map of lines to counts."""
-    lines = line_histogram(stmts).groupBy("sig").agg(F.sum("n").alias("stmt_count"), F.count(F.lit(1)).alias("source_lines"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("line", "n")))).alias("line_map"))
+    lines = (
+        line_histogram(stmts)
+        .groupBy("sig")
+        .agg(
+            F.sum("n").alias("stmt_count"), F.count(F.lit(1)).alias("source_lines"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("line", "n")))).alias("line_map"),
+        )
+    )
     return methods.select("sig", "class", "name").join(line_ranges(stmts), "sig").join(lines, "sig")
 
 
@@ -116,7 +146,11 @@ def callsite_line(calls: DataFrame, trace: DataFrame) -> DataFrame:
     trace (caller, line, call).
     """
     named = calls.withColumn("exact", F.concat("class", F.lit("."), "name"))
-    exact = named.join(trace.withColumnRenamed("call", "exact"), ["caller", "exact"]).groupBy("caller", "callee").agg(F.min("line").alias("l1"))
+    exact = (
+        named.join(trace.withColumnRenamed("call", "exact"), ["caller", "exact"])
+        .groupBy("caller", "callee")
+        .agg(F.min("line").alias("l1"))
+    )
     tail = trace.withColumn("name", F.substring_index("call", ".", -1))
     loose = named.join(tail, ["caller", "name"]).groupBy("caller", "callee").agg(F.min("line").alias("l2"))
     out = calls.join(exact, ["caller", "callee"], "left").join(loose, ["caller", "callee"], "left")
@@ -133,12 +167,18 @@ def resolve_callees(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """calls (class, sub_sig, name, arity) with sig: by sub-signature, else the first by name and arity."""
     exact = methods.groupBy("class", "sub_sig").agg(F.min_by("sig", "ord").alias("s1"))
     loose = methods.groupBy("class", "name", "arity").agg(F.min_by("sig", "ord").alias("s2"))
-    return calls.join(exact, ["class", "sub_sig"], "left").join(loose, ["class", "name", "arity"], "left").select(*calls.columns, F.coalesce("s1", "s2").alias("sig"))
+    return (
+        calls.join(exact, ["class", "sub_sig"], "left")
+        .join(loose, ["class", "name", "arity"], "left")
+        .select(*calls.columns, F.coalesce("s1", "s2").alias("sig"))
+    )
 
 
 def entries_of(edges: DataFrame, cls: str, method: str) -> DataFrame:
     """(sig): the callers of that class and method, by name. A method that calls nothing is no entry."""
-    hit = edges.where(F.col("caller").startswith(f"<{cls}: ") & F.col("caller").contains(f" {method}(")).select(F.col("caller").alias("sig"))
+    hit = edges.where(
+        F.col("caller").startswith(f"<{cls}: ") & F.col("caller").contains(f" {method}(")
+    ).select(F.col("caller").alias("sig"))
     return hit.distinct().orderBy("sig")
 
 

@@ -63,14 +63,21 @@ def adjacency(links: DataFrame, limit: int) -> Adjacency | None:
     got = links.select("src", "dst").limit(limit + 1).toArrow()
     if got.num_rows > limit:
         return None
-    ends = pa.chunked_array([*got["src"].chunks, *got["dst"].chunks], got.schema.field("src").type).combine_chunks().dictionary_encode()
+    ends = (
+        pa.chunked_array([*got["src"].chunks, *got["dst"].chunks], got.schema.field("src").type)
+        .combine_chunks()
+        .dictionary_encode()
+    )
     ids = ends.indices.to_numpy().astype(np.int64)
     src, dst = ids[: got.num_rows], ids[got.num_rows :]
     order = np.lexsort((dst, src))
     return Adjacency(ends.dictionary, np.searchsorted(src[order], np.arange(len(ends.dictionary) + 1)), dst[order])
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, expand: Column | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def closure(
+    edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, expand: Column | None = None,
+    kernel_edges: int = KERNEL_EDGES,
+) -> DataFrame:
     """(root, node, depth) of all nodes that seeds (root, node) reach over edges (src, dst), the seeds at depth 0.
 
     expand: a condition on `node`; nodes that fail it are kept but not expanded.
@@ -93,9 +100,13 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, ex
         level = near.depths(starts, max_depth)
         found = np.flatnonzero(level >= 0)
         apart = [n for n in nodes if n not in near.number]  # without an edge
-        names = pa.concat_arrays([near.names.take(pa.array(found)).cast(arrow.field("node").type), pa.array(apart, arrow.field("node").type)])
+        names = pa.concat_arrays(
+            [near.names.take(pa.array(found)).cast(arrow.field("node").type), pa.array(apart, arrow.field("node").type)]
+        )
         root = pa.repeat(key[0], len(names)).cast(arrow.field("root").type)
-        return pa.Table.from_arrays([root, names, pa.array(np.r_[level[found], np.zeros(len(apart), np.int64)])], schema=arrow)
+        return pa.Table.from_arrays(
+            [root, names, pa.array(np.r_[level[found], np.zeros(len(apart), np.int64)])], schema=arrow,
+        )
 
     return seeds.groupBy("root").applyInArrow(search, schema)
 
@@ -134,7 +145,10 @@ def solve_groups(rows: DataFrame, key: str, schema: T.StructType | str, fn: Call
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, cols, out, at = b.column(0).to_pylist(), [b.column(i + 1).to_pylist() for i in range(len(rest))], [], 0
+            keys, cols, out, at = b.column(0).to_pylist(), [
+                b.column(i + 1).to_pylist()
+                for i in range(len(rest))
+            ], [], 0
             while at < len(keys):
                 end = at + 1
                 while end < len(keys) and keys[end] == keys[at]:
@@ -171,7 +185,10 @@ def grouped_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | Non
 
     edges (group, src, dst), seeds (group, seed, node), blocked (group, node): never entered; seeds themselves may be.
     """
-    types = {"group": edges.schema["group"].dataType, "seed": seeds.schema["seed"].dataType, "node": edges.schema["src"].dataType}
+    types = {
+        "group": edges.schema["group"].dataType, "seed": seeds.schema["seed"].dataType,
+        "node": edges.schema["src"].dataType,
+    }
     null = lambda k: F.lit(None).cast(types[k])
     rows = edges.select("group", F.lit(0).alias("kind"), "src", "dst", null("seed").alias("seed"))
     rows = rows.union(seeds.select("group", F.lit(1), F.col("node"), null("node"), "seed"))
@@ -192,7 +209,10 @@ def grouped_closure(edges: DataFrame, seeds: DataFrame, blocked: DataFrame | Non
     return solve_groups(rows, "group", T.StructType([T.StructField(k, t) for k, t in types.items()]), search)
 
 
-def paths(edges: DataFrame, starts: DataFrame, ends: Column, max_length: int | None = 50, least: int = 2, left: DataFrame | None = None) -> DataFrame:
+def paths(
+    edges: DataFrame, starts: DataFrame, ends: Column, max_length: int | None = 50, least: int = 2,
+    left: DataFrame | None = None,
+) -> DataFrame:
     """(path, ord_path) of all simple paths from starts (node) to nodes where `ends` holds; a path ends at its first such node and has `least` nodes or more.
 
     edges (src, dst, ord). ends is a condition on `node`. Order by path[0] and ord_path for depth-first order.
@@ -206,7 +226,11 @@ def paths(edges: DataFrame, starts: DataFrame, ends: Column, max_length: int | N
     else:
         steps = steps.withColumn("left", F.lit(0).cast("long"))
     steps = settle(steps.select("src", "dst", "ord", "left"))
-    live = starts.select("node").distinct().select("node", F.array("node").alias("path"), F.array().cast("array<long>").alias("ord_path"))
+    live = (
+        starts.select("node")
+        .distinct()
+        .select("node", F.array("node").alias("path"), F.array().cast("array<long>").alias("ord_path"))
+    )
     done, n = None, 0
     while True:
         n += 1
@@ -220,7 +244,10 @@ def paths(edges: DataFrame, starts: DataFrame, ends: Column, max_length: int | N
         live = live.join(steps, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         if max_length is not None:
             live = live.where(F.lit(n + 1) + F.col("left") <= max_length)
-        live = live.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("ord_path", F.array("ord")).alias("ord_path"))
+        live = live.select(
+            F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"),
+            F.concat("ord_path", F.array("ord")).alias("ord_path"),
+        )
     return done if done is not None else spark.createDataFrame([], "path array<string>, ord_path array<long>")
 
 
@@ -246,9 +273,21 @@ def ordered_walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     nodes = closure(edges, seeds).select("root", F.col("node").alias("src"))
     node, root = seeds.schema["node"], seeds.schema["root"]
     steps = nodes.join(edges.select("src", "dst", "ord"), "src")
-    first = seeds.select("root", F.col("node").alias("src"), F.lit(None).cast(node.dataType).alias("dst"), F.lit(None).cast("long").alias("ord"))
-    rows = first.union(steps.select("root", "src", "dst", F.col("ord").cast("long"))).repartition("root").sortWithinPartitions("root", F.col("dst").isNotNull(), "src", "ord", "dst")
-    schema = T.StructType([root, T.StructField("src", node.dataType), T.StructField("dst", node.dataType), T.StructField("ord", T.LongType()), T.StructField("cycle", T.BooleanType())])
+    first = seeds.select(
+        "root", F.col("node").alias("src"), F.lit(None).cast(node.dataType).alias("dst"),
+        F.lit(None).cast("long").alias("ord"),
+    )
+    rows = (
+        first.union(steps.select("root", "src", "dst", F.col("ord").cast("long")))
+        .repartition("root")
+        .sortWithinPartitions("root", F.col("dst").isNotNull(), "src", "ord", "dst")
+    )
+    schema = T.StructType(
+        [
+            root, T.StructField("src", node.dataType), T.StructField("dst", node.dataType),
+            T.StructField("ord", T.LongType()), T.StructField("cycle", T.BooleanType()),
+        ]
+    )
     arrow = to_arrow_schema(schema)
 
     def one(name, start, number: dict, src: list[np.ndarray], dst: list[np.ndarray]):
@@ -279,7 +318,13 @@ def ordered_walk(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         for at in range(0, len(d), 100_000):
             z = min(at + 100_000, len(d))
             place = np.arange(at, z) - begin[s[at:z]] + 1
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (z - at), arrow.field("root").type), names.take(pa.array(s[at:z])), names.take(pa.array(d[at:z])), pa.array(place.astype(np.int64)), pa.array(flag[at:z])], schema=arrow)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([name] * (z - at), arrow.field("root").type), names.take(pa.array(s[at:z])),
+                    names.take(pa.array(d[at:z])), pa.array(place.astype(np.int64)), pa.array(flag[at:z]),
+                ],
+                schema=arrow,
+            )
 
     def run(batches):
         name, start, number, src, dst, any_ = None, 0, {}, [], [], False
@@ -357,28 +402,52 @@ def components_by_colour(links: DataFrame) -> DataFrame:
         n = live.count()
         while n:
             ends = live.select(F.col("src").alias("node")).intersect(live.select("dst"))
-            kept = settle(live.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+            kept = settle(
+                live.join(
+                    ends.withColumnRenamed("node", "src"), "src", "left_semi",
+                ).join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+            )
             discard(live)
             live, m = kept, kept.count()
             if m == n:
                 break
             n = m
         if not n:
-            return found if found is not None else links.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+            return found if found is not None else links.select(
+                F.col("src").alias("node"), F.col("src").alias("component"),
+            ).limit(0)
         colour = settle(live.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
-            sent = live.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
-            new = settle(colour.join(sent, "node", "left").select("node", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("changed")))
+            sent = (
+                live.join(colour.withColumnRenamed("node", "src"), "src")
+                .groupBy(F.col("dst").alias("node"))
+                .agg(F.max("colour").alias("c"))
+            )
+            new = settle(
+                colour.join(sent, "node", "left").select(
+                    "node", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("changed"),
+                )
+            )
             discard(colour)
             colour = new.select("node", "colour")
             colour.settled_at = new.settled_at
             if new.where("changed").isEmpty():
                 break
-        same = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
+        same = (
+            live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src")
+            .join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+            .where("a = b")
+        )
         own = colour.where("node = colour").select(F.col("node").alias("root"), "node")
-        part = settle(_loop(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), own, None).select("node", F.col("root").alias("component")))
+        part = settle(
+            _loop(
+                same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), own, None,
+            ).select("node", F.col("root").alias("component"))
+        )
         found = part if found is None else found.union(part)
-        rest = live.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
+        rest = live.join(
+            part.select(F.col("node").alias("src")), "src", "left_anti",
+        ).join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
         live = settle(rest.select("src", "dst"))
 
 
@@ -393,4 +462,7 @@ def in_component(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFram
         comp = edges.sparkSession.createDataFrame(table)
     a, b = (comp.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("src", "a"), ("dst", "b")))
     hit = links.join(a, "src", "left").join(b, "dst", "left")
-    return hit.select("src", "dst", (F.coalesce(F.col("a") == F.col("b"), F.lit(False)) | (F.col("src") == F.col("dst"))).alias("in_scc"))
+    return hit.select(
+        "src", "dst",
+        (F.coalesce(F.col("a") == F.col("b"), F.lit(False)) | (F.col("src") == F.col("dst"))).alias("in_scc"),
+    )

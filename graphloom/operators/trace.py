@@ -24,20 +24,34 @@ def matches(cls: str, line: int = 0) -> Column:
 def find_subtree(nodes: DataFrame, hit: Column) -> DataFrame:
     """The subtree of each trace's first matching node in pre-order; paths are those of the whole tree."""
     top = nodes.where(hit).groupBy("trace").agg(F.min("path").alias("top"))
-    return nodes.join(top, "trace").where(F.slice("path", 1, F.greatest(F.size("top"), F.lit(1))).eqNullSafe(F.col("top")) | (F.size("top") == 0)).drop("top")
+    return (
+        nodes.join(top, "trace")
+        .where(F.slice("path", 1, F.greatest(F.size("top"), F.lit(1))).eqNullSafe(F.col("top")) | (F.size("top") == 0))
+        .drop("top")
+    )
 
 
 def prefixes(path: str = "path", whole: bool = True) -> Column:
     """All leading parts of a path, the empty one first; the path itself only if whole."""
     n = F.size(path) - (0 if whole else 1)
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.when(i == 0, F.array().cast("array<int>")).otherwise(F.slice(path, 1, F.greatest(i, F.lit(1))))))
+    return F.when(
+        n >= 0,
+        F.transform(
+            F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
+            lambda i: F.when(i == 0, F.array().cast("array<int>")).otherwise(F.slice(path, 1, F.greatest(i, F.lit(1)))),
+        ),
+    )
 
 
 def shallowest(nodes: DataFrame, hit: Column) -> DataFrame:
     """(trace, path) of matches without a match above them."""
     found = settle(nodes.where(hit).select("trace", "path"))
     above = found.select("trace", "path", F.explode(prefixes(whole=False)).alias("up"))
-    under = above.join(found.select("trace", F.col("path").alias("up")), ["trace", "up"], "left_semi").select("trace", "path").distinct()
+    under = (
+        above.join(found.select("trace", F.col("path").alias("up")), ["trace", "up"], "left_semi")
+        .select("trace", "path")
+        .distinct()
+    )
     return found.join(under, ["trace", "path"], "left_anti")
 
 
@@ -61,7 +75,9 @@ def referenced(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     return bodies.join(nodes.where("leaf_kind = 'ref'").select("sig"), "sig", "left_semi")
 
 
-def expand_refs(nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, max_depth: int | None = None) -> DataFrame:
+def expand_refs(
+    nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, max_depth: int | None = None,
+) -> DataFrame:
     """nodes with each ref replaced by its method's body, unless that is missing or its signature stands above it already.
 
     As no signature is opened below itself, this ends; with a max_depth, what is closed after so many levels stays a ref.
@@ -72,10 +88,16 @@ def expand_refs(nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, m
     spark_cols = ["trace", "path", "sig", "leaf_kind", "call_line"]
     rows = nodes.select(*spark_cols)
     if "rel" not in body_children.columns:
-        body_children = body_children.withColumn("rel", F.array(F.col("pos").cast("int"))).withColumn("inner", F.array("sig"))
+        body_children = body_children.withColumn(
+            "rel", F.array(F.col("pos").cast("int")),
+        ).withColumn("inner", F.array("sig"))
     kept = rows.where("leaf_kind is null or leaf_kind <> 'ref'")
     # The signatures above a leaf; its own is not one of them.
-    todo = rows.where("leaf_kind = 'ref'").join(_above(rows), ["trace", "path"], "left").withColumn("above", F.coalesce("above", F.array().cast("array<string>")))
+    todo = (
+        rows.where("leaf_kind = 'ref'")
+        .join(_above(rows), ["trace", "path"], "left")
+        .withColumn("above", F.coalesce("above", F.array().cast("array<string>")))
+    )
     known = bodies.select("sig", F.lit(True).alias("known")).distinct()
     for level in count():
         todo = settle(todo)
@@ -85,14 +107,31 @@ def expand_refs(nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, m
             return kept.union(todo.select(*spark_cols))
         todo = todo.join(known, "sig", "left")
         opens = F.coalesce("known", F.lit(False)) & ~F.array_contains("above", F.col("sig"))
-        kept = kept.union(todo.where(~opens).select(*spark_cols)).union(todo.where(opens).select("trace", "path", "sig", F.lit(None).cast("string").alias("leaf_kind"), "call_line"))
-        grown = todo.where(opens).join(body_children.select("sig", "rel", "inner", "child", F.col("leaf_kind").alias("kind"), F.col("call_line").alias("line")), "sig")
+        kept = kept.union(todo.where(~opens).select(*spark_cols)).union(
+            todo.where(opens).select("trace", "path", "sig", F.lit(None).cast("string").alias("leaf_kind"), "call_line")
+        )
+        grown = todo.where(opens).join(
+            body_children.select(
+                "sig", "rel", "inner", "child", F.col("leaf_kind").alias("kind"), F.col("call_line").alias("line"),
+            ),
+            "sig",
+        )
         place, above = F.concat("path", "rel").alias("path"), F.concat("above", "inner").alias("above")
-        grown = settle(grown.select("trace", place, F.col("child").alias("sig"), F.col("kind").alias("leaf_kind"), F.col("line").alias("call_line"), above))
+        grown = settle(
+            grown.select(
+                "trace", place, F.col("child").alias("sig"), F.col("kind").alias("leaf_kind"),
+                F.col("line").alias("call_line"), above,
+            )
+        )
         kept = kept.union(grown.where("leaf_kind is null or leaf_kind <> 'ref'").select(*spark_cols))
         todo = grown.where("leaf_kind = 'ref'")
 
 
 def _above(rows: DataFrame) -> DataFrame:
     up = rows.select("trace", F.col("path").alias("up"), F.col("sig").alias("up_sig"))
-    return rows.select("trace", "path", F.explode(prefixes(whole=False)).alias("up")).join(up, ["trace", "up"]).groupBy("trace", "path").agg(F.collect_set("up_sig").alias("above"))
+    return (
+        rows.select("trace", "path", F.explode(prefixes(whole=False)).alias("up"))
+        .join(up, ["trace", "up"])
+        .groupBy("trace", "path")
+        .agg(F.collect_set("up_sig").alias("above"))
+    )

@@ -16,23 +16,34 @@ from .storage import fresh_path
 
 
 @query(r"""
-    SELECT sig, replace(regexp_extract(sig, '^<([^:]+):', 1), '.', '/') || '#' || name AS symbol, regexp_replace(sig, '[^a-zA-Z0-9_]', '_', 'g') AS id,
+    SELECT sig, replace(regexp_extract(sig, '^<([^:]+):', 1), '.', '/') || '#' || name AS symbol, regexp_replace(sig,
+        '[^a-zA-Z0-9_]', '_', 'g') AS id,
            replace(replace(replace('"' || sig || '"' || chr(10), '\', '\\'), '"', '\"'), chr(10), '\n') AS shown
     FROM method""")
 def symbols(f):
     sig = F.col("sig")
     shown = S.dot_escaped(F.concat(F.lit('"'), sig, F.lit('"\n')))
-    return f.method.select("sig", S.source_symbol(sig).alias("symbol"), S.sanitized(sig).alias("id"), shown.alias("shown"))
+    return f.method.select(
+        "sig", S.source_symbol(sig).alias("symbol"), S.sanitized(sig).alias("id"), shown.alias("shown"),
+    )
 
 
-@query("SELECT sig, CASE WHEN regexp_matches(class, 'economy') THEN 'service' WHEN regexp_matches(class, 'Brand1') THEN 'dao' ELSE '' END AS layer FROM method")
+@query("""
+    SELECT sig, CASE WHEN regexp_matches(class, 'economy') THEN 'service'
+        WHEN regexp_matches(class, 'Brand1') THEN 'dao' ELSE '' END AS layer FROM method
+""")
 def layers(f):
     return f.method.select("sig", S.layer(F.col("class"), {"service": "economy", "dao": "Brand1"}).alias("layer"))
 
 
-@query("SELECT sig, class = 'com.economy.Brand11' AND line_start <= 5000 AND 5000 <= line_end OR class = 'com.small.Brand12' AS hit FROM method")
+@query("""
+    SELECT sig, class = 'com.economy.Brand11' AND line_start <= 5000 AND 5000 <= line_end
+        OR class = 'com.small.Brand12' AS hit FROM method
+""")
 def node_match(f):
-    return f.method.select("sig", (trace.matches("com.economy.Brand11", 5000) | trace.matches("com.small.Brand12")).alias("hit"))
+    return f.method.select(
+        "sig", (trace.matches("com.economy.Brand11", 5000) | trace.matches("com.small.Brand12")).alias("hit"),
+    )
 
 
 @query("SELECT event_id, event_id & 1 <> 0 AS defines FROM events")
@@ -43,7 +54,9 @@ def role_mask(f):
 @query(r"""
     SELECT jsp, CAST(i - 1 AS BIGINT) AS pos, found[i] AS el
     FROM (SELECT jsp, found, unnest(range(1, len(found) + 1)) AS i
-        FROM (SELECT jsp, regexp_extract_all('a ' || el || ' b #{x[''}''].y} #{open {', '[#$]\{(?:[^{}''"]|''[^'']*''|"[^"]*"|\{[^{}]*\})*\}') AS found FROM el))""")
+        FROM (SELECT jsp, regexp_extract_all('a ' || el || ' b #{x[''}''].y} #{open {',
+            '[#$]\{(?:[^{}''"]|''[^'']*''|"[^"]*"|\{[^{}]*\})*\}') AS found
+            FROM el))""")
 def el_tokenize(f):
     """Braces and quotes nest at most once in these texts, so that a pattern finds them, too."""
     texts = f.el.select("jsp", F.concat(F.lit("a "), "el", F.lit(" b #{x['}'].y} #{open {")).alias("text"))
@@ -60,14 +73,21 @@ def class_methods(f):
 
 @query("""
     WITH l AS (SELECT sig, CAST(o // 7 AS BIGINT) AS line, count(*) AS n FROM stmt GROUP BY ALL)
-    SELECT sig, min(CASE WHEN line > 0 THEN line END) AS line_start, max(line) AS line_end, count(*) AS source_lines, CAST(sum(n) AS BIGINT) AS stmt_count, string_agg(line || '=' || n, ',' ORDER BY line) AS line_map
+    SELECT sig, min(CASE WHEN line > 0 THEN line END) AS line_start, max(line) AS line_end, count(*) AS source_lines,
+        CAST(sum(n) AS BIGINT) AS stmt_count, string_agg(line || '=' || n, ','
+        ORDER BY line) AS line_map
     FROM l GROUP BY sig HAVING max(line) > 0""")
 def line_maps(f):
     stmts = f.stmt.select("sig", F.floor(F.col("o") / 7).alias("line"))
     methods = stmts.select("sig", F.lit("C").alias("class"), F.lit("m").alias("name")).distinct()
-    pairs = F.transform(F.map_entries("line_map"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string")))
+    pairs = F.transform(
+        F.map_entries("line_map"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string")),
+    )
     rows = callgraph.line_map(methods, stmts)
-    return rows.select("sig", *_big("line_start", "line_end"), "source_lines", "stmt_count", F.array_join(pairs, ",").alias("line_map"))
+    return rows.select(
+        "sig", *_big("line_start", "line_end"), "source_lines", "stmt_count",
+        F.array_join(pairs, ",").alias("line_map"),
+    )
 
 
 # Resolution
@@ -80,8 +100,10 @@ def resolve_by_name(f):
 
 @query("""
     SELECT s.id, coalesce(e.sig, l.sig) AS sig
-    FROM site s LEFT JOIN (SELECT class, sub_sig, arg_min(sig, ord) AS sig FROM overload GROUP BY ALL) e ON e.class = s.class AND e.sub_sig = s.sub_sig
-    LEFT JOIN (SELECT class, name, arity, arg_min(sig, ord) AS sig FROM overload GROUP BY ALL) l ON l.class = s.class AND l.name = s.name AND l.arity = s.arity""")
+    FROM site s LEFT JOIN (SELECT class, sub_sig, arg_min(sig, ord) AS sig FROM overload
+        GROUP BY ALL) e ON e.class = s.class AND e.sub_sig = s.sub_sig
+    LEFT JOIN (SELECT class, name, arity, arg_min(sig, ord) AS sig FROM overload GROUP BY ALL) l ON l.class = s.class
+        AND l.name = s.name AND l.arity = s.arity""")
 def resolve_callees(f):
     return callgraph.resolve_callees(f.site, f.overload).select("id", "sig")
 
@@ -96,44 +118,59 @@ def first_overload(f):
     return callgraph.first_of(f.overload, ["class", "name"], ["ord"]).select("class", "name", "sig")
 
 
-@query("SELECT sig, ord, sig || '#s' || CAST(row_number() OVER (PARTITION BY sig ORDER BY ord) - 1 AS VARCHAR) AS id FROM (SELECT CAST(sig AS VARCHAR) AS sig, o AS ord FROM stmt)")
+@query("""
+    SELECT sig, ord, sig || '#s' || CAST(row_number() OVER (PARTITION BY sig ORDER BY ord) - 1 AS VARCHAR) AS id
+        FROM (SELECT CAST(sig AS VARCHAR) AS sig, o AS ord FROM stmt)
+""")
 def statement_ids(f):
-    return dataflow.number_statements(f.stmt.select(F.col("sig").cast("string").alias("sig"), F.col("o").alias("ord"))).select("sig", "ord", "id")
+    return dataflow.number_statements(
+        f.stmt.select(F.col("sig").cast("string").alias("sig"), F.col("o").alias("ord"))
+    ).select("sig", "ord", "id")
 
 
 # Calls
 
 
 @query("""
-    SELECT c.src AS caller, c.dst AS callee, c.call_line, m.class, m.name, CAST(m.line_start AS BIGINT) AS line_start, CAST(m.line_end AS BIGINT) AS line_end
+    SELECT c.src AS caller, c.dst AS callee, c.call_line, m.class, m.name, CAST(m.line_start AS BIGINT) AS line_start,
+        CAST(m.line_end AS BIGINT) AS line_end
     FROM call_edge c LEFT JOIN method m ON m.sig = c.dst""")
 def edges_with_lines(f):
     edges = f.call_edge.select(F.col("src").alias("caller"), F.col("dst").alias("callee"), "call_line")
-    return callgraph.with_lines(edges, f.method).select("caller", "callee", "call_line", "class", "name", *_big("line_start", "line_end"))
+    return callgraph.with_lines(edges, f.method).select(
+        "caller", "callee", "call_line", "class", "name", *_big("line_start", "line_end"),
+    )
 
 
 _NAMED = "SELECT c.src AS caller, c.dst AS callee, m.class, m.name FROM call_edge c JOIN method m ON m.sig = c.dst"
 _CALLED = """SELECT c.src AS caller, c.call_line AS line,
-    CASE WHEN c.ord % 3 = 0 THEN 'other.X.' || m.name WHEN c.ord % 3 = 1 THEN m.class || '.' || m.name ELSE m.class || '.none' END AS call
+    CASE WHEN c.ord % 3 = 0 THEN 'other.X.' || m.name WHEN c.ord % 3 = 1 THEN m.class || '.' || m.name
+        ELSE m.class || '.none' END AS call
     FROM call_edge c JOIN method m ON m.sig = c.dst"""
 
 
 @query(f"""
     WITH t AS ({_CALLED}), c AS ({_NAMED}),
-    e AS (SELECT c.caller, c.callee, min(t.line) AS l FROM c JOIN t ON t.caller = c.caller AND t.call = c.class || '.' || c.name GROUP BY ALL),
-    o AS (SELECT c.caller, c.callee, min(t.line) AS l FROM c JOIN t ON t.caller = c.caller AND regexp_extract(t.call, '([^.]*)$', 1) = c.name GROUP BY ALL)
+    e AS (SELECT c.caller, c.callee, min(t.line) AS l FROM c JOIN t ON t.caller = c.caller
+        AND t.call = c.class || '.' || c.name GROUP BY ALL),
+    o AS (SELECT c.caller, c.callee, min(t.line) AS l FROM c JOIN t ON t.caller = c.caller
+        AND regexp_extract(t.call, '([^.]*)$', 1) = c.name GROUP BY ALL)
     SELECT c.caller, c.callee, coalesce(e.l, o.l) AS call_line
-    FROM c LEFT JOIN e ON e.caller = c.caller AND e.callee = c.callee LEFT JOIN o ON o.caller = c.caller AND o.callee = c.callee""")
+    FROM c LEFT JOIN e ON e.caller = c.caller AND e.callee = c.callee LEFT JOIN o ON o.caller = c.caller
+        AND o.callee = c.callee""")
 def callsite_lines(f):
     return callgraph.callsite_line(f.sql(_NAMED), f.sql(_CALLED)).select("caller", "callee", "call_line")
 
 
 @query(f"""
     SELECT i.caller, i.name, d.file, CAST(d.line_start AS BIGINT) AS line_start
-    FROM ({_NAMED}) i JOIN (SELECT sig, class || '.java' AS file, line_start FROM method WHERE NOT is_bridge) d ON d.sig = i.callee""")
+    FROM ({_NAMED}) i JOIN (SELECT sig, class || '.java' AS file, line_start FROM method
+        WHERE NOT is_bridge) d ON d.sig = i.callee""")
 def defined_calls(f):
     symbol = F.concat(F.lit("semanticdb maven . . "), S.source_symbol(F.col("sig")), F.lit("()."))
-    index = f.method.where("not is_bridge").select(symbol.alias("symbol"), F.concat("class", F.lit(".java")).alias("file"), "line_start", "line_end")
+    index = f.method.where("not is_bridge").select(
+        symbol.alias("symbol"), F.concat("class", F.lit(".java")).alias("file"), "line_start", "line_end",
+    )
     found = icfg.defined_calls(f.sql(_NAMED), index.withColumn("key", scip.symbol_key(F.col("symbol"))))
     return found.select("caller", "name", "file", *_big("line_start"))
 
@@ -153,7 +190,10 @@ def line_round_trip(f):
     return documents.call_graph(f.spark, path, rows=True)[1].select("sig", *_big("line_start", "line_end"))
 
 
-@query("SELECT r.sub || '.' || i.name AS callee, count(*) AS n FROM (SELECT decl_class, name FROM invoke WHERE NOT special) i JOIN class_rel r ON r.super = i.decl_class GROUP BY ALL")
+@query("""
+    SELECT r.sub || '.' || i.name AS callee, count(*) AS n FROM (SELECT decl_class, name FROM invoke
+        WHERE NOT special) i JOIN class_rel r ON r.super = i.decl_class GROUP BY ALL
+""")
 def call_graph_fan_out(f):
     """The call graph as a whole: dispatch, bridges, lines; here how many callsites lead to each method."""
     methods = f.impl_method.withColumns({"is_bridge": F.lit(False), "line_start": F.lit(1), "line_end": F.lit(9)})
@@ -165,8 +205,10 @@ def call_graph_fan_out(f):
 
 @query("""
     WITH RECURSIVE walk(node) AS (SELECT sig FROM root
-        UNION SELECT e.dst FROM walk w JOIN call_edge e ON e.src = w.node WHERE NOT starts_with(e.dst, '<com.economy.') AND e.dst NOT IN (SELECT sig FROM bridge))
-    SELECT e.src, e.dst, nullif(greatest(e.call_line - 1, 0), 0) AS call_line, NOT (starts_with(e.dst, '<com.economy.') OR e.dst IN (SELECT sig FROM bridge)) OR e.dst IN (SELECT sig FROM root) AS inside
+        UNION SELECT e.dst FROM walk w JOIN call_edge e ON e.src = w.node WHERE NOT starts_with(e.dst, '<com.economy.')
+            AND e.dst NOT IN (SELECT sig FROM bridge))
+    SELECT e.src, e.dst, nullif(greatest(e.call_line - 1, 0), 0) AS call_line, NOT (starts_with(e.dst, '<com.economy.')
+        OR e.dst IN (SELECT sig FROM bridge)) OR e.dst IN (SELECT sig FROM root) AS inside
     FROM walk w JOIN call_edge e ON e.src = w.node""")
 def leaf_markers(f):
     """Exactly one of ref, cycle and filtered; lines that aren't positive go."""
@@ -174,11 +216,16 @@ def leaf_markers(f):
     edges = f.call_edge.withColumn("call_line", F.col("call_line") - 1)
     _, calls = calltree.discover(edges, _root(f), known, S.may_recurse(S.class_of(F.col("dst")), [], ["com.economy."]))
     one = F.col("ref").cast("int") + F.col("cycle").cast("int") + F.col("filtered").cast("int") == 1
-    return calltree.leaf_markers(calls).where(one).select("src", "dst", "call_line", (F.col("ref") | F.col("cycle")).alias("inside"))
+    return (
+        calltree.leaf_markers(calls)
+        .where(one)
+        .select("src", "dst", "call_line", (F.col("ref") | F.col("cycle")).alias("inside"))
+    )
 
 
 @query(f"""
-    {_TREE} SELECT w.node, regexp_extract(w.node, '^<([^:]+):', 1) AS class, m.name AS method, CAST(m.line_start AS BIGINT) AS line_start, CAST(m.line_end - m.line_start + 1 AS BIGINT) AS source_lines
+    {_TREE} SELECT w.node, regexp_extract(w.node, '^<([^:]+):', 1) AS class, m.name AS method,
+        CAST(m.line_start AS BIGINT) AS line_start, CAST(m.line_end - m.line_start + 1 AS BIGINT) AS source_lines
     FROM (SELECT DISTINCT node FROM walk) w JOIN method m ON m.sig = w.node""")
 def described_nodes(f):
     nodes = calltree.forward_nodes(f.call_edge, _root(f), NARROW, 6)
@@ -186,12 +233,16 @@ def described_nodes(f):
 
 
 @query(f"""
-    {_CHAINS}, c AS (SELECT path FROM p JOIN t ON p.node = t.sig WHERE n > 1), s AS (SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i FROM c))
+    {_CHAINS}, c AS (SELECT path FROM p JOIN t ON p.node = t.sig WHERE n > 1),
+        s AS (SELECT DISTINCT path[i] AS src, path[i + 1] AS dst FROM (SELECT path, unnest(range(1, len(path))) AS i
+        FROM c))
     SELECT s.src, s.dst, f.call_line FROM s JOIN flat_call f ON f.caller = s.src AND f.callee = s.dst""")
 def rev_calltree(f):
     """From a line to its method, to its callers up to three levels, to their chains."""
     by = Window.partitionBy("caller").orderBy("callee")
-    edges = f.flat_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.row_number().over(by).alias("ord"), "call_line")
+    edges = f.flat_call.select(
+        F.col("caller").alias("src"), F.col("callee").alias("dst"), F.row_number().over(by).alias("ord"), "call_line",
+    )
     target = f.method.join(edges.agg(F.max("dst").alias("sig")), "sig").first()
     own = f.method.where(F.col("sig") == target["sig"])
     _, calls, _ = calltree.reverse_trace(edges, own, target["class"], target["line_start"], 3, None)
@@ -203,11 +254,14 @@ def rev_calltree(f):
 
 @query("""
     WITH RECURSIVE far(sig, node, d) AS (SELECT sig, o, 0 FROM stmt WHERE o = 30
-        UNION SELECT f.sig, e.src, f.d + 1 FROM far f JOIN flow_edge e ON e.sig = f.sig AND e.dst = f.node WHERE f.d < 40),
+        UNION SELECT f.sig, e.src, f.d + 1 FROM far f JOIN flow_edge e ON e.sig = f.sig AND e.dst = f.node
+            WHERE f.d < 40),
     least AS (SELECT sig, node, min(d) AS d FROM far GROUP BY sig, node),
     way(sig, node, d, path) AS (SELECT sig, o, 0, [o] FROM stmt WHERE o = 30
-        UNION SELECT w.sig, l.node, l.d, list_append(w.path, l.node) FROM way w JOIN flow_edge e ON e.sig = w.sig AND e.dst = w.node JOIN least l ON l.sig = e.sig AND l.node = e.src AND l.d = w.d + 1),
-    first AS (SELECT sig, path FROM (SELECT sig, path, row_number() OVER (PARTITION BY sig ORDER BY path) AS k FROM way WHERE node = 5) WHERE k = 1)
+        UNION SELECT w.sig, l.node, l.d, list_append(w.path, l.node) FROM way w JOIN flow_edge e ON e.sig = w.sig
+            AND e.dst = w.node JOIN least l ON l.sig = e.sig AND l.node = e.src AND l.d = w.d + 1),
+    first AS (SELECT sig, path FROM (SELECT sig, path, row_number() OVER (PARTITION BY sig ORDER BY path) AS k FROM way
+        WHERE node = 5) WHERE k = 1)
     SELECT sig, line, count(*) AS n FROM (SELECT sig, unnest(path) AS line FROM first) GROUP BY ALL""")
 def line_trace(f):
     """A breadth-first search's parents give the least of the shortest ways, read from its end."""
@@ -216,12 +270,19 @@ def line_trace(f):
 
 @query(f"""
     {_FROM_TO}, handled AS (SELECT sig, handler AS block, trap_idx FROM trap)
-    SELECT DISTINCT sig, trap_idx FROM (SELECT sig, trap_idx, block FROM cover UNION ALL SELECT sig, trap_idx, block FROM handled) x WHERE EXISTS (SELECT 1 FROM kept k WHERE k.sig = x.sig AND k.node = x.block)""")
+    SELECT DISTINCT sig, trap_idx FROM (SELECT sig, trap_idx, block FROM cover UNION ALL SELECT sig, trap_idx, block
+        FROM handled) x WHERE EXISTS (SELECT 1 FROM kept k WHERE k.sig = x.sig AND k.node = x.block)""")
 def slice_traps(f):
-    return blocks.slice_traps(f.cover, _handlers(f), blocks.between_lines(f.flow_edge, _lines(f), 5, 30).select("sig", "block"))
+    return blocks.slice_traps(
+        f.cover, _handlers(f), blocks.between_lines(f.flow_edge, _lines(f), 5, 30).select("sig", "block"),
+    )
 
 
-@query("SELECT sig, block, 'B' || CAST(n AS VARCHAR) AS id, n AS block_ord FROM (SELECT sig, block, row_number() OVER (PARTITION BY sig ORDER BY min(ord)) - 1 AS n FROM ir GROUP BY sig, block)")
+@query("""
+    SELECT sig, block, 'B' || CAST(n AS VARCHAR) AS id, n AS block_ord
+        FROM (SELECT sig, block, row_number() OVER (PARTITION BY sig ORDER BY min(ord)) - 1 AS n FROM ir
+        GROUP BY sig, block)
+""")
 def block_numbers(f):
     return blocks.number_blocks(f.ir)
 
@@ -236,28 +297,36 @@ def statement_details(f):
 
 @query(f"""
     SELECT sig, ord, coalesce(line, -1) AS line, call_target AS call, {_BRANCH},
-           CASE WHEN call_target IS NULL AND lhs IS NOT NULL AND NOT contains(rhs, '$stack') AND NOT contains(rhs, '.<') AND NOT starts_with(lhs, '$stack') THEN lhs || ' = ' || rhs END AS assign
+           CASE WHEN call_target IS NULL AND lhs IS NOT NULL AND NOT contains(rhs, '$stack') AND NOT contains(rhs, '.<')
+               AND NOT starts_with(lhs, '$stack') THEN lhs || ' = ' || rhs END AS assign
     FROM ir""")
 def projected_statements(f):
     return blocks.project_statements(f.ir).select("sig", "ord", "line", "call", "branch", "assign")
 
 
 @query("""
-    WITH tail AS (SELECT sig, block, arg_max(coalesce(condition, ''), ord) AS condition, arg_max(is_switch, ord) AS is_switch FROM ir GROUP BY sig, block),
-    temp AS (SELECT sig, block, arg_min(returns_boolean, ord) AS truth FROM ir WHERE lhs = '$stack1' GROUP BY sig, block)
-    SELECT t.sig, t.block, CASE WHEN t.condition = '' THEN 'switch' WHEN truth IS NULL THEN t.condition WHEN truth THEN 'Cls1.m() == false' ELSE 'Cls1.m() == 0' END AS condition
+    WITH tail AS (SELECT sig, block, arg_max(coalesce(condition, ''), ord) AS condition, arg_max(is_switch,
+        ord) AS is_switch
+        FROM ir GROUP BY sig, block),
+    temp AS (SELECT sig, block, arg_min(returns_boolean, ord) AS truth FROM ir WHERE lhs = '$stack1'
+        GROUP BY sig, block)
+    SELECT t.sig, t.block, CASE WHEN t.condition = '' THEN 'switch' WHEN truth IS NULL THEN t.condition
+        WHEN truth THEN 'Cls1.m() == false' ELSE 'Cls1.m() == 0' END AS condition
     FROM tail t LEFT JOIN temp ON temp.sig = t.sig AND temp.block = t.block WHERE t.condition <> '' OR t.is_switch""")
 def branch_conditions(f):
     return blocks.branch_conditions(f.ir)
 
 
 _SUCC = """SELECT sig, block, succ, row_number() OVER (PARTITION BY sig, block ORDER BY succ) - 1 AS pos
-    FROM (SELECT DISTINCT sig, CAST(floor(src / 8) AS BIGINT) AS block, CAST(floor(dst / 8) AS BIGINT) AS succ FROM flow_edge)"""
+    FROM (SELECT DISTINCT sig, CAST(floor(src / 8) AS BIGINT) AS block, CAST(floor(dst / 8) AS BIGINT) AS succ
+        FROM flow_edge)"""
 
 
 @query(f"""
-    WITH s AS ({_SUCC}), n AS (SELECT *, count(*) OVER (PARTITION BY sig, block) AS n FROM s), e AS (SELECT sig, block, arg_max(coalesce(condition, ''), ord) <> '' AS is_if FROM ir GROUP BY sig, block)
-    SELECT n.sig, n.block AS src, n.succ AS dst, CASE WHEN e.is_if AND n = 2 THEN CASE pos WHEN 0 THEN 'T' ELSE 'F' END END AS label FROM n LEFT JOIN e ON e.sig = n.sig AND e.block = n.block""")
+    WITH s AS ({_SUCC}), n AS (SELECT *, count(*) OVER (PARTITION BY sig, block) AS n FROM s),
+        e AS (SELECT sig, block, arg_max(coalesce(condition, ''), ord) <> '' AS is_if FROM ir GROUP BY sig, block)
+    SELECT n.sig, n.block AS src, n.succ AS dst, CASE WHEN e.is_if AND n = 2 THEN CASE pos WHEN 0 THEN 'T'
+        ELSE 'F' END END AS label FROM n LEFT JOIN e ON e.sig = n.sig AND e.block = n.block""")
 def labelled_edges(f):
     return blocks.labelled_edges(f.sql(_SUCC), f.ir)
 
@@ -266,7 +335,8 @@ def labelled_edges(f):
 
 
 @query("""
-    SELECT w.id AS src, r.id AS dst FROM ddg_node r JOIN ddg_node w ON starts_with(w.text, 'b.<') AND regexp_extract(r.text, '(<[^>]+>)', 1) = regexp_extract(w.text, '(<[^>]+>)', 1)
+    SELECT w.id AS src, r.id AS dst FROM ddg_node r JOIN ddg_node w ON starts_with(w.text, 'b.<')
+        AND regexp_extract(r.text, '(<[^>]+>)', 1) = regexp_extract(w.text, '(<[^>]+>)', 1)
     WHERE contains(r.text, ' = b.<') AND r.sig < w.sig""")
 def heap_edges_alias(f):
     """With an alias test that rules pairs out."""
@@ -278,43 +348,67 @@ def heap_edges_alias(f):
 
 
 @query("""
-    WITH RECURSIVE s AS (SELECT caller AS src, callee AS dst FROM body_call), w(a, b) AS (SELECT src, dst FROM s UNION SELECT w.a, s.dst FROM w JOIN s ON s.src = w.b)
+    WITH RECURSIVE s AS (SELECT caller AS src, callee AS dst FROM body_call), w(a, b) AS (SELECT src, dst FROM s UNION
+        SELECT w.a, s.dst FROM w JOIN s ON s.src = w.b)
     SELECT src, dst, EXISTS (SELECT 1 FROM w WHERE w.a = s.dst AND w.b = s.src) AS in_scc FROM s""")
 def scc_of_many(f):
     """Many small components, by the form that takes any size."""
-    return reach.in_component(f.body_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), kernel_edges=0)
+    return reach.in_component(
+        f.body_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), kernel_edges=0,
+    )
 
 
 # Validation
 
 
-@query("SELECT x.sig AS method, CAST(x.trap_idx AS VARCHAR) AS node_id FROM cover x WHERE NOT EXISTS (SELECT 1 FROM stmt s WHERE s.sig = x.sig AND s.o = x.trap_idx AND s.o <> 9)")
+@query("""
+    SELECT x.sig AS method, CAST(x.trap_idx AS VARCHAR) AS node_id FROM cover x WHERE NOT EXISTS (SELECT 1 FROM stmt s
+        WHERE s.sig = x.sig AND s.o = x.trap_idx AND s.o <> 9)
+""")
 def validate_clusters(f):
     nodes, _ = _sem(f)
-    inside = f.cover.select(F.lit(0).alias("trace"), F.col("sig").alias("method"), F.col("trap_idx").cast("string").alias("id"))
+    inside = f.cover.select(
+        F.lit(0).alias("trace"), F.col("sig").alias("method"), F.col("trap_idx").cast("string").alias("id"),
+    )
     return validate.dangling_clusters(nodes, inside).select("method", "node_id")
 
 
-@query("SELECT sig AS method, CAST(max(o) + sig % 2 AS VARCHAR) AS node_id FROM stmt GROUP BY sig HAVING sig % 2 = 1 OR max(o) = 9")
+@query("""
+    SELECT sig AS method, CAST(max(o) + sig % 2 AS VARCHAR) AS node_id FROM stmt GROUP BY sig HAVING sig % 2 = 1
+        OR max(o) = 9
+""")
 def validate_entries(f):
     nodes, _ = _sem(f)
-    entries = f.stmt.groupBy(F.col("sig").alias("method")).agg((F.max("o") + F.col("method") % 2).cast("string").alias("id")).withColumn("trace", F.lit(0))
+    entries = (
+        f.stmt.groupBy(F.col("sig").alias("method"))
+        .agg((F.max("o") + F.col("method") % 2).cast("string").alias("id"))
+        .withColumn("trace", F.lit(0))
+    )
     return validate.invalid_entries(nodes, entries).select("method", "node_id")
 
 
 @query(f"""
-    WITH o AS (SELECT n.method, n.id, count(e.src) AS n, max(coalesce(e.label, '')) AS label FROM {_SN} n LEFT JOIN (SELECT method, src, CASE WHEN CAST(dst AS INT) % 7 = 0 THEN 'F' ELSE label END AS label FROM {_SE}) e
+    WITH o AS (SELECT n.method, n.id, count(e.src) AS n, max(coalesce(e.label, '')) AS label FROM {_SN} n LEFT
+        JOIN (SELECT method, src, CASE WHEN CAST(dst AS INT) % 7 = 0 THEN 'F' ELSE label END AS label FROM {_SE}) e
         ON e.method = n.method AND e.src = n.id WHERE n.kind <> 'branch' AND n.id <> '8' GROUP BY n.method, n.id)
-    SELECT method, id AS node_id, what FROM o JOIN (SELECT 'many' AS what UNION ALL SELECT 'label') x ON (what = 'many' AND n > 1) OR (what = 'label' AND label <> '')""")
+    SELECT method, id AS node_id, what FROM o JOIN (SELECT 'many' AS what UNION ALL SELECT 'label') x ON (what = 'many'
+        AND n > 1) OR (what = 'label' AND label <> '')""")
 def validate_plain(f):
     nodes, edges = _sem(f)
     labelled = edges.withColumn("branch", F.when(F.col("dst").cast("int") % 7 == 0, "F").otherwise(F.col("branch")))
     found = validate.plain_edges(nodes.where("id <> '8'"), labelled)
-    return found.select("method", "node_id", F.when(F.col("message").contains("labelled"), "label").otherwise("many").alias("what"))
+    return found.select(
+        "method", "node_id", F.when(F.col("message").contains("labelled"), "label").otherwise("many").alias("what"),
+    )
 
 
-@query("SELECT sig AS method, field, '' AS node_id FROM (SELECT sig, CASE WHEN o % 2 = 0 THEN 'nodes' ELSE 'edges' END AS field FROM stmt WHERE local = 'signup')")
+@query("""
+    SELECT sig AS method, field, '' AS node_id FROM (SELECT sig, CASE WHEN o % 2 = 0 THEN 'nodes'
+        ELSE 'edges' END AS field FROM stmt WHERE local = 'signup')
+""")
 def validate_leaves(f):
     field = F.when(F.col("o") % 2 == 0, "nodes").otherwise("edges").alias("field")
     rows = f.stmt.where("local = 'signup'").select(F.lit(0).alias("trace"), F.col("sig").alias("method"), field)
-    return validate.leaf_fields(rows).select("method", F.regexp_extract("message", r"(\w+)$", 1).alias("field"), "node_id")
+    return validate.leaf_fields(rows).select(
+        "method", F.regexp_extract("message", r"(\w+)$", 1).alias("field"), "node_id",
+    )

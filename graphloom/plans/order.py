@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .storage import settle
 
 
-def running_sum(rows: DataFrame, order: list[str], value: str, group: list[str] | None = None, ranges: int | None = None, out: str = "before") -> DataFrame:
+def running_sum(
+    rows: DataFrame, order: list[str], value: str, group: list[str] | None = None, ranges: int | None = None,
+    out: str = "before",
+) -> DataFrame:
     """rows with `out`: the sum of value over all rows of the group (if any) that come earlier in order.
 
     Rows are sorted into ranges by group and order; sums of whole ranges, one row for each

@@ -83,10 +83,15 @@ def definitions(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column(0).to_pylist():
                 rows = list(occurrences(data))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["symbol", "file", "line_start", "line_end", "roles"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) for c in zip(*rows, strict=True)],
+                        ["symbol", "file", "line_start", "line_end", "roles"],
+                    )
 
     rows = raw.mapInArrow(scan, "symbol string, file string, line_start long, line_end long, roles long")
-    return rows.where(is_definition(F.col("roles"))).select("symbol", symbol_key(F.col("symbol")).alias("key"), "file", "line_start", "line_end")
+    return rows.where(is_definition(F.col("roles"))).select(
+        "symbol", symbol_key(F.col("symbol")).alias("key"), "file", "line_start", "line_end",
+    )
 
 
 def symbol_key(symbol):

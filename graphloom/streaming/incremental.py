@@ -25,7 +25,9 @@ class GrowingClosure:
         self.where = (where or fresh_path(self.spark, "closure")).rstrip("/")
         self.schema = {"edges": "src string, dst string", "nodes": "root string, node string"}
         if self.done() is None:
-            first = edges.select("src", "dst").distinct() if edges is not None else self.spark.createDataFrame([], self.schema["edges"])
+            first = edges.select("src", "dst").distinct() if edges is not None else self.spark.createDataFrame(
+                [], self.schema["edges"],
+            )
             self._write(first, "edges", -1)
             self._write(reach.closure(self._read("edges", -1), seeds).select("root", "node"), "nodes", -1)
 
@@ -70,7 +72,9 @@ class GrowingClosure:
         # Only nodes that a new edge leads out of the known ones start the search.
         starts = known.join(new, known["node"] == new["src"]).select("root", F.col("dst").alias("node")).distinct()
         starts = settle(starts.join(known, ["root", "node"], "left_anti"))
-        more = starts if starts.isEmpty() else reach.closure(every, starts).select("root", "node").distinct().join(known, ["root", "node"], "left_anti")
+        more = starts if starts.isEmpty() else reach.closure(every, starts).select("root", "node").distinct().join(
+            known, ["root", "node"], "left_anti",
+        )
         self._write(more, "nodes", epoch)
 
 
