@@ -7,14 +7,19 @@ expanded methods, else ref, cycle or filtered.
 
 from __future__ import annotations
 
-from itertools import count
+from itertools import chain, count, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.signatures import covers
 from ..plans.storage import settle
 
+KERNEL_ROWS = 200_000
+
 
 def matches(cls: str, line: int = 0) -> Column:
     """line 0: any."""
@@ -75,8 +80,47 @@ def referenced(nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     return bodies.join(nodes.where("leaf_kind = 'ref'").select("sig"), "sig", "left_semi")
 
 
+def _body_index(body_children: DataFrame, bodies: DataFrame, limit: int) -> dict[str, list[tuple]] | None:
+    """A body's children (rel, inner, child, leaf_kind, call_line) by signature; None if there are more than limit rows."""
+    if not limit:
+        return None
+    known = bodies.select("sig").distinct().limit(limit + 1).toArrow()["sig"].to_pylist()
+    rows = body_children.select("sig", "rel", "inner", "child", "leaf_kind", "call_line").limit(limit + 1).toArrow()
+    if max(len(known), rows.num_rows) > limit:
+        return None
+    index: dict[str, list[tuple]] = {sig: [] for sig in known}
+    for sig, *child in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        if sig in index:
+            index[sig].append(tuple(child))
+    return index
+
+
+def _open_refs(sent, max_depth: int | None, schema: pa.Schema):
+    """Rows (trace, path, sig, leaf_kind, call_line) below refs with the signatures above them, depth first."""
+
+    def opened(trace, path, sig, kind, line, above):
+        index, todo = sent.value, [(path, sig, kind, line, above, 0)]
+        while todo:
+            path, sig, kind, line, above, level = todo.pop()
+            if kind != "ref" or sig not in index or sig in above or level == max_depth:
+                yield trace, path, sig, kind, line
+                continue
+            yield trace, path, sig, None, line
+            todo += [(path + rel, child, k, n, above + inner, level + 1) for rel, inner, child, k, n in index[sig]]
+
+    def run(batches):
+        for b in batches:
+            rows = chain.from_iterable(opened(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            while part := list(islice(rows, 10_000)):
+                cols = zip(zip(*part, strict=True), schema, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in cols], schema=schema)
+
+    return run
+
+
 def expand_refs(
     nodes: DataFrame, body_children: DataFrame, bodies: DataFrame, max_depth: int | None = None,
+    kernel_rows: int = KERNEL_ROWS,
 ) -> DataFrame:
     """nodes with each ref replaced by its method's body, unless that is missing or its signature stands above it already.
 
@@ -84,6 +128,7 @@ def expand_refs(
 
     body_children (sig, pos, child, leaf_kind, call_line): the children of each method's body; bodies (sig). Where a
     body holds a whole subtree, rel (array<int>) and inner (signatures above, its own first) place its rows instead of pos.
+    At most kernel_rows rows of bodies go to every task, where refs are opened to the end; more are joined level by level.
     """
     spark_cols = ["trace", "path", "sig", "leaf_kind", "call_line"]
     rows = nodes.select(*spark_cols)
@@ -98,6 +143,12 @@ def expand_refs(
         .join(_above(rows), ["trace", "path"], "left")
         .withColumn("above", F.coalesce("above", F.array().cast("array<string>")))
     )
+    if (index := _body_index(body_children, bodies, kernel_rows)) is not None:
+        sent = nodes.sparkSession.sparkContext.broadcast(index)
+        types = {c: rows.schema[c].dataType.simpleString() for c in spark_cols}
+        schema = T.DataType.fromDDL(", ".join(f"{c} {t}" for c, t in types.items()))
+        opened = todo.select(*spark_cols, "above").mapInArrow(_open_refs(sent, max_depth, to_arrow_schema(schema)), schema)
+        return kept.union(opened)
     known = bodies.select("sig", F.lit(True).alias("known")).distinct()
     for level in count():
         todo = settle(todo)

@@ -228,12 +228,13 @@ def test_tree_slices(tree):
         trace.inter_slice(tree)
 
 
-def test_expand_refs(spark):
+@pytest.mark.parametrize("kernel", [0, 1000])
+def test_expand_refs(spark, kernel):
     schema = "trace string, path array<int>, sig string, leaf_kind string, call_line long"
     nodes = spark.createDataFrame([("t", [], "root", None, None), ("t", [0], "a", "ref", 4), ("t", [1], "gone", "ref", 5), ("t", [2], "z", "cycle", 6)], schema)
     kids = spark.createDataFrame([("a", 0, "b", "ref", 7), ("a", 1, "root", "ref", 8), ("b", 0, "a", "ref", 9), ("b", 1, "f", "filtered", 1)], "sig string, pos int, child string, leaf_kind string, call_line long")
     bodies = spark.createDataFrame([("a",), ("b",), ("root",)], "sig string")
-    got = {tuple(r["path"]): (r["sig"], r["leaf_kind"], r["call_line"]) for r in trace.expand_refs(nodes, kids, bodies).collect()}
+    got = {tuple(r["path"]): (r["sig"], r["leaf_kind"], r["call_line"]) for r in trace.expand_refs(nodes, kids, bodies, kernel_rows=kernel).collect()}
     assert got == {(): ("root", None, None), (0,): ("a", None, 4), (1,): ("gone", "ref", 5), (2,): ("z", "cycle", 6), (0, 0): ("b", None, 7), (0, 1): ("root", "ref", 8), (0, 0, 0): ("a", "ref", 9), (0, 0, 1): ("f", "filtered", 1)}
 
 
@@ -357,19 +358,31 @@ def test_icfg(spark):
     assert icfg.icfg(nodes, edges, calls, "f", 1, S.Stop.exact("g")(F.col("callee")))[1].count() == 2
 
 
-def test_expand_refs_keeps_what_is_left_at_the_depth(spark):
+@pytest.mark.parametrize("kernel", [0, 1000])
+def test_expand_refs_keeps_what_is_left_at_the_depth(spark, kernel):
     kids = spark.createDataFrame([(f"s{i}", 0, f"s{i + 1}", "ref", i) for i in range(6)], "sig string, pos int, child string, leaf_kind string, call_line long")
     top = spark.createDataFrame([("t", [], "s0", "ref", None)], "trace string, path array<int>, sig string, leaf_kind string, call_line long")
-    got = sorted((r["sig"], r["leaf_kind"]) for r in trace.expand_refs(top, kids, kids.select("sig"), max_depth=2).collect())
+    got = sorted((r["sig"], r["leaf_kind"]) for r in trace.expand_refs(top, kids, kids.select("sig"), 2, kernel).collect())
     assert got == [("s0", None), ("s1", None), ("s2", "ref")]
 
 
-def test_expand_refs_at_any_depth(spark):
-    n = 130
+@pytest.mark.parametrize(("kernel", "n"), [(0, 8), (1000, 300)])
+def test_expand_refs_at_any_depth(spark, kernel, n):
     kids = spark.createDataFrame([(f"s{i}", 0, f"s{i + 1}", "ref", i) for i in range(n)], "sig string, pos int, child string, leaf_kind string, call_line long")
     top = spark.createDataFrame([("t", [], "s0", "ref", None)], "trace string, path array<int>, sig string, leaf_kind string, call_line long")
-    got = trace.expand_refs(top, kids.limit(12), kids.select("sig")).collect()
-    assert sorted((r["sig"], r["leaf_kind"]) for r in got) == sorted([(f"s{i}", None) for i in range(13)])
+    got = trace.expand_refs(top, kids, kids.select("sig"), kernel_rows=kernel).collect()
+    assert sorted((r["sig"], r["leaf_kind"], len(r["path"])) for r in got) == sorted((f"s{i}", None if i < n else "ref", i) for i in range(n + 1))
+
+
+@pytest.mark.parametrize(("kernel", "n"), [(0, 6), (1000, 300)])
+def test_ascii_trees_of_any_depth(spark, kernel, n):
+    from graphloom.operators import render
+
+    nodes = spark.createDataFrame([(f"s{i}", f"K.s{i}") for i in range(n + 1)] + [("t", "T")], "node string, label string")
+    calls = spark.createDataFrame([(f"s{i}", f"s{i + 1}", 1, 0, False) for i in range(n)] + [("s0", "t", 2, 7, None), (f"s{n}", "s1", 1, 1, True)], "src string, dst string, ord long, call_line long, cycle boolean")
+    got = [r["text"] for r in render.ascii_tree(nodes, calls, kernel_rows=kernel).orderBy("top", "ord_path").collect()]
+    assert got[0] == "K.s0" and got[1] == "├── K.s1" and got[2] == "│   └── K.s2" and got[-1] == "└── T:7" and len(got) == n + 3
+    assert got[-2] == "│   " + "    " * (n - 1) + "└── K.s1:1 [↻]"
 
 
 def test_reaching_definitions_by_brute_force(spark):
