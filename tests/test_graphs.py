@@ -287,8 +287,6 @@ def test_ascii_tree(spark):
     got = [r["text"] for r in render.ascii_tree(nodes2, calls2).orderBy("top", "ord_path").collect()]
     assert got == ["R", "└── A:1", "    ├── B:5", "    │   └── A:7 [↻]", "    └── C"]
     assert "a -> b;" in render.call_tree_dot(nodes, calls) and "b -> a [style=dashed color=gray];" in render.call_tree_dot(nodes, calls)
-    chains = spark.createDataFrame([(1, ["a", "b"])], "chain long, path array<string>")
-    assert [r["text"] for r in render.chain_lines(chains, nodes, calls).orderBy("pos").collect()] == ["A @L5", "  B"]
     sig = "<net.dock.Crane: int lift(long)>"
     stmts = spark.createDataFrame([(f"{sig}#s1", sig, "x = 1", "ASSIGN", 4), (f"{sig}#s2", sig, "return x", "RETURN", 5)], "id string, sig string, text string, kind string, line long")
     deps = spark.createDataFrame([(f"{sig}#s1", f"{sig}#s2", "LOCAL")], "src string, dst string, kind string")
