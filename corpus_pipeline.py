@@ -41,14 +41,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the copy that the budget cuts off is taken if most of it is served."""
     schedule, sized = mixing.mix(docs)
-    served = schedule.groupBy("key", "member").agg(F.sum("taken").alias("taken")).join(sized.select("key", "size", "c"), "key")
-    times = served.select(F.col("key").alias(_KEY), F.col("member").alias(_MEMBER), "c", F.round(F.col("taken") / F.col("size")).cast("int").alias(_TIMES)).where(F.col(_TIMES) > 0)
+    served = (
+        schedule.groupBy("key", "member")
+        .agg(F.sum("taken").alias("taken"))
+        .join(sized.select("key", "size", "c"), "key")
+    )
+    times = served.select(
+        F.col("key").alias(_KEY), F.col("member").alias(_MEMBER), "c",
+        F.round(F.col("taken") / F.col("size")).cast("int").alias(_TIMES),
+    ).where(F.col(_TIMES) > 0)
     rows = docs.withColumn(_KEY, mixing.group_key(F.col("doc_id"), F.col("source"), F.col("text")))
     alone = rows.join(times.where("c = 1").select(_KEY, _TIMES), _KEY)
     # Equal rows are numbered, as the mix serves them one behind the other.
     many = times.where("c > 1").select(_KEY, _MEMBER, _TIMES)
     order = Window.partitionBy(_KEY).orderBy(*[c for c in docs.columns if c != "text"])
-    several = rows.join(many.select(_KEY).distinct(), _KEY, "left_semi").withColumn(_MEMBER, F.row_number().over(order) - 1).join(many, [_KEY, _MEMBER])
+    several = (
+        rows.join(many.select(_KEY).distinct(), _KEY, "left_semi")
+        .withColumn(_MEMBER, F.row_number().over(order) - 1)
+        .join(many, [_KEY, _MEMBER])
+    )
     taken = alone.select(*docs.columns, _TIMES).union(several.select(*docs.columns, _TIMES))
     return taken.withColumn(_TIMES, F.explode(F.sequence(F.lit(1), _TIMES))).select(docs.columns)
 
