@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,19 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
     spark.conf.set(_BATCH, str(rows))
 
 
+@contextmanager
+def own_batches(spark: SparkSession):
+    """What an operator sets inside holds inside: for operators whose results hand no more texts to Python."""
+    before = spark.conf.get(_BATCH, None)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """At most `rows` rows at once: a batch stands in memory several times, and texts are long."""
     if not 0 < int(spark.conf.get(_BATCH, "10000")) <= rows:
@@ -81,10 +95,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = cur.union(cur.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u links to u's minimum.
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = (
+            both.where("v > u")
+            .join(low, "u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .where("u <> v")
+            .distinct()
+        )
         # Small star: u and its smaller neighbours link to the smallest of them.
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).distinct()
+        small = (
+            large.join(low2, "u")
+            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .where("u <> v")
+            .union(low2.select("u", F.col("m").alias("v")))
+            .distinct()
+        )
         cur = settle(small, "edges")
         now = cur.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

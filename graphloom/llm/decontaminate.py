@@ -64,7 +64,10 @@ def row_key(id_col: Column, text: Column) -> Column:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, text); equal keys are equal in id and text."""
-    return docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(
+        F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
 
 
 def ranked_windows(rows: DataFrame, phrases: DataFrame, limit: int = _BROADCAST) -> DataFrame:
@@ -72,21 +75,35 @@ def ranked_windows(rows: DataFrame, phrases: DataFrame, limit: int = _BROADCAST)
     at = phrases.select("phrase", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
     terms = settle(at.select("term").distinct(), "terms")
     seen = rows.select(F.explode(_words("text")).alias("word")).select(_lower(F.col("word")).alias("term"))
-    counts = seen.join(_small(terms, terms.count() <= limit), "term").groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    counts = (
+        seen.join(_small(terms, terms.count() <= limit), "term")
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("seen"))
+    )
     # A window with a term that no document has can't occur.
     ranked = F.array_sort(F.collect_list(F.struct("seen", "term", "offset"))).alias("ranked")
-    return at.join(counts, "term", "left").groupBy("phrase", "n").agg(ranked, F.count("seen").alias("known")).where("known = n").drop("known")
+    return (
+        at.join(counts, "term", "left")
+        .groupBy("phrase", "n")
+        .agg(ranked, F.count("seen").alias("known"))
+        .where("known = n")
+        .drop("known")
+    )
 
 
 def postings(rows: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
     """The index of these terms over rows (key, text): (term, key, pos)."""
-    seen = rows.select("key", F.posexplode(_words("text")).alias("pos", "word")).select(_lower(F.col("word")).alias("term"), "key", "pos")
+    seen = rows.select(
+        "key", F.posexplode(_words("text")).alias("pos", "word"),
+    ).select(_lower(F.col("word")).alias("term"), "key", "pos")
     return seen.join(_small(terms, few), "term")
 
 
 def _index(rows: DataFrame, ranked: DataFrame, depth: int, limit: int) -> DataFrame:
     """Postings of the `depth` rarest terms of each window."""
-    terms = settle(ranked.select(F.explode(F.slice("ranked", 1, depth)).alias("r")).select("r.term").distinct(), "terms")
+    terms = settle(
+        ranked.select(F.explode(F.slice("ranked", 1, depth)).alias("r")).select("r.term").distinct(), "terms",
+    )
     return settle(postings(rows, terms, terms.count() <= limit), "postings")
 
 
@@ -104,15 +121,37 @@ def phrase_matches(rows: DataFrame, ranked: DataFrame, limit: int = _BROADCAST)
     ranked = settle(ranked, "ranked")
     few = ranked.count() <= limit
     index = _index(rows, ranked, 2, limit)
-    anchors = ranked.select("phrase", "n", F.col("ranked")[0]["term"].alias("term"), F.col("ranked")[0]["offset"].alias("offset"), F.when(F.col("n") > 1, F.col("ranked")[1]).alias("second"))
-    starts = index.join(_small(anchors, few), "term").where("pos >= offset").select("key", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start"), "second")
+    anchors = ranked.select(
+        "phrase", "n", F.col("ranked")[0]["term"].alias("term"), F.col("ranked")[0]["offset"].alias("offset"),
+        F.when(F.col("n") > 1, F.col("ranked")[1]).alias("second"),
+    )
+    starts = (
+        index.join(_small(anchors, few), "term")
+        .where("pos >= offset")
+        .select("key", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start"), "second")
+    )
     single = starts.where("n = 1").select("key", "phrase", "n", "start").distinct()
-    asked = starts.where("n > 1").select("key", "phrase", "n", "start", F.col("second.term").alias("term"), (F.col("start") + F.col("second.offset")).alias("pos"))
-    both = settle(asked.join(index, ["key", "term", "pos"], "left_semi").select("key", "phrase", "n", "start").distinct(), "candidates")
-    left = both.where("n > 2").join(_small(ranked.select("phrase", F.slice("ranked", 3, 1 << 30).alias("rest")), few), "phrase")
-    left = left.select("key", "phrase", "n", "start", F.explode("rest").alias("r")).select("key", "phrase", "n", "start", F.col("r.term").alias("term"), (F.col("start") + F.col("r.offset")).alias("pos"))
+    asked = starts.where("n > 1").select(
+        "key", "phrase", "n", "start", F.col("second.term").alias("term"),
+        (F.col("start") + F.col("second.offset")).alias("pos"),
+    )
+    both = settle(
+        asked.join(index, ["key", "term", "pos"], "left_semi").select("key", "phrase", "n", "start").distinct(),
+        "candidates",
+    )
+    left = both.where("n > 2").join(
+        _small(ranked.select("phrase", F.slice("ranked", 3, 1 << 30).alias("rest")), few), "phrase",
+    )
+    left = left.select("key", "phrase", "n", "start", F.explode("rest").alias("r")).select(
+        "key", "phrase", "n", "start", F.col("r.term").alias("term"), (F.col("start") + F.col("r.offset")).alias("pos"),
+    )
     there = left.join(_others(rows, ranked, both.where("n > 2"), limit), ["key", "term", "pos"], "left_semi")
-    full = there.groupBy("key", "phrase", "n", "start").agg(F.count(F.lit(1)).alias("agree")).where("agree = n - 2").drop("agree")
+    full = (
+        there.groupBy("key", "phrase", "n", "start")
+        .agg(F.count(F.lit(1)).alias("agree"))
+        .where("agree = n - 2")
+        .drop("agree")
+    )
     return single.union(both.where("n = 2")).union(full)
 
 
@@ -124,13 +163,30 @@ def proximity_matches(rows: DataFrame, ranked: DataFrame, slop: int, limit: int
     ranked = settle(ranked, "ranked")
     few = ranked.count() <= limit
     index = _index(rows, ranked, 1, limit)
-    anchors = ranked.select("phrase", F.col("ranked")[0]["term"].alias("term"), F.array_distinct(F.transform(F.slice("ranked", 2, 1 << 30), lambda r: r["term"])).alias("rest"))
-    near = settle(index.join(_small(anchors, few), "term").select("key", "phrase", "pos", F.array_except("rest", F.array("term")).alias("rest")).distinct(), "candidates")
+    anchors = ranked.select(
+        "phrase", F.col("ranked")[0]["term"].alias("term"),
+        F.array_distinct(F.transform(F.slice("ranked", 2, 1 << 30), lambda r: r["term"])).alias("rest"),
+    )
+    near = settle(
+        index.join(_small(anchors, few), "term").select(
+            "key", "phrase", "pos", F.array_except("rest", F.array("term")).alias("rest"),
+        ).distinct(),
+        "candidates",
+    )
     width = max(1, slop)
     asked = near.select("key", "phrase", "pos", F.size("rest").alias("want"), F.explode("rest").alias("term"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.floor((F.col("pos") - slop) / width), F.floor((F.col("pos") + slop) / width))))
-    lists = _others(rows, ranked, near, limit).select("key", "term", F.col("pos").alias("at"), F.floor(F.col("pos") / width).alias("part"))
-    hits = asked.join(lists, ["key", "term", "part"]).where(F.abs(F.col("at") - F.col("pos")) <= slop).select("key", "phrase", "pos", "want", "term").distinct()
+    asked = asked.withColumn(
+        "part", F.explode(F.sequence(F.floor((F.col("pos") - slop) / width), F.floor((F.col("pos") + slop) / width))),
+    )
+    lists = _others(rows, ranked, near, limit).select(
+        "key", "term", F.col("pos").alias("at"), F.floor(F.col("pos") / width).alias("part"),
+    )
+    hits = (
+        asked.join(lists, ["key", "term", "part"])
+        .where(F.abs(F.col("at") - F.col("pos")) <= slop)
+        .select("key", "phrase", "pos", "want", "term")
+        .distinct()
+    )
     full = hits.groupBy("key", "phrase", "pos", "want").agg(F.count(F.lit(1)).alias("agree")).where("agree = want")
     return near.where("size(rest) = 0").select("key", "phrase", "pos").union(full.select("key", "phrase", "pos"))
 
@@ -141,13 +197,17 @@ def _prepare(docs: DataFrame, items: DataFrame, size: int, limit: int, cols: dic
     return rows, tests, ranked_windows(rows, tests.select("phrase", "n").distinct(), limit)
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = 10, limit: int = _BROADCAST, **cols: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def matches(
+    docs: DataFrame, items: DataFrame, size: int = 10, limit: int = _BROADCAST, **cols: str,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, hits, tests); hits: (key, phrase, n, start), tests: (item, phrase, n)."""
     rows, tests, ranked = _prepare(docs, items, size, limit, cols)
     return rows, phrase_matches(rows, ranked, limit), tests
 
 
-def near_matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 20, limit: int = _BROADCAST, **cols: str) -> DataFrame:
+def near_matches(
+    docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 20, limit: int = _BROADCAST, **cols: str,
+) -> DataFrame:
     """(id, item, phrase, pos): windows of items whose terms all stand within slop words of the rarest one."""
     rows, tests, ranked = _prepare(docs, items, size, limit, cols)
     found = proximity_matches(rows, ranked, slop, limit).join(tests.select("item", "phrase"), "phrase")
@@ -160,13 +220,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, limit: int
     hits = settle(hits, "hits")
     words = hits.select("key", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
     words = words.groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
-    found = hits.select("key", "phrase").distinct().join(tests.select("item", "phrase"), "phrase").select("key", "item").distinct()
-    found = found.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
+    found = (
+        hits.select("key", "phrase")
+        .distinct()
+        .join(tests.select("item", "phrase"), "phrase")
+        .select("key", "item")
+        .distinct()
+    )
+    found = found.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"),
+    )
     base = rows.select("id", "key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     out = base.join(words.join(found, "key"), "key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     none = F.array().cast("array<string>")
-    return out.select("id", "key", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select(
+        "id", "key", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", none).alias("items"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
 
 
 def contaminated_keys(docs: DataFrame, items: DataFrame, size: int = 10, **cols: str) -> DataFrame:
@@ -178,7 +249,10 @@ def contaminated_keys(docs: DataFrame, items: DataFrame, size: int = 10, **cols:
 def query(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     joined = F.array_join("items", ",")
-    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+        F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
 
 
 SQL = r"""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import own_batches, settle, small_batches
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _BLOCK_FINGERPRINTS = 1 << 16
@@ -98,7 +98,9 @@ def _scan(batches):
     for b in batches:
         texts = b.column(1).to_pylist()
         shas = [hashlib.sha256(normalised(t)).digest() for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shas, pa.binary()), b.column(3)], ["doc_id", "n_cp", "sha", "row"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(2), pa.array(shas, pa.binary()), b.column(3)], ["doc_id", "n_cp", "sha", "row"],
+        )
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +110,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.length(text).cast("long").alias("n_cp"), F.monotonically_increasing_id().alias("row"))
+    cut = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"),
+        F.length(text).cast("long").alias("n_cp"), F.monotonically_increasing_id().alias("row"),
+    )
     return cut.mapInArrow(_scan, "doc_id long, n_cp long, sha binary, row long")
 
 
@@ -121,17 +126,29 @@ def repeated_fingerprints(rows: DataFrame, n_rows: int) -> DataFrame:
         whole = CountingQuotientFilter.build(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
         if not len(whole.prints):
             return
-        block = (whole.prints >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(whole.prints), np.int64)
+        block = (
+            whole.prints >> np.uint64(64 - bits)
+        ).astype(np.int64) if bits else np.zeros(len(whole.prints), np.int64)
         cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         ends = np.r_[cut[1:], len(block)]
-        out = [CountingQuotientFilter(whole.prints[a:b], whole.counts[a:b]).to_bytes(bits) for a, b in zip(cut, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(block[cut], pa.int64()), pa.array(out, pa.binary())], ["block", "filter"])
+        out = [
+            CountingQuotientFilter(whole.prints[a:b], whole.counts[a:b]).to_bytes(bits)
+            for a, b in zip(cut, ends, strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[cut], pa.int64()), pa.array(out, pa.binary())], ["block", "filter"],
+        )
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         whole = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(x, int(key[0])) for x in pdf["filter"]])
         return pd.DataFrame({"print": whole.prints[whole.counts > 1].view(np.int64)})
 
-    return rows.select("sha").mapInArrow(build, "block long, filter binary").groupBy("block").applyInPandas(merge, "print long")
+    return (
+        rows.select("sha")
+        .mapInArrow(build, "block long, filter binary")
+        .groupBy("block")
+        .applyInPandas(merge, "print long")
+    )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,13 +158,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     then the one with the smallest doc_id, then any one of equal rows. The byte check compares SHA-256 digests
     over all normalised bytes of the routed texts.
     """
-    rows = settle(digests(docs, id_col, text_col), "digests")
+    with own_batches(docs.sparkSession):
+        rows = settle(digests(docs, id_col, text_col), "digests")
     routed = settle(repeated_fingerprints(rows, rows.count()), "routed")
     fingerprint = F.conv(F.hex(F.substring("sha", 1, 8)), 16, -10).cast("long")
     candidates = rows.withColumn("print", fingerprint).join(routed, "print", "left_semi")
     best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("neg"), (-F.col("row")).alias("neg_row"))).alias("best")
     # Settled, so that both sides of the join come straight from a shuffle, whose large partitions Spark can split.
-    groups = settle(candidates.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
+    groups = settle(
+        candidates.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups",
+    )
     joined = rows.join(groups, "sha", "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(-F.col("best.neg"))
     return joined.select(

@@ -31,29 +31,44 @@ from .common import settle, small_batches, table
 
 # HTML elements by what they do to the text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "title", "noembed", "noframes", "xmp"}
+RAW = {
+    "script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "title",
+    "noembed", "noframes", "xmp",
+}
 CHROME = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu", "head", "datalist"}
 BLOCK = {
     "address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 } | CHROME
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
+ROLES = {
+    "navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu",
+    "menubar", "toolbar", "status",
+}
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "outbrain", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "widget",
 }
 
 # Inside an article only a container whose whole class or id is one of these goes.
-INNER_MARKS = {"ad", "ads", "advert", "advertisement", "comment-list", "comment-section", "comments", "disqus_thread", "promo", "reader-comments", "respond", "share-buttons", "sponsored"}
+INNER_MARKS = {
+    "ad", "ads", "advert", "advertisement", "comment-list", "comment-section", "comments", "disqus_thread", "promo",
+    "reader-comments", "respond", "share-buttons", "sponsored",
+}
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table"}
 
 # An attribute's value is quoted, or goes on to white space or the end of the tag whatever marks it holds.
 _VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
 _NAME = r"""[^\s/>=][^\s/>=]*+"""
 _ATTRS = rf"""(?:[\s/]++|=|{_NAME}(?:\s*+=\s*+{_VALUE}?+)?+)*+"""
-_TAG = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})(?:>|\Z)", re.S)
+_TAG = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 # End tags that a start tag implies: an open element of the value ends when one of the key's starts.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSES = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
+    "th": {"td", "th"}, "option": {"option"},
+}
 
 
 def _chrome(tag: str, attrs: str, in_article: bool) -> bool:
@@ -224,7 +239,9 @@ def _scan(batches):
         sites = [_host_path(u) for u in b.column(1).to_pylist()]
         outer = [[x for x, k in g if not k & IN_ARTICLE] for g in got]
         columns = [pa.array([s[i] for s in sites], pa.string()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(outer, pa.list_(pa.string()))], ["row", "host", "path", "outer"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), *columns, pa.array(outer, pa.list_(pa.string()))], ["row", "host", "path", "outer"],
+        )
 
 
 def _align(batches):
@@ -239,7 +256,9 @@ def _extract(batches):
         for page, common in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             got = page_lines(page or "")
             out.append(main_lines([x for x, _ in got], [k for _, k in got], common or ()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "lines"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "lines"],
+        )
 
 
 def _neighbours(light: DataFrame) -> DataFrame:
@@ -249,16 +268,23 @@ def _neighbours(light: DataFrame) -> DataFrame:
     first and the last row of each range meet those of the ranges beside it.
     """
     key = ("host", "path", "row")
-    ranged = settle(light.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "ranged")
+    ranged = settle(
+        light.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "ranged",
+    )
     by = Window.partitionBy("part").orderBy(*key)
     sites = F.struct("host", "row")
-    inside = ranged.select("part", "row", "host", F.lead(sites).over(by).alias("next"), F.lag(sites).over(by).alias("before"))
+    inside = ranged.select(
+        "part", "row", "host", F.lead(sites).over(by).alias("next"), F.lag(sites).over(by).alias("before"),
+    )
     # One row a range.
     parts = Window.orderBy("part")
     ends = ranged.groupBy("part").agg(F.min(F.struct(*key)).alias("first"), F.max(F.struct(*key)).alias("last"))
     ends = ends.select("part", F.lead("first").over(parts).alias("after"), F.lag("last").over(parts).alias("ahead"))
     met = inside.join(F.broadcast(ends), "part")
-    same = lambda inner, outer: F.coalesce(F.when(F.col(f"{inner}.host") == F.col("host"), F.col(f"{inner}.row")), F.when(F.col(inner).isNull() & (F.col(f"{outer}.host") == F.col("host")), F.col(f"{outer}.row")))
+    same = lambda inner, outer: F.coalesce(
+        F.when(F.col(f"{inner}.host") == F.col("host"), F.col(f"{inner}.row")),
+        F.when(F.col(inner).isNull() & (F.col(f"{outer}.host") == F.col("host")), F.col(f"{outer}.row")),
+    )
     return met.select("row", F.coalesce(same("next", "after"), same("before", "ahead")).alias("other"))
 
 
@@ -267,16 +293,32 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     small_batches(pages.sparkSession)
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     key = F.unhex(F.md5(F.concat_ws("\x01", name(id_col), name(url_col), name(html_col)).cast("binary")))
-    cut = pages.select(key.alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    cut = pages.select(
+        key.alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
+        F.col(html_col).alias("html"),
+    )
     # What alignment can delete, which is little where the article is marked; repeated rows once.
-    light = cut.select("row", "url", "html").mapInArrow(_scan, "row binary, host string, path string, outer array<string>")
+    light = cut.select("row", "url", "html").mapInArrow(
+        _scan, "row binary, host string, path string, outer array<string>",
+    )
     light = settle(light.dropDuplicates(["row"]), "outer")
     near = _neighbours(light.select("row", "host", "path")).where("other is not null")
-    both = near.join(light.select("row", "outer"), "row").join(light.select(F.col("row").alias("other"), F.col("outer").alias("others")), "other")
-    common = settle(both.select("row", "outer", "others").mapInArrow(_align, "row binary, common array<int>").where("size(common) > 0"), "common")
+    both = near.join(light.select("row", "outer"), "row").join(
+        light.select(F.col("row").alias("other"), F.col("outer").alias("others")), "other",
+    )
+    common = settle(
+        both.select("row", "outer", "others").mapInArrow(
+            _align, "row binary, common array<int>",
+        ).where("size(common) > 0"),
+        "common",
+    )
     # Pages that share lines outside their article are sent to all tasks up to a number that is counted, so that pages needn't move.
     common = F.broadcast(common) if common.count() <= _BROADCAST_PAGES else common
-    return cut.join(common, "row", "left").select("page_id", "url", "html", "common").mapInArrow(_extract, "page_id long, url string, lines array<string>")
+    return (
+        cut.join(common, "row", "left")
+        .select("page_id", "url", "html", "common")
+        .mapInArrow(_extract, "page_id long, url string, lines array<string>")
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -101,20 +101,33 @@ def document_frequencies(docs: DataFrame, grams: Grams, text_col: str = "text")
                 n += 1
                 total[grams.counts(t)[0]] += 1
         parts = [x.astype("<i8").tobytes() for x in np.split(total, _SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int64()), pa.array([n] * _SLICES, pa.int64()), pa.array(parts, pa.binary())], ["slice", "n", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(_SLICES), pa.int64()), pa.array([n] * _SLICES, pa.int64()), pa.array(parts, pa.binary())],
+            ["slice", "n", "counts"],
+        )
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
         return pd.DataFrame({"slice": [key[0]], "n": [pdf["n"].sum()], "counts": [total.astype("<i8").tobytes()]})
 
     schema = "slice long, n long, counts binary"
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, schema).groupBy("slice").applyInPandas(add, schema).orderBy("slice").collect()
+    rows = (
+        docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        .mapInArrow(count, schema)
+        .groupBy("slice")
+        .applyInPandas(add, schema)
+        .orderBy("slice")
+        .collect()
+    )
     if not rows:
         return 0, np.zeros(size, np.int64)
     return rows[0]["n"], np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows])
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, size: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, passes: int = 3) -> np.ndarray:
+def train_ftrl(
+    rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, size: int, alpha: float = 0.5, beta: float = 1.0,
+    l1: float = 1e-3, l2: float = 1e-3, passes: int = 3,
+) -> np.ndarray:
     """FTRL-proximal for softmax regression; the last column is the bias. rows: (features, values, language)."""
     z, n, w = (np.zeros((n_langs, size + 1)) for _ in range(3))
     rng = np.random.default_rng(0)
@@ -158,16 +171,28 @@ def sample(keys: DataFrame, max_rows: int) -> DataFrame:
     counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     quota = max(1, max_rows // max(1, counts.count()))
     place = (rank.cast("double") + 2.0**63) / 2.0**64
-    near = keys.join(F.broadcast(counts), "lang").where(place * F.col("n") < 2 * quota + 20).select(*keys.columns).distinct()
-    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id", "mark"))).where(F.col("k") <= quota)
+    near = (
+        keys.join(F.broadcast(counts), "lang")
+        .where(place * F.col("n") < 2 * quota + 20)
+        .select(*keys.columns)
+        .distinct()
+    )
+    first = near.withColumn(
+        "k", F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id", "mark")),
+    ).where(F.col("k") <= quota)
     return first.drop("k").orderBy(rank, "doc_id", "mark", "lang").limit(max_rows)
 
 
-def fit(docs: DataFrame, eligible, max_rows: int = 4000, grams: Grams | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(
+    docs: DataFrame, eligible, max_rows: int = 4000, grams: Grams | None = None, id_col: str = "doc_id",
+    text_col: str = "text", lang_col: str = "lang",
+) -> Model:
     """eligible: which rows may be learned from."""
     grams = grams or Grams()
     small_batches(docs.sparkSession)
-    rows = docs.where(eligible & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.where(eligible & F.col(lang_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+    )
     n, df = document_frequencies(rows, grams)
     idf = np.log((1 + n) / (1 + df)) + 1
 
@@ -176,23 +201,35 @@ def fit(docs: DataFrame, eligible, max_rows: int = 4000, grams: Grams | None = N
             for k, t, lang in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if has_letter(t):
                     at, x = grams.vector(t, idf)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([lang]), pa.array([at.astype(np.int32)]), pa.array([x])], ["doc_id", "lang", "at", "x"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int64()), pa.array([lang]), pa.array([at.astype(np.int32)]), pa.array([x])],
+                        ["doc_id", "lang", "at", "x"],
+                    )
 
     key = ["doc_id", "mark", "lang"]
     marked = rows.where("text is not null").select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text")
     taken = settle(marked.join(F.broadcast(sample(marked.select(*key), max_rows)), key).dropDuplicates(key), "sample")
     # At most max_rows rows.
-    got = taken.select("doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, lang string, at array<int>, x array<float>").toPandas()
+    got = (
+        taken.select("doc_id", "text", "lang")
+        .mapInArrow(vectors, "doc_id long, lang string, at array<int>, x array<float>")
+        .toPandas()
+    )
     got = got.sort_values(["doc_id", "lang"], kind="stable").reset_index(drop=True)
     langs = sorted(set(got["lang"]))
     if not langs:
         return Model()
-    cut = [(np.asarray(a, np.int64), np.asarray(x, np.float64), langs.index(lang)) for a, x, lang in zip(got["at"], got["x"], got["lang"], strict=True)]
+    cut = [
+        (np.asarray(a, np.int64), np.asarray(x, np.float64), langs.index(lang))
+        for a, x, lang in zip(got["at"], got["x"], got["lang"], strict=True)
+    ]
     kept = [i for i in range(len(cut)) if i % 5 == 4] if len(cut) >= 50 else []
     held = set(kept)
     w = train_ftrl([r for i, r in enumerate(cut) if i not in held], len(langs), 1 << grams.bits)
     weights, bias = w[:, :-1], w[:, -1]
-    temperature = best_temperature(np.array([weights[:, cut[i][0]] @ cut[i][1] + bias for i in kept]), np.array([cut[i][2] for i in kept])) if kept else 1.0
+    temperature = best_temperature(
+        np.array([weights[:, cut[i][0]] @ cut[i][1] + bias for i in kept]), np.array([cut[i][2] for i in kept]),
+    ) if kept else 1.0
     return Model(langs, weights.astype(np.float32), bias.astype(np.float32), idf, temperature, grams)
 
 
@@ -205,9 +242,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         known = sent.value
         for b in batches:
             names, scores = known.predict(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                ["doc_id", "lang_pred", "score"],
+            )
+
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+    ).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

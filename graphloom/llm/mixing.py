@@ -41,7 +41,9 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), budget_share: float = 1.5, max_
     by weight. In rising order of cap by weight, the sources that reach their cap come first.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
-    q = sizes.select("source", F.col("n").cast("long").alias("n"), (F.row_number().over(by_name) - 1).cast("long").alias("k"))
+    q = sizes.select(
+        "source", F.col("n").cast("long").alias("n"), (F.row_number().over(by_name) - 1).cast("long").alias("k"),
+    )
     if isinstance(weights, dict):
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map()
         weight = F.coalesce(F.try_element_at(given, F.coalesce("source", F.lit(""))), F.lit(1)) if weights else F.lit(1)
@@ -49,12 +51,23 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), budget_share: float = 1.5, max_
         weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
     w = q.withColumn("w", weight).withColumn("cap", F.col("n") * max_repeats)
     every = Window.partitionBy()
-    rising = Window.orderBy(F.col("cap").cast("double") / F.col("w"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, 0)
-    o = w.select("*", (F.sum("cap").over(rising) - F.col("cap")).alias("caps_before"), (F.sum("w").over(every) - F.sum("w").over(rising) + F.col("w")).alias("open_w"), F.least(F.lit(budget_share) * F.sum("n").over(every), F.sum("cap").over(every).cast("double")).alias("budget"))
+    rising = Window.orderBy(
+        F.col("cap").cast("double") / F.col("w"), F.col("source").isNull(), "source",
+    ).rowsBetween(Window.unboundedPreceding, 0)
+    o = w.select(
+        "*", (F.sum("cap").over(rising) - F.col("cap")).alias("caps_before"),
+        (F.sum("w").over(every) - F.sum("w").over(rising) + F.col("w")).alias("open_w"),
+        F.least(F.lit(budget_share) * F.sum("n").over(every), F.sum("cap").over(every).cast("double")).alias("budget"),
+    )
     f = o.withColumn("capped", F.col("cap") * F.col("open_w") <= F.col("w") * (F.col("budget") - F.col("caps_before")))
-    left = F.col("budget") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every).cast("double"), F.lit(0.0))
+    left = F.col("budget") - F.coalesce(
+        F.sum(F.when(F.col("capped"), F.col("cap"))).over(every).cast("double"), F.lit(0.0),
+    )
     share = left * F.col("w") / F.sum(F.when(~F.col("capped"), F.col("w"))).over(every).cast("double")
-    return f.select("source", "k", F.col("n").alias("source_size"), F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"), "budget")
+    return f.select(
+        "source", "k", F.col("n").alias("source_size"),
+        F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"), "budget",
+    )
 
 
 def group_key(id_col: Column, source: Column, text: Column) -> Column:
@@ -69,7 +82,10 @@ def _queue(docs: DataFrame, seed: int, cols: tuple[str, str, str]) -> DataFrame:
     text = F.coalesce(text_col, F.lit(""))
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     turn = F.md5(F.concat_ws(":", id_col.cast("string"), F.lit(str(seed)), F.md5(text.cast("binary"))).cast("binary"))
-    rows = docs.select(group_key(id_col, source_col, text).alias("key"), id_col.alias("doc_id"), source_col.cast("string").alias("source"), size.alias("size"), turn.alias("turn"))
+    rows = docs.select(
+        group_key(id_col, source_col, text).alias("key"), id_col.alias("doc_id"),
+        source_col.cast("string").alias("source"), size.alias("size"), turn.alias("turn"),
+    )
     return rows.groupBy("key", "doc_id", "source", "size", "turn").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -84,37 +100,77 @@ def mix(
     """
     queue = settle(_queue(docs, seed, (id_col, text_col, source_col)), "sizes")
     sums = queue.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("n"), F.count(F.lit(1)).alias("rows"))
-    plan = settle(targets(sums.select("source", "n"), weights, budget_share, max_repeats).join(sums.select(F.col("source").alias("s"), F.greatest(F.lit(1), F.ceil(F.col("rows") / _BUCKET_ROWS)).alias("buckets")), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
+    plan = settle(
+        targets(sums.select("source", "n"), weights, budget_share, max_repeats).join(
+            sums.select(
+                F.col("source").alias("s"), F.greatest(F.lit(1), F.ceil(F.col("rows") / _BUCKET_ROWS)).alias("buckets"),
+            ),
+            F.col("source").eqNullSafe(F.col("s")),
+        ).drop("s"),
+        "targets",
+    )
     n_sources, whole = plan.agg(F.count(F.lit(1)), F.max("budget")).first()
     plan = plan.drop("budget").withColumnRenamed("source", "s")
-    sized = queue.join(F.broadcast(plan) if n_sources <= _BROADCAST_SOURCES else plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sized = queue.join(
+        F.broadcast(plan) if n_sources <= _BROADCAST_SOURCES else plan, F.col("source").eqNullSafe(F.col("s")),
+    ).drop("s")
     # Buckets are stretches of the turn, so the order is that of the turn alone.
-    sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * F.col("buckets") / (1 << 32)))
+    sized = sized.withColumn(
+        "bucket", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * F.col("buckets") / (1 << 32)),
+    )
     # Cumulative words in two levels, so that no task holds a whole source.
     words = F.col("size") * F.col("c")
     bucket = sized.groupBy("k", "bucket").agg(F.sum(words).alias("n"))
     earlier = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bucket = bucket.select("k", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("k", "bucket").orderBy("turn", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = (
+        Window.partitionBy("k", "bucket")
+        .orderBy("turn", "doc_id", "key")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     queued = sized.withColumn("ahead", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(bucket, ["k", "bucket"])
     queued = queued.where("size > 0").withColumn("ahead", F.col("base") + F.col("ahead"))
     # Equal rows one behind the other; many of them are dealt out first.
-    few, many = queued.where(F.col("c") <= _CHUNK).withColumn("first", F.lit(0).cast("long")), queued.where(F.col("c") > _CHUNK)
-    dealt = many.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(_CHUNK).cast("long")))).repartition("key", "first")
-    members = few.union(dealt.select(*few.columns)).withColumn("member", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + _CHUNK, F.col("c")) - 1)))
-    copies = members.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_repeats - 1).cast("long"))))
-    copies = copies.withColumn("at", F.col("ahead") + F.col("member") * F.col("size") + F.col("copy") * F.col("source_size"))
+    few, many = queued.where(F.col("c") <= _CHUNK).withColumn(
+        "first", F.lit(0).cast("long"),
+    ), queued.where(F.col("c") > _CHUNK)
+    dealt = many.withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(_CHUNK).cast("long"))),
+    ).repartition("key", "first")
+    members = few.union(dealt.select(*few.columns)).withColumn(
+        "member", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + _CHUNK, F.col("c")) - 1)),
+    )
+    copies = members.withColumn(
+        "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_repeats - 1).cast("long"))),
+    )
+    copies = copies.withColumn(
+        "at", F.col("ahead") + F.col("member") * F.col("size") + F.col("copy") * F.col("source_size"),
+    )
     # By virtual time 1 every source has had its target, but for the packets in service then: the truncation falls between 1 and this.
     late = 1 + 2 * (n_sources or 0) * packet / max(whole or 0.0, 1.0)
     copies = copies.where(F.col("at") / F.col("target") < late)
-    step = F.when((F.col("at") + F.col("size")) / F.col("target") <= 1, F.col("size")).otherwise(F.lit(packet).cast("long"))
-    units = copies.withColumn("step", step).withColumn("off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.col("step"))))
-    units = units.withColumn("n", F.least(F.col("step"), F.col("size") - F.col("off"))).withColumn("end", F.col("at") + F.col("off") + F.col("n"))
-    units = units.select("key", "member", "doc_id", "source", "k", "copy", F.col("at").alias("from"), ((F.col("at") + F.col("off")) / F.col("target")).alias("start"), (F.col("end") / F.col("target")).alias("finish"), "end", "n")
+    step = F.when(
+        (F.col("at") + F.col("size")) / F.col("target") <= 1, F.col("size"),
+    ).otherwise(F.lit(packet).cast("long"))
+    units = copies.withColumn("step", step).withColumn(
+        "off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.col("step"))),
+    )
+    units = units.withColumn(
+        "n", F.least(F.col("step"), F.col("size") - F.col("off")),
+    ).withColumn("end", F.col("at") + F.col("off") + F.col("n"))
+    units = units.select(
+        "key", "member", "doc_id", "source", "k", "copy", F.col("at").alias("from"),
+        ((F.col("at") + F.col("off")) / F.col("target")).alias("start"),
+        (F.col("end") / F.col("target")).alias("finish"), "end", "n",
+    )
     n_ranges = max(1, queue.count() * max_repeats // _RANGE_ROWS)
     served = running_sum(units, ["finish", "k", "end"], "n", ranges=n_ranges)
     taken = F.least("n", F.lit(math.floor(whole or 0)).cast("long") - F.col("before"))
-    schedule = served.withColumn("taken", taken).where("taken > 0").select("key", "member", "doc_id", "source", "copy", "start", "finish", "before", "taken")
+    schedule = (
+        served.withColumn("taken", taken)
+        .where("taken > 0")
+        .select("key", "member", "doc_id", "source", "copy", "start", "finish", "before", "taken")
+    )
     return schedule, sized.select("key", "doc_id", "source", "size", "c", "source_size", "target")
 
 
@@ -122,7 +178,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     schedule, sized = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = schedule.groupBy("key", "member").agg(F.sum("taken").alias("taken"))
     rows = sized.withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
-    return rows.join(taken, ["key", "member"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken, ["key", "member"], "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+    )
 
 
 SQL = r"""

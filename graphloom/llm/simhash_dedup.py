@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, components, id_text, settle, small_batches
+from .common import batch_rows, components, id_text, own_batches, settle, small_batches
 
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _BITS = 23
@@ -163,7 +163,10 @@ def _compare(threshold: int):
         rest = None
         for b in _chain(batches):
             if b is not None:
-                cols = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)]
+                cols = [
+                    b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64),
+                    b.column(2).to_numpy(zero_copy_only=False),
+                ]
                 rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
                 if rest[0][0] == rest[0][-1]:
                     continue  # one anchor still
@@ -226,14 +229,19 @@ def _split(threshold: int):
 
     def run(batches):
         for b in batches:
-            anchor, prints, own = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
+            anchor, prints, own = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(
+                zero_copy_only=False
+            )
             heavy = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
             code, price = _tail(prints)
             take = (price @ inside.T <= threshold) & heavy[:, None]
             take[:, 0] = True
             i, k = np.nonzero(take)
             sub = np.where(heavy[i], code[i] ^ subsets[k], 0)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[i] | sub), pa.array(prints[i].view(np.int64)), pa.array(own[i] & (k == 0))], ["anchor", "print", "own"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor[i] | sub), pa.array(prints[i].view(np.int64)), pa.array(own[i] & (k == 0))],
+                ["anchor", "print", "own"],
+            )
 
     return run
 
@@ -250,7 +258,9 @@ def links(prints: DataFrame, threshold: int = 2, heavy: int = 1 << 14) -> DataFr
             for at in range(0, len(every), 4096):
                 cut = every[at : at + 4096]
                 i, anchor, own = anchors(cut, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor << 6), pa.array(cut[i].view(np.int64)), pa.array(own)], ["anchor", "print", "own"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor << 6), pa.array(cut[i].view(np.int64)), pa.array(own)], ["anchor", "print", "own"],
+                )
 
     def held(batches):
         for b in batches:
@@ -258,29 +268,51 @@ def links(prints: DataFrame, threshold: int = 2, heavy: int = 1 << 14) -> DataFr
             mask = np.uint64((1 << _BITS) - 1)
             low, high = (x & mask).astype(np.int64), (x >> np.uint64(_BITS) & mask).astype(np.int64)
             deltas, _ = golay_tables(0)
-            yield pa.RecordBatch.from_arrays([pa.array(((low ^ deltas[_syndrome(low), 0]) << _BITS | (high ^ deltas[_syndrome(high), 0])) << 6)], ["anchor"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(((low ^ deltas[_syndrome(low), 0]) << _BITS | (high ^ deltas[_syndrome(high), 0])) << 6)],
+                ["anchor"],
+            )
 
     distinct = settle(prints.select("print").distinct(), "distinct")
-    rows = distinct.repartition(max(1, distinct.count() // 20_000), "print").mapInArrow(replicate, "anchor long, print long, own boolean")
-    full = settle(distinct.mapInArrow(held, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("anchor"), "heavy")
+    rows = distinct.repartition(max(1, distinct.count() // 20_000), "print").mapInArrow(
+        replicate, "anchor long, print long, own boolean",
+    )
+    full = settle(
+        distinct.mapInArrow(held, "anchor long").groupBy("anchor").agg(
+            F.count(F.lit(1)).alias("n")
+        ).where(F.col("n") > heavy).select("anchor"),
+        "heavy",
+    )
     if not full.isEmpty():
-        marked = rows.join(full.withColumn("heavy", F.lit(True)), "anchor", "left").select("anchor", "print", "own", F.coalesce("heavy", F.lit(False)))
+        marked = rows.join(full.withColumn("heavy", F.lit(True)), "anchor", "left").select(
+            "anchor", "print", "own", F.coalesce("heavy", F.lit(False)),
+        )
         rows = marked.mapInArrow(_split(threshold), "anchor long, print long, own boolean")
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "a long, b long")
 
 
-def survivors(docs: DataFrame, key: str, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def survivors(
+    docs: DataFrame, key: str, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """(key): of each component the key of the document with the smallest id, null last, then the smallest key."""
-    rows = docs.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    prints = settle(_prints(rows, shingle, "key"), "prints")
+    rows = docs.select(
+        F.col(key).alias("key"), F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+    )
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best")
-    return _labelled(prints, threshold, best).groupBy("root").agg(F.min("best").alias("best")).select("best.key")
+    with own_batches(docs.sparkSession):
+        prints = settle(_prints(rows, shingle, "key"), "prints")
+        labels = _labelled(prints, threshold, best)
+    return labels.groupBy("root").agg(F.min("best").alias("best")).select("best.key")
 
 
-def simhash_dedup(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(
+    docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    prints = settle(fingerprints(docs, id_col, text_col, shingle), "prints")
-    labels = _labelled(prints, threshold, F.min("doc_id").alias("doc_id"))
+    with own_batches(docs.sparkSession):
+        prints = settle(fingerprints(docs, id_col, text_col, shingle), "prints")
+        labels = _labelled(prints, threshold, F.min("doc_id").alias("doc_id"))
     least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(least, "root").select("print", "component_id")
     shown = F.lower(F.lpad(F.hex("print"), 16, "0"))

@@ -107,7 +107,12 @@ def repeated_suffixes(texts: list[bytes], counts: list[int], length: int) -> lis
     direct = np.flatnonzero(smaller)
     end = start + wanted
     beyond = np.searchsorted(direct, end - 1)
-    stop = np.minimum(np.where(beyond < len(direct), direct[np.minimum(beyond, max(0, len(direct) - 1))] + 1 if len(direct) else n, n), start + sizes)
+    stop = np.minimum(
+        np.where(
+            beyond < len(direct), direct[np.minimum(beyond, max(0, len(direct) - 1))] + 1 if len(direct) else n, n,
+        ),
+        start + sizes,
+    )
     stop = np.maximum(stop, end)
     used = np.zeros(n + 1, np.int64)
     np.add.at(used, start, 1)
@@ -200,11 +205,18 @@ def _scan(length: int):
                     h, first, n = runs(text, length)
                     cut = zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)
                     body = np.array([xxh64_intdigest(text[a:z]) for a, z in cut], np.uint64)
-                    for col, x in zip(cols, (h.view(np.int64), body.view(np.int64), np.full(len(h), k1), np.full(len(h), k2), first, n), strict=True):
+                    for col, x in zip(
+                        cols,
+                        (h.view(np.int64), body.view(np.int64), np.full(len(h), k1), np.full(len(h), k2), first, n),
+                        strict=True,
+                    ):
                         col.append(x)
                 if cols[0]:
                     h, body, k1, k2, first, n = (np.concatenate(c) for c in cols)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, body, k1, k2, first.astype(np.int32), n.astype(np.int32))], ["gram", "body", "k1", "k2", "first", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (h, body, k1, k2, first.astype(np.int32), n.astype(np.int32))],
+                        ["gram", "body", "k1", "k2", "first", "n"],
+                    )
 
     return run
 
@@ -214,7 +226,10 @@ def _cut_out(length: int):
         for b in batches:
             for text, reps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 cols = [pa.array([r[k] for r in reps], pa.int64()) for k in ("gram", "body", "n", "kinds")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([text[r["first"] : r["first"] + r["n"] + length - 1] for r in reps], pa.binary())], ["gram", "body", "n", "kinds", "bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array([text[r["first"] : r["first"] + r["n"] + length - 1] for r in reps], pa.binary())],
+                    ["gram", "body", "n", "kinds", "bytes"],
+                )
 
     return run
 
@@ -231,7 +246,13 @@ def _deal_again(length: int, level: int):
                 cut = [data[a:z] for a, z in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)]
                 bodies = np.array([xxh64_intdigest(x) for x in cut], np.uint64)
                 up = [pa.array(np.full(len(h), x)) for x in (gram, body)]
-                yield pa.RecordBatch.from_arrays([pa.array((both ^ (both >> np.uint64(29))).view(np.int64)), pa.array(bodies.view(np.int64)), pa.array(n), *up, pa.array(first), pa.array(cut, pa.binary())], ["gram", "body", "n", "up_gram", "up_body", "off", "bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((both ^ (both >> np.uint64(29))).view(np.int64)), pa.array(bodies.view(np.int64)),
+                        pa.array(n), *up, pa.array(first), pa.array(cut, pa.binary()),
+                    ],
+                    ["gram", "body", "n", "up_gram", "up_body", "off", "bytes"],
+                )
 
     return run
 
@@ -267,7 +288,13 @@ def _window_hashes(length: int):
         for b in batches:
             for gram, body, n, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 hashes = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([body] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(hashes, pa.binary())], ["gram", "body", "a", "hash"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([gram] * n, pa.int64()), pa.array([body] * n, pa.int64()),
+                        pa.array(range(n), pa.int64()), pa.array(hashes, pa.binary()),
+                    ],
+                    ["gram", "body", "a", "hash"],
+                )
 
     return run
 
@@ -290,7 +317,13 @@ def _finish(batches):
             for c, x in zip(cols, (name, len(text), merged, [a for a, _ in merged], sha.hexdigest()), strict=True):
                 c.append(x)
         starts, stops = cols[3], [[z for _, z in m] for m in cols[2]]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "starts", "stops", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(starts, pa.list_(pa.int64())),
+                pa.array(stops, pa.list_(pa.int64())), pa.array(cols[4], pa.string()),
+            ],
+            ["doc_id", "n_bytes", "starts", "stops", "kept_sha256"],
+        )
 
 
 _SPANS = "gram long, body long, a long, z long"
@@ -301,26 +334,47 @@ def _repeats(cut: DataFrame, length: int, wide: int, levels: int, level: int = 0
     part = ["gram", "body", "n"]
     # Rows that share id and text give the same run more than once.
     once = lambda which: cut.where(which).select(*part, "bytes").dropDuplicates(part)
-    light = once(F.col("kinds").between(2, wide)).repartition("gram").sortWithinPartitions("gram", "body").mapInArrow(_sort(length), _SPANS)
+    light = (
+        once(F.col("kinds").between(2, wide))
+        .repartition("gram")
+        .sortWithinPartitions("gram", "body")
+        .mapInArrow(_sort(length), _SPANS)
+    )
     heavy = settle(once((F.col("kinds") > wide) & (F.col("kinds") > 1)), "heavy")
     if heavy.isEmpty():
         return light
     if level == levels:
         hashes = heavy.mapInArrow(_window_hashes(length), "gram long, body long, a long, hash binary")
         twice = hashes.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        return light.union(hashes.join(twice, ["gram", "hash"], "left_semi").select("gram", "body", "a", (F.col("a") + 1).alias("z")))
+        return light.union(
+            hashes.join(twice, ["gram", "hash"], "left_semi").select("gram", "body", "a", (F.col("a") + 1).alias("z"))
+        )
     schema = "gram long, body long, n long, up_gram long, up_body long, off long, bytes binary"
-    dealt = settle(heavy.repartition("body").select("gram", "body", "bytes").mapInArrow(_deal_again(length, level + 1), schema), "dealt")
-    groups = settle(dealt.groupBy("gram", "body", "n").agg(F.count(F.lit(1)).alias("times"), F.first("bytes").alias("bytes")), "groups")
+    dealt = settle(
+        heavy.repartition("body").select("gram", "body", "bytes").mapInArrow(_deal_again(length, level + 1), schema),
+        "dealt",
+    )
+    groups = settle(
+        dealt.groupBy("gram", "body", "n").agg(F.count(F.lit(1)).alias("times"), F.first("bytes").alias("bytes")),
+        "groups",
+    )
     kinds = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     inner = _repeats(groups.join(kinds, "gram"), length, wide, levels, level + 1)
     whole = groups.where("times > 1").select("gram", "body", F.lit(0).cast("long").alias("a"), F.col("n").alias("z"))
     found = settle(inner.union(whole), "inner")
     back = dealt.select("gram", "body", "n", "up_gram", "up_body", "off").join(found, ["gram", "body"]).where("z <= n")
-    return light.union(back.select(F.col("up_gram").alias("gram"), F.col("up_body").alias("body"), (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("z")).alias("z")))
-
-
-def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 11, levels: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return light.union(
+        back.select(
+            F.col("up_gram").alias("gram"), F.col("up_body").alias("body"), (F.col("off") + F.col("a")).alias("a"),
+            (F.col("off") + F.col("z")).alias("z"),
+        )
+    )
+
+
+def suffix_dedup(
+    docs: DataFrame, length: int = 200, wide: int = 1 << 11, levels: int = 4, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """One row per document: doc_id, n_bytes, starts and stops of the removed spans, kept_sha256."""
     if length < 2 * _GRAM:
         raise ValueError(f"length must be {2 * _GRAM} or more")
@@ -331,7 +385,12 @@ def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 11, levels
     # A row is told by its id and its text; the first column is the seed of the next one's hash.
     same = ["k1", "k2"]
     keys = tuple(F.xxhash64(F.lit(i), F.col("doc_id").isNull(), "doc_id", "text").alias(k) for i, k in enumerate(same))
-    every = settle(rows.select(*keys, "text").mapInArrow(_scan(length), "gram long, body long, k1 long, k2 long, first int, n int"), "runs")
+    every = settle(
+        rows.select(*keys, "text").mapInArrow(
+            _scan(length), "gram long, body long, k1 long, k2 long, first int, n int",
+        ),
+        "runs",
+    )
     again = every.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
     again = settle(again, "again")
     release(spark)
@@ -342,21 +401,36 @@ def suffix_dedup(docs: DataFrame, length: int = 200, wide: int = 1 << 11, levels
     kinds = bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     differ = bodies.join(kinds, "gram").select("gram", "body", "n", "kinds", "one.*")
     asked = differ.groupBy(*same).agg(F.collect_list(F.struct("gram", "body", "n", "kinds", "first")).alias("reps"))
-    found = rows.select(*keys, "text").join(asked, same).select("text", "reps").mapInArrow(_cut_out(length), "gram long, body long, n long, kinds long, bytes binary")
+    found = (
+        rows.select(*keys, "text")
+        .join(asked, same)
+        .select("text", "reps")
+        .mapInArrow(_cut_out(length), "gram long, body long, n long, kinds long, bytes binary")
+    )
     cut = settle(found, "cut")
     release(spark)
-    several = bodies.where("times > 1").select("gram", "body", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"))
+    several = bodies.where("times > 1").select(
+        "gram", "body", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"),
+    )
     repeats = settle(_repeats(cut, length, wide, levels).union(several), "repeats")
     release(spark)
     hits = kept.join(repeats, ["gram", "body"]).where("z <= n")
-    span = F.shiftleft((F.col("first") + F.col("a")).cast("long"), 32).bitwiseOR(F.col("first") + F.col("z") + F.lit(length - 1))
-    spans = settle(hits.select(*same, span.alias("span")).groupBy(*same).agg(F.collect_set("span").alias("spans")), "spans")
+    span = F.shiftleft((F.col("first") + F.col("a")).cast("long"), 32).bitwiseOR(
+        F.col("first") + F.col("z") + F.lit(length - 1)
+    )
+    spans = settle(
+        hits.select(*same, span.alias("span")).groupBy(*same).agg(F.collect_set("span").alias("spans")), "spans",
+    )
     release(spark)
     joined = rows.select("doc_id", *keys, "text").join(spans, same, "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_finish, "doc_id long, n_bytes long, starts array<long>, stops array<long>, kept_sha256 string")
+    return joined.mapInArrow(
+        _finish, "doc_id long, n_bytes long, starts array<long>, stops array<long>, kept_sha256 string",
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate(F.zip_with("starts", "stops", lambda a, z: z - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), "kept_sha256",
+    )

@@ -51,7 +51,9 @@ def pack(ids: np.ndarray, width: int, block_ids: int = BLOCK_IDS) -> bytes:
         offsets.append(at)
         at += len(raw)
         body.append(raw)
-    head = _MAGIC + np.array([width], "<u4").tobytes() + np.array([n], "<u8").tobytes() + np.array([block_ids, n_blocks], "<u4").tobytes()
+    head = _MAGIC + np.array([width], "<u4").tobytes() + np.array([n], "<u8").tobytes() + np.array(
+        [block_ids, n_blocks], "<u4",
+    ).tobytes()
     return head + np.array(offsets, "<u8").tobytes() + b"".join(body)
 
 
@@ -105,7 +107,10 @@ def vocabulary_bits(path: str) -> int:
     return max(1, (encoder(path).get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> None:
+def write_tokens(
+    docs: DataFrame, tokenizer_path: str, out: str, end_id: int | None = 2, id_col: str = "doc_id",
+    text_col: str = "text", file_ids: int = FILE_IDS,
+) -> None:
     """Tokenise docs and write the files to out, in ascending doc_id order over all parts.
 
     A file takes whole documents until it has file_ids ids; a longer document has a file of its own size.
@@ -134,7 +139,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int | N
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 cut = b.slice(at, 100)
-                for name, got in zip(cut.column(0).to_pylist(), encode(tokenizer, cut.column(1).to_pylist()), strict=True):
+                for name, got in zip(
+                    cut.column(0).to_pylist(), encode(tokenizer, cut.column(1).to_pylist()), strict=True,
+                ):
                     whole = np.concatenate([got, tail])
                     if held and held + len(whole) > file_ids:
                         yield flush()
@@ -164,7 +171,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 ends = np.cumsum(r["lengths"])
                 starts = ends - np.array(r["lengths"], np.int64)
                 each = [ids[a:z] for a, z in zip(starts, ends, strict=True)]
-                cols = [pa.array([r["part"]] * len(each), pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["first"], pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64())]
+                cols = [
+                    pa.array([r["part"]] * len(each), pa.int64()), pa.array(r["doc_ids"], pa.int64()),
+                    pa.array(starts + r["first"], pa.int64()), pa.array(r["lengths"], pa.int64()),
+                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64()),
+                ]
                 names = ["part", "doc_id", "local", "n_tokens", "ids_crc32"]
                 if with_ids:
                     cols.append(pa.array([x.astype(np.int64) for x in each], pa.list_(pa.int64())))
@@ -177,12 +188,18 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         sums.append((r["part"], total))
         total += r["n"]
     base = spark.createDataFrame(sums, "part long, base long")
-    rows = files.mapInArrow(run, "part long, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    rows = files.mapInArrow(
+        run, "part long, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids,
+    )
     more = ["ids"] if with_ids else []
-    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *more)
+    return rows.join(F.broadcast(base), "part").select(
+        "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *more,
+    )
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int | None = 2, **cols: str) -> DataFrame:
+def token_output(
+    docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int | None = 2, **cols: str,
+) -> DataFrame:
     """Write docs' ids to `out` (default: the shared folder) and return what read_tokens finds there."""
     spark = docs.sparkSession
     out = out or fresh_path(spark, "tokens")

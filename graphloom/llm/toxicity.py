@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, held_out, id_text, settle, small_batches, table
 
 # What stands in for a letter.
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
+SUBSTITUTES = {
+    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i",
+}
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
@@ -44,7 +46,10 @@ HOMOGLYPHS = {
 
 def _table() -> dict[int, str]:
     out = {}
-    for i in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0x2460, 0x2500)]:
+    for i in [
+        *range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800),
+        *range(0x2460, 0x2500),
+    ]:
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c)).lower()
         if base and base != chr(i) and base.isascii() and base.isalnum():
             out[i] = base
@@ -79,7 +84,10 @@ def fold(text: str) -> str:
 def _tally(by: tuple[Counter, Counter]) -> pa.RecordBatch:
     """(term, pos, neg) of two counters, which are emptied."""
     words = list(by[0].keys() | by[1].keys())
-    out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (by[1], by[0])]], ["term", "pos", "neg"])
+    out = pa.RecordBatch.from_arrays(
+        [pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in (by[1], by[0])]],
+        ["term", "pos", "neg"],
+    )
     by[0].clear()
     by[1].clear()
     return out
@@ -168,20 +176,38 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, eligible, max_rows: int, id_col="doc_id", text_col="text", label_col="toxic") -> DataFrame:
+def training_rows(
+    docs: DataFrame, labels: DataFrame, eligible, max_rows: int, id_col="doc_id", text_col="text", label_col="toxic",
+) -> DataFrame:
     """At most max_rows distinct labelled texts (text, label), taken by the hashes of id and text.
 
     Only labels of documents that are there count; a repeated id adds no rows beyond the bound.
     """
-    known = labels.where(F.col(label_col).isNotNull() & eligible).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    known = (
+        labels.where(F.col(label_col).isNotNull() & eligible)
+        .groupBy(F.col(id_col).cast("long").alias("doc_id"))
+        .agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    )
     rows = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    light = rows.select("doc_id", "mark").join(known, "doc_id").groupBy("doc_id", "mark").agg(F.max("label").alias("label"))
+    light = (
+        rows.select("doc_id", "mark")
+        .join(known, "doc_id")
+        .groupBy("doc_id", "mark")
+        .agg(F.max("label").alias("label"))
+    )
     chosen = light.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(max_rows)  # bounded, so it can be broadcast
     taken = rows.join(F.broadcast(chosen), ["doc_id", "mark"])
-    return taken.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    return (
+        taken.groupBy(F.md5(F.col("text").cast("binary")).alias("key"))
+        .agg(F.first("text").alias("text"), F.max("label").alias("label"))
+        .select("text", "label")
+    )
 
 
-def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidence: float = 15.0, min_weight: float = 2.0, min_spread: float = 0.15) -> Lexicon:
+def learn(
+    rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidence: float = 15.0, min_weight: float = 2.0,
+    min_spread: float = 0.15,
+) -> Lexicon:
     """rows: (text, label). A term needs min_evidence nats against the chance that its toxic share is the common one."""
     rows = settle(rows, "labelled")
     counts = dict(rows.groupBy("label").count().collect())
@@ -198,13 +224,23 @@ def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidenc
                     yield _tally(by)
         yield _tally(by)
 
-    found = rows.mapInArrow(terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = (
+        rows.mapInArrow(terms, "term string, pos long, neg long")
+        .groupBy("term")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    )
     logit = lambda k, n: F.log((F.col(k) + 0.5) / (n - F.col(k) + 0.5))
     found = found.where(F.col("pos") >= min_docs).withColumn("weight", logit("pos", n1) - logit("neg", n0))
     share, common = F.col("pos") / (F.col("pos") + F.col("neg")), n1 / (n1 + n0)
     against = F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - common))).otherwise(0.0)
-    found = found.withColumn("evidence", F.col("pos") * F.log(share / common) + against).where((share > common) & (F.col("evidence") >= min_evidence) & (F.col("weight") >= min_weight))
-    best = found.orderBy(F.desc("evidence"), F.desc(F.length(F.regexp_replace("term", "[*]", ""))), "term").limit(20 * max_terms).collect()
+    found = found.withColumn("evidence", F.col("pos") * F.log(share / common) + against).where(
+        (share > common) & (F.col("evidence") >= min_evidence) & (F.col("weight") >= min_weight)
+    )
+    best = (
+        found.orderBy(F.desc("evidence"), F.desc(F.length(F.regexp_replace("term", "[*]", ""))), "term")
+        .limit(20 * max_terms)
+        .collect()
+    )
     lexicon = Lexicon(_chosen([(r["term"], float(r["weight"])) for r in best], 2 * max_terms))
 
     def contexts(batches):
@@ -215,12 +251,26 @@ def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidenc
                 for a, z, term, _ in matcher.hits(folded):
                     first.setdefault(term, (folded[max(0, a - 12) : a], folded[z : z + 12]))
                 seen |= {(term, *place) for term, place in first.items()}
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], ["term", "before", "after"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in seen], pa.string()) for i in range(3)], ["term", "before", "after"],
+        )
 
     # Where an entry first stands in a text: words of near copies have few such places, those of their own accord many.
-    places = rows.where("label = 1").mapInArrow(contexts, "term string, before string, after string").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("places"))
-    spread = found.join(places, "term").where((F.col("places") >= min_spread * F.col("pos")) & (F.col("evidence") * F.col("places") / F.col("pos") >= min_evidence))
-    lexicon = Lexicon({r["term"]: float(r["weight"]) for r in spread.orderBy(F.desc("evidence"), "term").limit(max_terms).collect()})
+    places = (
+        rows.where("label = 1")
+        .mapInArrow(contexts, "term string, before string, after string")
+        .distinct()
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("places"))
+    )
+    spread = found.join(places, "term").where(
+        (F.col("places") >= min_spread * F.col("pos")) & (
+            F.col("evidence") * F.col("places") / F.col("pos") >= min_evidence
+        )
+    )
+    lexicon = Lexicon(
+        {r["term"]: float(r["weight"]) for r in spread.orderBy(F.desc("evidence"), "term").limit(max_terms).collect()}
+    )
 
     def phrases(batches):
         matcher, by = lexicon.matcher(), (Counter(), Counter())
@@ -230,21 +280,34 @@ def learn(rows: DataFrame, max_terms: int = 2000, min_docs: int = 5, min_evidenc
                 for a, z, _, _ in matcher.hits(folded):
                     word = folded[a:z] + re.match(r"\w*", folded[z : z + 26])[0]  # the whole word that a stem begins
                     end = a + len(word)
-                    before, after = re.search(r"([^\W\d_]+) $", folded[max(0, a - 26) : a]), re.match(r" ([^\W\d_]+)", folded[end : end + 26])
+                    before, after = re.search(
+                        r"([^\W\d_]+) $", folded[max(0, a - 26) : a],
+                    ), re.match(r" ([^\W\d_]+)", folded[end : end + 26])
                     seen |= {f"{before[1]} {word}"} if before else set()
                     seen |= {f"{word} {after[1]}"} if after else set()
                 by[label].update(seen)
         yield _tally(by)
 
-    spared = rows.mapInArrow(phrases, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    spared = spared.where((F.col("neg") >= min_docs) & (F.col("neg") * n1 >= 2 * F.col("pos") * n0)).orderBy(F.desc("neg"), "term").limit(max_terms)
+    spared = (
+        rows.mapInArrow(phrases, "term string, pos long, neg long")
+        .groupBy("term")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    )
+    spared = (
+        spared.where((F.col("neg") >= min_docs) & (F.col("neg") * n1 >= 2 * F.col("pos") * n0))
+        .orderBy(F.desc("neg"), "term")
+        .limit(max_terms)
+    )
     lexicon.exceptions = [r["term"] for r in spared.collect()]
 
     def features(batches):
         matcher = lexicon.matcher()
         for b in batches:
             got = [matcher.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64()), b.column(1)], ["total", "dense", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64()), b.column(1)],
+                ["total", "dense", "label"],
+            )
 
     # As many rows as the sample has, three numbers each.
     x = rows.mapInArrow(features, "total double, dense double, label int").toPandas()
@@ -299,4 +362,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = fit(docs, table(spark, sf_dir, "labels"))
     rows = score(docs, lexicon)
-    return rows.select("doc_id", held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select(
+        "doc_id", held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
