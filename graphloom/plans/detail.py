@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import signatures as S
 from ..functions.el import el_expressions
-from ..operators import blocks, callgraph, calltree, dataflow, icfg, reach, trace, validate, xtrace
+from ..operators import blocks, callgraph, calltree, dataflow, icfg, reach, render, trace, validate, xtrace
 from ..sources import classes, documents, scip
-from .queries import _CHAINS, _FROM_TO, _SE, _SN, _TREE, NARROW, _big, _handlers, _lines, _root, _sem, query
+from .queries import _CHAINS, _FROM_TO, _SE, _SN, _TREE, NARROW, _big, _chains, _handlers, _lines, _root, _sem, query
 from .storage import fresh_path
 
 # Names
@@ -412,3 +412,180 @@ def validate_leaves(f):
     return validate.leaf_fields(rows).select(
         "method", F.regexp_extract("message", r"(\w+)$", 1).alias("field"), "node_id",
     )
+
+
+# Texts
+
+
+_ID = "regexp_replace({}, '[^a-zA-Z0-9_]', '_', 'g')"
+
+
+@query(f"""
+    WITH c AS (SELECT DISTINCT src, dst, call_line = 3 AS back FROM call_edge), n AS (SELECT src AS node FROM c UNION SELECT dst FROM c)
+    SELECT '  ' || {_ID.format('n.node')} || ' [label="' || m.name || '" shape='
+        || CASE WHEN n.node IN (SELECT dst FROM c WHERE NOT back) THEN 'box' ELSE 'ellipse' END || '];' AS line
+    FROM n JOIN method m ON m.sig = n.node
+    UNION ALL SELECT '  ' || {_ID.format('src')} || ' -> ' || {_ID.format('dst')}
+        || CASE WHEN back THEN ' [style=dashed color=gray];' ELSE ';' END FROM c
+""")
+def call_tree_lines(f):
+    calls = f.call_edge.select("src", "dst", (F.col("call_line") == 3).alias("cycle"))
+    ends = calls.select(F.col("src").alias("node")).union(calls.select("dst")).distinct()
+    nodes = ends.join(f.method.select(F.col("sig").alias("node"), F.col("name").alias("label")), "node")
+    boxes, arrows = render.call_tree_lines(nodes, calls)
+    return boxes.select("line").union(arrows.select("line"))
+
+
+@query(f"""
+    WITH s AS (SELECT id, sig, text, kind, ord, regexp_extract(sig, '([^.]+):', 1) || '.' || regexp_extract(sig, '([^ ]+)\\(', 1) AS short FROM ddg_node)
+    SELECT '    ' || {_ID.format("regexp_replace(id, '#([^#]*)$', '_' || chr(92) || '1')")} || ' [label="' || short || '\\nL' || ord || ': ' || text || '" shape='
+        || CASE kind WHEN 'IDENTITY' THEN 'invhouse' WHEN 'RETURN' THEN 'house' WHEN 'ASSIGN_INVOKE' THEN 'box3d' ELSE 'box' END || '];' AS line FROM s
+    UNION ALL SELECT '  ' || {_ID.format("regexp_replace(src, '#([^#]*)$', '_' || chr(92) || '1')")} || ' -> ' || {_ID.format("regexp_replace(dst, '#([^#]*)$', '_' || chr(92) || '1')")}
+        || ' [label="LOCAL" color=black fontcolor=black];' FROM local_edge
+""")
+def dependence_lines(f):
+    nodes = f.ddg_node.withColumn("line", F.col("ord"))
+    boxes, arrows = render.ddg_lines(nodes, f.local_edge.select("src", "dst", F.lit("LOCAL").alias("kind")))
+    return boxes.select("line").union(arrows.select("line"))
+
+
+@query(f"""
+    WITH n AS (SELECT DISTINCT sig || '_' || o AS id, local AS label, 'u/' || sig || '#run' AS method, o % 3 AS depth FROM (SELECT CAST(sig AS VARCHAR) AS sig, o, local FROM stmt))
+    SELECT '    n_' || id || ' [label="' || label || '  (depth ' || depth || ')"];' AS line, '"run (depth ' || depth || ')"' AS title FROM n
+    UNION ALL SELECT '  n_' || sig || '_' || src || ' -> n_' || sig || '_' || dst || ' ['
+        || CASE WHEN label = 'T' THEN 'style=dashed, color=blue, label="call"' WHEN label = 'F' THEN 'style=dashed, color=gray, label="return"' ELSE 'color=black' END || '];', NULL FROM flow_edge
+""")
+def icfg_lines(f):
+    sig = F.col("sig").cast("string")
+    at = lambda c: F.concat(sig, F.lit("_"), F.col(c).cast("string"))
+    nodes = f.stmt.select(
+        at("o").alias("id"), F.col("local").alias("label"), F.concat(F.lit("u/"), sig, F.lit("#run")).alias("method"),
+        (F.col("o") % 3).alias("depth"),
+    )
+    kind = F.when(F.col("label") == "T", "CALL").when(F.col("label") == "F", "RETURN").otherwise("INTRA")
+    boxes, arrows = render.icfg_lines(
+        nodes, f.flow_edge.select(at("src").alias("from"), at("dst").alias("to"), kind.alias("kind")),
+    )
+    return boxes.select("line", "title").union(arrows.select("line", F.lit(None).cast("string")))
+
+
+@query(f"""
+    {_CHAINS}, c AS (SELECT row_number() OVER (ORDER BY path) AS chain, path FROM p JOIN t ON p.node = t.sig WHERE n > 1),
+    h AS (SELECT chain, i, path[i] AS node, CASE WHEN i > 1 THEN path[i - 1] END AS before FROM (SELECT chain, path, unnest(range(1, len(path) + 1)) AS i FROM c)),
+    l AS (SELECT h.chain, h.i, CASE WHEN i > 2 THEN '  ' || repeat('   ', CAST(i AS INT) - 2) ELSE '' END || '  ' || CASE WHEN i > 1 THEN '└─ ' ELSE '' END
+            || CASE WHEN f.call_line > 0 THEN '@L' || f.call_line || '  ' ELSE '' END
+            || m.class || '.' || m.name || '  L' || m.line_start || '-' || m.line_end || '  (' || (m.line_end - m.line_start + 1) || ' lines)' AS line
+        FROM h JOIN method m ON m.sig = h.node LEFT JOIN flat_call f ON f.caller = h.before AND f.callee = h.node)
+    SELECT chain, 'Chain ' || chain || ':' || chr(10) || string_agg(line, chr(10) ORDER BY i) || chr(10) AS text FROM l GROUP BY chain
+""")
+def chain_texts(f):
+    nodes = f.method.select(
+        F.col("sig").alias("node"), "class", F.col("name").alias("method"), F.col("line_start").alias("lineStart"),
+        F.col("line_end").alias("lineEnd"), (F.col("line_end") - F.col("line_start") + 1).alias("sourceLineCount"),
+    )
+    calls = f.flat_call.select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "call_line")
+    return render.chain_text(_chains(f), nodes, calls).select("chain", "text")
+
+
+# Small documents, written and read again
+
+
+def _written(f, lines, name: str) -> str:
+    path = fresh_path(f.spark, name)
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@query("SELECT bean_name, fqcn, 'request' AS scope FROM bean")
+def bean_documents(f):
+    part = lambda tag, c: F.concat(F.lit(f"<m:{tag}>"), c, F.lit(f"</m:{tag}>"))
+    bean = F.concat(
+        part("managed-bean-name", F.col("bean_name")), part("managed-bean-class", F.col("fqcn")),
+        part("managed-bean-scope", F.lit("request")),
+    )
+    rows = f.bean.agg(F.array_join(F.collect_list(part("managed-bean", bean)), "").alias("b"))
+    text = F.concat(F.lit('<m:faces-config xmlns:m="urn:x">'), "b", F.lit("</m:faces-config>"))
+    return documents.beans(f.spark, _written(f, rows.select(text), "beans"))
+
+
+@query("SELECT 'src' AS key, n_name || '=' || n_nationkey AS value FROM nation")
+def config_files(f):
+    pair = F.concat(F.lit(" src = "), "n_name", F.lit("="), F.col("n_nationkey").cast("string"))
+    lines = F.array(F.concat(F.lit("# "), "n_name"), pair, F.lit("other=1"), F.lit("nothing"))
+    path = _written(f, f.nation.select(F.explode(lines)), "config")
+    return documents.config(f.spark, path, ("src",)).select("key", "value")
+
+
+@query("""
+    SELECT sig, (starts_with(class, 'com.economy') OR starts_with(class, 'com.small')) AND NOT starts_with(class, 'com.small.Brand1') AS entered
+    FROM method
+""")
+def filter_documents(f):
+    doc = f.spark.createDataFrame(
+        [('{"allow": ["com.economy", "com.small"], "stop": ["com.small.Brand1"]}',)], "value string",
+    )
+    allow, stop = documents.filter_lists(f.spark, _written(f, doc, "filter"))
+    return f.method.select("sig", S.may_recurse(F.col("class"), allow, stop).alias("entered"))
+
+
+_FILES = "SELECT p_size % 4 AS root_ord, p_brand || '/' || CAST(p_partkey AS STRING) || '.java' AS path, 'com.' || lower(p_type) || '.C' || CAST(p_partkey % 50 AS STRING) AS fqcn FROM part"
+
+
+@query(
+    f"SELECT fqcn, arg_min(root_ord, (root_ord, path)) AS root_ord, arg_min(path, (root_ord, path)) AS path FROM ({_FILES}) GROUP BY fqcn"
+)
+def first_sources(f):
+    return documents.first_sources(f.sql(_FILES))
+
+
+# Compositions
+
+
+@query("""
+    WITH RECURSIVE w(sig, d, v, s) AS (SELECT e.sig, e.src, t.local, e.dst FROM flow_edge e JOIN stmt t ON t.sig = e.sig AND t.o = e.src
+        UNION SELECT w.sig, w.d, w.v, e.dst FROM w JOIN stmt t ON t.sig = w.sig AND t.o = w.s JOIN flow_edge e ON e.sig = w.sig AND e.src = w.s WHERE t.local <> w.v)
+    SELECT 'u' || w.sig || '#s' || (w.d - 1) AS src, 'u' || w.sig || '#s' || (w.s - 1) AS dst, 'LOCAL' AS kind
+    FROM w JOIN stmt_use u ON u.sig = w.sig AND u.stmt = w.s AND u.local = w.v
+""")
+def statement_dependence(f):
+    """From statements to numbered nodes and LOCAL edges, as ddg-inter-cfg makes them."""
+    sig = F.concat(F.lit("u"), F.col("sig").cast("string")).alias("sig")
+    text = F.concat("local", F.lit(" = 1"))
+    none = F.lit(None).cast("string")
+    stmts = f.stmt.select(
+        sig, F.col("o").alias("ord"), text.alias("text"), F.col("o").alias("line"), none.alias("call_target"),
+    )
+    calls = f.spark.createDataFrame([], "caller string, callee string")
+    flow, uses = f.flow_edge.select(sig, "src", "dst"), f.stmt_use.select(sig, "stmt", "local")
+    return dataflow.dependence_of_statements(stmts, flow, uses, calls)[1].select("src", "dst", "kind")
+
+
+@query("""
+    WITH RECURSIVE walk(node) AS (SELECT sig FROM root
+        UNION SELECT e.dst FROM walk w JOIN call_edge e ON e.src = w.node WHERE NOT starts_with(e.dst, '<com.economy.') AND e.dst NOT IN (SELECT sig FROM bridge))
+    SELECT e.src AS sig, e.dst AS child, m.class, m.name, e.call_line,
+           (starts_with(e.dst, '<com.economy.') OR e.dst IN (SELECT sig FROM bridge)) AND e.dst NOT IN (SELECT sig FROM root) AS filtered
+    FROM walk w JOIN call_edge e ON e.src = w.node JOIN method m ON m.sig = e.dst
+""")
+def forward_trace(f):
+    """The callees of every method of a forward trace, with the lines that its statements call them on."""
+    named = f.sql(_NAMED).select("caller", "callee", F.concat("class", F.lit("."), "name").alias("call"))
+    stmts = f.call_edge.select(
+        F.col("src").alias("caller"), F.col("dst").alias("callee"), "ord", F.col("call_line").alias("line"),
+    ).join(named, ["caller", "callee"])
+    bodies = {
+        "stmt": stmts.select(
+            F.col("caller").alias("sig"), "ord", "line", "call", F.lit(None).cast("string").alias("branch"),
+        )
+    }
+    methods = f.method.where("not is_bridge")
+    got = xtrace.forward_trace(f.call_edge, methods, bodies, f.root.first()["sig"], (), ("com.economy.",))
+    return got["child"].select(
+        "sig", "child", "class", "name", "call_line", (F.col("leaf_kind") == "filtered").alias("filtered"),
+    )
+
+
+@query(f"{_FROM_TO} SELECT DISTINCT s.sig, s.o // 3 AS line FROM stmt s JOIN kept k ON k.sig = s.sig AND k.node = s.o")
+def slice_lines(f):
+    lines = f.stmt.select("sig", F.col("o").alias("block"), F.floor(F.col("o") / 3).alias("line"))
+    return blocks.kept_lines(lines, blocks.between_lines(f.flow_edge, _lines(f), 5, 30).select("sig", "block"))
