@@ -14,7 +14,7 @@ sources, which are far fewer than the documents.
 
 Defined results: null text has size 0; documents of size 0 take 0; null is a source of
 its own and comes last; repeated rows queue separately, one behind the other; null ids
-are ids like any other; an empty table gives an empty result; other columns are ignored.
+are ids like any other; a source of weight 0 gives nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,19 +51,22 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), budget_share: float = 1.5, max_
         weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
     w = q.withColumn("w", weight).withColumn("cap", F.col("n") * max_repeats)
     every = Window.partitionBy()
+    # A source without weight takes nothing and comes last.
     rising = Window.orderBy(
-        F.col("cap").cast("double") / F.col("w"), F.col("source").isNull(), "source",
+        F.try_divide(F.col("cap").cast("double"), "w").asc_nulls_last(), F.col("source").isNull(), "source",
     ).rowsBetween(Window.unboundedPreceding, 0)
     o = w.select(
         "*", (F.sum("cap").over(rising) - F.col("cap")).alias("caps_before"),
         (F.sum("w").over(every) - F.sum("w").over(rising) + F.col("w")).alias("open_w"),
         F.least(F.lit(budget_share) * F.sum("n").over(every), F.sum("cap").over(every).cast("double")).alias("budget"),
     )
-    f = o.withColumn("capped", F.col("cap") * F.col("open_w") <= F.col("w") * (F.col("budget") - F.col("caps_before")))
+    reached = F.col("cap") * F.col("open_w") <= F.col("w") * (F.col("budget") - F.col("caps_before"))
+    f = o.withColumn("capped", reached & (F.col("w") > 0))
     left = F.col("budget") - F.coalesce(
         F.sum(F.when(F.col("capped"), F.col("cap"))).over(every).cast("double"), F.lit(0.0),
     )
-    share = left * F.col("w") / F.sum(F.when(~F.col("capped"), F.col("w"))).over(every).cast("double")
+    rest = F.sum(F.when(~F.col("capped"), F.col("w"))).over(every).cast("double")
+    share = F.coalesce(F.try_divide(left * F.col("w"), rest), F.lit(0.0))
     return f.select(
         "source", "k", F.col("n").alias("source_size"),
         F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"), "budget",
@@ -90,7 +93,8 @@ def _queue(docs: DataFrame, seed: int, cols: tuple[str, str, str]) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights=(5, 2, 1), budget_share: float = 1.5, max_repeats: int = 2, seed: int = 7, packet: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, weights=(5, 2, 1), budget_share: float = 1.5, max_repeats: int = 2, seed: int = 7,
+    packet: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> tuple[DataFrame, DataFrame]:
     """(schedule, sized).
 
@@ -129,7 +133,7 @@ def mix(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     queued = sized.withColumn("ahead", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(bucket, ["k", "bucket"])
-    queued = queued.where("size > 0").withColumn("ahead", F.col("base") + F.col("ahead"))
+    queued = queued.where("size > 0 and target > 0").withColumn("ahead", F.col("base") + F.col("ahead"))
     # Equal rows one behind the other; many of them are dealt out first.
     few, many = queued.where(F.col("c") <= _CHUNK).withColumn(
         "first", F.lit(0).cast("long"),

@@ -302,3 +302,14 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(1, 41)} | {100 + k: 100 for k in range(1, 30)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_batch_sizes_hold_inside_operators(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "5000")
+    try:
+        for operator in (exact_dedup.exact_dedup, simhash_dedup.simhash_dedup, passage_dedup.passage_dedup):
+            operator(docs)
+            assert spark.conf.get(name) == "5000"
+    finally:
+        spark.conf.unset(name)

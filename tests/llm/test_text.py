@@ -282,11 +282,17 @@ def test_ftrl_is_sparse_and_learns():
     assert t > 1
 
 
-def test_fair_targets():
-    assert mixing.fair_targets([10, 10, 10], [5, 2, 1], 45, 2) == [20.0, 50 / 3, 25 / 3]
-    assert mixing.fair_targets([1, 1], [1, 1], 100, 2) == [2.0, 2.0]
-    assert mixing.fair_targets([], [], 0, 2) == []
-    assert mixing.fair_targets([0, 4], [5, 2], 6, 2) == [0.0, 6.0]
+@pytest.mark.parametrize(
+    ("sizes", "weights", "share", "want"),
+    [
+        ([10, 10, 10], (5, 2, 1), 1.5, [20.0, 50 / 3, 25 / 3]), ([1, 1], (1,), 50, [2.0, 2.0]), ([0, 4], (5, 2), 1.5, [0.0, 6.0]), ([], (5, 2, 1), 1.5, []),
+        ([8, 8], {"s0": 0, "s1": 3}, 1, [0.0, 16.0]), ([8, 8], {"s0": 0, "s1": 0}, 1, [0.0, 0.0]), ([30, 10, 20], {}, 1, [20.0, 20.0, 20.0]),
+    ],
+)
+def test_targets(spark, sizes, weights, share, want):
+    rows = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, n long")
+    got = mixing.targets(rows, weights, share).orderBy("k").collect()
+    assert [r["target"] for r in got] == pytest.approx(want)
 
 
 def queued(corpus, packet):
@@ -311,7 +317,7 @@ def queued(corpus, packet):
         at = 0
         for _ in range(2):
             for _, turn, i, size in sorted((r for r in sized if r[0] == s), key=lambda r: r[1]):
-                step = size if (at + size) / target[s] <= 1 else packet
+                step = size if not size or (at + size) / target[s] <= 1 else packet
                 units += [((at + min(o + step, size)) / target[s], k, at + min(o + step, size), (i, turn), min(step, size - o)) for o in range(0, size, step or 1)]
                 at += size
     return target, n, sorted(units), math.floor(budget)
@@ -345,6 +351,12 @@ def test_mix_is_the_truncated_schedule(docs, corpus, empty, packet):
     assert schedule.collect() == sized.collect() == []
 
 
+def test_sources_without_weight_give_nothing(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 2}") for i in range(40)], "doc_id long, text string, source string")
+    schedule, sized = mixing.mix(docs, {"s0": 0, "s1": 1})
+    assert {r["source"] for r in schedule.collect()} == {"s1"} and sized.count() == 40
+
+
 def test_mix_by_given_weights_and_many_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "_CHUNK", 50)
     rows = [(None, "a b c", "x")] * 300 + [(i, "d e", "y") for i in range(300)]
