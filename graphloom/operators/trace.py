@@ -147,7 +147,9 @@ def expand_refs(
         sent = nodes.sparkSession.sparkContext.broadcast(index)
         types = {c: rows.schema[c].dataType.simpleString() for c in spark_cols}
         schema = T.DataType.fromDDL(", ".join(f"{c} {t}" for c, t in types.items()))
-        opened = todo.select(*spark_cols, "above").mapInArrow(_open_refs(sent, max_depth, to_arrow_schema(schema)), schema)
+        opened = todo.select(*spark_cols, "above").mapInArrow(
+            _open_refs(sent, max_depth, to_arrow_schema(schema)), schema,
+        )
         return kept.union(opened)
     known = bodies.select("sig", F.lit(True).alias("known")).distinct()
     for level in count():

@@ -436,11 +436,18 @@ def call_tree_lines(f):
     return boxes.select("line").union(arrows.select("line"))
 
 
+def _name(column: str) -> str:
+    return _ID.format(f"regexp_replace({column}, '#([^#]*)$', '_' || chr(92) || '1')")
+
+
 @query(f"""
-    WITH s AS (SELECT id, sig, text, kind, ord, regexp_extract(sig, '([^.]+):', 1) || '.' || regexp_extract(sig, '([^ ]+)\\(', 1) AS short FROM ddg_node)
-    SELECT '    ' || {_ID.format("regexp_replace(id, '#([^#]*)$', '_' || chr(92) || '1')")} || ' [label="' || short || '\\nL' || ord || ': ' || text || '" shape='
-        || CASE kind WHEN 'IDENTITY' THEN 'invhouse' WHEN 'RETURN' THEN 'house' WHEN 'ASSIGN_INVOKE' THEN 'box3d' ELSE 'box' END || '];' AS line FROM s
-    UNION ALL SELECT '  ' || {_ID.format("regexp_replace(src, '#([^#]*)$', '_' || chr(92) || '1')")} || ' -> ' || {_ID.format("regexp_replace(dst, '#([^#]*)$', '_' || chr(92) || '1')")}
+    WITH s AS (
+        SELECT id, sig, text, kind, ord,
+               regexp_extract(sig, '([^.]+):', 1) || '.' || regexp_extract(sig, '([^ ]+)\\(', 1) AS short FROM ddg_node)
+    SELECT '    ' || {_name("id")} || ' [label="' || short || '\\nL' || ord || ': ' || text || '" shape='
+        || CASE kind WHEN 'IDENTITY' THEN 'invhouse' WHEN 'RETURN' THEN 'house'
+            WHEN 'ASSIGN_INVOKE' THEN 'box3d' ELSE 'box' END || '];' AS line FROM s
+    UNION ALL SELECT '  ' || {_name("src")} || ' -> ' || {_name("dst")}
         || ' [label="LOCAL" color=black fontcolor=black];' FROM local_edge
 """)
 def dependence_lines(f):
@@ -450,10 +457,13 @@ def dependence_lines(f):
 
 
 @query(f"""
-    WITH n AS (SELECT DISTINCT sig || '_' || o AS id, local AS label, 'u/' || sig || '#run' AS method, o % 3 AS depth FROM (SELECT CAST(sig AS VARCHAR) AS sig, o, local FROM stmt))
+    WITH n AS (
+        SELECT DISTINCT sig || '_' || o AS id, local AS label, 'u/' || sig || '#run' AS method, o % 3 AS depth
+        FROM (SELECT CAST(sig AS VARCHAR) AS sig, o, local FROM stmt))
     SELECT '    n_' || id || ' [label="' || label || '  (depth ' || depth || ')"];' AS line, '"run (depth ' || depth || ')"' AS title FROM n
     UNION ALL SELECT '  n_' || sig || '_' || src || ' -> n_' || sig || '_' || dst || ' ['
-        || CASE WHEN label = 'T' THEN 'style=dashed, color=blue, label="call"' WHEN label = 'F' THEN 'style=dashed, color=gray, label="return"' ELSE 'color=black' END || '];', NULL FROM flow_edge
+        || CASE WHEN label = 'T' THEN 'style=dashed, color=blue, label="call"'
+            WHEN label = 'F' THEN 'style=dashed, color=gray, label="return"' ELSE 'color=black' END || '];', NULL FROM flow_edge
 """)
 def icfg_lines(f):
     sig = F.col("sig").cast("string")
@@ -471,8 +481,11 @@ def icfg_lines(f):
 
 @query(f"""
     {_CHAINS}, c AS (SELECT row_number() OVER (ORDER BY path) AS chain, path FROM p JOIN t ON p.node = t.sig WHERE n > 1),
-    h AS (SELECT chain, i, path[i] AS node, CASE WHEN i > 1 THEN path[i - 1] END AS before FROM (SELECT chain, path, unnest(range(1, len(path) + 1)) AS i FROM c)),
-    l AS (SELECT h.chain, h.i, CASE WHEN i > 2 THEN '  ' || repeat('   ', CAST(i AS INT) - 2) ELSE '' END || '  ' || CASE WHEN i > 1 THEN '└─ ' ELSE '' END
+    h AS (
+        SELECT chain, i, path[i] AS node, CASE WHEN i > 1 THEN path[i - 1] END AS before
+        FROM (SELECT chain, path, unnest(range(1, len(path) + 1)) AS i FROM c)),
+    l AS (SELECT h.chain, h.i, CASE WHEN i > 2 THEN '  ' || repeat('   ', CAST(i AS INT) - 2) ELSE '' END || '  '
+            || CASE WHEN i > 1 THEN '└─ ' ELSE '' END
             || CASE WHEN f.call_line > 0 THEN '@L' || f.call_line || '  ' ELSE '' END
             || m.class || '.' || m.name || '  L' || m.line_start || '-' || m.line_end || '  (' || (m.line_end - m.line_start + 1) || ' lines)' AS line
         FROM h JOIN method m ON m.sig = h.node LEFT JOIN flat_call f ON f.caller = h.before AND f.callee = h.node)

@@ -17,7 +17,10 @@ def con():
 
 
 def rows(df):
-    return sorted(repr(tuple(str(x) for x in r)) for r in df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False))
+    return sorted(
+        repr(tuple(str(x) for x in r))
+        for r in df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False)
+    )
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))

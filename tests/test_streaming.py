@@ -1,14 +1,19 @@
 from graphloom.operators import reach
 from graphloom.streaming.incremental import GrowingClosure, follow
 
-PAIRS = [("kiln", "loom"), ("mill", "forge"), ("loom", "mill"), ("forge", "kiln"), ("well", "pump"), ("forge", "dock"), ("quay", "well")]
+PAIRS = [
+    ("kiln", "loom"), ("mill", "forge"), ("loom", "mill"), ("forge", "kiln"), ("well", "pump"), ("forge", "dock"),
+    ("quay", "well"),
+]
 
 
 def test_stream_equals_batch(spark, tmp_path):
     seeds = spark.createDataFrame([("kiln", "kiln"), ("quay", "quay")], "root string, node string")
     where = f"file://{tmp_path}/state"
     for i, p in enumerate(PAIRS):
-        spark.createDataFrame([p], "src string, dst string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/edges")
+        spark.createDataFrame(
+            [p], "src string, dst string",
+        ).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/edges")
         if i % 2:
             # A process of its own each time: it finds the state and the checkpoint where they were.
             follow(spark, f"file://{tmp_path}/edges", GrowingClosure(seeds, where=where)).awaitTermination()
@@ -25,7 +30,9 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_an_epoch_that_failed_halfway_is_done_again(spark, tmp_path):
     seeds = spark.createDataFrame([("a", "a")], "root string, node string")
-    growing = GrowingClosure(seeds, spark.createDataFrame([("a", "b")], "src string, dst string"), f"file://{tmp_path}/s")
+    growing = GrowingClosure(
+        seeds, spark.createDataFrame([("a", "b")], "src string, dst string"), f"file://{tmp_path}/s",
+    )
     batch = spark.createDataFrame([("b", "c")], "src string, dst string")
     growing._write(batch, "edges", 0)  # the process ends before the nodes are written
     again = GrowingClosure(seeds, where=f"file://{tmp_path}/s")
