@@ -130,7 +130,12 @@ def write_tokens(
             nonlocal file, first, held, ids, names
             lengths = [len(x) for x in ids]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([file], pa.int64()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(np.concatenate(ids), width)], pa.binary())],
+                [
+                    pa.array([part], pa.int64()), pa.array([file], pa.int64()), pa.array([first], pa.int64()),
+                    pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())),
+                    pa.array([lengths], pa.list_(pa.int64())),
+                    pa.array([pack(np.concatenate(ids), width)], pa.binary()),
+                ],
                 ["part", "file", "first", "n_ids", "doc_ids", "lengths", "image"],
             )
             file, first, held, ids, names = file + 1, first + held, 0, [], []

@@ -57,7 +57,12 @@ def brute_suffix(corpus, length):
         hit = np.cumsum(hit)[: len(t)] > 0
         edge = np.diff(np.r_[0, hit.astype(int), 0])
         kept = bytes(c for c, h in zip(t, hit, strict=True) if not h)
-        out[(i, len(t), tuple(np.flatnonzero(edge == 1).tolist()), tuple(np.flatnonzero(edge == -1).tolist()), hashlib.sha256(kept).hexdigest())] += 1
+        out[
+            (
+                i, len(t), tuple(np.flatnonzero(edge == 1).tolist()), tuple(np.flatnonzero(edge == -1).tolist()),
+                hashlib.sha256(kept).hexdigest(),
+            )
+        ] += 1
     return out
 
 
@@ -74,7 +79,10 @@ def test_suffix_dedup_over_a_segment(spark):
     long = "".join(rng.choices("ijklmnop ", k=(1 << 20) + 4000))
     at = (1 << 20) - 250
     rows = [(1, long[:at] + passage + long[at:]), (1, passage + "x"), (None, "y" + passage)]
-    got = {(r["doc_id"], r["n_bytes"]): list(zip(r["starts"], r["stops"], strict=True)) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {
+        (r["doc_id"], r["n_bytes"]): list(zip(r["starts"], r["stops"], strict=True))
+        for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
     assert got[(1, 501)] == [(0, 500)] and got[(None, 501)] == [(1, 501)]
     assert got[(1, len(long) + 500)] == [(at, at + 500)]
 
@@ -90,7 +98,10 @@ def test_two_stage_sort_finds_all_repeats():
         counts = [len(t) - 11 for t in texts]
         seen = Counter(t[i : i + 12] for t, k in zip(texts, counts, strict=True) for i in range(k))
         got = suffix_dedup.repeated_suffixes(texts, counts, 12)
-        assert [f.tolist() for f in got] == [[seen[t[i : i + 12]] > 1 for i in range(k)] for t, k in zip(texts, counts, strict=True)]
+        assert [f.tolist() for f in got] == [
+            [seen[t[i : i + 12]] > 1 for i in range(k)]
+            for t, k in zip(texts, counts, strict=True)
+        ]
 
 
 def test_runs_cut_every_window_once():
@@ -138,7 +149,17 @@ def test_simhash_links_dense_prints(spark, heavy):
     """Many prints around few centres: every pair within two bits is connected, without all pairs being made."""
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**64, 4, dtype=np.uint64)
-    prints = np.unique(np.concatenate([c ^ sum((np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64) for _ in range(2)), np.zeros(300, np.uint64)) for c in centres]))
+    prints = np.unique(
+        np.concatenate(
+            [
+                c ^ sum(
+                    (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64) for _ in range(2)),
+                    np.zeros(300, np.uint64),
+                )
+                for c in centres
+            ]
+        )
+    )
     df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "print long")
     root = {r["node"]: r["root"] for r in components(simhash_dedup.links(df, heavy=heavy)).collect()}
     signed = prints.view(np.int64).tolist()
@@ -164,7 +185,10 @@ def test_fingerprint_is_by_the_definition():
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
         h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-        assert simhash_dedup.fingerprint(text.encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert simhash_dedup.fingerprint(text.encode()) == sum(
+            1 << b
+            for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)
+        )
 
 
 def test_compact_windows_are_the_cartesian_tree():
@@ -202,7 +226,10 @@ def test_passage_dedup(spark, docs, corpus, empty):
     assert set(base) == {18} and len(base) > 3  # copies, a repeated row and the near copy
     shared = min(i for i, t in corpus if i and t and corpus[11][1] in t)
     assert {r["class_id"] for r in every if r["doc_id"] is None and r["n_words"] == 80} == {shared}
-    assert [(r["class_id"], r["starts"]) for r in every if r["n_words"] in (70, 230)] in ([(18, []), (None, [])], [(None, []), (18, [])])
+    assert [
+        (r["class_id"], r["starts"])
+        for r in every if r["n_words"] in (70, 230)
+    ] in ([(18, []), (None, [])], [(None, []), (18, [])])
     clean = [i for i, t in corpus if i not in (None, 18) and t and len(t.split()) == 60]
     assert all(got[i]["starts"] == [] and got[i]["class_id"] == i for i in clean)
     assert passage_dedup.passage_dedup(empty).collect() == []
@@ -211,8 +238,14 @@ def test_passage_dedup(spark, docs, corpus, empty):
 def test_passages_of_rows_without_or_with_repeated_ids(spark):
     shared = [words(k, 80) for k in range(3)]
     pad = lambda k, s: f"{words(100 + k, 20)} {shared[s]} {words(200 + k, 20)}"
-    rows = [(None, pad(1, 0)), (1, pad(2, 0)), (1, pad(3, 1)), (2, pad(4, 1)), (None, pad(5, 2)), (None, pad(6, 2)), (None, pad(6, 2)), (7, words(9, 90))]
-    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in passage_dedup.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    rows = [
+        (None, pad(1, 0)), (1, pad(2, 0)), (1, pad(3, 1)), (2, pad(4, 1)), (None, pad(5, 2)), (None, pad(6, 2)),
+        (None, pad(6, 2)), (7, words(9, 90)),
+    ]
+    got = Counter(
+        (r["doc_id"], r["class_id"], r["n_links"])
+        for r in passage_dedup.passage_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    )
     assert got == Counter({(None, 1, 1): 1, (1, 1, 1): 2, (2, 1, 1): 1, (None, None, 1): 3, (7, 7, 0): 1})
 
 
@@ -230,7 +263,12 @@ def test_near_passages_are_found(spark):
     hot = words(4242, 70)
     first = len(texts)
     texts += [f"{words(20000 + k, 8)} {hot} {words(30000 + k, 8)}" for k in range(600)]
-    got = {r["doc_id"]: r["class_id"] for r in passage_dedup.passage_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {
+        r["doc_id"]: r["class_id"]
+        for r in passage_dedup.passage_dedup(
+            spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        ).collect()
+    }
     assert len(want) > 40 and sum(got[a] == got[b] for a, b in want) >= 0.9 * len(want)
     assert {got[i] for i in range(first, len(texts))} == {first}
     assert all(got[i] // 2 == i // 2 for i in range(first))
@@ -246,7 +284,12 @@ def test_equal_passages_meet_among_edited_variants(spark):
             for at in rng.sample(range(60), 2) if k > 1 else ():
                 p[at] = f"changed{g}x{k}x{at}"
             texts.append(" ".join([words(5000 + 100 * g + k, 30), *p, words(9000 + 100 * g + k, 30)]))
-    got = {r["doc_id"]: r for r in passage_dedup.passage_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {
+        r["doc_id"]: r
+        for r in passage_dedup.passage_dedup(
+            spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        ).collect()
+    }
     seen = defaultdict(set)
     split = [t.split() for t in texts]
     for i, w in enumerate(split):

@@ -39,7 +39,10 @@ def test_rows_without_or_with_repeated_ids_stay(spark):
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     more = [(None, words(1, 80)), (None, words(2, 80)), (0, words(3, 80)), (0, words(3, 80)), (None, words(1, 80))]
-    new = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in more], "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    new = spark.createDataFrame(
+        [(i, t, "en", "src0", len(t)) for i, t in more],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
     extra = ["key", "row", "times", "member", "print", "label", "taken", "turn", "c", "size"]
     every = docs.union(new).withColumns({c: F.lit(c) for c in extra})
     for name, stage in corpus_pipeline.STAGES[:3]:
@@ -50,7 +53,9 @@ def test_rows_without_or_with_repeated_ids_stay(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, every, SMALL).where(F.col("text") == more[2][1]).count()
     assert got == 1
     mixed = corpus_pipeline.mix_sources(spark, every, SMALL)
-    assert mixed.columns == every.columns and mixed.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 4
+    assert mixed.columns == every.columns and mixed.groupBy(
+        "doc_id", "text",
+    ).count().agg(F.max("count")).first()[0] <= 4
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, every.limit(0), SMALL).collect() == []
 
@@ -69,7 +74,9 @@ def test_sql_agrees(spark, name):
     want = con.sql(registry.SQL[name]).df()
     got = registry.QUERIES[name](spark, SMALL).toPandas()[list(want.columns)]
     order = ["doc_id"]
-    assert got.sort_values(order).reset_index(drop=True).astype(str).equals(want.sort_values(order).reset_index(drop=True).astype(str))
+    assert got.sort_values(order).reset_index(drop=True).astype(str).equals(
+        want.sort_values(order).reset_index(drop=True).astype(str)
+    )
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))

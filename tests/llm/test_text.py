@@ -23,7 +23,10 @@ def fold(t):
 
 def test_decontaminate(spark, docs, corpus, empty):
     long = words(1, 80).split()
-    items = [(1, " ".join(long[10:40])), (2, "Two, WORDS!"), (3, None), (4, ""), (5, words(77, 30)), (6, "  ONE "), (6, "one"), (10, " ".join(long[20:31]))]
+    items = [
+        (1, " ".join(long[10:40])), (2, "Two, WORDS!"), (3, None), (4, ""), (5, words(77, 30)), (6, "  ONE "),
+        (6, "one"), (10, " ".join(long[20:31])),
+    ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = Counter()
     for i, t in items:
@@ -40,7 +43,10 @@ def test_decontaminate(spark, docs, corpus, empty):
                     found.add(item)
         want[(i, len(w), len(hit), len(found), ",".join(sorted(found)), bool(hit))] += 1
     got = decontaminate.decontaminate(docs, bench).collect()
-    assert Counter((r["id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"]), r["contaminated"]) for r in got) == want
+    assert Counter(
+        (r["id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"]), r["contaminated"])
+        for r in got
+    ) == want
     assert any(x[2] for x in want)
     assert decontaminate.decontaminate(empty, bench).collect() == []
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
@@ -48,20 +54,36 @@ def test_decontaminate(spark, docs, corpus, empty):
 
 def test_decontaminate_by_shuffle(spark, docs, corpus):
     """With nothing broadcast the result is the same."""
-    bench = spark.createDataFrame([(1, corpus[6][1]), (2, "two words"), (3, "ab ab ab"), (4, "words")], "item_id long, text string")
-    rows = lambda limit: Counter((r["key"], r["n_hit"], *r["items"]) for r in decontaminate.decontaminate(docs, bench, limit=limit).collect())
+    bench = spark.createDataFrame(
+        [(1, corpus[6][1]), (2, "two words"), (3, "ab ab ab"), (4, "words")], "item_id long, text string",
+    )
+    rows = lambda limit: Counter(
+        (r["key"], r["n_hit"], *r["items"])
+        for r in decontaminate.decontaminate(docs, bench, limit=limit).collect()
+    )
     assert rows(0) == rows(1000) and any(k[1] for k in rows(0))
-    near = lambda limit: Counter(tuple(r) for r in decontaminate.near_matches(docs, bench, slop=3, limit=limit).collect())
+    near = lambda limit: Counter(
+        tuple(r)
+        for r in decontaminate.near_matches(docs, bench, slop=3, limit=limit).collect()
+    )
     assert near(0) == near(1000)
 
 
 @pytest.mark.parametrize("slop", [0, 1, 5])
 def test_proximity(spark, slop):
     rng = random.Random(3)
-    texts = [" ".join(rng.choice("abcdz") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["c x b y a", "a " + "z " * 30 + "b c", "a b", None]
+    texts = [
+        " ".join(rng.choice("abcdz") for _ in range(rng.randint(0, 40)))
+        for _ in range(60)
+    ] + ["c x b y a", "a " + "z " * 30 + "b c", "a b", None]
     items = [(1, "a b c"), (2, "d"), (3, "b b a"), (4, "q a")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(r["id"], r["item"], r["pos"]) for r in decontaminate.near_matches(docs, spark.createDataFrame(items, "item_id long, text string"), slop=slop).collect()}
+    got = {
+        (r["id"], r["item"], r["pos"])
+        for r in decontaminate.near_matches(
+            docs, spark.createDataFrame(items, "item_id long, text string"), slop=slop,
+        ).collect()
+    }
     seen = Counter(w for t in texts for w in (t or "").split())
     want = set()
     for item, phrase in items:
@@ -69,7 +91,10 @@ def test_proximity(spark, slop):
         rarest = min(range(len(terms)), key=lambda k: (seen[terms[k]], terms[k], k))
         for i, t in enumerate(texts):
             w = (t or "").split()
-            want |= {(i, str(item), p) for p, x in enumerate(w) if x == terms[rarest] and set(terms) <= set(w[max(0, p - slop) : p + slop + 1])}
+            want |= {
+                (i, str(item), p)
+                for p, x in enumerate(w) if x == terms[rarest] and set(terms) <= set(w[max(0, p - slop) : p + slop + 1])
+            }
     assert got == want and (slop == 0 or want)
 
 
@@ -85,15 +110,27 @@ def lines_of(page):
 @pytest.mark.parametrize(
     ("body", "want"),
     [
-        ("<article><h1>A &amp; B</h1><p><b>One<br>two   three<p>Four&nbsp;five</p></article>", "A & B One two three Four five"),
+        (
+            "<article><h1>A &amp; B</h1><p><b>One<br>two   three<p>Four&nbsp;five</p></article>",
+            "A & B One two three Four five",
+        ),
         ("<main><p>Main <i>te</i>xt</p><div class='comments'><p>Nice!</p></div></main>", "Main text"),
-        ("<article><header><h1>H</h1></header><p>Body</p><form><input><label>L</label></form><div class='share-buttons'>S</div></article>", "H Body"),
+        (
+            "<article><header><h1>H</h1></header><p>Body</p><form><input><label>L</label></form><div class='share-buttons'>S</div></article>",
+            "H Body",
+        ),
         ("<article><p>a<script>1 < 2</script>b</p><p>and more</p></article>", "a b and more"),
         ("<article><p title='x > y'>question</p><table><tr><td>1<td>2</table></article>", "question 1 2"),
         ("<article><p data=it's>Hello</p><p>don't</p><p>y</p></article>", "Hello don't y"),
         ("<article><p data=it's>Hello there</p></article>", "Hello there"),
-        ("<article><section id='related-work'><p>Related work</p></section><p class='share-price'>Price</p><label>Name</label></article>", "Related work Price Name"),
-        ("<article><p>short</p></article><p>The text itself stands beside the teaser</p>", "short The text itself stands beside the teaser"),
+        (
+            "<article><section id='related-work'><p>Related work</p></section><p class='share-price'>Price</p><label>Name</label></article>",
+            "Related work Price Name",
+        ),
+        (
+            "<article><p>short</p></article><p>The text itself stands beside the teaser</p>",
+            "short The text itself stands beside the teaser",
+        ),
         ("<p a=1 =b c = 'd' e= f/ g>text</p><p x='y>lost</p>", "text"),
         ("<!--><p>one</p><!-- --!><p>two</p></ x><?php y?><p>three</p>", "one two three"),
     ],
@@ -111,10 +148,20 @@ def test_neighbours_and_differences_by_brute_force(spark):
     for i in range(400):
         site = rng.choice(["a.example", "b.example", "c.example"])
         path = rng.choice([f"/{i}", f"/one/{rng.randrange(9000)}/x", f"/y/{rng.choice('abc')}"])
-        words_ = [rng.choice(menu) for _ in range(rng.randint(0, 6))] + [f"Story {i} {k}" for k in range(rng.randint(0, 3))]
+        words_ = [
+            rng.choice(menu)
+            for _ in range(rng.randint(0, 6))
+        ] + [f"Story {i} {k}" for k in range(rng.randint(0, 3))]
         rng.shuffle(words_)
         marked = i % 7 == 0
-        rows.append((i if i % 50 else None, f"http://{site}{path}", "".join(f"<p>{w}</p>" for w in words_) + (f"<article><p>{'Article text ' * 9}{i}</p></article>" if marked else "")))
+        rows.append(
+            (
+                i if i % 50 else None, f"http://{site}{path}",
+                "".join(f"<p>{w}</p>" for w in words_) + (
+                    f"<article><p>{'Article text ' * 9}{i}</p></article>" if marked else ""
+                ),
+            )
+        )
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
     parsed = []
     for i, url, page in rows:
@@ -130,9 +177,17 @@ def test_neighbours_and_differences_by_brute_force(spark):
         for r in of:
             same = [q for q in of if q[1] == r[1] and q is not r]
             k = paths.index(r[1])
-            near = same + [q for q in of if q[1] in paths[k + 1 : k + 2]] + [q for q in of if q[1] in paths[max(0, k - 1) : k]]
+            near = same + [q for q in of if q[1] in paths[k + 1 : k + 2]] + [
+                q
+                for q in of if q[1] in paths[max(0, k - 1) : k]
+            ]
             outer = lambda q: [q[3][i] for i in html_extract.outer_places(q[4])]
-            allowed.setdefault(r[2], []).append({tuple(html_extract.main_lines(r[3], r[4], html_extract.shared(outer(r), outer(q)))) for q in near} | ({()} if not near else set()))
+            allowed.setdefault(r[2], []).append(
+                {
+                    tuple(html_extract.main_lines(r[3], r[4], html_extract.shared(outer(r), outer(q))))
+                    for q in near
+                } | ({()} if not near else set())
+            )
     for r in html_extract.extract_text(pages).collect():
         assert any(tuple(r["lines"]) in options for options in allowed[r["page_id"]])
 
@@ -181,7 +236,10 @@ def test_toxicity_exceptions_of_stems_are_learned(spark):
 
 def test_samples_are_bounded_by_rows(spark):
     """One id 3,000 times, with texts of its own or one text, and labels of documents that aren't there."""
-    rows = [(1, f"text number {i}", "aa") for i in range(3000)] + [(i, "one text", "bb") for i in range(2, 60)] + [(None, "no id", "cc")] * 5
+    rows = [
+        (1, f"text number {i}", "aa")
+        for i in range(3000)
+    ] + [(i, "one text", "bb") for i in range(2, 60)] + [(None, "no id", "cc")] * 5
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5000)], "doc_id long, toxic int")
     took = toxicity.training_rows(docs, labels, F.lit(True), 100).collect()
@@ -198,7 +256,10 @@ def test_samples_are_bounded_by_rows(spark):
 
 def test_differencing_on_unmarked_pages(spark):
     page = "<html><body><p>Site name</p><p>%s</p><p>All rights</p></body></html>"
-    rows = [(i, f"http://h.example/news/{i}", page % f"Story {i}") for i in range(5)] + [(9, "http://other.example/1", page % "Alone"), (10, None, None), (11, "::bad url[", ""), (0, "http://h.example/news/0", page % "Story 0")]
+    rows = [(i, f"http://h.example/news/{i}", page % f"Story {i}") for i in range(5)] + [
+        (9, "http://other.example/1", page % "Alone"), (10, None, None), (11, "::bad url[", ""),
+        (0, "http://h.example/news/0", page % "Story 0"),
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
     got = Counter((r["page_id"], tuple(r["lines"])) for r in html_extract.extract_text(pages).collect())
     assert all(got[(i, (f"Story {i}",))] for i in range(2, 5))
@@ -209,11 +270,19 @@ def test_differencing_on_unmarked_pages(spark):
 
 def test_unmarked_pages_alone_in_their_folders(spark):
     page = "<html><body><p>Site name</p><p>%s</p><p>All rights</p></body></html>"
-    urls = [f"http://h.example/post/{i * 5000}/title-{i}" for i in range(40)] + [f"http://k{i}.example/{d}/" for i in range(20) for d in ("a/b", "2024/05/17/slug")]
-    pages = spark.createDataFrame([(i, u, page % f"Story {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(7)
+    urls = [f"http://h.example/post/{i * 5000}/title-{i}" for i in range(40)] + [
+        f"http://k{i}.example/{d}/"
+        for i in range(20)
+        for d in ("a/b", "2024/05/17/slug")
+    ]
+    pages = spark.createDataFrame(
+        [(i, u, page % f"Story {i}") for i, u in enumerate(urls)], "page_id long, url string, html string",
+    ).repartition(7)
     got = {r["page_id"]: r["lines"] for r in html_extract.extract_text(pages).collect()}
     assert got == {i: [f"Story {i}"] for i in range(len(urls))}
-    light = spark.createDataFrame([(i, f"h{i // 5}", f"/{i:03}") for i in range(203)], "row long, host string, path string").repartition(5)
+    light = spark.createDataFrame(
+        [(i, f"h{i // 5}", f"/{i:03}") for i in range(203)], "row long, host string, path string",
+    ).repartition(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         near = {r["row"]: r["other"] for r in html_extract._neighbours(light.where("row < 201")).collect()}
@@ -251,7 +320,10 @@ def test_toxicity_learns(spark):
     assert toxicity.reject(docs, lexicon).where("doc_id < 600").count() == 480
     assert toxicity.score(docs.limit(0), lexicon).collect() == []
     none = toxicity.fit(docs, known.limit(0))
-    assert {r["score"] for r in toxicity.score(docs, none).collect()} < {0.0} | {x for x in [1 / (1 + np.exp(50))]} | {1 / (1 + np.exp(50.0))}
+    assert {
+        r["score"]
+        for r in toxicity.score(docs, none).collect()
+    } < {0.0} | {x for x in [1 / (1 + np.exp(50))]} | {1 / (1 + np.exp(50.0))}
 
 
 def test_language_id(spark):
@@ -260,7 +332,9 @@ def test_language_id(spark):
     rows = []
     for i in range(240):
         lang = sorted(letters)[i % 3]
-        rows.append((i, " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(rng.randint(3, 60))), lang))
+        rows.append(
+            (i, " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(rng.randint(3, 60))), lang)
+        )
     rows += [(500, None, "aa"), (501, "", "aa"), (502, "12 ... 34", "bb"), (503, "abcdefg " * 5000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit(1))
     model = language_id.fit(docs, crc_mod("doc_id", 4) != 2)
@@ -270,7 +344,10 @@ def test_language_id(spark):
     assert got[500] == got[501] == got[502] == ("und", 0.0) and got[503][0] == "aa"
     assert all(0 <= s <= 1 for _, s in got.values())
     assert language_id.identify(docs.limit(0), model).collect() == []
-    assert {r["lang_pred"] for r in language_id.identify(docs, language_id.fit(docs.limit(0), F.lit(True))).collect()} == {"und"}
+    assert {
+        r["lang_pred"]
+        for r in language_id.identify(docs, language_id.fit(docs.limit(0), F.lit(True))).collect()
+    } == {"und"}
 
 
 def test_ftrl_is_sparse_and_learns():
@@ -285,8 +362,12 @@ def test_ftrl_is_sparse_and_learns():
 @pytest.mark.parametrize(
     ("sizes", "weights", "share", "want"),
     [
-        ([10, 10, 10], (5, 2, 1), 1.5, [20.0, 50 / 3, 25 / 3]), ([1, 1], (1,), 50, [2.0, 2.0]), ([0, 4], (5, 2), 1.5, [0.0, 6.0]), ([], (5, 2, 1), 1.5, []),
-        ([8, 8], {"s0": 0, "s1": 3}, 1, [0.0, 16.0]), ([8, 8], {"s0": 0, "s1": 0}, 1, [0.0, 0.0]), ([30, 10, 20], {}, 1, [20.0, 20.0, 20.0]),
+        (
+            [10, 10, 10], (5, 2, 1), 1.5, [20.0, 50 / 3, 25 / 3],
+        ), ([1, 1], (1,), 50, [2.0, 2.0]), ([0, 4], (5, 2), 1.5, [0.0, 6.0]), ([], (5, 2, 1), 1.5, []),
+        (
+            [8, 8], {"s0": 0, "s1": 3}, 1, [0.0, 16.0],
+        ), ([8, 8], {"s0": 0, "s1": 0}, 1, [0.0, 0.0]), ([30, 10, 20], {}, 1, [20.0, 20.0, 20.0]),
     ],
 )
 def test_targets(spark, sizes, weights, share, want):
@@ -299,7 +380,13 @@ def queued(corpus, packet):
     """Brute force: (source targets, units in the order of service, rows) of the mix."""
     rows = [(i, f"s{(i or 0) % 3}" if i != 9 else None, t or "") for i, t in corpus]
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
-    sized = [(src, md5(":".join([*([] if i is None else [str(i)]), "7", md5(t)])), i, len(re.findall(r"[^\x20\x09-\x0D]+", t))) for i, src, t in rows]
+    sized = [
+        (
+            src, md5(":".join([*([] if i is None else [str(i)]), "7", md5(t)])), i,
+            len(re.findall(r"[^\x20\x09-\x0D]+", t)),
+        )
+        for i, src, t in rows
+    ]
     names = sorted({r[0] for r in sized}, key=lambda x: (x is None, x or ""))
     n = {s: sum(r[3] for r in sized if r[0] == s) for s in names}
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
@@ -318,7 +405,13 @@ def queued(corpus, packet):
         for _ in range(2):
             for _, turn, i, size in sorted((r for r in sized if r[0] == s), key=lambda r: r[1]):
                 step = size if not size or (at + size) / target[s] <= 1 else packet
-                units += [((at + min(o + step, size)) / target[s], k, at + min(o + step, size), (i, turn), min(step, size - o)) for o in range(0, size, step or 1)]
+                units += [
+                    (
+                        (at + min(o + step, size)) / target[s], k, at + min(o + step, size), (i, turn),
+                        min(step, size - o),
+                    )
+                    for o in range(0, size, step or 1)
+                ]
                 at += size
     return target, n, sorted(units), math.floor(budget)
 
@@ -346,13 +439,18 @@ def test_mix_is_the_truncated_schedule(docs, corpus, empty, packet):
     order = sorted(rows, key=lambda r: r["before"])
     assert [r["finish"] for r in order] == sorted(r["finish"] for r in rows)
     again, _ = mixing.mix(docs, packet=packet)
-    assert Counter((r["doc_id"], r["copy"], r["before"], r["taken"]) for r in again.collect()) == Counter((r["doc_id"], r["copy"], r["before"], r["taken"]) for r in rows)
+    assert Counter(
+        (r["doc_id"], r["copy"], r["before"], r["taken"])
+        for r in again.collect()
+    ) == Counter((r["doc_id"], r["copy"], r["before"], r["taken"]) for r in rows)
     schedule, sized = mixing.mix(empty)
     assert schedule.collect() == sized.collect() == []
 
 
 def test_sources_without_weight_give_nothing(spark):
-    docs = spark.createDataFrame([(i, "a b c", f"s{i % 2}") for i in range(40)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame(
+        [(i, "a b c", f"s{i % 2}") for i in range(40)], "doc_id long, text string, source string",
+    )
     schedule, sized = mixing.mix(docs, {"s0": 0, "s1": 1})
     assert {r["source"] for r in schedule.collect()} == {"s1"} and sized.count() == 40
 
@@ -384,7 +482,10 @@ def test_whole_texts_go_to_the_tokenizer():
     path = token_output.default_tokenizer()
     plain = token_output.encoder(path)
     texts = ["", "Don't, 'send we'LL. ", "<|endoftext|>x <|ENDOFTEXT|>", "a\x1cb\x85c", "été, …, x. y", words(3, 9000)]
-    assert [x.tolist() for x in token_output.encode(plain, texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in token_output.encode(plain, texts)] == [
+        plain.encode(t, add_special_tokens=False).ids
+        for t in texts
+    ]
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -395,7 +496,10 @@ def test_token_output(docs, corpus, empty, file):
     path = public_tokenizers.path(file)
     plain = Tokenizer.from_file(path)
     got = token_output.token_output(docs, path).collect()
-    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted((i for i, _ in corpus), key=lambda i: (i is not None, i))
+    assert [
+        r["doc_id"]
+        for r in sorted(got, key=lambda r: r["start"])
+    ] == sorted((i for i, _ in corpus), key=lambda i: (i is not None, i))
     want = Counter()
     for i, t in corpus:
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
