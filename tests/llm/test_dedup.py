@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import exact_dedup, passage_dedup, simhash_dedup, suffix_dedup
@@ -356,3 +357,13 @@ def test_batch_sizes_hold_inside_operators(spark, docs):
             assert spark.conf.get(name) == "5000"
     finally:
         spark.conf.unset(name)
+
+
+def test_words_are_counted_over_many_texts():
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = [rng.choice([0, 1, 5, 30]) for _ in range(rng.randrange(12))]
+        texts = ["".join(rng.choice("ab \t\x0b\x1fé") for _ in range(n)).encode() for n in sizes]
+        whole = pa.array(texts, pa.binary())
+        for part in (whole, whole.slice(2), whole.slice(1, 3)):
+            assert passage_dedup.word_counts(part).tolist() == [len(t.split()) for t in part.to_pylist()]
