@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.storage import discard, settle
 
-KERNEL_EDGES = 1_000_000
+KERNEL_EDGES = 2_000_000
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
