@@ -530,7 +530,8 @@ def expand_refs(f):
         )
         .distinct()
     )
-    out = trace.expand_refs(tops, kids, kids.select("sig"))
+    # A customer without orders has an empty body, not a missing one.
+    out = trace.expand_refs(tops, kids, kids.select("sig").union(kids.select("child")))
     path = F.aggregate("path", F.lit(""), lambda a, x: F.concat(a, F.lit("."), x.cast("string")))
     return out.select(
         "trace", path.alias("path"), "sig", F.coalesce(F.col("leaf_kind") == "ref", F.lit(False)).alias("is_ref"),

@@ -42,3 +42,17 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["src", "dst", "call_line", "filtered"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(queries.QUERIES) <= set(entry.queries())
+
+
+def test_expand_refs_opens_customers_without_orders(spark, con, tmp_path):
+    """Their bodies are empty, not missing."""
+    for t in TABLES:
+        keep = "WHERE o_custkey NOT IN (SELECT min(c_custkey) FROM customer)" if t == "orders" else ""
+        con.execute(f"copy (select * from {t} {keep}) to '{tmp_path}/{t}.parquet' (format parquet)")
+    apart = duckdb.connect()
+    for t in TABLES:
+        apart.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got, want = queries.QUERIES["expand_refs"](spark, str(tmp_path)).toPandas(), apart.sql(queries.SQL["expand_refs"]).df()
+    assert rows(got) == rows(want)
+    leaf = want["sig"].str.startswith("c") & ~want["is_ref"].astype(bool)
+    assert leaf.any()
