@@ -30,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, release, settle, small_batches
@@ -329,6 +329,15 @@ def _finish(batches):
 _SPANS = "gram long, body long, a long, z long"
 
 
+def _maximal(spans: DataFrame) -> DataFrame:
+    """(gram, body, a, z) with the spans of a run that meet or overlap as one, so that a run's places are not multiplied by its windows."""
+    by = Window.partitionBy("gram", "body").orderBy("a", "z")
+    reach = F.max("z").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("opens", F.when(F.col("a") <= reach, 0).otherwise(1))
+    numbered = opens.withColumn("i", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("gram", "body", "i").agg(F.min("a").alias("a"), F.max("z").alias("z")).drop("i")
+
+
 def _repeats(cut: DataFrame, length: int, wide: int, levels: int, level: int = 0) -> DataFrame:
     """(gram, body, a, z): repeated windows of different runs (gram, body, n, kinds, bytes) that share a gram; kinds: how many of them."""
     part = ["gram", "body", "n"]
@@ -361,7 +370,7 @@ def _repeats(cut: DataFrame, length: int, wide: int, levels: int, level: int = 0
     kinds = groups.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     inner = _repeats(groups.join(kinds, "gram"), length, wide, levels, level + 1)
     whole = groups.where("times > 1").select("gram", "body", F.lit(0).cast("long").alias("a"), F.col("n").alias("z"))
-    found = settle(inner.union(whole), "inner")
+    found = settle(_maximal(inner.union(whole)), "inner")
     back = dealt.select("gram", "body", "n", "up_gram", "up_body", "off").join(found, ["gram", "body"]).where("z <= n")
     return light.union(
         back.select(
@@ -412,7 +421,7 @@ def suffix_dedup(
     several = bodies.where("times > 1").select(
         "gram", "body", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"),
     )
-    repeats = settle(_repeats(cut, length, wide, levels).union(several), "repeats")
+    repeats = settle(_maximal(_repeats(cut, length, wide, levels).union(several)), "repeats")
     release(spark)
     hits = kept.join(repeats, ["gram", "body"]).where("z <= n")
     span = F.shiftleft((F.col("first") + F.col("a")).cast("long"), 32).bitwiseOR(

@@ -367,3 +367,12 @@ def test_words_are_counted_over_many_texts():
         whole = pa.array(texts, pa.binary())
         for part in (whole, whole.slice(2), whole.slice(1, 3)):
             assert passage_dedup.word_counts(part).tolist() == [len(t.split()) for t in part.to_pylist()]
+
+
+def test_spans_of_a_run_are_joined(spark):
+    """Windows counted one by one, the whole run and parts of it come back as maximal spans."""
+    from graphloom.llm.suffix_dedup import _maximal
+
+    spans = [(1, 1, i, i + 1) for i in range(50)] + [(1, 1, 60, 70), (1, 1, 65, 67), (1, 1, 70, 75), (1, 2, 3, 4), (2, 1, 0, 9)]
+    got = _maximal(spark.createDataFrame(spans * 2, "gram long, body long, a long, z long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 0, 50), (1, 1, 60, 75), (1, 2, 3, 4), (2, 1, 0, 9)]
