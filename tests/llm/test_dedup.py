@@ -304,6 +304,76 @@ def test_equal_passages_meet_among_edited_variants(spark):
             assert len({got[j]["class_id"] for j in same}) == 1
 
 
+def test_similar_passages_meet_among_edited_variants(spark):
+    """Brute force over pairs: what is similar, but not equal, meets behind a first text that is like neither."""
+    rng, texts, want = random.Random(12), [], []
+    for g in range(24):
+        passage, sets = words(3000 + g, 60).split(), []
+        for k in range(24):
+            p = list(passage)
+            for at in rng.sample(range(5, 55), 3 if k > 1 else k):
+                p[at] = f"changed{g}x{k}x{at}"
+            sets.append({" ".join(p[i : i + 5]) for i in range(56)})
+            texts.append(" ".join([words(40000 + 100 * g + k, 30), *p, words(50000 + 100 * g + k, 30)]))
+        want += [
+            (24 * g + i, 24 * g + j) for i in range(24) for j in range(i)
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in passage_dedup.passage_dedup(frame).collect()}
+    assert len(want) >= 24 and sum(got[a] == got[b] for a, b in want) >= 0.95 * len(want)
+    assert all(got[i] // 24 == i // 24 for i in got)
+
+
+def test_missing_links_agree_with_all_pairs():
+    rng = np.random.default_rng(9)
+    other = lambda n: rng.integers(0, 2**60, n).astype(np.uint64)
+    for two in (False, True):
+        regions = []
+        for _ in range(6):
+            p = other(60)
+            for _ in range(12):
+                q = p.copy()
+                at = rng.choice(60, rng.integers(0, 10), replace=False)
+                q[at] = other(len(at))
+                again = q[: rng.integers(0, 2) * 20]
+                regions.append(np.r_[other(rng.integers(0, 30)), q, again, other(rng.integers(0, 9))])
+        regions += [np.full(60, 7, np.uint64), np.full(50, 7, np.uint64), other(10)]
+        n = len(regions)
+        sides = [k % 2 if two else 0 for k in range(n)]
+        roots = [k - k % 3 for k in range(n)]
+        top = {x: {x} for x in roots}
+
+        def join(pairs):
+            sets = {x: {x} for x in top}
+            for i, j in pairs:
+                both = sets[roots[i]] | sets[roots[j]]
+                for x in both:
+                    sets[x] = both
+            return {x: min(y) for x, y in sets.items()}
+
+        every = [
+            (i, j) for i in range(n) for j in range(n)
+            if i < j and (not two or sides[i] != sides[j])
+            and passage_dedup.similar_passages(regions[i], regions[j], 46, 0.8)
+        ]
+        none = [np.zeros(0, np.uint64)] * n
+        got = [(i, j) for i, j, _ in passage_dedup.missing_links(roots, sides, none, regions, 46, 0.8)]
+        assert len(every) > 50 and join(got) == join(every)
+        assert len(got) < len(set(roots))
+        # A pair with an earlier key in common is compared there.
+        same = [np.array([5], np.uint64)] * n
+        assert list(passage_dedup.missing_links(roots, sides, same, regions, 46, 0.8)) == []
+
+
+def test_word_hashes_tell_words_apart():
+    long = b"x" * 100 + b" " + b"X" * 100 + b" x" * 9
+    for text in (b"", b" ", b"A bc  DE\tde\x0bh ", long, "É é Ünï".encode(), b"ab c " * 300_000):
+        names = text.lower().split()
+        got = passage_dedup.word_hashes(text).tolist()
+        assert len(got) == len(names) and len(set(zip(got, names, strict=True))) == len(set(got)) == len(set(names))
+
+
 def test_similar_passages_are_verified():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**60, 200).astype(np.uint64)
