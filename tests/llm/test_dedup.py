@@ -366,6 +366,58 @@ def test_missing_links_agree_with_all_pairs():
         assert list(passage_dedup.missing_links(roots, sides, same, regions, 46, 0.8)) == []
 
 
+@pytest.mark.parametrize("block_tokens", [1 << 20, 300])
+def test_keys_of_the_same_texts_are_compared_once(spark, monkeypatch, block_tokens):
+    """Under 20 keys a text's tokens go out once for each block, not once for each key; in blocks no link is lost."""
+    p, q = words(70, 60).split(), words(72, 60).split()
+    p2, q2 = list(p), list(q)
+    p2[30], q2[20] = "changed", "changed"
+    start = words(73, 12)
+    passages = [p, p2, q, q2, words(74, 60).split(), words(75, 60).split()]
+    rows = [(k + 1, f"{start} {' '.join(x)}".encode()) for k, x in enumerate(passages)]
+    texts = spark.createDataFrame(rows, "mark long, text binary")
+    signed = spark.createDataFrame([(1000 + key, k, 0, 67) for key in range(20) for k, _ in rows], "key long, mark long, lo int, hi int")
+    written = {}
+
+    def settle(df, what="settled"):
+        written[what] = out = df.localCheckpoint()
+        return out
+
+    monkeypatch.setattr(passage_dedup, "settle", settle)
+    monkeypatch.setattr(passage_dedup, "discard", lambda df: None)
+    monkeypatch.setattr(passage_dedup, "_BLOCK_TOKENS", block_tokens)
+    linked = spark.createDataFrame([], passage_dedup._LINKS)
+    found = passage_dedup.missing_pairs(signed, texts, linked, 46, 5, 0.8).collect()
+    assert {frozenset((r["id"], r["first"])) for r in found} == {frozenset((1, 2)), frozenset((3, 4))}
+    assert written["members"].count() == 6
+    if block_tokens == 300:  # the two that are like none don't go to the blocks
+        assert {r["mark"] for r in written["wide"].collect()} == {1, 2, 3, 4}
+
+
+def test_similar_stretches_agree_with_brute_force():
+    rng, hits = np.random.default_rng(3), 0
+    other = lambda n: rng.integers(0, 2**60, n).astype(np.uint64)
+    for _ in range(300):
+        x = other(70)
+        y = np.where(rng.random(70) > rng.choice([0.02, 0.1, 0.15, 0.2]), x, other(70))
+        if rng.random() < 0.3:
+            k = rng.integers(70)
+            y = np.r_[y[:k], other(rng.integers(1, 14)), y[k:]]
+        x, y = np.r_[other(5), x, other(8)], np.r_[other(9), y, other(3)]
+        place = {v: i for i, v in enumerate(x.tolist())}
+        at, to = np.array([(place[v], j) for j, v in enumerate(y.tolist()) if v in place]).reshape(-1, 2).T
+        n_x, n_y = at[None, :] - at[:, None] + 1, to[None, :] - to[:, None] + 1
+        both = np.arange(len(at))[None, :] - np.arange(len(at))[:, None] + 1
+        want = ((n_x >= 46) & (n_y >= 46) & (both >= 0.8 * (n_x + n_y - both) - 1e-9)).any()
+        got = passage_dedup.similar_passages(x, y, 46, 0.8)
+        assert bool(got) == want
+        hits += want
+        for a, z, b, w in got:
+            p, q = set(x[a : z + 1].tolist()), set(y[b : w + 1].tolist())
+            assert len(p & q) >= 0.8 * len(p | q) - 1e-9
+    assert 100 < hits < 250
+
+
 def test_word_hashes_tell_words_apart():
     long = b"x" * 100 + b" " + b"X" * 100 + b" x" * 9
     for text in (b"", b" ", b"A bc  DE\tde\x0bh ", long, "É é Ünï".encode(), b"ab c " * 300_000):
