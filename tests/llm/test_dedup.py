@@ -210,6 +210,84 @@ def test_compact_windows_are_the_cartesian_tree():
         assert set(zip(*(x.tolist() for x in got), strict=True)) == want
 
 
+def test_windows_of_texts_together_are_those_of_each(monkeypatch):
+    """Texts go through the scan together: words are hashed a few times for hundreds of texts, not once for each."""
+    rng = np.random.default_rng(1)
+    sizes = np.array([10, 20, 11, 30, 19, 90, 10])
+    for high in (3, 2**24):
+        each = [rng.integers(0, high, sizes.sum()).astype(np.uint64) << np.uint64(40) for _ in range(2)]
+        for h, (text, *got) in zip(each, passage_dedup.all_windows(each, sizes, 10), strict=True):
+            for k, part in enumerate(np.split(h, np.cumsum(sizes)[:-1])):
+                want = passage_dedup.compact_windows(part, 10)
+                assert [x[text == k].tolist() for x in got] == [x.tolist() for x in want]
+    texts = [words(k, int(n)).encode() for k, n in enumerate(rng.integers(0, 90, 300))]
+    texts += [b"", b" \t", b"A " * 60, b"x" * 70 + b" b" * 60, "É ünï\n".encode() * 30, b"ab c " * 120_000]
+    calls, hashed = [], passage_dedup._words
+    monkeypatch.setattr(passage_dedup, "_words", lambda x: calls.append(len(x)) or hashed(x))
+    scan = passage_dedup._scan(4, 5, 46)
+    batch = lambda p, q: pa.RecordBatch.from_arrays([pa.array(range(p, q)), pa.array(texts[p:q])], ["mark", "text"])
+    rows = lambda batches: sorted(r for b in scan(batches) for r in zip(*b.to_pydict().values(), strict=True))
+    got = rows([batch(0, len(texts))])
+    assert len(calls) < 10
+    assert got == sorted(r for k in range(len(texts)) for r in rows([batch(k, k + 1)]))
+
+
+def test_rows_of_one_key_meet_across_batches(monkeypatch):
+    gathered = passage_dedup._gathered
+    monkeypatch.setattr(passage_dedup, "_gathered", lambda batches, rows: gathered(batches, 3))
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        rows = sorted({(int(k), int(m)) for k, m in rng.integers(0, [6, 9], (40, 2))} | {(k, 0) for k in range(6, 9)})
+        texts = defaultdict(list)
+        for k, m in rows:
+            texts[k].append(m)
+        each = [(k, m, m, m + 1) for k, m in rows]
+        cut = lambda x: (
+            pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*x[p : p + 2], strict=True)], names=list("abcd"))
+            for p in range(0, len(x), 2)
+        )
+        got = [r for b in passage_dedup._of_one_key(cut(each)) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert got == [(*r, texts[r[0]][0], min(len(texts[r[0]]), 3)) for r in each if len(texts[r[0]]) > 1]
+        copies = [r for r in each for _ in range(rng.integers(1, 8))]  # as of equal texts
+        got = [r for b in passage_dedup._shared(cut(copies)) for r in zip(*b.to_pydict().values(), strict=True)]
+        assert set(got) == {r for r in each if len(texts[r[0]]) > 1}
+
+
+def test_pairs_of_an_earlier_group_are_passed_over():
+    rng = np.random.default_rng(4)
+    region = rng.integers(0, 2**60, 60).astype(np.uint64)
+    for _ in range(60):
+        n = int(rng.integers(2, 12))
+        earlier = [np.unique(rng.integers(0, 9, rng.integers(0, 4)).astype(np.uint64)) for _ in range(n)]
+        found = [(i, j) for i, j, _ in passage_dedup.missing_links(list(range(n)), [0] * n, earlier, [region] * n, 46, 0.8)]
+        apart = {(i, j) for i in range(n) for j in range(n) if i != j and not np.intersect1d(earlier[i], earlier[j]).size}
+        assert set(found) <= apart
+
+        def classes(pairs):
+            root = list(range(n))
+            for i, j in pairs:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+            return root
+
+        assert classes(found) == classes(apart)
+
+
+def test_signatures_of_one_text_are_not_written(spark, docs, monkeypatch):
+    written, settle = [], passage_dedup.settle
+
+    def kept(df, what="settled"):
+        out = settle(df, what)
+        if what == "signatures":
+            written.extend(out.select("key", "mark").collect())
+        return out
+
+    monkeypatch.setattr(passage_dedup, "settle", kept)
+    passage_dedup.passage_dedup(docs)
+    texts = Counter(r["key"] for r in written)
+    assert texts and min(texts.values()) > 1 and len(set(written)) == len(written)
+
+
 def test_passage_dedup(spark, docs, corpus, empty):
     every = passage_dedup.passage_dedup(docs).collect()
     assert Counter(r["doc_id"] for r in every) == Counter(i for i, _ in corpus)
